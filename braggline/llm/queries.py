@@ -3,15 +3,26 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash_dedup, packing, prefix_tokens
+from . import minhash_dedup, packing, prefix_tokens, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def repository() -> Column:
+    """The documents' sources stand for owners, a source's languages for its repositories."""
+    return F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), F.col("source"), repository())
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_copied")
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,5 +35,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op5_minhash_dedup, op7_token_counts, op9_packing)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op5_minhash_dedup, op7_token_counts, op9_packing)}
+ORACLE: dict[str, str] = {"op1_secret_scan": secret_scan.oracle()}
