@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash_dedup, packing, prefix_tokens, secret_scan
+from . import decontaminate, minhash_dedup, packing, prefix_tokens, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,5 +35,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op5_minhash_dedup, op7_token_counts, op9_packing)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op5_minhash_dedup, op7_token_counts, op9_packing, op10_decontaminate)}
 ORACLE: dict[str, str] = {"op1_secret_scan": secret_scan.oracle()}
