@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash_dedup, packing, prefix_tokens, secret_scan
+from . import decontaminate, minhash_dedup, packing, prefix_tokens, secret_scan, toxicity
+from .sample import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def toxicity_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> toxicity.Model | None:
+    return toxicity.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity_model(docs, spark, sf_dir), fold("doc_id", 4) == 2)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -39,5 +49,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op5_minhash_dedup, op7_token_counts, op9_packing, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op5_minhash_dedup, op7_token_counts, op8_toxicity, op9_packing, op10_decontaminate)}
 ORACLE: dict[str, str] = {"op1_secret_scan": secret_scan.oracle()}

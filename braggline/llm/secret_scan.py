@@ -99,9 +99,10 @@ def scan(docs: DataFrame, owner: Column, repository: Column, most_owners: int =
     )
 
 
-def redact(docs: DataFrame, owner: Column, repository: Column, most_owners: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
+def redact(docs: DataFrame, owner: Column, repository: Column, most_owners: int = 1, text: str = "text", key: str = "doc_id", was: str | None = None) -> DataFrame:
     """``docs`` with every span replaced: live-looking values by [SECRET], copied examples by [EXAMPLE]. Touching
-    or overlapping spans become one mark, a live one if any part is. Texts without spans stay as they are."""
+    or overlapping spans become one mark, a live one if any part is. Texts without spans stay as they are; ``was`` names a column
+    that tells whether a row was changed."""
     spans = scan(docs, owner, repository, most_owners, text, key).where("size(all_spans) > 0").select(F.col(key).alias("_i"), F.col("th").alias("_h"), "all_spans").dropDuplicates(["_i", "_h"])
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     both = docs.withColumn("_th", F.xxhash64(t)).join(spans, F.col(key).cast("long").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_h")), "left")
@@ -119,6 +120,8 @@ def redact(docs: DataFrame, owner: Column, repository: Column, most_owners: int
 
     runs = F.aggregate("all_spans", runs_zero, merge)
     clean = F.aggregate(runs, zero, put, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
+    if was:
+        both = both.withColumn(was, F.col("all_spans").isNotNull())
     return both.withColumn(text, F.when(F.col("all_spans").isNotNull(), clean).otherwise(F.col(text))).drop("_th", "_i", "_h", "all_spans")
 
 
