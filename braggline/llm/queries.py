@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash_dedup, packing, prefix_tokens, secret_scan, toxicity
+from . import decontaminate, minhash_dedup, packing, prefix_tokens, quality, secret_scan, toxicity
 from .sample import fold
 
 
@@ -28,6 +28,12 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return quality.scored(docs, model, fold("doc_id", 5) == 0)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -49,5 +55,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op5_minhash_dedup, op7_token_counts, op8_toxicity, op9_packing, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op5_minhash_dedup, op6_quality, op7_token_counts, op8_toxicity, op9_packing, op10_decontaminate)}
 ORACLE: dict[str, str] = {"op1_secret_scan": secret_scan.oracle()}
