@@ -13,6 +13,7 @@ they occur, null ids stay null, an empty table gives no pieces, and further colu
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -34,7 +35,7 @@ LENGTH, END_ID = 4096, 2
 _CUT = np.zeros(256, bool)
 _CUT[[9, 10, 13, 32]] = True
 #: Words that a worker remembers; beyond, it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 900_000
 
 
 class WordTokens:
@@ -58,7 +59,9 @@ class WordTokens:
         self.used = 0
 
     def _learn(self, new: list[str]) -> None:
+        gc.disable()  # many short-lived objects, none of them in cycles
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        gc.enable()
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         n, more = len(self.known), int(size.sum())
         while self.used + more > len(self.flat):
@@ -84,7 +87,7 @@ class WordTokens:
         """Ids of each text, slice by slice. Texts with special strings are encoded as they are."""
         texts = plain(texts)
         slow = pc.match_substring_regex(texts, "|".join(map(re.escape, self.special)) or "$^").to_numpy(zero_copy_only=False)
-        for i, j in slices(texts, 4 << 20):
+        for i, j in slices(texts, 6 << 20):
             w = words(texts[i:j], _CUT, SAME, KINDS)
             coded = w.strings().dictionary_encode()
             at = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
