@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lattice_neighbours, license_scan, minhash_dedup, packing, prefix_tokens, quality, secret_scan, toxicity
+from . import decontaminate, lattice_neighbours, license_scan, minhash_dedup, packing, passages, prefix_tokens, quality, secret_scan, toxicity
 from .sample import fold
 
 
@@ -24,6 +24,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_copied")
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -63,5 +67,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_license_scan, op4_lattice_neighbours, op5_minhash_dedup, op6_quality, op7_token_counts, op8_toxicity, op9_packing, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_passages, op3_license_scan, op4_lattice_neighbours, op5_minhash_dedup, op6_quality, op7_token_counts, op8_toxicity, op9_packing, op10_decontaminate)}
 ORACLE: dict[str, str] = {"op1_secret_scan": secret_scan.oracle()}
