@@ -13,17 +13,17 @@ def fold(key: str, of: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, longest: int, text: str = "text", key: str = "doc_id") -> tuple[list[str], list[str], float]:
-    """Texts with label 1 and with label 0, at most ``most`` each, of those up to ``longest`` characters, in the
-    order of a hash of key and text; texts that occur twice count once. Null texts and labels are left out. The
+    """Texts with label 1 and with label 0, at most ``most`` each, of those up to ``longest`` characters, of the first
+    2 * ``most`` keys in the order of a hash; texts that occur twice count once. Null texts and labels are left out. The
     third value is the share of label 1 among all labels that may be learnt from."""
     known = labels.where(learn).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)").groupBy("k").agg(F.max("y").alias("y"))
-    rows = docs.where(learn).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= longest))
-    rows = rows.join(known, "k")
     n, ones = known.agg(F.count("y"), F.sum("y")).first()
-    out = []
-    for y in (1, 0):
-        got = rows.where(F.col("y") == y).select("t", F.xxhash64("k", "t").alias("h"), "k").orderBy("h", "k").limit(most).collect()
-        out.append(list(dict.fromkeys(r.t for r in got)))
+    # keys first: 2 * most of each label at most, so that texts are found by a broadcast of bounded size and never shuffled
+    keys = [(r.k, y) for y in (1, 0) for r in known.where(F.col("y") == y).select("k", F.xxhash64("k").alias("h")).orderBy("h", "k").limit(2 * most).collect()]
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(keys, f"k {known.schema['k'].dataType.simpleString()}, y int"))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= longest)).join(chosen, "k")
+    got = sorted(rows.select("k", "y", "t", F.xxhash64("k").alias("h")).collect(), key=lambda r: (r.h, r.k, r.t))
+    out = [list(dict.fromkeys(r.t for r in got if r.y == y))[:most] for y in (1, 0)]
     return out[0], out[1], (ones or 0) / max(1, n)
 
 
