@@ -1,4 +1,448 @@
-"""Registered queries of the diffraction operators and their DuckDB counterparts."""
+"""Registered queries of the diffraction operators and their DuckDB counterparts.
 
+Inputs are derived from the driver's tables by fixed arithmetic. The SQL takes other algebra than the operators
+(closed forms, quadrature, central differences, identities of round trips), so that agreement says something.
+"""
+
+from __future__ import annotations
+
+import math
+from itertools import permutations, product
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import crystal, diffract, geometry
+from .functions import linalg as la
+from .operators import bandjoin, forward, hkl, scan, splat
+from .operators.forward import Detector, Setup
+from .operators.peaks import peaks_to_q as to_q
+from .plans import sql as sql_functions
+
+TILTED = Setup(Detector(1000, 50, 0.2, 900, 65, -0.36, 0.17, 130e3), 0.1, wedge=5, chi=10)
+GENERAL = Setup(
+    Detector(1000, 75, 0.01, 1024, 70, -0.02, 0.03, 180e3, 1, 0, 0, -1), 0.3, ky=1e-4, kz=-2e-4, wedge=-3, chi=1, y0=2.5,
+    sigma={"ox": 5, "oy": 10, "oz": 2, "wavelength": 1e-5, "ky": 1e-4, "kz": 2e-4},
+)
+FE, TI, CEO2 = 2.8630355, (2.93573192, 2.93573192, 4.64085615, 90.0, 90.0, 120.0), 5.4112
+FEW_HKLS = [(1, 1, 0), (-1, 0, 1), (0, 1, 1), (2, 0, 0), (1, 2, -1), (2, -1, 1), (-2, 1, 1), (2, 2, 0)]
+STEP, GRIDSTEP, Y0, SHAPE, YSTEP = 0.5, 2, 0.25, (31, 28), 1.5
+AXES = [splat.Axis("sc", 0, 1, 60, 7), splat.Axis("fc", 0, 1, 50, 7), splat.Axis("omega", -1, 0.05, 41, 5)]
+ACTIVE = (0.25, 0.5)
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__], ORACLE[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r(c: Column, digits: int = 6) -> Column:
+    return F.round(c, digits) + F.lit(0.0)
+
+
+def rounded(df: DataFrame, names, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: r(F.col(n), digits) for n in names})
+
+
+# plain matrices for the SQL
+def _rot(axis: str, rad: float) -> list[list[float]]:
+    c, s = math.cos(rad), math.sin(rad)
+    return {"x": [[1, 0, 0], [0, c, -s], [0, s, c]], "y": [[c, 0, s], [0, 1, 0], [-s, 0, c]], "z": [[c, -s, 0], [s, c, 0], [0, 0, 1]]}[axis]
+
+
+def _mul(*ms):
+    out = ms[0]
+    for m in ms[1:]:
+        out = [[sum(out[i][k] * m[k][j] for k in range(len(m))) for j in range(len(m[0]))] for i in range(len(out))]
+    return out
+
+
+def _trans(d: Detector):
+    return _mul(_rot("x", d.tilt_x), _rot("y", d.tilt_y), _rot("z", d.tilt_z), [[0, 0, 1], [0, 1, 0], [1, 0, 0]], [[d.o11, d.o12, 0], [d.o21, d.o22, 0], [0, 0, 1]], [[d.z_size, 0, 0], [0, d.y_size, 0], [0, 0, 1]])
+
+
+def _tilt(s: Setup):
+    return _mul(_rot("y", math.radians(s.wedge)), _rot("x", math.radians(s.chi)))
+
+
+def _times(m, xyz: tuple[str, str, str], by_columns: bool = False) -> list[str]:
+    m = list(zip(*m, strict=True)) if by_columns else m
+    return [" + ".join(f"({c!r}) * {x}" for c, x in zip(row, xyz, strict=True)) for row in m]
+
+
+def sr(x: str, digits: int = 6) -> str:
+    return f"round({x}, {digits}) + 0.0"
+
+
+# observed peaks
+PEAKS_SQL = "SELECT o_orderkey AS peak_id, CAST(o_totalprice AS DOUBLE) % 2048 AS sc, CAST((o_orderkey * 37) % 2048 AS DOUBLE) AS fc, CAST(o_orderkey % 360 - 180 AS DOUBLE) AS omega FROM orders"
+
+
+def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("peak_id"), (F.col("o_totalprice").cast("double") % 2048).alias("sc"), ((F.col("o_orderkey") * 37) % 2048).cast("double").alias("fc"), (F.col("o_orderkey") % 360 - 180).cast("double").alias("omega"))
+
+
+def _to_q_sql(s: Setup) -> str:
+    m, w, d = _trans(s.detector), _tilt(s), s.detector
+    lab = _times(m, (f"(sc - {d.z_center!r})", f"(fc - {d.y_center!r})", "0"))
+    back = _times(w, ("qa", "qb", "qc"), by_columns=True)
+    return f"""WITH p AS ({PEAKS_SQL}), a AS (SELECT *, {lab[0]} + {d.distance!r} AS x, {lab[1]} AS y, {lab[2]} AS z FROM p),
+b AS (SELECT *, (x / sqrt(x*x + y*y + z*z) - 1) / {s.wavelength!r} AS qa, y / sqrt(x*x + y*y + z*z) / {s.wavelength!r} AS qb, z / sqrt(x*x + y*y + z*z) / {s.wavelength!r} AS qc FROM a),
+c AS (SELECT *, {back[0]} AS ta, {back[1]} AS tb, {back[2]} AS tc, degrees(acos(x / sqrt(x*x + y*y + z*z))) AS tth, degrees(atan2(-y, z)) AS eta FROM b)
+SELECT peak_id, tth, eta, 2 * sin(radians(tth) / 2) / {s.wavelength!r} AS ds, cos(radians(omega)) * ta + sin(radians(omega)) * tb AS qx, -sin(radians(omega)) * ta + cos(radians(omega)) * tb AS qy, tc AS qz FROM c"""
+
+
+@query(f"SELECT peak_id, {', '.join(f'{sr(n, 5)} AS {n}' for n in ('tth', 'eta', 'ds', 'qx', 'qy', 'qz'))} FROM ({_to_q_sql(TILTED)})")
+def peaks_to_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: detector places and angles to scattering vectors."""
+    return rounded(to_q(peaks(spark, sf_dir), TILTED).drop("sc", "fc", "omega"), ("tth", "eta", "ds", "qx", "qy", "qz"), 5)
+
+
+@query(f"SELECT CAST(floor(tth / 0.1) AS BIGINT) AS bin, count(*) AS n, {sr('avg(ds)')} AS mean_ds FROM ({_to_q_sql(TILTED)}) GROUP BY 1")
+def powder_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = to_q(peaks(spark, sf_dir), TILTED)
+    return q.groupBy(F.floor(F.col("tth") / 0.1).alias("bin")).agg(F.count("*").alias("n"), r(F.avg("ds")).alias("mean_ds"))
+
+
+@query(f"SELECT peak_id, {sr('sc')} AS sc, {sr('fc')} AS fc, {sr('sc')} AS ray_sc, {sr('fc')} AS ray_fc FROM ({PEAKS_SQL})")
+def detector_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """det_to_lab, then back by lab_to_det, and by raytrace_to_det from a point off the axis."""
+    d = TILTED.detector
+    df = peaks(spark, sf_dir).withColumn("t", geometry.detector_transforms(d.y_center, d.y_size, d.tilt_y, d.z_center, d.z_size, d.tilt_z, d.tilt_x, d.distance, d.o11, d.o12, d.o21, d.o22))
+    t = [F.col(f"t.{n}") for n in ("trans", "shift_c", "shift_x")]
+    df = df.withColumn("lab", geometry.det_to_lab(F.col("sc"), F.col("fc"), *t)).withColumn("basis", geometry.detector_basis_vectors_lab(*t))
+    origin = la.vector(100, -50, 20)
+    ray = la.vec_struct(la.sub(la.v3(F.col("lab")), la.v3(origin)))
+    df = df.withColumn("ray", geometry.raytrace_to_det(ray, origin, *(F.col(f"basis.{n}") for n in ("sc_lab", "fc_lab", "norm_lab"))))
+    df = df.withColumn("pixel", geometry.lab_to_det(F.col("lab.x"), F.col("lab.y"), F.col("lab.z"), *t))
+    return df.select("peak_id", r(F.col("pixel.sc")).alias("sc"), r(F.col("pixel.fc")).alias("fc"), r(F.col("ray.sc")).alias("ray_sc"), r(F.col("ray.fc")).alias("ray_fc"))
+
+
+_DET = "s_suppkey, 1000 + s_suppkey AS yc, 900 - s_suppkey AS zc, s_suppkey * 0.003 AS ty, s_suppkey * -0.002 AS tz, s_suppkey * 0.001 AS tx"
+
+
+@query(f"""WITH d AS (SELECT {_DET} FROM supplier), m AS (SELECT *, -50 * (cos(tx) * sin(ty) * cos(tz) - sin(tx) * sin(tz)) AS nope, 70 * sin(ty) AS m00, -50 * cos(ty) * sin(tz) AS m01, -70 * sin(tx) * cos(ty) AS m10, 50 * (cos(tx) * cos(tz) - sin(tx) * sin(ty) * sin(tz)) AS m11, 70 * cos(tx) * cos(ty) AS m20, 50 * (sin(tx) * cos(tz) + cos(tx) * sin(ty) * sin(tz)) AS m21 FROM d)
+SELECT s_suppkey, {sr('m00')} AS m00, {sr('m01')} AS m01, {sr('m10')} AS m10, {sr('m11')} AS m11, {sr('m20')} AS m20, {sr('m21')} AS m21, {sr('200000 - zc * m00 - yc * m01')} AS x00, {sr('(1 - zc) * m10 - yc * m11')} AS y10, {sr('(1 - yc) * m21 - zc * m20')} AS z01 FROM m""")
+def detector_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One detector a supplier: transforms and basis vectors."""
+    k = F.col("s_suppkey").cast("double")
+    df = table(spark, sf_dir, "supplier").select("s_suppkey", geometry.detector_transforms(1000 + k, 50, k * 0.003, 900 - k, 70, k * -0.002, k * 0.001, 200e3, 1, 0, 0, 1).alias("t"))
+    df = df.withColumn("b", geometry.detector_basis_vectors_lab(F.col("t.trans"), F.col("t.shift_c"), F.col("t.shift_x")))
+    entries = [r(F.col(f"t.trans.m{i}{j}")).alias(f"m{i}{j}") for i in range(3) for j in range(2)]
+    return df.select("s_suppkey", *entries, r(F.col("b.norm_lab.x")).alias("x00"), r(F.col("b.sc_lab.y")).alias("y10"), r(F.col("b.fc_lab.z")).alias("z01"))
+
+
+@query(f"SELECT peak_id, {sr('sc / 100')} AS tth, {sr('CASE WHEN sc = 0 THEN 0 ELSE fc / 6 - 170 END')} AS eta, {sr('2 * sin(radians(sc / 100) / 2) / 0.25')} AS ds FROM ({PEAKS_SQL}) WHERE sc > 0.01")
+def tth_eta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Angles to an outgoing beam, to a scattering vector, and back."""
+    df = peaks(spark, sf_dir).where("sc > 0.01").withColumn("k", diffract.tth_eta_to_k_out(F.col("sc") / 100, F.col("fc") / 6 - 170, 0.25))
+    k_in = diffract.scale_norm_k(la.vector(1, 0, 0), 0.25)
+    df = df.withColumn("q", diffract.k_to_q_lab(k_in, F.col("k"))).withColumn("a", diffract.q_lab_to_tth_eta(F.col("q"), 0.25))
+    return df.select("peak_id", r(F.col("a.tth")).alias("tth"), r(F.col("a.eta")).alias("eta"), r(diffract.q_to_ds(F.col("q"))).alias("ds"))
+
+
+# goniometer
+_VEC = "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) - 25 AS x, CAST(l_extendedprice AS DOUBLE) / 1000 - 50 AS y, CAST(l_discount AS DOUBLE) * 1000 - 50 AS z, CAST(l_orderkey % 360 - 180 AS DOUBLE) AS w, CAST(l_linenumber AS DOUBLE) AS dty FROM lineitem"
+_WC = _mul(_rot("y", math.radians(5)), _rot("x", math.radians(10)))
+_TURNED = _times(_WC, ("(cos(radians(w)) * x - sin(radians(w)) * y)", "(sin(radians(w)) * x + cos(radians(w)) * y)", "z"))
+
+
+@query(f"""WITH v AS ({_VEC}), t AS (SELECT *, {_TURNED[0]} AS a, {_TURNED[1]} AS b, {_TURNED[2]} AS c FROM v)
+SELECT l_orderkey, l_linenumber, {sr('a')} AS lab_x, {sr('b + dty - 0.5')} AS lab_y, {sr('c')} AS lab_z, {sr('x')} AS x, {sr('y')} AS y, {sr('z')} AS z, {sr('0.001 * a - b + 0.5')} AS beam_dty FROM t""")
+def goniometer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample to lab and back, and the translation that brings a point into the beam."""
+    d = lambda n: F.col(n).cast("double")
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", la.vector(d("l_quantity") - 25, d("l_extendedprice") / 1000 - 50, d("l_discount") * 1000 - 50).alias("v"), (F.col("l_orderkey") % 360 - 180).cast("double").alias("w"), d("l_linenumber").alias("dty"))
+    df = df.withColumn("lab", geometry.sample_to_lab(F.col("v"), F.col("w"), 5, 10, F.col("dty"), 0.5))
+    df = df.withColumn("back", geometry.lab_to_sample(F.col("lab"), F.col("w"), 5, 10, F.col("dty"), 0.5)).withColumn("beam_dty", geometry.find_dty_for_beam_xy(F.col("v"), la.vector(1, 0.001, 0), F.col("w"), 5, 10, 0.5))
+    return df.select("l_orderkey", "l_linenumber", *(r(F.col(f"lab.{c}")).alias(f"lab_{c}") for c in "xyz"), *(r(F.col(f"back.{c}")).alias(c) for c in "xyz"), r(F.col("beam_dty")).alias("beam_dty"))
+
+
+_Q = "cos(radians(t) / 2) AS qw, sin(radians(t) / 2) * x / n AS qx, sin(radians(t) / 2) * y / n AS qy, sin(radians(t) / 2) * z / n AS qz"
+
+
+@query(f"""WITH a AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, CAST(p_partkey % 7 AS DOUBLE) - 3 AS y, CAST(p_partkey % 11 AS DOUBLE) - 5 AS z, CAST(p_partkey % 360 AS DOUBLE) AS t FROM part), b AS (SELECT *, sqrt(x*x + y*y + z*z) AS n FROM a), c AS (SELECT p_partkey, {_Q} FROM b)
+SELECT p_partkey, {sr('1 - 2 * (qy*qy + qz*qz)')} AS m00, {sr('2 * (qx*qy - qw*qz)')} AS m01, {sr('2 * (qx*qz + qw*qy)')} AS m02, {sr('2 * (qx*qy + qw*qz)')} AS m10, {sr('1 - 2 * (qx*qx + qz*qz)')} AS m11, {sr('2 * (qy*qz - qw*qx)')} AS m12, {sr('2 * (qx*qz - qw*qy)')} AS m20, {sr('2 * (qy*qz + qw*qx)')} AS m21, {sr('1 - 2 * (qx*qx + qy*qy)')} AS m22 FROM c""")
+def axis_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rotation matrices by axis and angle; the SQL goes by quaternions."""
+    k = F.col("p_partkey")
+    df = table(spark, sf_dir, "part").select("p_partkey", geometry.rmat_from_axis_angle(la.vector(F.col("p_size").cast("double"), (k % 7).cast("double") - 3, (k % 11).cast("double") - 5), (k % 360).cast("double")).alias("m"))
+    return df.select("p_partkey", *(r(F.col(f"m.{n}")).alias(n) for n in la.NAMES))
+
+
+# crystal
+_CELL = "SELECT p_partkey, 3 + p_size / 10.0 AS a, 3.2 + p_size / 10.0 AS b, 3.5 + p_size / 10.0 AS c, 85.0 + p_partkey % 11 AS al, 88.0 + p_partkey % 5 AS be, 95.0 - p_partkey % 7 AS ga FROM part"
+_CELL_SQL = f"""WITH p AS (SELECT p_partkey, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(c AS DOUBLE) AS c, cos(radians(CAST(al AS DOUBLE))) AS ca, cos(radians(CAST(be AS DOUBLE))) AS cb, cos(radians(CAST(ga AS DOUBLE))) AS cg, sin(radians(CAST(al AS DOUBLE))) AS sa, sin(radians(CAST(be AS DOUBLE))) AS sb, sin(radians(CAST(ga AS DOUBLE))) AS sg FROM ({_CELL})),
+v AS (SELECT *, a * b * c * sqrt(1 - ca*ca - cb*cb - cg*cg + 2*ca*cb*cg) AS vol FROM p)"""
+
+
+@query(f"""{_CELL_SQL} SELECT p_partkey, {sr('vol')} AS volume, {sr('b*c*sa/vol')} AS ra, {sr('a*c*sb/vol')} AS rb, {sr('a*b*sg/vol')} AS rc, {sr('degrees(acos((cb*cg - ca)/(sb*sg)))')} AS ralpha, {sr('degrees(acos((ca*cg - cb)/(sa*sg)))')} AS rbeta, {sr('degrees(acos((ca*cb - cg)/(sa*sb)))')} AS rgamma,
+{sr('b*c*sa/vol')} AS b00, {sr('a*c/vol*(ca*cb - cg)/sa')} AS b01, {sr('a*b/vol*(ca*cg - cb)/sa')} AS b02, {sr('1/(b*sa)')} AS b11, {sr('-ca/(c*sa)')} AS b12_other, {sr('1/c')} AS b22 FROM v""".replace(sr("-ca/(c*sa)") + " AS b12_other", sr("-ca/(c*sa)") + " AS b12"))
+def unit_cell_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric tensor, volume, reciprocal cell and B; the SQL goes by the textbook formulas."""
+    k, s = F.col("p_partkey"), F.col("p_size") / 10.0
+    df = table(spark, sf_dir, "part").select("p_partkey", crystal.lpars(3 + s, 3.2 + s, 3.5 + s, 85.0 + k % 11, 88.0 + k % 5, 95.0 - k % 7).alias("p"))
+    df = df.withColumn("g", crystal.lpars_to_mt(F.col("p"))).withColumn("gr", crystal.mt_to_rmt(F.col("g"))).withColumn("rl", crystal.mt_to_lpars(F.col("gr"))).withColumn("bmat", crystal.lpars_rlpars_to_B(F.col("p"), F.col("rl")))
+    names = {"ra": "a", "rb": "b", "rc": "c", "ralpha": "alpha", "rbeta": "beta", "rgamma": "gamma"}
+    return df.select("p_partkey", r(crystal.metric_to_volume(F.col("g"))).alias("volume"), *(r(F.col(f"rl.{v}")).alias(n) for n, v in names.items()), *(r(F.col(f"bmat.m{i}")).alias(f"b{i}") for i in ("00", "01", "02", "11", "12", "22")))
+
+
+@query(f"""WITH e AS (SELECT vec_id, embedding AS v FROM embeddings), m AS (SELECT vec_id, {', '.join(f'CAST(v[{3 * i + j + 1}] AS DOUBLE) + {float(3 * (i == j))} AS u{i}{j}' for i in range(3) for j in range(3))} FROM e),
+l AS (SELECT *, sqrt(u00*u00 + u01*u01 + u02*u02) AS a, sqrt(u10*u10 + u11*u11 + u12*u12) AS b, sqrt(u20*u20 + u21*u21 + u22*u22) AS c, abs(u00*(u11*u22 - u12*u21) - u01*(u10*u22 - u12*u20) + u02*(u10*u21 - u11*u20)) AS vol FROM m)
+SELECT vec_id, {sr('a')} AS a, {sr('b')} AS b, {sr('c')} AS c, {sr('degrees(acos((u10*u20 + u11*u21 + u12*u22)/(b*c)))')} AS alpha, {sr('degrees(acos((u00*u20 + u01*u21 + u02*u22)/(a*c)))')} AS beta, {sr('degrees(acos((u00*u10 + u01*u11 + u02*u12)/(a*b)))')} AS gamma, {sr('vol')} AS volume, 1.0 AS orthogonal,
+{sr('u20/c')} AS u02, {sr('u21/c')} AS u12, {sr('u22/c')} AS u22 FROM l""")
+def grain_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grains from embeddings: cell and orientation of a UBI. The last column of U is the direction of the third axis."""
+    at = lambda n: F.get("embedding", n).cast("double")
+    df = table(spark, sf_dir, "embeddings").select("vec_id", la.matrix(*(at(3 * i + j) + 3.0 * (i == j) for i in range(3) for j in range(3))).alias("ubi"))
+    df = crystal.grains(df)
+    return df.select("vec_id", *(r(F.col(f"p.{n}")).alias(n) for n in crystal.LPARS), r(crystal.metric_to_volume(F.col("g"))).alias("volume"), r(F.abs(la.det3(la.m3(F.col("U"))))).alias("orthogonal"), *(r(F.col(f"U.m{i}2")).alias(f"u{i}2") for i in range(3)))
+
+
+def cell(spark: SparkSession, name: str, *p: float) -> DataFrame:
+    return spark.createDataFrame([(name, *map(float, p))], "structure_id string, a double, b double, c double, alpha double, beta double, gamma double")
+
+
+def atoms(spark: SparkSession, name: str, *sites: tuple[str, float, float, float]) -> DataFrame:
+    return spark.createDataFrame([(name, e, *map(float, at), 1.0) for e, *at in sites], "structure_id string, element string, x double, y double, z double, occ double")
+
+
+def _series(n: int, name: str) -> str:
+    return f"(SELECT CAST(unnest(generate_series({-n}, {n})) AS BIGINT) AS {name})"
+
+
+def _hkl(n: int, m: int) -> str:
+    return f"{_series(n, 'h')}, {_series(n, 'k')}, {_series(m, 'l')}"
+
+
+@query(f"""WITH q AS (SELECT h, k, l, sqrt(4.0 / 3 * (h*h + h*k + k*k) / ({TI[0]!r} * {TI[0]!r}) + l*l / ({TI[2]!r} * {TI[2]!r})) AS ds FROM {_hkl(6, 7)})
+SELECT h, k, l, {sr('ds')} AS ds, {sr('2 * degrees(asin(ds * 0.3 / 2))')} AS tth FROM q WHERE ds > 0 AND ds < 1.4""")
+def hexagonal_hkls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(hkl.make_hkls(cell(spark, "Ti", *TI), 1.4, 0.3).drop("structure_id"), ("ds", "tth"))
+
+
+@query(f"""WITH q AS (SELECT h, k, l, h*h + k*k + l*l AS s FROM {_hkl(5, 5)} WHERE (h + k + l) % 2 = 0), u AS (SELECT *, sqrt(s) / {FE!r} AS ds FROM q WHERE s > 0 AND sqrt(s) / {FE!r} < 2.0)
+SELECT CAST(dense_rank() OVER (ORDER BY s) - 1 AS BIGINT) AS ring_id, {sr('min(ds)')} AS ds, {sr('min(2 * degrees(asin(ds * 0.3 / 2)))')} AS tth, count(*) AS mult FROM u GROUP BY s""")
+def rings_iron(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings of iron by structure factors and single linkage; the SQL by the rule of body-centred lattices."""
+    table_ = hkl.rings_table(hkl.make_hkls(cell(spark, "Fe", FE, FE, FE, 90, 90, 90), 2.0, 0.3), atoms(spark, "Fe", ("Fe", 0, 0, 0), ("Fe", 0.5, 0.5, 0.5)))
+    return rounded(hkl.rings(table_).select("ring_id", "ds", "tth", "mult"), ("ds", "tth"))
+
+
+CERIA = [("Ce", x, y, z) for x, y, z in ((0, 0, 0), (0, 0.5, 0.5), (0.5, 0, 0.5), (0.5, 0.5, 0))] + [("O", x, y, z) for x in (0.25, 0.75) for y in (0.25, 0.75) for z in (0.25, 0.75)]
+
+
+def _form(e: str) -> str:
+    *ab, c = hkl.FORM_FACTORS[e]
+    return " + ".join(f"{a!r} * exp(-({b!r}) * ds * ds / 4)" for a, b in zip(ab[:4], ab[4:], strict=True)) + f" + {c!r}"
+
+
+@query(f"""WITH q AS (SELECT h, k, l, sqrt(h*h + k*k + l*l) / {CEO2!r} AS ds FROM {_hkl(5, 5)} WHERE abs(h % 2) = abs(k % 2) AND abs(k % 2) = abs(l % 2)),
+f AS (SELECT *, {_form('Ce')} AS ce, {_form('O')} AS o FROM q WHERE ds > 0 AND ds < 1.0)
+SELECT h, k, l, {sr('CASE WHEN abs(h % 2) = 1 THEN 16 * ce * ce WHEN (h + k + l) % 4 = 0 THEN (4 * ce + 8 * o) * (4 * ce + 8 * o) ELSE (4 * ce - 8 * o) * (4 * ce - 8 * o) END', 4)} AS intensity FROM f""")
+def ceria_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure factors of CeO2; the SQL by the rules of the fluorite structure."""
+    got = hkl.intensity(hkl.make_hkls(cell(spark, "CeO2", CEO2, CEO2, CEO2, 90, 90, 90), 1.0, 0.3), atoms(spark, "CeO2", *CERIA))
+    return got.where(F.col("intensity") > hkl.LEAST_INTENSITY).select("h", "k", "l", r(F.col("intensity"), 4).alias("intensity"))
+
+
+def cubic_ops(spark: SparkSession, name: str) -> DataFrame:
+    rows = []
+    for p in permutations(range(3)):
+        for s in product((1.0, -1.0), repeat=3):
+            rows.append((name, tuple(s[i] * (p[i] == j) for i in range(3) for j in range(3))))
+    return spark.createDataFrame(rows, "structure_id string, rot struct<" + ",".join(f"{n}:double" for n in la.NAMES) + ">")
+
+
+@query(f"SELECT h, k, l, {sr(f'sqrt(h*h + k*k + l*l) / {FE!r}')} AS ds FROM {_hkl(4, 4)} WHERE h >= k AND k >= l AND l >= 0 AND h > 0 AND sqrt(h*h + k*k + l*l) / {FE!r} < 1.5")
+def unique_hkls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One reflection of each orbit of the cubic group."""
+    return hkl.remove_equivalents(hkl.make_hkls(cell(spark, "Fe", FE, FE, FE, 90, 90, 90), 1.5, 0.3), cubic_ops(spark, "Fe")).select("h", "k", "l", r(F.col("ds")).alias("ds"))
+
+
+@query("""WITH v AS (SELECT DISTINCT p_size, CAST(p_retailprice AS DOUBLE) AS x FROM part), g AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY p_size ORDER BY x) > 2.5 THEN 1 ELSE 0 END AS n FROM v)
+SELECT p_size, x, CAST(sum(n) OVER (PARTITION BY p_size ORDER BY x ROWS UNBOUNDED PRECEDING) AS BIGINT) AS group_id FROM g""")
+def linked_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-linkage groups of prices within each size."""
+    v = table(spark, sf_dir, "part").select("p_size", F.col("p_retailprice").cast("double").alias("x")).distinct()
+    return hkl.groupby_isclose(v, "x", 2.5, key="p_size", out="group_id")
+
+
+# Ewald condition and forward model
+_OMEGA_CORE = """SELECT *, a*a + b*b AS r2, sqrt(greatest(a*a + b*b, 1e-7)) AS rr FROM ({0})"""
+
+
+def _omega_sql(source: str) -> str:
+    """source has a, b, d, eta."""
+    return f"""SELECT *, degrees(atan2(sin(w), cos(w))) AS omega, abs(d / rr) <= 1 AND r2 >= 1e-7 AS valid FROM (SELECT *, eta * asin(least(greatest(d / rr, -1 + 1e-6), 1 - 1e-6)) - atan2(a / rr, b / rr) - (1 - eta) * pi() / 2 AS w FROM ({_OMEGA_CORE.format(source)}))"""
+
+
+_PART_Q = "SELECT p_partkey, CAST(p_partkey % 5 - 2 AS DOUBLE) / 4 AS qx, CAST(p_partkey % 7 - 3 AS DOUBLE) / 4 AS qy, CAST(p_size % 9 - 4 AS DOUBLE) / 4 AS qz FROM part"
+
+
+@query(f"""SELECT p_partkey, eta AS etasign, {sr('omega')} AS omega, valid FROM ({_omega_sql(f"SELECT *, qx / 0.3 AS a, -qy / 0.3 AS b, -(qx*qx + qy*qy + qz*qz) / 2 AS d FROM ({_PART_Q}), (VALUES (1.0), (-1.0)) t(eta)")}) WHERE valid""")
+def omega_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    df = table(spark, sf_dir, "part").select("p_partkey", la.vector((k % 5 - 2).cast("double") / 4, (k % 7 - 3).cast("double") / 4, (F.col("p_size") % 9 - 4).cast("double") / 4).alias("q"))
+    df = df.withColumn("etasign", F.explode(F.array(F.lit(1.0), F.lit(-1.0)))).withColumn("s", diffract.omega_solns(F.col("q"), F.col("etasign"), la.vector(1 / 0.3, 0, 0)))
+    return df.where("s.valid").select("p_partkey", "etasign", r(F.col("s.omega")).alias("omega"), F.col("s.valid").alias("valid"))
+
+
+_GRAINS = "SELECT s_suppkey, CAST(s_suppkey * 7 AS DOUBLE) AS gz, CAST(s_suppkey * 3 AS DOUBLE) AS gx, CAST(s_suppkey % 21 - 10 AS DOUBLE) * 10 AS ox, CAST(s_suppkey % 17 - 8 AS DOUBLE) * 10 AS oy, CAST(s_suppkey % 13 - 6 AS DOUBLE) * 5 AS oz FROM supplier"
+_FEW = ", ".join(f"({a}, {b}, {c})" for a, b, c in FEW_HKLS)
+
+
+def forward_rows(s: Setup) -> str:
+    return f"SELECT *, {s.wavelength!r} AS lam, {s.ky!r} AS ky, {s.kz!r} AS kz FROM ({_GRAINS}), (VALUES {_FEW}) h(h, k, l), (VALUES (1.0), (-1.0)) e(eta)"
+
+
+def forward_sql(s: Setup, rows: str, scan_mode: bool) -> str:
+    """All of a row's columns with sc, fc, omega, dty and valid; the ray meets the plane by its distance along it."""
+    w, d = _tilt(s), s.detector
+    m = _trans(d)
+    e1, e2 = ([row[i] for row in m] for i in (0, 1))
+    at0 = [-d.z_center * a - d.y_center * b + (d.distance if i == 0 else 0) for i, (a, b) in enumerate(zip(e1, e2, strict=True))]
+    n = [e1[1] * e2[2] - e1[2] * e2[1], e1[2] * e2[0] - e1[0] * e2[2], e1[0] * e2[1] - e1[1] * e2[0]]
+    g11, g12, g22 = sum(a * a for a in e1), sum(a * b for a, b in zip(e1, e2, strict=True)), sum(b * b for b in e2)
+    det = g11 * g22 - g12 * g12
+    dual = [[(g22 * a - g12 * b) / det for a, b in zip(e1, e2, strict=True)], [(g11 * b - g12 * a) / det for a, b in zip(e1, e2, strict=True)]]
+    ks = _times(w, ("bx", "by_", "bz"), by_columns=True)
+    spun = lambda x, y, z: _times(w, (f"(cos(radians(omega)) * {x} - sin(radians(omega)) * {y})", f"(sin(radians(omega)) * {x} + cos(radians(omega)) * {y})", z))
+    q, o = spun("qx", "qy", "qz"), spun("ox", "oy", "oz")
+    return f"""WITH a0 AS ({rows}),
+a1 AS (SELECT *, (cos(radians(gz)) * h - sin(radians(gz)) * (cos(radians(gx)) * k - sin(radians(gx)) * l)) / {FE!r} AS qx, (sin(radians(gz)) * h + cos(radians(gz)) * (cos(radians(gx)) * k - sin(radians(gx)) * l)) / {FE!r} AS qy, (sin(radians(gx)) * k + cos(radians(gx)) * l) / {FE!r} AS qz, 1 / (lam * sqrt(1 + ky*ky + kz*kz)) AS bx FROM a0),
+a2 AS (SELECT *, bx * ky AS by_, bx * kz AS bz FROM a1),
+a3 AS (SELECT *, {ks[0]} AS kx_, {ks[1]} AS ky_, {ks[2]} AS kz_ FROM a2),
+a4 AS ({_omega_sql("SELECT *, kx_ * qx + ky_ * qy AS a, ky_ * qx - kx_ * qy AS b, -(qx*qx + qy*qy + qz*qz) / 2 - kz_ * qz AS d FROM a3")}),
+a5 AS (SELECT *, bx + {q[0]} AS vx, by_ + {q[1]} AS vy, bz + {q[2]} AS vz, {o[0]} AS px, {o[1]} AS py, {o[2]} AS pz FROM a4),
+a6 AS (SELECT *, {"ky * px - py + " + repr(s.y0) if scan_mode else "0.0"} AS dty FROM a5),
+a7 AS (SELECT *, {f"py + dty - {s.y0!r}" if scan_mode else "py"} AS py2 FROM a6),
+a8 AS (SELECT *, (({n[0]!r}) * (({at0[0]!r}) - px) + ({n[1]!r}) * (({at0[1]!r}) - py2) + ({n[2]!r}) * (({at0[2]!r}) - pz)) / (({n[0]!r}) * vx + ({n[1]!r}) * vy + ({n[2]!r}) * vz) AS t FROM a7),
+a9 AS (SELECT *, px + t * vx - ({at0[0]!r}) AS ex, py2 + t * vy - ({at0[1]!r}) AS ey, pz + t * vz - ({at0[2]!r}) AS ez FROM a8)
+SELECT *, {_times(dual, ("ex", "ey", "ez"))[0]} AS sc, {_times(dual, ("ex", "ey", "ez"))[1]} AS fc FROM a9"""
+
+
+def grains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grain a supplier: an iron crystal turned by the key."""
+    k = F.col("s_suppkey")
+    turned = la.mat_mul(la.rot_z_((k * 7).cast("double")), la.rot_x_((k * 3).cast("double")))
+    ubi = la.mat_struct(tuple(tuple(FE * c for c in row) for row in la.transpose(turned)))
+    origin = la.vector((k % 21 - 10).cast("double") * 10, (k % 17 - 8).cast("double") * 10, (k % 13 - 6).cast("double") * 5)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", ubi.alias("ubi"), origin.alias("origin"))
+
+
+def few_hkls(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(FEW_HKLS, "h bigint, k bigint, l bigint")
+
+
+_KEYS = "s_suppkey, CAST(h AS BIGINT) AS h, CAST(k AS BIGINT) AS k, CAST(l AS BIGINT) AS l, CAST(eta AS DOUBLE) AS etasign"
+
+
+@query(f"SELECT {_KEYS}, {sr('sc', 4)} AS sc, {sr('fc', 4)} AS fc, {sr('omega')} AS omega FROM ({forward_sql(GENERAL, forward_rows(GENERAL), False)}) WHERE valid")
+def forward_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = forward.get_centroid_box_all(grains(spark, sf_dir), few_hkls(spark), GENERAL).where("valid")
+    return df.select("s_suppkey", "h", "k", "l", "etasign", r(F.col("sc"), 4).alias("sc"), r(F.col("fc"), 4).alias("fc"), r(F.col("omega")).alias("omega"))
+
+
+@query(f"SELECT {_KEYS}, {sr('sc', 4)} AS sc, {sr('fc', 4)} AS fc, {sr('omega')} AS omega, {sr('dty')} AS dty FROM ({forward_sql(GENERAL, forward_rows(GENERAL), True)}) WHERE valid")
+def forward_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = forward.get_centroid_scan_all(grains(spark, sf_dir), few_hkls(spark), GENERAL).where("valid")
+    return df.select("s_suppkey", "h", "k", "l", "etasign", r(F.col("sc"), 4).alias("sc"), r(F.col("fc"), 4).alias("fc"), r(F.col("omega")).alias("omega"), r(F.col("dty")).alias("dty"))
+
+
+_STEPS = {"ox": 1.0, "oy": 1.0, "oz": 1.0, "lam": 1e-6, "ky": 1e-6, "kz": 1e-6}
+COV_DIGITS = 3
+
+
+def _cov_sql(s: Setup, scan_mode: bool) -> str:
+    """Central differences of the forward model by each input, summed with the inputs' variances."""
+    names = ["sc", "fc", "omega"] + ["dty"] * scan_mode
+    values = ", ".join(f"({i}, {sign}.0)" for i in range(6) for sign in (1, -1))
+    moved = ", ".join(f"{c} + CASE WHEN i = {i} THEN sgn * {h!r} ELSE 0 END AS {c}" for i, (c, h) in enumerate(_STEPS.items()))
+    rows = f"SELECT s_suppkey, gz, gx, h, k, l, eta, i, sgn, {moved} FROM ({forward_rows(s)}), (VALUES {values}) st(i, sgn)"
+    variance = [s.sigma[n] ** 2 for n in forward.INPUTS]
+    slopes = ", ".join(f"sum(sgn * {n}) / 2 AS j_{n}" for n in names)
+    weight = " ".join(f"WHEN {i} THEN {v / h / h!r}" for i, (v, h) in enumerate(zip(variance, _STEPS.values(), strict=True)))
+    sums = ", ".join(f"{sr(f'sum(j_{a} * j_{b} * (CASE i {weight} END))', COV_DIGITS)} AS cov_{a}_{b}" for x, a in enumerate(names) for b in names[x:])
+    steep = "min(abs(d / rr)) AS lo, max(abs(d / rr)) AS hi, bool_and(valid) AS ok"
+    return f"""WITH f AS ({forward_sql(s, rows, scan_mode)}), j AS (SELECT s_suppkey, h, k, l, eta, i, {slopes}, {steep} FROM f GROUP BY s_suppkey, h, k, l, eta, i)
+SELECT {_KEYS}, {sums} FROM j GROUP BY s_suppkey, h, k, l, eta HAVING bool_and(ok) AND max(hi) < 0.7"""
+
+
+def _flat(df: DataFrame, names: list[str]) -> DataFrame:
+    """Rows away from tangency, where central differences serve."""
+    return df.select("s_suppkey", "h", "k", "l", "etasign", *(r(F.col(n), COV_DIGITS).alias(n) for n in names))
+
+
+def _steep(df: DataFrame, setup: Setup) -> DataFrame:
+    s = forward.hkl_to_k_omega(df, setup).df
+    return s.where("valid and abs(quot) < 0.7").select(*df.columns)
+
+
+@query(_cov_sql(GENERAL, False))
+def cov_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _steep(forward.all_pairs(grains(spark, sf_dir), few_hkls(spark)), GENERAL)
+    return _flat(forward.propagate_cov_box(df, GENERAL), [f"cov_{a}" for a in ("sc_sc", "sc_fc", "sc_omega", "fc_fc", "fc_omega", "omega_omega")])
+
+
+@query(_cov_sql(GENERAL, True))
+def cov_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _steep(forward.all_pairs(grains(spark, sf_dir), few_hkls(spark)), GENERAL)
+    names = ("sc", "fc", "omega", "dty")
+    return _flat(forward.propagate_cov_scan(df, GENERAL), [f"cov_{a}_{b}" for i, a in enumerate(names) for b in names[i:]])
+
+
+# frames, grids, pixels
+@query(f"""WITH f AS (SELECT event_id, CAST(event_id * 7 % 3600 AS DOUBLE) / 10 - 180 AS fo, CAST(value AS DOUBLE) AS fd FROM events), p AS (SELECT o_orderkey, CAST(o_orderkey * 13 % 36000 AS DOUBLE) / 100 - 180 AS po, CAST(o_totalprice AS DOUBLE) / 1000 AS pd FROM orders)
+SELECT event_id, o_orderkey FROM f, p WHERE abs(fo - po) <= {ACTIVE[0]} AND abs(fd - pd) <= {ACTIVE[1]}""")
+def active_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucketed band join of frames and peaks."""
+    f = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 7 % 3600).cast("double").alias("fo"), F.col("value").cast("double").alias("frame_dty")).withColumn("frame_omega", F.col("fo") / 10 - 180)
+    p = table(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_orderkey") * 13 % 36000).cast("double") / 100 - 180).alias("omega"), (F.col("o_totalprice").cast("double") / 1000).alias("dty"))
+    return bandjoin.get_active_peak_indices(f, p, *ACTIVE).select("event_id", "o_orderkey")
+
+
+@query(f"""WITH n AS (SELECT CAST(ceil(max(abs(n_nationkey * 0.5 - 3 - {Y0})) / {STEP}) AS INT) AS n FROM nation), s AS (SELECT CAST(unnest(generate_series(-n, n, {GRIDSTEP})) AS INT) AS s FROM n)
+SELECT a.s AS si, b.s AS sj, a.s + {SHAPE[0] // 2} AS ri, b.s + {SHAPE[1] // 2} AS rj, {sr(f'a.s * CAST({YSTEP} AS DOUBLE)')} AS x, {sr(f'-b.s * CAST({YSTEP} AS DOUBLE)')} AS y, true AS same FROM s a, s b""")
+def step_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan grid, its recon indices and back, and sample places."""
+    y = table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 0.5 - 3).cast("double").alias("y"))
+    g = scan.step_grid_from_ybincens(y, STEP, GRIDSTEP, Y0)
+    g = g.withColumn("rc", geometry.step_to_recon(F.col("si"), F.col("sj"), *SHAPE)).withColumn("st", geometry.recon_to_step(F.col("rc.ri"), F.col("rc.rj"), *SHAPE)).withColumn("xy", geometry.step_to_sample(F.col("si"), F.col("sj"), YSTEP))
+    return g.select("si", "sj", "rc.ri", "rc.rj", r(F.col("xy.x")).alias("x"), r(F.col("xy.y")).alias("y"), ((F.col("st.si") == F.col("si")) & (F.col("st.sj") == F.col("sj"))).alias("same"))
+
+
+def _axis_sql(a: splat.Axis) -> str:
+    start = f"greatest(0, least({a.n - a.window}, (SELECT arg_min(i, (abs({a.start!r} + i * {a.step!r} - {a.name}), i)) FROM (SELECT unnest(generate_series(0, {a.n - 1})) AS i)) - {a.window // 2}))"
+    lo = f"({a.start!r} + (f + w) * {a.step!r} - {a.step / 2!r})"
+    x = f"({lo} + j * {a.step / 200!r} - {a.name})"
+    return f"""{a.name}_f AS (SELECT id, {a.name}, s_{a.name}, {start} AS f FROM p),
+{a.name}_m AS (SELECT id, f + w AS i_{a.name}, sum((CASE WHEN j = 0 OR j = 200 THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END) * exp(-{x} * {x} / (2 * s_{a.name} * s_{a.name}))) * {a.step / 600!r} / (s_{a.name} * sqrt(2 * pi())) AS m_{a.name} FROM {a.name}_f, (SELECT unnest(generate_series(0, {a.window - 1})) AS w), (SELECT unnest(generate_series(0, 200)) AS j) GROUP BY id, f + w, s_{a.name})"""
+
+
+@query(f"""WITH p AS (SELECT s_suppkey AS id, CAST(s_suppkey * 37 % 600 AS DOUBLE) / 10.3 AS sc, CAST(s_suppkey * 53 % 500 AS DOUBLE) / 10.7 AS fc, CAST(s_suppkey * 11 % 200 AS DOUBLE) / 103 - 0.97 AS omega, 0.8 AS s_sc, 0.6 AS s_fc, 0.03 AS s_omega FROM supplier),
+{", ".join(map(_axis_sql, AXES))}
+SELECT CAST(i_sc AS INT) AS i_sc, CAST(i_fc AS INT) AS i_fc, CAST(i_omega AS INT) AS i_omega, {sr('sum(m_sc * m_fc * m_omega)', 7)} AS intensity FROM sc_m JOIN fc_m USING (id) JOIN omega_m USING (id) GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY i_sc, i_fc, i_omega"))
+def splat_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaussian peaks summed on a pixel grid; the SQL integrates by Simpson's rule."""
+    k = F.col("s_suppkey")
+    p = table(spark, sf_dir, "supplier").select(k.alias("id"), ((k * 37 % 600).cast("double") / 10.3).alias("sc"), ((k * 53 % 500).cast("double") / 10.7).alias("fc"), ((k * 11 % 200).cast("double") / 103 - 0.97).alias("omega"), F.lit(0.8**2).alias("var_sc"), F.lit(0.6**2).alias("var_fc"), F.lit(0.03**2).alias("var_omega"))
+    return rounded(splat.image(splat.peaks_to_pixels(p, AXES), AXES), ("intensity",), 7)
+
+
+@query(f"SELECT p_partkey, {sr('sqrt(s*s + 25)')} AS ds, {sr('2 * degrees(asin(s / 1000))')} AS tth, {sr('s / 500')} AS back FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS s FROM part)")
+def sql_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered SQL functions, called from SQL."""
+    sql_functions.register(spark)
+    table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("s")).createOrReplaceTempView("braggline_sizes")
+    return spark.sql("SELECT p_partkey, round(q_to_ds(s, 3, 4), 6) + 0.0D AS ds, round(ds_to_tth(s / 500, 1), 6) + 0.0D AS tth, round(tth_to_ds(ds_to_tth(s / 500, 1), 1), 6) + 0.0D AS back FROM braggline_sizes")
