@@ -19,7 +19,7 @@ from .operators.forward import Detector, Setup
 from .operators.peaks import peaks_to_q as to_q
 from .plans import sql as sql_functions
 
-TILTED = Setup(Detector(1000, 50, 0.2, 900, 65, -0.36, 0.17, 130e3), 0.1, wedge=5, chi=10)
+TILTED = Setup(Detector(1000, 50, -0.36, 900, 65, 0.17, 0.2, 130e3), 0.1, wedge=5, chi=10)
 GENERAL = Setup(
     Detector(1000, 75, 0.01, 1024, 70, -0.02, 0.03, 180e3, 1, 0, 0, -1), 0.3, ky=1e-4, kz=-2e-4, wedge=-3, chi=1, y0=2.5,
     sigma={"ox": 5, "oy": 10, "oz": 2, "wavelength": 1e-5, "ky": 1e-4, "kz": 2e-4},

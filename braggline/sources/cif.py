@@ -125,7 +125,7 @@ _SCHEMA = "structure_id string, a double, b double, c double, alpha double, beta
 
 def read_cif(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(unit_cells, symmetry_ops, atom_sites) of all CIF files at a path; structure_id is the file's name."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
 
     def run(batches):
         for batch in batches:
