@@ -7,11 +7,14 @@ symbols to leave out are enumerated and the rest of the chunk becomes a key: eve
 shares a key. Pairs that share one are first held against a 1-bit signature of all hash functions
 (``radius``), then confirmed by the exact Jaccard similarity of whole sets.
 
-No key's rows are expanded into all their pairs. Equal sets are one node. First, each node is compared with the
-least and the greatest node of each of its keys; confirmed links are joined into components. Second, in keys
-that still hold several components, rows outside the component of the key's least node are compared with the
-rows of other components. A pair left out this way lies within one component already, so components are those
-of all links. Both steps are equi-joins whose skew Spark can split.
+No key's rows are expanded into all their pairs. Equal sets are one node. Shingles that a node shares with no
+other node of a shared key can't be in any intersection, and parities of hashed buckets bound from below what only
+one of two sets holds; nodes and pairs that these bounds rule out are left, which no link can be lost by. First, each node is compared
+with the node of its key that has the greatest part in common with others (in a family of copies, the one least
+edited); confirmed links are joined into components. Second, in keys that still hold several components, rows
+outside the component of the key's hub are compared with the rows of other components. A pair left out this way
+lies within one component already, so components are those of all links. Both steps are equi-joins whose skew
+Spark can split.
 
 Null and empty texts have no shingles and link with nothing. Rows without a key value are returned with a null
 component. Repeated rows are copies of each other: all are returned, under one component. An empty table gives
@@ -42,7 +45,7 @@ class Setting:
     symbols: int = 6
     hashes: int = 128
     #: Of 128 bits; pairs at a similarity of 0.75 differ in 16 on average, with a deviation of 3.7.
-    radius: int = 40
+    radius: int = 36
 
     @property
     def keys(self) -> int:
@@ -50,6 +53,8 @@ class Setting:
 
 
 _BLOCK = 2048
+#: 1024 buckets.
+PARITY_LONGS = 16
 
 
 def minhashes(u: np.ndarray, n: int) -> np.ndarray:
@@ -63,6 +68,13 @@ def minhashes(u: np.ndarray, n: int) -> np.ndarray:
         return least
 
 
+def parities(u: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY_LONGS buckets whether it holds an odd number of a set's hashes. An element in one of two
+    sets only turns one bit, so that bits that differ never outnumber such elements."""
+    odd = np.bincount((mix(u) >> np.uint64(64 - PARITY_LONGS.bit_length() - 5)).astype(np.int64), minlength=64 * PARITY_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def keys_of(least: np.ndarray, s: Setting) -> np.ndarray:
     """(rows, chunks * symbols) keys: each chunk without each of its symbols (one error allowed)."""
     with np.errstate(over="ignore"):
@@ -73,7 +85,7 @@ def keys_of(least: np.ndarray, s: Setting) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, s: Setting, text: str, key: str) -> DataFrame:
-    """(key, n_shingles, f1, f2, s1, s2, keys) per row; the last six are null without shingles."""
+    """(key, n_shingles, f1, f2, s1, s2, keys, parity) per row; all but the first two are null without shingles."""
 
     def run(batches):
         for batch in batches:
@@ -90,15 +102,16 @@ def profiles(docs: DataFrame, s: Setting, text: str, key: str) -> DataFrame:
                 with np.errstate(over="ignore"):
                     prints = np.array([[mix(sets[d]).sum(dtype=np.uint64), mix(sets[d] ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)] for d in full], np.uint64).reshape(len(full), 2).view(np.int64)
                 keys = keys_of(least, s).view(np.int64)
+                parity = np.stack([parities(sets[d]) for d in full]) if len(full) else np.zeros((0, PARITY_LONGS), np.int64)
                 place = np.full(len(n), -1, np.int64)
                 place[full] = np.arange(len(full))
                 take = pa.array(place, mask=place < 0)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(full) * s.keys + 1, s.keys), pa.int32()), pa.array(keys.ravel()))
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel())).take(take) for x in (keys, parity)]
                 columns = [pa.array(np.ascontiguousarray(x)).take(take) for x in (prints[:, 0], prints[:, 1], sketch[:, 0], sketch[:, 1])]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(n)], pa.array(n), *columns, lists.take(take)], names=[key, "n_shingles", "f1", "f2", "s1", "s2", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(n)], pa.array(n), *columns, *lists], names=[key, "n_shingles", "f1", "f2", "s1", "s2", "keys", "parity"])
                 at += len(n)
 
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(run, f"`{key}` long, n_shingles long, f1 long, f2 long, s1 long, s2 long, keys array<long>")
+    return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(run, f"`{key}` long, n_shingles long, f1 long, f2 long, s1 long, s2 long, keys array<long>, parity array<long>")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, s: Setting) -> DataFrame:
@@ -126,8 +139,34 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, s: Setting) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _apart(s: Setting) -> F.Column:
-    return F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2"))) <= s.radius
+def _sole(texts: DataFrame, s: Setting) -> DataFrame:
+    """(id, u): how many of a node's shingles no other of these nodes holds, where there are any."""
+
+    def run(batches):
+        for batch in batches:
+            one, at = plain(batch.column(1)), 0
+            for i, j in slices(one):
+                w = words(one[i:j])
+                h = w.hashes()
+                sets = [shingle_set(h[a:b], s.k).view(np.int64) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(sets)], pa.array(sets, pa.list_(pa.int64()))], names=["id", "hashes"])
+                at += len(sets)
+
+    each = texts.select("id", "text").mapInArrow(run, "id long, hashes array<long>").select("id", F.explode("hashes").alias("h"))
+    sole = each.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    return sole.where("id = last").groupBy("id").agg(F.count("*").alias("u"))
+
+
+def _possible(s: Setting) -> F.Column:
+    """Bounds that every pair of enough similarity meets: what two sets share is in common with others in both,
+    so m bounds the intersection; the parities bound what only one of them holds; and the signatures are near."""
+    least, total = F.least("m", "m2"), F.col("n") + F.col("n2")
+    differ = lambda names: sum((F.bit_count(F.col(f"bits.{c}").bitwiseXOR(F.col(f"bits2.{c}"))) for c in names), F.lit(0))
+    return (
+        (least * (s.numerator + s.denominator) >= total * s.numerator)
+        & (differ(("s1", "s2")) <= s.radius)
+        & (differ(f"p{i}" for i in range(PARITY_LONGS)) * (s.denominator + s.numerator) <= total * (s.denominator - s.numerator))
+    )
 
 
 def near_duplicates(docs: DataFrame, setting: Setting = Setting(), text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -138,39 +177,42 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting(), text: str = "
     classes = with_set.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
     member = written(with_set.select("id", "f1", "f2").distinct().join(classes, ["f1", "f2"]).select("id", "rep", "f1", "f2"), "members")
     reps = with_set.join(member.where("id = rep").select("id", "f1", "f2"), ["id", "f1", "f2"], "left_semi").dropDuplicates(["id"])
-    reps = written(reps.select(F.col("id").alias("rep"), "s1", "s2", "keys"), "nodes")
+    reps = written(reps.select(F.col("id").alias("rep"), F.col("n_shingles").alias("n"), "s1", "s2", "parity", "keys"), "nodes")
 
     keyed = reps.select("rep", F.explode("keys").alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    shared = written(keyed.join(ends, "key").select("key", "rep", "lo", "hi"), "keys")
-    sketch = reps.select("rep", "s1", "s2")
-    other = sketch.select(F.col("rep").alias("b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-
-    hubs = shared.select("rep", F.explode(F.array("lo", "hi")).alias("hub")).where("rep <> hub")
-    first = hubs.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
-    first = written(first.join(sketch.withColumnRenamed("rep", "a"), "a").join(other, "b").where(_apart(s)).select("a", "b"), "pairs")
-
-    # texts that can be needed: of all nodes that share a key, read once
+    ends = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
+    ends = written(ends, "ends")
+    shared = written(keyed.join(ends, "key").select("key", "rep"), "keys")
+    # texts of the nodes that share a key, read once
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     needed = shared.select(F.col("rep").alias("id")).distinct()
     texts = written(source.join(needed, "id", "left_semi").dropDuplicates(["id"]), "texts")
-
+    bits = F.struct("s1", "s2", *(F.col("parity")[i].alias(f"p{i}") for i in range(PARITY_LONGS))).alias("bits")
+    nodes = _sole(texts, s).join(reps.select(F.col("rep").alias("id"), "n", bits), "id", "right").select(F.col("id").alias("rep"), "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("m"), "bits")
+    nodes = nodes.join(needed.withColumnRenamed("id", "rep"), "rep", "left_semi")
+    nodes = written(nodes.where(F.col("m") * s.denominator >= F.col("n") * s.numerator), "nodes")
+
+    # first: each node with the node of its key that has most in common with others
+    shared2 = written(shared.join(nodes, "rep"), "keys")
+    hub = shared2.groupBy("key").agg(F.max(F.struct((F.col("m") / F.col("n")).alias("f"), (-F.col("rep")).alias("r"), "n", "m", "bits")).alias("x"))
+    hub = hub.select("key", (-F.col("x.r")).alias("hub"), F.col("x.n").alias("n2"), F.col("x.m").alias("m2"), F.col("x.bits").alias("bits2"))
+    hub = written(hub, "hubs")
+    first = shared2.join(hub, "key").where("rep <> hub").where(_possible(s)).select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
+    first = written(first, "pairs")
     links = written(_confirmed(first, texts, s), "links")
     label = written(components(links), "labels")
 
-    named = shared.join(label.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left")
-    named = named.withColumn("c", F.coalesce("c", "rep"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max(F.when(F.col("rep") == F.col("lo"), F.col("c"))).alias("of_lo")).where("c0 < c1")
-    left = written(named.join(mixed.select("key", "of_lo"), "key").join(sketch, "rep").select("key", "rep", "c", "of_lo", "s1", "s2"), "mixed")
-    outside = left.where("c <> of_lo").select("key", F.col("rep").alias("b"), F.col("c").alias("d"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    second = left.join(outside, "key").where(F.col("c") != F.col("d")).where(_apart(s))
+    # second: what lies outside the component of its key's hub, with the other components of the key
+    named = shared2.join(hub.select("key", "hub"), "key").join(label.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max(F.when(F.col("rep") == F.col("hub"), F.col("c"))).alias("of_hub")).where("c0 < c1")
+    mixed = written(mixed.select("key", "of_hub"), "mixed")
+    left = written(named.join(mixed, "key").drop("hub"), "mixed")
+    outside = left.where("c <> of_hub").select("key", F.col("rep").alias("b"), F.col("c").alias("d"), F.col("n").alias("n2"), F.col("m").alias("m2"), F.col("bits").alias("bits2"))
+    second = left.join(outside, "key").where(F.col("c") != F.col("d")).where(_possible(s))
     second = second.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = written(_confirmed(second, texts, s), "links")
-    if more.isEmpty():
-        final = label
-    else:
-        final = written(components(links.unionByName(more)), "labels")
-    drop(shared, left, texts)
+    final = label if more.isEmpty() else written(components(links.unionByName(more)), "labels")
+    drop(ends, hub, mixed, shared, shared2, left, texts)
 
     named = member.join(final, member["rep"] == final["node"], "left").select("id", F.coalesce("component", "rep").alias("component_id"))
     named = named.groupBy("id").agg(F.min("component_id").alias("component_id"))

@@ -70,6 +70,7 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
         # large star: every larger neighbour of a node links to the least of the node and its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+        least = written(least, "least")  # a table, so that the join's two sides are plain exchanges whose skew can be split
         large = both.join(least, both["u"] == least["c"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         # small star: a node and its smaller neighbours link to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
