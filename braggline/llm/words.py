@@ -49,7 +49,8 @@ def plain(texts: pa.Array) -> pa.Array:
     """As one array of large strings without nulls."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    return pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = texts.cast(pa.large_string())
+    return pc.fill_null(texts, "") if texts.null_count else texts
 
 
 def offsets_and_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +63,7 @@ def offsets_and_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offs - offs[0], data
 
 
-def slices(texts: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``size`` bytes, one row at least."""
     offs, _ = offsets_and_bytes(texts)
     i, n = 0, len(texts)
