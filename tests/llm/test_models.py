@@ -1,0 +1,122 @@
+"""Embeddings, classifiers and the pipeline."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from braggline.llm import lattice_neighbours, quality, toxicity
+from braggline.llm.sample import fold
+
+from test_text_operators import gibberish
+
+
+def test_e8():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(500, 8)) * 3
+    p = lattice_neighbours.nearest_e8(x) / 2
+    assert ((np.abs(p - np.rint(p)).max(1) < 1e-9) | (np.abs(p - np.floor(p) - 0.5).max(1) < 1e-9)).all() and (p.sum(1) % 2 == 0).all()
+    roots = lattice_neighbours.roots()
+    assert len(roots) == 240 and np.allclose((roots**2).sum(1), 2)
+    near = ((x - p) ** 2).sum(1)
+    assert (near[:, None] <= ((x[:, None] - p[:, None] - roots[None]) ** 2).sum(2) + 1e-9).all()
+
+
+def test_neighbours(spark):
+    r = np.random.default_rng(2)
+    rows = []
+    for _ in range(40):
+        c = r.normal(size=24)
+        for _ in range(r.integers(1, 12)):
+            rows.append((c + r.normal(size=24) * r.choice([0, 0.1, 0.25, 0.4])).tolist())
+    rows += [rows[0], rows[0], [0.0] * 24, [float("nan")] * 24, [1.0] * 3, [1.0] * 3, None, [], [None, 1.0], [2.0 * v for v in rows[5]]]
+    df = spark.createDataFrame([(len(rows) - i, v, "x") for i, v in enumerate(rows)], "vec_id long, embedding array<double>, node string")
+    got = {x.vec_id: x for x in lattice_neighbours.neighbours(df).collect()}
+    good = {len(rows) - i: np.array(v) / np.linalg.norm(v) for i, v in enumerate(rows) if v and None not in v and np.isfinite(v).all() and np.any(v)}
+    links = {i: {j for j in good if j != i and len(good[i]) == len(good[j]) and good[i] @ good[j] >= 0.95} for i in good}
+    found = sum(x.n_links for x in got.values())
+    assert len(got) == len(rows) and found == sum(map(len, links.values())) > 50
+    for i, x in got.items():
+        assert x.n_links == len(links.get(i, ()))
+        seen, todo = {i}, [i]
+        while todo:
+            for j in links.get(todo.pop(), set()) - seen:
+                seen.add(j)
+                todo.append(j)
+        assert x.component_id == min(seen) and x.kept == (min(seen) == i)
+    assert lattice_neighbours.neighbours(df.limit(0)).count() == 0
+
+
+def test_large_cells(spark, monkeypatch):
+    monkeypatch.setattr(lattice_neighbours, "BLOCK", 16)
+    r = np.random.default_rng(3)
+    c = r.normal(size=16)
+    df = spark.createDataFrame([(i, (c + r.normal(size=16) * 0.02).tolist()) for i in range(150)], "vec_id long, embedding array<double>")
+    got = lattice_neighbours.neighbours(df).collect()
+    assert all(x.n_links == 149 and x.component_id == 0 for x in got)
+
+
+def corpus(n=700):
+    """Toxic texts hold some of four words; poor ones are marked by symbols or repeats."""
+    r, rows = random.Random(11), []
+    for i in range(n):
+        w = gibberish(r, r.randint(20, 120)).split()
+        toxic, good = r.random() < 0.2, r.random() < 0.8
+        if toxic:
+            for _ in range(r.randint(2, 5)):
+                w.insert(r.randrange(len(w)), r.choice(("dreadfool", "nitwitty", "scumbagger", "blockhead")))
+        if not good:
+            w = [x + "###" for x in w] if r.random() < 0.5 else [x for x in w[: len(w) // 2] for _ in range(3)]
+        rows.append((i, " ".join(w), "en", f"s{i % 7}", 0, int(good), int(toxic)))
+    return rows
+
+
+def auc(score, label):
+    order = np.argsort(np.argsort(score))
+    y = np.array(label) == 1
+    return (order[y].mean() - (y.sum() - 1) / 2) / (~y).sum()
+
+
+@pytest.mark.parametrize("name", ["toxic", "quality"])
+def test_classifiers(spark, name):
+    rows = corpus()
+    docs = spark.createDataFrame([r[:5] for r in rows] + [(9001, None, "en", "s", 0), (9002, "", "en", "s", 0), (None, "ta ro", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").withColumn("k", F.lit(1)).withColumn("y", F.lit("z"))
+    labels = spark.createDataFrame([(r[0], r[5], r[6]) for r in rows] + [(None, 1, 1), (5000, None, None)], "doc_id long, quality int, toxic int")
+    module = toxicity if name == "toxic" else quality
+    of, held = (4, 2) if name == "toxic" else (5, 0)
+    model = module.fit(docs, labels, fold("doc_id", of) != held)
+    got = {x.doc_id: x for x in module.scored(docs, model, fold("doc_id", of) == held).collect()}
+    test = [r for r in rows if zlib.crc32(str(r[0]).encode()) % of == held]
+    assert all(got[r[0]].held_out == (r in test) for r in rows[:50])
+    assert auc([got[r[0]].score for r in test], [r[6 if name == "toxic" else 5] for r in test]) > 0.97
+    assert 0 <= got[9001].score <= 1 and got[9001].score == got[9002].score and not got[None].held_out
+    assert all(x.predicted == (x.score >= 0.3) for x in got.values())
+    none = module.fit(docs, labels.limit(0), fold("doc_id", of) != held)
+    assert {x.score for x in module.scored(docs, none, fold("doc_id", of) == held).collect()} == {0.0}
+    assert module.scored(docs.limit(0), model, fold("doc_id", of) == held).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    rows = corpus()
+    r = random.Random(12)
+    item = gibberish(r, 30)
+    extra = [(1000, gibberish(r, 60) + " " + item), (1001, rows[1][1]), (1002, gibberish(r, 60) + ' token = "' + "0123456789abcdef" * 2 + '" ' + gibberish(r, 20)), (1003, None), (1003, None), (None, gibberish(r, 50))]
+    docs = spark.createDataFrame([x[:5] for x in rows] + [(i, t, "en", "s", len(t or "")) for i, t in extra], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(x[0], x[5], x[6]) for x in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    step = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, step, str(tmp_path)).write.parquet(f"{tmp_path}/{i}")
+        step = spark.read.parquet(f"{tmp_path}/{i}")
+        assert step.columns == docs.columns
+    kept = {x.doc_id: x for x in step.collect()}
+    toxic, clean = {x[0] for x in rows if x[6]}, {x[0] for x in rows if not x[6]}
+    assert len(toxic & kept.keys()) < 0.1 * len(toxic) and len(clean & kept.keys()) > 0.95 * len(clean)
+    assert 1000 not in kept and 1001 not in kept and 1003 in kept and None in kept
+    assert "[SECRET]" in kept[1002].text and "0123456789abcdef" not in kept[1002].text and kept[1002].n_chars == len(kept[1002].text)
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).collect()
+    assert {x.doc_id for x in pieces} == kept.keys() and all(x.n == x.d for x in pieces)
