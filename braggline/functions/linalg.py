@@ -133,8 +133,9 @@ class Stage:
     the next one, as often as they are used, while it keeps a column that is used twice.
     """
 
-    def __init__(self, df: DataFrame):
-        self.df = df
+    def __init__(self, df: DataFrame, total: bool = False):
+        """total: nulls become NaN, which spares the generated code its null checks."""
+        self.df, self.total = df, total
 
     def put(self, **values: Column | V3 | M3):
         """Add values. Returns what refers to them, in order."""
@@ -149,5 +150,7 @@ class Stage:
             else:
                 columns |= {f"{k}_m{i}{j}": v[i][j] for i in range(3) for j in range(3)}
                 out.append(flat_m3(k))
+        if self.total:
+            columns = {k: c if k == "valid" else F.coalesce(c, F.lit(NAN)) for k, c in columns.items()}
         self.df = self.df.withColumns(columns)
         return out[0] if len(out) == 1 else out

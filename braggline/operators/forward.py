@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import linalg as la
-from ..functions.diffract import LEAST_R2, MARGIN, ewald_amplitude, ewald_omega, ewald_terms, scale_norm_k_
-from ..functions.geometry import find_dty_, lab_to_sample_, raytrace_, sample_to_lab_
-from ..functions.linalg import NAN, V3, Stage, cross, dot, flat_v3, ieee_div, lit, m3, mat_vec, rot_x_, rot_y_, scale, sub, v3
+from ..functions.diffract import LEAST_R2, MARGIN, ewald_amplitude, ewald_omega
+from ..functions.linalg import NAN, V3, Stage, cross, dot, flat_v3, ieee_div, m3, mat_vec, scale, v3
 
 INPUTS = ("ox", "oy", "oz", "wavelength", "ky", "kz")
 
@@ -63,6 +62,33 @@ class Setup:
     #: Standard deviations of origin, wavelength and divergence, for the covariances.
     sigma: dict[str, float] = field(default_factory=dict)
 
+    @property
+    def k(self) -> list[float]:
+        """The beam as given, not scaled."""
+        return [a + b for a, b in zip(self.k0, (0.0, self.ky, self.kz), strict=True)]
+
+    @property
+    def kb(self) -> list[float]:
+        """The beam of length 1 / wavelength."""
+        n = math.sqrt(sum(x * x for x in self.k))
+        return [x / n / self.wavelength for x in self.k]
+
+    @property
+    def tilt(self) -> list[list[float]]:
+        """Wedge about y after chi about x."""
+        w, c = math.radians(self.wedge), math.radians(self.chi)
+        return [[math.cos(w), math.sin(w) * math.sin(c), math.sin(w) * math.cos(c)], [0.0, math.cos(c), -math.sin(c)], [-math.sin(w), math.cos(w) * math.sin(c), math.cos(w) * math.cos(c)]]
+
+    def untilted(self, v: list[float]) -> list[float]:
+        """A constant lab vector in the sample frame, at omega 0."""
+        return [sum(self.tilt[j][i] * v[j] for j in range(3)) for i in range(3)]
+
+    def dk(self) -> list[list[float]]:
+        """Derivatives of the scaled beam by wavelength, ky and kz."""
+        n = math.sqrt(sum(x * x for x in self.k))
+        unit = [x / n for x in self.k]
+        return [[-x / self.wavelength for x in self.kb], *([((i == a) - unit[i] * unit[a]) / (self.wavelength * n) for i in range(3)] for a in (1, 2))]
+
 
 def all_pairs(grains: DataFrame, hkls: DataFrame, signs: tuple[float, ...] = (1.0, -1.0)) -> DataFrame:
     """Every grain with every reflection and sign. The result has that many rows by definition; grains stay
@@ -79,35 +105,72 @@ def _vector(values) -> V3:
     return tuple(F.lit(float(x)) for x in values)
 
 
+def linear(coefficients: list[float], v: V3) -> Column:
+    """Sum of constant multiples; terms of 0 are left out."""
+    terms = [x if c == 1 else x * float(c) for c, x in zip(coefficients, v, strict=True) if c]
+    return sum(terms[1:], terms[0]) if terms else F.lit(0.0)
+
+
+def _constant_cross(a: list[float], v: V3) -> V3:
+    """a cross v for a constant a."""
+    return linear([0, -a[2], a[1]], v), linear([a[2], 0, -a[0]], v), linear([-a[1], a[0], 0], v)
+
+
+def _turn(v: V3) -> V3:
+    """Rotation by omega about z, with its cosine and sine as columns."""
+    return F.col("cw") * v[0] - F.col("sw") * v[1], F.col("sw") * v[0] + F.col("cw") * v[1], v[2]
+
+
+def _tilted(setup: Setup, v: V3) -> V3:
+    return tuple(linear(row, v) for row in setup.tilt)
+
+
 def hkl_to_k_omega(df: DataFrame, setup: Setup) -> Stage:
-    """Adds q (sample), kb (scaled beam), ks (beam in the sample frame), omega, valid, q_lab, k_out and the terms of the
-    Ewald equation."""
-    s = Stage(df)
-    ubi = s.put(ubi_=m3(F.col("ubi")), o_=v3(F.col("origin")))[0]
-    inverse = s.put(ub_=la.inv3(ubi))
-    k = tuple(a + b for a, b in zip(_vector(setup.k0), _vector((0, setup.ky, setup.kz)), strict=True))
-    q, kb = s.put(q=mat_vec(inverse, (F.col("h").cast("double"), F.col("k").cast("double"), F.col("l").cast("double"))), kb=scale_norm_k_(k, F.lit(float(setup.wavelength))))
-    ks = s.put(ks=lab_to_sample_(kb, 0, setup.wedge, setup.chi, 0, 0))
-    terms = s.put(**ewald_terms(q, ks))
-    amplitude = s.put(**ewald_amplitude(*terms))
-    omega, valid = ewald_omega(terms[0], terms[1], *amplitude, F.col("etasign"))
-    s.put(omega=omega, valid=F.coalesce(valid, F.lit(False)))
-    q_lab = s.put(q_lab=sample_to_lab_(q, F.col("omega"), setup.wedge, setup.chi, 0, 0))
-    s.put(k_out=la.add(q_lab, kb))
+    """Adds q (sample), the terms of the Ewald equation, omega, valid, q_lab and k_out. What holds for the whole run,
+    the beam in both frames among it, goes in as literals. Nulls count as NaN: their rows aren't valid."""
+    s = Stage(df, total=True)
+    ubi = s.put(ubi_=m3(F.col("ubi")), o_=v3(F.col("origin")), hkl_=tuple(F.col(c).cast("double") for c in "hkl"))[0]
+    factor = s.put(inverse_det=ieee_div(1.0, la.det3(ubi)))
+    a, b, c = ubi
+    adjugate = la.transpose((cross(b, c), cross(c, a), cross(a, b)))
+    q = s.put(q=scale(mat_vec(adjugate, flat_v3("hkl_")), factor))
+    ks = setup.untilted(setup.kb)
+    alpha, beta, delta = s.put(alpha=linear([ks[0], ks[1], 0], q), beta=linear([ks[1], -ks[0], 0], q), delta=-dot(q, q) / 2 - q[2] * ks[2])
+    amplitude = s.put(**ewald_amplitude(alpha, beta, delta))
+    omega, valid = ewald_omega(alpha, beta, *amplitude, F.col("etasign"))
+    # A filter on "valid" would be pushed below all these stages and repeat their expressions there as one; what depends
+    # on the partition isn't pushed.
+    s.put(omega=omega, valid=F.coalesce(valid, F.lit(False)) & (F.spark_partition_id() >= 0))
+    s.put(cw=F.cos(F.radians(F.col("omega"))), sw=F.sin(F.radians(F.col("omega"))))
+    turned = s.put(q_turned=_turn(q), o_turned=_turn(flat_v3("o_")))
+    q_lab = s.put(q_lab=_tilted(setup, turned[0]), o_still=_tilted(setup, turned[1]))[0]
+    s.put(k_out=tuple(x + k for x, k in zip(q_lab, setup.kb, strict=True)))
     return s
 
 
+def _plane(setup: Setup) -> tuple[list[float], list[float], list[float], list[float]]:
+    """Steps along slow and fast axis, place of pixel (0, 0), and the normal."""
+    a, b, z = setup.detector.basis()
+    s, f = [x - y for x, y in zip(a, z, strict=True)], [x - y for x, y in zip(b, z, strict=True)]
+    return s, f, list(z), [s[1] * f[2] - s[2] * f[1], s[2] * f[0] - s[0] * f[2], s[0] * f[1] - s[1] * f[0]]
+
+
 def _centroid(df: DataFrame, setup: Setup, scan: bool) -> Stage:
     s = hkl_to_k_omega(df, setup)
-    still = s.put(o_still=sample_to_lab_(flat_v3("o_"), F.col("omega"), setup.wedge, setup.chi, 0, 0))
+    still, k_out = flat_v3("o_still"), flat_v3("k_out")
     if scan:
-        k = tuple(lit(a + b) for a, b in zip(setup.k0, (0.0, setup.ky, setup.kz), strict=True))
-        dty = s.put(dty=find_dty_(still, k, setup.y0))
-        at = s.put(o_lab=(still[0], still[1] + (dty - F.lit(float(setup.y0))), still[2]))
+        # as find_dty_for_beam_xy, with the beam's slope as a constant
+        k = setup.k
+        slope = k[1] / k[0] if k[0] else math.copysign(math.inf, k[1]) if k[1] else NAN
+        dty = s.put(dty=still[0] * F.lit(slope) - still[1] + F.lit(float(setup.y0)))
+        at = s.put(o_lab=(still[0], still[1] + dty - F.lit(float(setup.y0)), still[2]))
     else:
-        at = s.put(o_lab=still)
-    sc, fc = raytrace_(flat_v3("k_out"), at, *map(_vector, setup.detector.basis()))
-    s.put(sc=sc, fc=fc)
+        at = still
+    ds, df_, at0, normal = _plane(setup)
+    off = s.put(off=tuple(F.lit(z) - x for z, x in zip(at0, at, strict=True)))
+    down, f_off, off_s = s.put(down=linear(normal, k_out), f_off=_constant_cross(df_, off), off_s=tuple(-x for x in _constant_cross(ds, off)))
+    pixel = lambda v: F.when(down == 0, F.lit(0.0)).otherwise(dot(v, k_out) / down)
+    s.put(sc=pixel(f_off), fc=pixel(off_s))
     return s
 
 
@@ -125,65 +188,59 @@ def _jacobian(s: Stage, setup: Setup, scan: bool) -> dict[str, list[Column]]:
     """Derivatives of sc, fc, omega (degrees) and dty by the six inputs, in closed form. Rows whose scattering vector
     lies along the axis have none (NaN); they are not valid."""
     col = F.col
-    zero = (F.lit(0.0),) * 3
-    k = _vector(a + b for a, b in zip(setup.k0, (0.0, setup.ky, setup.kz), strict=True))
-    length = math.sqrt(sum((a + b) ** 2 for a, b in zip(setup.k0, (0.0, setup.ky, setup.kz), strict=True)))
-    unit = [(a + b) / length for a, b in zip(setup.k0, (0.0, setup.ky, setup.kz), strict=True)]
-    kb, q = flat_v3("kb"), flat_v3("q")
-    grow = lambda axis: _vector([((i == axis) - unit[i] * unit[axis]) / (setup.wavelength * length) for i in range(3)])
-    dk = [zero, zero, zero, scale(kb, F.lit(-1.0 / setup.wavelength)), grow(1), grow(2)]
-    tilt = lambda v: mat_vec(rot_y_(setup.wedge), mat_vec(rot_x_(setup.chi), v))
-    rot = lambda v: sample_to_lab_(v, col("omega"), setup.wedge, setup.chi, 0, 0)
-    # what turning by omega does: z cross the rotated vector, tilted; taken from the untilted vectors
-    w = F.radians(col("omega"))
-    turn = lambda v: (F.cos(w) * v[0] - F.sin(w) * v[1], F.sin(w) * v[0] + F.cos(w) * v[1], v[2])
-    q_turned, o_turned = s.put(q_turned=turn(q), o_turned=turn(flat_v3("o_")))
-    spin_q, spin_o = s.put(spin_q=tilt((-q_turned[1], q_turned[0], F.lit(0.0))), spin_o=tilt((-o_turned[1], o_turned[0], F.lit(0.0))))
-    # omega
+    q, zero, none = flat_v3("q"), F.lit(0.0), [0.0, 0.0, 0.0]
+    dk = [none, none, none, *setup.dk()]
+    # what turning by omega does: z cross the turned vector, tilted
+    spin = lambda v: _tilted(setup, (-v[1], v[0], zero))
+    spin_q, spin_o = s.put(spin_q=spin(flat_v3("q_turned")), spin_o=spin(flat_v3("o_turned")))
+    r, r2, quot = col("r"), col("r2"), col("quot")
+    s.put(slope=F.when(F.abs(quot) < 1 - MARGIN, col("etasign") / F.sqrt(F.greatest(1 - quot * quot, F.lit(1e-300)))).otherwise(zero), clear=F.when(r2 > LEAST_R2, 1 / r).otherwise(zero), inverse_r2=ieee_div(1.0, r2))
     terms = {}
     for p in (3, 4, 5):
-        d = lab_to_sample_(dk[p], 0, setup.wedge, setup.chi, 0, 0)
-        terms |= {f"da{p}": q[0] * d[0] + q[1] * d[1], f"db{p}": -q[1] * d[0] + q[0] * d[1], f"dd{p}": -q[2] * d[2]}
+        d = setup.untilted(dk[p])
+        terms |= {f"da{p}": linear([d[0], d[1], 0], q), f"db{p}": linear([d[1], -d[0], 0], q), f"dd{p}": linear([0, 0, -d[2]], q)}
     s.put(**terms)
-    r, r2, quot = col("r"), col("r2"), col("quot")
     dw = {}
     for p in (3, 4, 5):
         da, db, dd = (col(f"{n}{p}") for n in ("da", "db", "dd"))
-        dr = F.when(r2 > LEAST_R2, (col("alpha") * da + col("beta") * db) / r).otherwise(F.lit(0.0))
-        dquot = dd / r - col("delta") * dr / (r * r)
-        root = F.sqrt(F.greatest(1 - quot * quot, F.lit(1e-300)))
-        darcsin = F.when(F.abs(quot) < 1 - MARGIN, dquot / root).otherwise(F.lit(0.0))
-        dw[f"dw{p}"] = F.when(r2 == 0, F.lit(NAN)).otherwise(col("etasign") * darcsin - (col("beta") * da - col("alpha") * db) / F.when(r2 != 0, r2))
+        dr = (col("alpha") * da + col("beta") * db) * col("clear")
+        dquot = (dd - quot * dr) / r
+        dw[f"dw{p}"] = F.when(r2 == 0, F.lit(NAN)).otherwise(col("slope") * dquot - (col("beta") * da - col("alpha") * db) * col("inverse_r2"))
     s.put(**dw)
-    domega = [F.lit(0.0)] * 3 + [col(f"dw{p}") for p in (3, 4, 5)]
+    domega = [None] * 3 + [col(f"dw{p}") for p in (3, 4, 5)]
     # origin, translation and outgoing beam
     moved = {}
     for p in range(6):
-        own = rot(_vector([i == p for i in range(3)])) if p < 3 else zero
-        moved |= {f"dv{p}": la.add(own, scale(spin_o, domega[p])), f"dko{p}": la.add(scale(spin_q, domega[p]), dk[p])}
+        if p < 3:
+            moved[f"dv{p}"] = _tilted(setup, _turn(tuple(F.lit(float(i == p)) for i in range(3))))
+        else:
+            moved[f"dv{p}"] = scale(spin_o, domega[p])
+            moved[f"dko{p}"] = tuple(x * domega[p] + k for x, k in zip(spin_q, dk[p], strict=True))
     s.put(**moved)
     ddty = []
     if scan:
-        still = flat_v3("o_still")
+        still, k = flat_v3("o_still"), setup.k
+        by = {}
         for p in range(6):
             dv = flat_v3(f"dv{p}")
-            dslope = ieee_div(1.0, k[0]) if p == 4 else F.lit(0.0)
-            ddty.append(dslope * still[0] + ieee_div(k[1], k[0]) * dv[0] - dv[1])
-        s.put(**{f"dt{p}": d for p, d in enumerate(ddty)})
-        ddty = [col(f"dt{p}") for p in range(6)]
+            by[f"dt{p}"] = linear([k[1] / k[0] if k[0] else NAN, -1.0, 0], dv) + (still[0] * (1 / k[0] if k[0] else NAN) if p == 4 else zero)
+        ddty = s.put(**by)
         s.put(**{f"dv{p}": (flat_v3(f"dv{p}")[0], flat_v3(f"dv{p}")[1] + ddty[p], flat_v3(f"dv{p}")[2]) for p in range(6)})
     # detector
-    sc_lab, fc_lab, at0 = map(_vector, setup.detector.basis())
-    ds, df = sub(sc_lab, at0), sub(fc_lab, at0)
-    n, off = s.put(normal=cross(ds, df), off=sub(at0, flat_v3("o_lab")))
-    k_out = flat_v3("k_out")
-    down, f_off, off_s = s.put(down=dot(n, k_out), f_off=cross(df, off), off_s=cross(off, ds))
-    out = {"sc": [], "fc": [], "omega": [d * (180 / math.pi) for d in domega], "dty": ddty}
+    ds, df_, _, normal = _plane(setup)
+    k_out, f_off, off_s = flat_v3("k_out"), flat_v3("f_off"), flat_v3("off_s")
+    # (df x dv).k = dv.(k x df) and (dv x ds).k = dv.(ds x k)
+    k_f, s_k = s.put(k_f=tuple(-x for x in _constant_cross(df_, k_out)), s_k=_constant_cross(ds, k_out), inverse_down=ieee_div(1.0, col("down")))[:2]
+    out = {"sc": [], "fc": [], "omega": [zero if d is None else d * (180 / math.pi) for d in domega], "dty": ddty}
     for p in range(6):
-        dko, dv = flat_v3(f"dko{p}"), flat_v3(f"dv{p}")
-        turn_n = dot(n, dko)
-        out["sc"].append(ieee_div(dot(f_off, dko) - dot(cross(df, dv), k_out) - col("sc") * turn_n, down))
-        out["fc"].append(ieee_div(dot(off_s, dko) - dot(cross(dv, ds), k_out) - col("fc") * turn_n, down))
+        dv = flat_v3(f"dv{p}")
+        sc, fc = -dot(k_f, dv), -dot(s_k, dv)
+        if p >= 3:
+            dko = flat_v3(f"dko{p}")
+            turn_n = linear(normal, dko)
+            sc, fc = sc + dot(f_off, dko) - col("sc") * turn_n, fc + dot(off_s, dko) - col("fc") * turn_n
+        out["sc"].append(sc * col("inverse_down"))
+        out["fc"].append(fc * col("inverse_down"))
     return out
 
 

@@ -334,11 +334,15 @@ SELECT *, {_times(dual, ("ex", "ey", "ez"))[0]} AS sc, {_times(dual, ("ex", "ey"
 
 def grains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grain a supplier: an iron crystal turned by the key."""
-    k = F.col("s_suppkey")
-    turned = la.mat_mul(la.rot_z_((k * 7).cast("double")), la.rot_x_((k * 3).cast("double")))
-    ubi = la.mat_struct(tuple(tuple(FE * c for c in row) for row in la.transpose(turned)))
-    origin = la.vector((k % 21 - 10).cast("double") * 10, (k % 17 - 8).cast("double") * 10, (k % 13 - 6).cast("double") * 5)
-    return table(spark, sf_dir, "supplier").select("s_suppkey", ubi.alias("ubi"), origin.alias("origin"))
+    k = F.coalesce("s_suppkey", F.lit(0))
+    df = table(spark, sf_dir, "supplier").select("s_suppkey", (k * 7).cast("double").alias("gz"), (k * 3).cast("double").alias("gx"), (k % 21 - 10).cast("double").alias("ox"), (k % 17 - 8).cast("double").alias("oy"), (k % 13 - 6).cast("double").alias("oz"))
+    turns = {f"{f.__name__}_{n}": f(F.radians(F.col(f"g{n}"))) for n in "zx" for f in (F.cos, F.sin)}
+    df = df.withColumns(turns)
+    cz, sz, cx, sx = map(F.col, turns)
+    # rows of the transposed Rz Rx
+    turned = ((cz, sz, F.lit(0.0)), (-sz * cx, cz * cx, sx), (sz * sx, -cz * sx, cx))
+    ubi = la.mat_struct(tuple(tuple(FE * c for c in row) for row in turned))
+    return df.select("s_suppkey", ubi.alias("ubi"), la.vector(F.col("ox") * 10, F.col("oy") * 10, F.col("oz") * 5).alias("origin"))
 
 
 def few_hkls(spark: SparkSession) -> DataFrame:
