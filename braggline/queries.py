@@ -197,6 +197,18 @@ def unit_cell_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("p_partkey", r(crystal.metric_to_volume(F.col("g"))).alias("volume"), *(r(F.col(f"rl.{v}")).alias(n) for n, v in names.items()), *(r(F.col(f"bmat.m{i}")).alias(f"b{i}") for i in ("00", "01", "02", "11", "12", "22")))
 
 
+@query(f"""{_CELL_SQL}, h AS (SELECT *, p_partkey % 3 - 1 AS h, p_partkey % 5 - 2 AS k, p_partkey % 7 - 3 AS l FROM v)
+SELECT p_partkey, {sr('b*c*sa/vol*h + a*c/vol*(ca*cb - cg)/sa*k + a*b/vol*(ca*cg - cb)/sa*l')} AS qx, {sr('k/(b*sa) - ca/(c*sa)*l')} AS qy, {sr('l/c')} AS qz,
+{sr('sqrt(greatest(0, (h*b*c*sa)*(h*b*c*sa) + (k*a*c*sb)*(k*a*c*sb) + (l*a*b*sg)*(l*a*b*sg) + 2*h*k*a*b*c*c*(ca*cb - cg) + 2*k*l*a*a*b*c*(cb*cg - ca) + 2*h*l*a*b*b*c*(ca*cg - cb))) / vol')} AS ds FROM h""")
+def crystal_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scattering vectors of the crystal frame by B from the reciprocal metric; d* by the triclinic formula in the SQL."""
+    k, s = F.col("p_partkey"), F.col("p_size") / 10.0
+    df = table(spark, sf_dir, "part").select("p_partkey", crystal.lpars(3 + s, 3.2 + s, 3.5 + s, 85.0 + k % 11, 88.0 + k % 5, 95.0 - k % 7).alias("p"), la.vector((k % 3 - 1).cast("double"), (k % 5 - 2).cast("double"), (k % 7 - 3).cast("double")).alias("hkl"))
+    df = df.withColumn("gr", crystal.mt_to_rmt(crystal.lpars_to_mt(F.col("p")))).withColumn("rl", crystal.rmt_to_rlpars(F.col("gr"))).withColumn("pl", crystal.mt_to_lpars(crystal.rmt_to_mt(F.col("gr"))))
+    df = df.withColumn("bmat", crystal.lpars_rlpars_to_B(F.col("pl"), F.col("rl"))).withColumn("q", crystal.hkl_B_to_q_crystal(F.col("hkl"), F.col("bmat")))
+    return df.select("p_partkey", *(r(F.col(f"q.{c}")).alias(f"q{c}") for c in "xyz"), r(diffract.q_to_ds(F.col("q"))).alias("ds"))
+
+
 @query(f"""WITH e AS (SELECT vec_id, embedding AS v FROM embeddings), m AS (SELECT vec_id, {', '.join(f'CAST(v[{3 * i + j + 1}] AS DOUBLE) + {float(3 * (i == j))} AS u{i}{j}' for i in range(3) for j in range(3))} FROM e),
 l AS (SELECT *, sqrt(u00*u00 + u01*u01 + u02*u02) AS a, sqrt(u10*u10 + u11*u11 + u12*u12) AS b, sqrt(u20*u20 + u21*u21 + u22*u22) AS c, abs(u00*(u11*u22 - u12*u21) - u01*(u10*u22 - u12*u20) + u02*(u10*u21 - u11*u20)) AS vol FROM m)
 SELECT vec_id, {sr('a')} AS a, {sr('b')} AS b, {sr('c')} AS c, {sr('degrees(acos((u10*u20 + u11*u21 + u12*u22)/(b*c)))')} AS alpha, {sr('degrees(acos((u00*u20 + u01*u21 + u02*u22)/(a*c)))')} AS beta, {sr('degrees(acos((u00*u10 + u01*u11 + u02*u12)/(a*b)))')} AS gamma, {sr('vol')} AS volume, 1.0 AS orthogonal,
