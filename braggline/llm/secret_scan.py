@@ -103,9 +103,9 @@ def redact(docs: DataFrame, owner: Column, repository: Column, most_owners: int
     """``docs`` with every span replaced: live-looking values by [SECRET], copied examples by [EXAMPLE]. Touching
     or overlapping spans become one mark, a live one if any part is. Texts without spans stay as they are; ``was`` names a column
     that tells whether a row was changed."""
-    spans = scan(docs, owner, repository, most_owners, text, key).where("size(all_spans) > 0").select(F.col(key).alias("_i"), F.col("th").alias("_h"), "all_spans").dropDuplicates(["_i", "_h"])
+    spans = scan(docs, owner, repository, most_owners, text, key).where("size(all_spans) > 0").select(F.col(key).alias("_key_of_spans"), F.col("th").alias("_hash_of_spans"), F.col("all_spans").alias("_spans_of_text")).dropDuplicates(["_key_of_spans", "_hash_of_spans"])
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    both = docs.withColumn("_th", F.xxhash64(t)).join(spans, F.col(key).cast("long").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_h")), "left")
+    both = docs.withColumn("_hash_of_text", F.xxhash64(t)).join(spans, F.col(key).cast("long").eqNullSafe(F.col("_key_of_spans")) & (F.col("_hash_of_text") == F.col("_hash_of_spans")), "left")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     runs_zero = F.array().cast("array<struct<start:int,end:int,live:boolean>>")
 
@@ -118,11 +118,11 @@ def redact(docs: DataFrame, owner: Column, repository: Column, most_owners: int
     def put(acc: Column, r: Column) -> Column:
         return F.struct(r["end"].alias("at"), F.concat(acc["out"], F.substring(t, acc["at"] + 1, r["start"] - acc["at"]), F.when(r["live"], "[SECRET]").otherwise("[EXAMPLE]")).alias("out"))
 
-    runs = F.aggregate("all_spans", runs_zero, merge)
+    runs = F.aggregate("_spans_of_text", runs_zero, merge)
     clean = F.aggregate(runs, zero, put, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
     if was:
-        both = both.withColumn(was, F.col("all_spans").isNotNull())
-    return both.withColumn(text, F.when(F.col("all_spans").isNotNull(), clean).otherwise(F.col(text))).drop("_th", "_i", "_h", "all_spans")
+        both = both.withColumn(was, F.col("_spans_of_text").isNotNull())
+    return both.withColumn(text, F.when(F.col("_spans_of_text").isNotNull(), clean).otherwise(F.col(text))).drop("_hash_of_text", "_key_of_spans", "_hash_of_spans", "_spans_of_text")
 
 
 def oracle(most_owners: int = 1) -> str:
