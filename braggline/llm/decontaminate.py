@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .worker import cache
 from .words import PUNCTUATION, mix, plain, shingle_set, shingles, slices, words
 
 K, RADIUS, BLOCKS = 5, 15, 4
@@ -192,6 +193,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "d
     for index in _indexes(items, item_text, item_key):
 
         def run(batches, index=index):
+            cache("decontaminate")
             for batch in batches:
                 found = list(index.find(batch.column(1)))
                 rows, first, item, similarity = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [], [])
@@ -208,6 +210,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str
     for index in _indexes(items, item_text, item_key):
 
         def run(batches, index=index):
+            cache("decontaminate")
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 keep[[row for row, *_ in index.find(batch.column(at).cast(pa.large_string()))]] = False

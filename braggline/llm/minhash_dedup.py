@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, drop, written
+from .worker import cache
 from .words import mix, plain, shingle_set, slices, words
 
 
@@ -88,6 +89,7 @@ def profiles(docs: DataFrame, s: Setting, text: str, key: str) -> DataFrame:
     """(key, n_shingles, f1, f2, s1, s2, keys, parity) per row; all but the first two are null without shingles."""
 
     def run(batches):
+        cache("minhash_dedup")
         for batch in batches:
             texts, at = plain(batch.column(1)), 0
             for i, j in slices(texts):

@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
-from .words import KINDS, SAME, plain, slices, words
+from .worker import cache
+from .words import KINDS, SAME, hashes, offsets_and_bytes, plain, slices, words
 
 LENGTH, END_ID = 4096, 2
 #: Texts are cut at blank, tab, line feed and carriage return, and between ASCII letters and ASCII punctuation, where the
@@ -35,11 +36,12 @@ LENGTH, END_ID = 4096, 2
 _CUT = np.zeros(256, bool)
 _CUT[[9, 10, 13, 32]] = True
 #: Words that a worker remembers; beyond, it starts afresh.
-REMEMBERED = 900_000
+REMEMBERED = 1_500_000
 
 
 class WordTokens:
-    """Ids of whole texts by a tokenizer that drops white space, each distinct word being encoded once.
+    """Ids of whole texts by a tokenizer that drops white space, each distinct word being encoded once. Known words
+    are told apart by 64-bit hashes; each then takes some 25 bytes.
 
     Exact for tokenizers whose pieces never span white space, as with ``word_bpe_49k.json``.
     """
@@ -54,15 +56,16 @@ class WordTokens:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.begin, self.length = np.zeros(1 << 20, self.dtype), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        # sorted hashes of the known words and their numbers; ids of word n are flat[begin[n]:begin[n] + length[n]]
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.flat, self.begin, self.length = np.zeros(1 << 20, self.dtype), np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
         self.used = 0
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, h: np.ndarray, new: list[str]) -> None:
         gc.disable()  # many short-lived objects, none of them in cycles
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         gc.enable()
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
         n, more = len(self.known), int(size.sum())
         while self.used + more > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -72,16 +75,26 @@ class WordTokens:
         self.length[n : n + len(new)] = size
         self.flat[self.used : self.used + more] = np.fromiter(chain.from_iterable(ids), self.dtype, more)
         self.used += more
-        self.known.update(zip(new, range(n, n + len(new)), strict=True))
-
-    def _places(self, distinct: list[str]) -> np.ndarray:
-        known = self.known
-        if new := [x for x in distinct if x not in known]:
-            if len(known) + len(new) > REMEMBERED:
+        order = np.argsort(h)
+        at = np.searchsorted(self.known, h[order])
+        self.known, self.number = np.insert(self.known, at, h[order]), np.insert(self.number, at, (n + order).astype(np.int32))
+
+    def _places(self, distinct: pa.Array) -> np.ndarray:
+        """Numbers of distinct words, after learning those that aren't known yet."""
+        offs, data = offsets_and_bytes(distinct)
+        h = hashes(data, offs)
+        missing = self._missing(h)
+        if missing.any():
+            if len(self.known) + int(missing.sum()) > REMEMBERED:
                 self._reset()
-                known, new = self.known, distinct
-            self._learn(new)
-        return np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+                missing[:] = True
+            self._learn(h[missing], distinct.filter(pa.array(missing)).to_pylist())
+        return self.number[np.searchsorted(self.known, h)]
+
+    def _missing(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.ones(len(h), bool)
+        return self.known[np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)] != h
 
     def encode(self, texts: pa.Array) -> Iterator[list[np.ndarray]]:
         """Ids of each text, slice by slice. Texts with special strings are encoded as they are."""
@@ -90,8 +103,8 @@ class WordTokens:
         for i, j in slices(texts, 6 << 20):
             w = words(texts[i:j], _CUT, SAME, KINDS)
             coded = w.strings().dictionary_encode()
-            at = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
-            size = self.length[at]
+            at = self._places(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+            size = self.length[at].astype(np.int64)
             ends = np.concatenate([[0], np.cumsum(size)])
             ids = self.flat[np.repeat(self.begin[at] - ends[:-1], size) + np.arange(ends[-1])]
             bounds = ends[w.first]
@@ -101,13 +114,11 @@ class WordTokens:
             yield out
 
 
-_tokens: dict[str, WordTokens] = {}
-
-
 def word_tokens(path: str) -> WordTokens:
-    if path not in _tokens:
-        _tokens[path] = WordTokens(path)
-    return _tokens[path]
+    held = cache("packing")
+    if path not in held:
+        held[path] = WordTokens(path)
+    return held[path]
 
 
 def tokenised(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", end_id: int = END_ID) -> DataFrame:

@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .worker import cache
 from .words import SAME, offsets_and_bytes, plain, slices, words
 
 #: The public pre-tokenisation pattern of byte-level BPE, and its byte alphabet (printable bytes stand for themselves).
@@ -206,13 +207,11 @@ class PrefixCounter:
         return np.array(sizes, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
 
 
-_counters: dict[str, PrefixCounter] = {}
-
-
 def counter(path: str) -> PrefixCounter:
-    if path not in _counters:
-        _counters[path] = PrefixCounter(path)
-    return _counters[path]
+    held = cache("prefix_tokens")
+    if path not in held:
+        held[path] = PrefixCounter(path)
+    return held[path]
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sample import class_weights, labelled, logistic
+from .worker import cache
 from .words import plain
 
 SAMPLE, LONGEST = 1500, 20_000
@@ -67,15 +68,13 @@ def _compressor(content: bytes):
     return z.ZstdCompressor(dict_data=d, compression_params=setting)
 
 
-_made: dict[bytes, object] = {}
-
-
 def compressor(content: bytes):
-    if content not in _made:
-        if len(_made) > 8:
-            _made.clear()
-        _made[content] = _compressor(content)
-    return _made[content]
+    held = cache("toxicity")
+    if content not in held:
+        if len(held) > 8:
+            held.clear()
+        held[content] = _compressor(content)
+    return held[content]
 
 
 def features(model: Model, texts: Iterable[str]) -> np.ndarray:

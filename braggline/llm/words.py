@@ -89,11 +89,16 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        p, q = _power(len(self.data) + 1)
-        h = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * p[: len(self.data)], out=h[1:])
-        a, b = self.offsets[:-1], self.offsets[1:]
-        return mix((h[b] - h[a]) * q[a] + (b - a).astype(np.uint64))
+        return hashes(self.data, self.offsets)
+
+
+def hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the byte strings that stand one after the other."""
+    p, q = _power(len(data) + 1)
+    h = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=h[1:])
+    a, b = offsets[:-1], offsets[1:]
+    return mix((h[b] - h[a]) * q[a] + (b - a).astype(np.uint64))
 
 
 #: Classes for a further cut: 1 ASCII letters, 2 ASCII punctuation but the apostrophe, 4 all else.
