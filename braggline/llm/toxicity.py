@@ -110,7 +110,7 @@ def telling_words(toxic: list[str], ordinary: list[str], most: int = TOXIC_WORDS
         return []
     best = {w: max((weight[g], g) for g in _pieces(w) & weight.keys()) for w in seen[0] if not weight.keys().isdisjoint(_pieces(w))}
     worth = {w: x * min(1, seen[0][w] / 5) for w, (x, _) in best.items()}
-    least, held, out = 0.2 * max(worth.values()), Counter(), []
+    least, held, out = 0.3 * max(worth.values()), Counter(), []
     for w in sorted(worth, key=lambda w: (-worth[w], w)):
         if worth[w] >= least and held[best[w][1]] < WORDS_A_PIECE:
             held[best[w][1]] += 1
