@@ -34,9 +34,26 @@ PATTERNS = (ASSIGN, "AKIA[A-Z0-9]{14,}", "[0-9a-f]{16,}", f"[A-Za-z0-9+/_=-]{{{M
 ASSIGN_LENGTH = 12
 
 
-def _spans(kind: int, found: Column, values: Column, gaps: Column) -> Column:
-    """Spans from a text's matches and the strings between them: each gap and match moves the place on."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("out"))
+def _width(pairs: Column) -> Column:
+    """Length of the blocks that a text's matches are handled in: the root of their number."""
+    return F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(pairs))).cast("int"))
+
+
+def _blocks(pairs: Column, body) -> Column:
+    """body(block number, its matches) for each block."""
+    count = F.ceil(F.size(pairs) / _width(pairs)).cast("int")
+    return F.when(F.size(pairs) > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda b: body(b, F.slice(pairs, b * _width(pairs) + 1, _width(pairs)))))
+
+
+def _sizes(pairs: Column) -> Column:
+    """Characters that each block moves on."""
+    return _blocks(pairs, lambda b, block: F.aggregate(block, F.lit(0), lambda acc, x: acc + F.length(x["g"]) + F.length(x["m"])))
+
+
+def _spans(kind: int, pairs: Column, sizes: Column) -> Column:
+    """Spans from a text's matches and the strings before them: each gap and match moves the place on. Arrays grow by
+    copies, so that they grow within blocks alone: n matches take some n ** 1.5 steps."""
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["g"])
@@ -44,7 +61,11 @@ def _spans(kind: int, found: Column, values: Column, gaps: Column) -> Column:
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["v"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(F.arrays_zip(found.alias("m"), values.alias("v"), F.slice(gaps, F.lit(1), F.size(found)).alias("g")), zero, step, lambda acc: acc["out"])
+    def spans(b: Column, block: Column) -> Column:
+        before = F.aggregate(F.slice(sizes, F.lit(1), b), F.lit(0), lambda acc, x: acc + x)
+        return F.aggregate(block, F.struct(before.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    return F.coalesce(F.flatten(_blocks(pairs, spans)), none)
 
 
 def candidates(docs: DataFrame, text: str, key: str, owner: Column, repository: Column) -> DataFrame:
@@ -58,7 +79,10 @@ def candidates(docs: DataFrame, text: str, key: str, owner: Column, repository:
         lists += [F.when(has, F.regexp_extract_all("t", F.lit(p), F.lit(0))).otherwise(none).alias(f"m{k}"), F.when(has, F.split("t", p, -1)).otherwise(none).alias(f"g{k}")]
     lists.append(F.when(F.col("t").rlike(ASSIGN), F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2))).otherwise(none).alias("v0"))
     rows = rows.select("id", F.xxhash64("t").alias("th"), "owner", "repository", *lists)
-    spans = [_spans(k, F.col(f"m{k}"), F.col("v0" if k == 0 else f"m{k}"), F.col(f"g{k}")) for k in range(4)]
+    pairs = [F.arrays_zip(F.col(f"m{k}").alias("m"), F.col("v0" if k == 0 else f"m{k}").alias("v"), F.slice(f"g{k}", F.lit(1), F.size(f"m{k}")).alias("g")).alias(f"p{k}") for k in range(4)]
+    rows = rows.select("id", "th", "owner", "repository", *pairs)
+    rows = rows.select("*", *(_sizes(F.col(f"p{k}")).alias(f"s{k}") for k in range(4)))
+    spans = [_spans(k, F.col(f"p{k}"), F.col(f"s{k}")) for k in range(4)]
     rows = rows.select("id", "th", "owner", "repository", F.filter(spans[0], lambda s: F.length(s["value"]) >= ASSIGN_LENGTH).alias("a"), spans[1].alias("b"), spans[2].alias("c"), F.filter(spans[3], lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]")).alias("d"))
     rows = rows.select("id", "th", "owner", "repository", F.array_sort(F.concat("a", "b", "c")).alias("base"), "d")
     added = F.filter("d", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))

@@ -122,6 +122,9 @@ def test_secrets(spark):
         # both strings are held by o1 and by the null owner: neither is owner-specific
         want = sorted(base + [m for m in mixed if t[m[0] : m[2]] not in (owned, shared)])
         assert r.spans == ",".join(f"{names[k]}:{a}:{b}" for a, k, b in want)
+    many = " é".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(3000))
+    row = secret_scan.scan(spark.createDataFrame([(1, many, "o", "l")], "doc_id long, text string, source string, lang string"), F.col("source"), F.col("lang")).first()
+    assert row.n_hex == 3000 and row.base_sha256 == hashlib.sha256(",".join(f"hex:{a}:{b}" for a, _, b in base_spans(many)).encode()).hexdigest()
     only = spark.createDataFrame([(1, f"x {owned} y", "o", "l")], "doc_id long, text string, source string, lang string")
     assert secret_scan.scan(only, F.col("source"), F.col("lang")).first().spans == f"mixed:2:{2 + len(owned)}"
     clean = {r.doc_id: r.text for r in secret_scan.redact(df, F.col("source"), F.col("lang")).collect()}
