@@ -187,7 +187,7 @@ def benchmark_words(t):
     return re.findall(r"[^\x00-\x08\x0e-\x1f\x09-\x0d\x20!-/:-@\[-`{-~]+|[\x00-\x08\x0e-\x1f]+", lower(t))
 
 
-def test_decontaminate(spark):
+def test_decontaminate(spark, monkeypatch):
     r = random.Random(9)
     items = [(i, gibberish(r, n)) for i, n in enumerate((14, 20, 20, 33, 59, 5, 3))] + [(7, None), (8, ""), (9, None)]
     texts = list(ODD)
@@ -221,6 +221,9 @@ def test_decontaminate(spark):
     kept = {x.doc_id for x in decontaminate.clean(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
     assert decontaminate.matches(frame(spark, docs), spark.createDataFrame([], "item_id long, text string")).count() == 0
+    monkeypatch.setattr(decontaminate, "ITEMS_A_PASS", 4)
+    got = {(x.doc_id, x.item_id) for x in decontaminate.matches(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == set(want)
 
 
 def test_licenses(spark):
