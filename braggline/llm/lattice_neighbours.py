@@ -105,36 +105,35 @@ def cells(unit: np.ndarray) -> np.ndarray:
     return out
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in column.to_pylist()])
-
-
 def _unit(m: np.ndarray) -> np.ndarray:
+    m = m.astype(np.float64)
     m = m / np.abs(m).max(axis=1, keepdims=True)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
 def placed(nodes: DataFrame) -> DataFrame:
-    """(node, times, unit, cells): unit vectors and their cells, own and probed, of all tables."""
+    """``nodes`` (node, times, vec) with ``cells``, own and probed, of all tables."""
 
     def run(batches):
         for batch in batches:
-            size = np.array([len(v) for v in batch.column(2)])
+            lists = batch.column(2)
+            size = lists.value_lengths().to_numpy()
             for n in np.unique(size):
                 at = np.flatnonzero(size == n)
                 for i in range(0, len(at), 1024):
-                    take = pa.array(at[i : i + 1024])
-                    part = batch.take(take)
-                    unit = _unit(_matrix(part.column(2)))
-                    all_cells = cells(unit).reshape(len(unit), -1).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(unit), pa.list_(pa.float64())), pa.array(list(all_cells), pa.list_(pa.int64()))], names=["node", "times", "unit", "cells"])
+                    part = batch.take(pa.array(at[i : i + 1024]))
+                    found = cells(_unit(_grid(part.column(2)))).view(np.int64)
+                    ends = pa.array(np.arange(0, found.size + 1, found[0].size), pa.int32())
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, pa.array(found.ravel()))], names=["node", "times", "vec", "cells"])
 
-    return nodes.select("node", "times", "vec").mapInArrow(run, "node long, times long, unit array<double>, cells array<long>")
+    nodes = nodes.select("node", "times", "vec")
+    return nodes.mapInArrow(run, f"node long, times long, vec {dict(nodes.dtypes)['vec']}, cells array<long>")
 
 
-def _grid(column: pa.ChunkedArray) -> np.ndarray | None:
+def _grid(lists: pa.Array | pa.ChunkedArray) -> np.ndarray | None:
     """Rows of one length as a matrix."""
-    lists = column.combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
     size = lists.value_lengths().to_numpy()
     return lists.flatten().to_numpy().reshape(len(size), -1) if (size == size[0]).all() else None
 
@@ -177,7 +176,7 @@ def _counted(ci: np.ndarray, cj: np.ndarray, table: int, cell: int) -> np.ndarra
     first, rows, home = meet.argmax(axis=1), np.arange(len(ci)), np.arange(1 + HALVES) == 0
     x, y = ci[rows, first], cj[rows, first]
     both = (x[:, :, None] == y[:, None, :]) & (home[:, None] | home[None, :])
-    return (first == table) & (np.where(both.any(2), x, np.iinfo(np.int64).max).min(1) == cell)
+    return (first == table) & (np.where(both.any(2), x, np.iinfo(np.int32).max).min(1) == cell)
 
 
 def linked(groups: DataFrame, cosine: float) -> DataFrame:
@@ -188,17 +187,20 @@ def linked(groups: DataFrame, cosine: float) -> DataFrame:
             node = g.column("node").to_numpy()
             if len(node) < 2 or node.min() == node.max():
                 continue
-            table, cell = g.column("slot")[0].as_py(), g.column("cell")[0].as_py()
+            table, cell = g.column("slot")[0].as_py(), g.column("cell")[0].as_py() >> 32
             side, other = g.column("side").to_numpy(), g.column("sides")[0].as_py()
-            if (u := _grid(g.column("unit"))) is None:
+            if (u := _grid(g.column("vec"))) is None:
                 continue
+            u = _unit(u)
             own, times = g.column("own").to_numpy(zero_copy_only=False), g.column("times").to_numpy()
-            c = _grid(g.column("cells")).reshape(len(node), TABLES, 1 + HALVES)
             i, j = np.nonzero(u @ u.T >= cosine)
             ok = (node[i] < node[j]) & (own[i] | own[j])
             if other:  # two blocks: pairs within one belong to that block's own group
                 ok &= side[i] != side[j]
             i, j = i[ok], j[ok]
+            if not len(i):
+                continue
+            c = _grid(g.column("codes")).reshape(len(node), TABLES, 1 + HALVES)
             here = np.concatenate([np.zeros(0, bool), *(_counted(c[i[x : x + CHUNK]], c[j[x : x + CHUNK]], table, cell) for x in range(0, len(i), CHUNK))])
             i, j = i[here], j[here]
             if not len(i):
@@ -214,14 +216,15 @@ def linked(groups: DataFrame, cosine: float) -> DataFrame:
 
 def neighbours(vectors: DataFrame, cosine: float = COSINE, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """One row per row: key, n_links (other vectors linked directly), component_id, kept."""
+    kept_type = "array<float>" if dict(vectors.dtypes)[vector] == "array<float>" else "array<double>"
     vec = F.col(vector).cast("array<double>")
     sound = F.coalesce(F.col(key).isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(vec, lambda x: x != 0), F.lit(False))
     # -0.0 and 0.0 are one value; vectors that are null or broken are kept apart
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.when(sound, F.transform(vec, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))).alias("vec"))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.when(sound, F.transform(vec, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)).cast(kept_type)).alias("vec"))
     rows = written(rows.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.hash("vec")), "vectors")
     good = rows.where("vec is not null")
     classes = written(good.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count("*").alias("times"), F.min_by("vec", "id").alias("vec")), "classes")
-    wide = written(placed(classes), "cells")
+    wide = written(placed(classes).withColumn("codes", F.transform("cells", lambda x: F.shiftright(x, 32).cast("int"))), "cells")
     slot = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TABLES * (1 + HALVES) - 1)), lambda i: F.struct((i / F.lit(1 + HALVES)).cast("int").alias("slot"), (i % F.lit(1 + HALVES) == 0).alias("own"), F.element_at("cells", i + 1).alias("cell"))))
     spots = wide.select("node", slot.alias("s")).groupBy("node", "s.slot", "s.cell").agg(F.max("s.own").alias("own"))
     # cells in which two nodes stand, one of them at home
@@ -232,7 +235,8 @@ def neighbours(vectors: DataFrame, cosine: float = COSINE, vector: str = "embedd
     spots = spots.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node", "slot"), F.col("blocks")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least("mine", b).alias("low"), F.greatest("mine", b).alias("high"))))
     spots = spots.select("node", "slot", "cell", "own", "mine", pair.alias("p")).select("node", "slot", "cell", "own", F.col("mine").alias("side"), (F.col("p.low") != F.col("p.high")).alias("sides"), F.xxhash64("slot", "cell", "p.low", "p.high").alias("g"))
-    groups = spots.join(wide, "node").select("g", "node", "slot", "cell", "own", "side", "sides", "times", "unit", "cells")
+    # half of each cell's number is shipped with the vector, to tell in which table a pair meets first
+    groups = spots.join(wide.select("node", "times", "vec", "codes"), "node").select("g", "node", "slot", "cell", "own", "side", "sides", "times", "vec", "codes")
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = written(linked(groups.repartition(n, "g").sortWithinPartitions("g", "slot", "cell"), cosine), "links")
     label = components(found.where("b is not null"))
