@@ -100,7 +100,7 @@ class WordTokens:
         """Ids of each text, slice by slice. Texts with special strings are encoded as they are."""
         texts = plain(texts)
         slow = pc.match_substring_regex(texts, "|".join(map(re.escape, self.special)) or "$^").to_numpy(zero_copy_only=False)
-        for i, j in slices(texts, 6 << 20):
+        for i, j in slices(texts, 2 << 20):
             w = words(texts[i:j], _CUT, SAME, KINDS)
             coded = w.strings().dictionary_encode()
             at = self._places(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]

@@ -16,11 +16,30 @@ from braggline.llm.queries import repository, table, toxicity_model
 from braggline.llm.shared import written
 
 
+#: Rows of a batch between Spark and its Python workers: documents are long, and stages share the workers' memory.
+ROWS_A_BATCH = 1000
+
+
+def lean(stage):
+    """The stage with smaller Arrow batches, unless the session has another size than Spark's own."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if spark.conf.get(key) == "10000":
+            spark.conf.set(key, str(ROWS_A_BATCH))
+        return stage(spark, docs, sf_dir)
+
+    run.__name__, run.__doc__ = stage.__name__, stage.__doc__
+    return run
+
+
+@lean
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The classifier learns from the labelled rows among the stage's own documents."""
     return toxicity.accepted(docs, toxicity_model(docs, spark, sf_dir))
 
 
+@lean
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group stays, once. Documents without an id link with nothing and stay."""
     kept = minhash_dedup.near_duplicates(docs.where("doc_id is not null").select("doc_id", "text")).where("kept").select("doc_id").distinct()
@@ -28,16 +47,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return once.unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 
+@lean
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@lean
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars follows the new text where a secret was masked."""
     out = secret_scan.redact(docs, F.col("source"), repository(), was="_was")
     return out.withColumn("n_chars", F.when(F.col("_was"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
+@lean
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
