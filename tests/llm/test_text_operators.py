@@ -262,6 +262,23 @@ def test_passages(spark):
     assert passages.repeats(frame(spark, [])).count() == 0
 
 
+def test_passages_of_known_fragments(spark):
+    # halves and overlapping parts of a passage stand in earlier documents, too short to be reported there
+    r = random.Random(5)
+    put = lambda *parts: " ".join(gibberish(r, 50) + " " + " ".join(p) for p in parts) + " " + gibberish(r, 50)
+    rows, wanted = [], set()
+    for t in range(12):
+        p, at = gibberish(r, 66).split(), 10 * t
+        parts = [(p[:33], p[33:]), (p[:36], p[15:51], p[30:])][t % 2]
+        # also within the document that holds the passage
+        rows += [(at + i, put(x)) for i, x in enumerate(parts)] if t % 3 else [(at, put(*parts, p))]
+        rows += [(at + 5, put(p)), (at + 6, put(p))]
+        wanted |= {(at + 6, at + 5 if t % 3 else at)}
+    got = passages.repeats(frame(spark, rows)).collect()
+    assert {(x.doc_id, x.other_doc_id) for x in got if x.n_equal >= 60} >= wanted
+    assert min(x.n_words for x in got) >= 40
+
+
 def test_chains():
     # two collinear runs far apart and a crossing match
     a = np.array([0, 5, 10, 12, 500, 505, 510])
