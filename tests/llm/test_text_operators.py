@@ -279,6 +279,18 @@ def test_passages_of_known_fragments(spark):
     assert min(x.n_words for x in got) >= 40
 
 
+def test_passages_of_many_changes(spark):
+    # 40 words of which one in 9 is changed
+    r = random.Random(6)
+    put = lambda p: " ".join([gibberish(r, 50), *p, gibberish(r, 50)])
+    rows = []
+    for t in range(40):
+        p = gibberish(r, 40).split()
+        rows += [(2 * t, put(p)), (2 * t + 1, put([f"other{i}" if i % 9 == 8 else w for i, w in enumerate(p)]))]
+    got = {(x.doc_id, x.other_doc_id) for x in passages.repeats(frame(spark, rows), least=34).collect()}
+    assert got == {(2 * t + 1, 2 * t) for t in range(40)}
+
+
 def test_chains():
     # two collinear runs far apart and a crossing match
     a = np.array([0, 5, 10, 12, 500, 505, 510])
