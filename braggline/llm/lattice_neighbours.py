@@ -83,14 +83,14 @@ def directions(n: int) -> np.ndarray:
 
 
 def cells(unit: np.ndarray) -> np.ndarray:
-    """(rows, TABLES, 1 + HALVES) cell numbers: the own cell, then the probed ones."""
+    """(rows, TABLES, 1 + HALVES) cell numbers: the own cell, then the probed ones; those of other lengths are others."""
     n = unit.shape[1]
     out = np.zeros((len(unit), TABLES, 1 + HALVES), np.uint64)
     weight = mix(np.arange(1, 8 * HALVES + 2, dtype=np.uint64)) | np.uint64(1)
     with np.errstate(over="ignore"):
         for t in range(TABLES):
             x = unit @ directions(n)[t] / SCALE
-            name, step = np.full(len(unit), np.uint64(t + 1) * weight[-1]), []
+            name, step = np.full(len(unit), np.uint64(t + 1) * weight[-1] + mix(np.array([n], np.uint64))[0]), []
             for h in range(HALVES):
                 part = x[:, 8 * h : 8 * h + 8]
                 point = nearest_e8(part)

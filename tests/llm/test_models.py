@@ -50,6 +50,22 @@ def test_neighbours(spark):
     assert lattice_neighbours.neighbours(df.limit(0)).count() == 0
 
 
+def test_lengths_apart(spark):
+    # families of two lengths in one place of the first table
+    r = np.random.default_rng(8)
+    rows = []
+    for n, at in ((64, 0), (128, 100)):
+        d, rest = lattice_neighbours.directions(n)[0], r.normal(size=n)
+        base = np.linalg.pinv(d.T) @ np.linspace(-0.2, 0.2, 16)  # the same projections for both
+        rest -= d @ (np.linalg.pinv(d) @ rest)
+        m = base + rest * np.sqrt(1 - base @ base) / np.linalg.norm(rest) + r.normal(size=(30, n)) * 0.001
+        rows += [(at + i, v.tolist()) for i, v in enumerate(m)]
+    near = [lattice_neighbours.cells(lattice_neighbours._unit(np.array([v for k, v in rows if k // 100 == f]))) for f in (0, 1)]
+    assert not np.intersect1d(*near).size
+    got = {x.vec_id: x for x in lattice_neighbours.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all((got[k].n_links, got[k].component_id) == (29, k // 100 * 100) for k, _ in rows)
+
+
 def test_large_cells(spark, monkeypatch):
     monkeypatch.setattr(lattice_neighbours, "BLOCK", 16)
     r = np.random.default_rng(3)
