@@ -1,22 +1,25 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, window by window.
 
-Both dictionaries share a stretch of ordinary text. The toxic one ends with the words that set toxic training
-texts apart, the ordinary one with neutral bytes of the same length, so that a window that both know alike
-compresses alike. A window's gain is the length under the ordinary dictionary less that under the toxic one.
-A document's score is a logistic function, calibrated on training texts that didn't shape the dictionaries, of
-how many of its windows gain how much. Whole texts are scored, at two window sizes.
+Each dictionary holds the same stretch of ordinary text, cut from random places of whole training texts, and then
+segments of its own class, as many bytes in either. Segments are chosen as zstandard's dictionary builder does it:
+a segment is worth what its short byte strings are, each counted once, and the best come last, where matches cost
+least. Only the worth differs: a string counts for how much oftener texts of the class hold it than those of the
+other, as strings that both classes hold would be chosen into both. Where one class has fewer such segments, random
+ones of its texts fill the room. A window's gain is its length under the ordinary dictionary less that under the
+toxic one. A document's score is a logistic function, calibrated on training texts that didn't shape the
+dictionaries, of how many of its windows gain how much. Whole texts are scored, at two window sizes.
 
 The model is fitted on the driver from a bounded sample (``SAMPLE`` texts of each label, of at most ``LONGEST``
 characters); only it is shipped. Null texts are empty; an empty text has no gain and gets the calibrated score
-of that. Without any toxic or ordinary sample every score is 0. Repeated rows get equal scores; null ids are not
-held out; an empty table gives no rows; further columns are ignored.
+of that. Very long texts are scored window by window, in memory that follows the text. Without any toxic or
+ordinary sample every score is 0. Repeated rows get equal scores; null ids are not held out; an empty table gives
+no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
-import re
-from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -27,15 +30,17 @@ from pyspark.sql import functions as F
 
 from .sample import class_weights, labelled, logistic
 from .worker import cache
-from .words import plain
+from .words import P, mix, plain
 
 SAMPLE, LONGEST = 1500, 20_000
 THRESHOLD = 0.3
 #: Bytes of a window, and how far it may run on to end at a blank.
 SIZES, SLACK = (48, 96), 40
 GAINS = (2, 3, 4, 5)
-SHARED_BYTES, TOXIC_WORDS, WORDS_A_PIECE = 16_384, 64, 2
-_WORD = re.compile(r"[^\W\d_]+")
+#: Bytes of the shared stretch, of its pieces, of a dictionary's own part, and of a segment.
+SHARED_BYTES, PIECE, OWN_BYTES, SEGMENT = 16_384, 256, 1024, 16
+#: Lengths of the strings that segments are valued by (words and short phrases), the texts that must hold one, and the least log odds.
+STRINGS, LEAST_TEXTS, LEAST_ODDS = (5, 7, 12), 6, 2.0
 
 
 @dataclass(frozen=True)
@@ -90,32 +95,94 @@ def features(model: Model, texts: Iterable[str]) -> np.ndarray:
     return np.array(rows, float).reshape(-1, 2 + len(SIZES) * (2 + len(GAINS)))
 
 
-def _pieces(word: str) -> set[str]:
-    w = f" {word} "
-    return {w[i : i + n] for n in (4, 5, 6, 7) for i in range(len(w) - n + 1)}
+def _codes(text: bytes, n: int) -> np.ndarray:
+    """A number for the string of ``n`` bytes at each place of a text."""
+    b = np.frombuffer(text, np.uint8).astype(np.uint64)
+    out = np.full(max(0, len(b) - n + 1), n, np.uint64)
+    for i in range(n):
+        out = out * P + b[i : i + len(out)]
+    return mix(out)
+
+
+def worth(own: list[bytes], other: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted strings, what they are worth) of those that texts of ``own`` hold far oftener than texts of ``other``."""
+
+    def counted(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(_codes(t, n)) for t in texts)]), return_counts=True)
+
+    found, value = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    for n in STRINGS:
+        x, times = counted(own, n)
+        x, times = x[times >= LEAST_TEXTS], times[times >= LEAST_TEXTS]
+        y, elsewhere = counted(other, n)
+        at = np.minimum(np.searchsorted(y, x), max(0, len(y) - 1))
+        there = np.where(y[at] == x, elsewhere[at], 0) if len(y) else np.zeros(len(x))
+        odds = np.log((times + 0.5) / (len(own) + 1)) - np.log((there + 0.5) / (len(other) + 1))
+        keep = odds >= LEAST_ODDS
+        found.append(x[keep])
+        value.append((odds * np.sqrt(times))[keep])
+    found, value = np.concatenate(found), np.concatenate(value)
+    order = np.argsort(found)
+    return found[order], value[order]
+
+
+def segments(own: list[bytes], other: list[bytes], most: int = OWN_BYTES) -> list[bytes]:
+    """Up to ``most`` bytes of segments of ``own``, least worth first; a string counts in the first segment that has it."""
+    known, value = worth(own, other)
+    if not len(known):
+        return []
+    heap: list[tuple[float, int, int]] = []
+    for i, t in enumerate(own):
+        at_place = np.zeros(len(t))
+        for n in STRINGS:
+            x = _codes(t, n)
+            at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+            at_place[: len(x)] += np.where(known[at] == x, value[at], 0)
+        sums = np.concatenate([[0], np.cumsum(at_place)])
+        starts = np.unique(np.maximum(np.flatnonzero(at_place) - SEGMENT // 4, 0))
+        total = sums[np.minimum(starts + SEGMENT - min(STRINGS) + 1, len(t))] - sums[starts]
+        heap += zip((-total).tolist(), [i] * len(starts), starts.tolist(), strict=True)
+    heapq.heapify(heap)
+    table, used, out, size = dict(zip(known.tolist(), value.tolist(), strict=True)), set(), [], 0
+    while heap and size < most:
+        bound, i, start = heapq.heappop(heap)
+        segment = own[i][start : start + SEGMENT]
+        new = {x for n in STRINGS for x in _codes(segment, n).tolist() if x in table} - used
+        left = -sum(table[x] for x in new)
+        if left < 0 and left > bound + 1e-9 and heap and left > heap[0][0]:
+            heapq.heappush(heap, (left, i, start))
+        elif left < 0:
+            out.append(segment)
+            size += len(segment)
+            used |= new
+    return out[::-1]
+
+
+def _random_pieces(texts: list[bytes], size: int, piece: int, r: np.random.Generator) -> bytes:
+    """``size`` bytes (fewer of little text) from random places of the texts in a random order."""
+    out, held = [], 0
+    order = r.permutation(len(texts))
+    for n in range(4 * (size // piece + 1)):
+        t = texts[order[n % len(order)]]
+        at = int(r.integers(0, max(1, len(t) - piece)))
+        out.append(t[at : at + piece])
+        held += len(out[-1]) + 1
+        if held >= size:
+            break
+    return b" ".join(out)[:size]
 
 
-def telling_words(toxic: list[str], ordinary: list[str], most: int = TOXIC_WORDS) -> list[str]:
-    """Words of toxic texts that hold pieces far commoner there than in ordinary ones, least telling first."""
-    seen = [Counter(w for t in texts for w in set(_WORD.findall(t.lower()))) for texts in (toxic, ordinary)]
-    in_toxic, in_ordinary = Counter(), Counter()
-    for counts, pieces in zip(seen, (in_toxic, in_ordinary), strict=True):
-        for w, n in counts.items():
-            for g in _pieces(w):
-                pieces[g] += n
-    need = max(3, 0.02 * len(toxic))
-    odds = lambda g: math.log((in_toxic[g] + 0.5) / (len(toxic) + 1)) - math.log((in_ordinary[g] + 0.5) / (len(ordinary) + 1))
-    weight = {g: o * math.sqrt(n) for g, n in in_toxic.items() if n >= need and (o := odds(g)) > 2}
-    if not weight:
-        return []
-    best = {w: max((weight[g], g) for g in _pieces(w) & weight.keys()) for w in seen[0] if not weight.keys().isdisjoint(_pieces(w))}
-    worth = {w: x * min(1, seen[0][w] / 5) for w, (x, _) in best.items()}
-    least, held, out = 0.3 * max(worth.values()), Counter(), []
-    for w in sorted(worth, key=lambda w: (-worth[w], w)):
-        if worth[w] >= least and held[best[w][1]] < WORDS_A_PIECE:
-            held[best[w][1]] += 1
-            out.append(w)
-    return out[:most][::-1]
+def dictionaries(toxic: list[str], ordinary: list[str], seed: int = 3) -> tuple[bytes, bytes]:
+    """(ordinary, toxic) dictionaries of the training texts, of equal length."""
+    r = np.random.default_rng(seed)
+    own = [[t.lower().encode() for t in texts] for texts in (ordinary, toxic)]
+    shared = _random_pieces(own[0], SHARED_BYTES, PIECE, r) + b" "
+    parts = [b" ".join(segments(*pair)) for pair in (own, own[::-1])]
+    size = max(map(len, parts))
+    parts = [_random_pieces(texts, size - len(p), SEGMENT, r) + b" " + p for texts, p in zip(own, parts, strict=True)]
+    size = min(map(len, parts))
+    parts = [p[len(p) - size :] for p in parts]
+    return shared + parts[0], shared + parts[1]
 
 
 def train(toxic: list[str], ordinary: list[str], share: float) -> Model | None:
@@ -123,16 +190,7 @@ def train(toxic: list[str], ordinary: list[str], share: float) -> Model | None:
     if len(toxic) < 3 or len(ordinary) < 3:
         return None
     n, m = len(toxic) * 2 // 3, len(ordinary) * 2 // 3
-    tail = " ".join(telling_words(toxic[:n], ordinary[:m])).encode() + b" "
-    shared, size = [], 0
-    for t in ordinary[:m]:
-        part = b" ".join(windows(t, 96)[:4])
-        shared.append(part)
-        if (size := size + len(part)) > SHARED_BYTES:
-            break
-    shared = b" ".join(shared)[:SHARED_BYTES] + b" "
-    neutral = bytes(128 + i * 37 % 31 for i in range(len(tail)))
-    model = Model(shared + neutral, shared + tail, ())
+    model = Model(*dictionaries(toxic[:n], ordinary[:m]), ())
     x = features(model, toxic[n:] + ordinary[m:])
     y = np.concatenate([np.ones(len(toxic) - n), np.zeros(len(ordinary) - m)])
     return Model(model.ordinary, model.toxic, tuple(logistic(x, y, class_weights(y, min(max(share, 0.01), 0.99)))))

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,32 @@ def test_classifiers(spark, name):
     assert module.scored(docs.limit(0), model, fold("doc_id", of) == held).count() == 0
 
 
+def test_dictionaries():
+    # toxic texts share phrases of common words: no word tells them apart
+    r = random.Random(21)
+    common = gibberish(r, 300).split()
+    phrases = [r.sample(common, 4) for _ in range(3)]
+
+    def text(toxic):
+        w = [r.choice(common) for _ in range(r.randint(30, 150))]
+        for _ in range(3):
+            p, at = r.choice(phrases), r.randrange(len(w))
+            w[at:at] = p if toxic else r.sample(p, 4) if r.random() < 0.2 else []
+        return " ".join(w)
+
+    texts = [(i % 3 == 0, text(i % 3 == 0)) for i in range(900)]
+    toxic, ordinary = ([t for y, t in texts[:700] if y == z] for z in (True, False))
+    model = toxicity.train(toxic, ordinary, 0.3)
+    assert len(model.ordinary) == len(model.toxic)
+    own = [t.encode() for t in toxic], [t.encode() for t in ordinary]
+    assert all(any(s in t for t in own[0]) for s in toxicity.segments(*own)) and all(any(s in t for t in own[1]) for s in toxicity.segments(*own[::-1]))
+    long = " ".join(t for _, t in texts[:700]) * 20
+    score = toxicity.score(model, pa.array([*(t for _, t in texts[700:]), long, None, ""]))
+    assert auc(score[:-3], [int(y) for y, _ in texts[700:]]) > 0.75
+    assert 0 <= score[-3] <= 1 and score[-2] == score[-1]
+    assert (toxicity.score(None, pa.array(["a"])) == 0).all() and toxicity.train(["a"], ["b"], 0.5) is None
+
+
 def test_pipeline(spark, tmp_path):
     rows = corpus()
     r = random.Random(12)
