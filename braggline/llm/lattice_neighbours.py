@@ -5,14 +5,19 @@ point of a scaled E8 lattice; the pair of points names a cell. A vector stands i
 half, the neighbouring lattice cell next nearest to it. Two vectors meet in a table if the cell of one is the cell
 or a probed cell of the other. Whatever meets is verified by the cosine of the full vectors in double precision.
 
+Vectors don't travel to their cells at first, but sketches of 16 bytes: a further projection onto 16 orthonormal
+directions, rounded. A projection never lengthens the distance of two vectors, so that a pair whose sketches are
+farther apart than vectors of the wanted cosine can be, with the rounding added, is no link. Only vectors that have
+a possible partner in a cell are then sent there whole.
+
 Equal vectors are one node with a multiplicity. A cell of many nodes is cut into blocks of ``BLOCK`` nodes and
 every pair of blocks is a group of its own, so no group exceeds two blocks and no cell is capped. Links are not
 written out as pairs: of the tables in which a pair meets only the first counts it, so groups return sums per node,
 and for the components only links that join what the group hasn't joined yet.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing and are returned with no
-links, under their own id. Vectors of different lengths never meet. Repeated rows count as vectors of their own; null ids are returned with a null component. Empty
-tables give no rows; further columns are ignored.
+links, under their own id. Vectors of different lengths never meet. Repeated rows count as vectors of their own;
+null ids are returned with a null component. Empty tables give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ from .words import mix
 TABLES, HALVES, SCALE = 20, 2, 0.30
 COSINE = 0.95
 BLOCK, CHUNK = 512, 50_000
+#: Values of a sketch, the step that they are rounded to, and how many rows on a row is compared pair by pair.
+SKETCH, STEP, SMALL = 16, 0.5 / 127, 64
 
 
 def nearest_e8(x: np.ndarray) -> np.ndarray:
@@ -53,22 +60,20 @@ def nearest_e8(x: np.ndarray) -> np.ndarray:
     return (2 * np.where(near[:, None], a, b)).astype(np.int64)
 
 
-@lru_cache
-def roots() -> np.ndarray:
-    """The 240 shortest vectors of E8: +-1 at two places, or halves with an even number of minus signs."""
-    out = []
-    for i in range(8):
-        for j in range(i):
-            for a in (1, -1):
-                for b in (1, -1):
-                    v = np.zeros(8)
-                    v[i], v[j] = a, b
-                    out.append(v)
-    for bits in range(256):
-        signs = np.array([-1 if bits >> i & 1 else 1 for i in range(8)])
-        if (signs < 0).sum() % 2 == 0:
-            out.append(signs / 2)
-    return np.array(out)
+def nearest_root(r: np.ndarray) -> np.ndarray:
+    """Of the 240 shortest vectors of E8 the one that points most along each row, doubled to be integers: +-1 at two
+    places, or halves with an even number of minus signs."""
+    size, at = np.abs(r), np.arange(len(r))
+    sign = np.where(r < 0, -1, 1)
+    two = np.argpartition(-size, 1, axis=1)[:, :2]
+    pair = np.zeros(r.shape, np.int64)
+    for k in range(2):
+        pair[at, two[:, k]] = 2 * sign[at, two[:, k]]
+    halves, least = sign.astype(np.int64), size.argmin(axis=1)
+    odd = (r < 0).sum(axis=1) % 2 == 1
+    halves[at[odd], least[odd]] *= -1
+    along = size[at[:, None], two].sum(axis=1) >= size.sum(axis=1) / 2 - np.where(odd, size[at, least], 0)
+    return np.where(along[:, None], pair, halves)
 
 
 @lru_cache(maxsize=4)
@@ -94,8 +99,7 @@ def cells(unit: np.ndarray) -> np.ndarray:
             for h in range(HALVES):
                 part = x[:, 8 * h : 8 * h + 8]
                 point = nearest_e8(part)
-                towards = (part - point / 2) @ roots().T
-                way = (2 * roots()[towards.argmax(axis=1)]).astype(np.int64)
+                way = nearest_root(part - point / 2)
                 w = weight[8 * h : 8 * h + 8]
                 name = name + (point.astype(np.uint64) * w).sum(axis=1, dtype=np.uint64)
                 step.append((way.astype(np.uint64) * w).sum(axis=1, dtype=np.uint64))
@@ -111,8 +115,26 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+@lru_cache(maxsize=4)
+def _sketch_directions(n: int) -> np.ndarray:
+    return np.linalg.qr(np.random.default_rng(12).normal(size=(n, min(n, SKETCH))))[0]
+
+
+def sketches(unit: np.ndarray) -> np.ndarray:
+    """(rows, 2) longs: a projection in steps of ``STEP``; cut off at 127 of them, which lengthens no distance either."""
+    out = np.zeros((len(unit), SKETCH), np.int8)
+    x = unit @ _sketch_directions(unit.shape[1])
+    out[:, : x.shape[1]] = np.clip(np.rint(x / STEP), -127, 127)
+    return out.view(np.int64)
+
+
+def sketch_limit(cosine: float) -> float:
+    """The square of the distance in steps that sketches of a link can't exceed."""
+    return (np.sqrt(max(0.0, 2 - 2 * cosine)) / STEP + np.sqrt(SKETCH)) ** 2 + 1e-6
+
+
 def placed(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (node, times, vec) with ``cells``, own and probed, of all tables."""
+    """``nodes`` (node, times, vec) with ``cells``, own and probed, of all tables, half of each cell's number, and sketches."""
 
     def run(batches):
         for batch in batches:
@@ -122,37 +144,70 @@ def placed(nodes: DataFrame) -> DataFrame:
                 at = np.flatnonzero(size == n)
                 for i in range(0, len(at), 1024):
                     part = batch.take(pa.array(at[i : i + 1024]))
-                    found = cells(_unit(_grid(part.column(2)))).view(np.int64)
+                    unit = _unit(part.column(2).flatten().to_numpy().reshape(-1, n))
+                    found, sketch = cells(unit).view(np.int64), sketches(unit)
                     ends = pa.array(np.arange(0, found.size + 1, found[0].size), pa.int32())
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, pa.array(found.ravel()))], names=["node", "times", "vec", "cells"])
+                    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (found.ravel(), (found.ravel() >> 32).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *lists, pa.array(np.ascontiguousarray(sketch[:, 0])), pa.array(np.ascontiguousarray(sketch[:, 1]))], names=["node", "times", "vec", "cells", "codes", "s1", "s2"])
 
     nodes = nodes.select("node", "times", "vec")
-    return nodes.mapInArrow(run, f"node long, times long, vec {dict(nodes.dtypes)['vec']}, cells array<long>")
+    return nodes.mapInArrow(run, f"node long, times long, vec {dict(nodes.dtypes)['vec']}, cells array<long>, codes array<int>, s1 long, s2 long")
 
 
-def _grid(lists: pa.Array | pa.ChunkedArray) -> np.ndarray | None:
-    """Rows of one length as a matrix."""
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.combine_chunks()
-    size = lists.value_lengths().to_numpy()
-    return lists.flatten().to_numpy().reshape(len(size), -1) if (size == size[0]).all() else None
+def _whole_groups(batches) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows with the ends of their groups, of input sorted by the first two columns that name a group."""
+    held: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+        if not t.num_rows:
+            continue
+        g, cell = (t.column(i).to_numpy() for i in range(2))
+        cut = np.flatnonzero((g[1:] != g[:-1]) | (cell[1:] != cell[:-1])) + 1
+        if len(cut):
+            yield t.slice(0, cut[-1]), np.concatenate([[0], cut])
+            t = t.slice(cut[-1])
+        held = t
+    if held is not None:
+        yield held, np.array([0, held.num_rows])
+
+
+def possible(groups: DataFrame, cosine: float) -> DataFrame:
+    """The rows (g, cell, slot, node, own, side, sides) that have a partner in their group by their sketches."""
+    limit = sketch_limit(cosine)
+
+    def some(ends: np.ndarray, node, own, side, sides, x) -> np.ndarray:
+        out, square = np.zeros(len(node), bool), (x * x).sum(axis=1)
+        of = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+
+        def meets(i, j):
+            return (node[i] != node[j]) & (own[i] | own[j]) & (~sides[i] | (side[i] != side[j]))
+
+        small = (np.diff(ends) <= SMALL)[of]
+        i, d = np.flatnonzero(small), 1
+        while len(i := i[i + d < len(of)]) and len(i := i[of[i] == of[i + d]]):
+            for c in range(0, len(i), CHUNK):
+                a = i[c : c + CHUNK]
+                b = a + d
+                ok = meets(a, b)
+                a, b = a[ok], b[ok]
+                near = ((x[a] - x[b]) ** 2).sum(axis=1) <= limit
+                out[a[near]] = out[b[near]] = True
+            d += 1
+        for n in np.flatnonzero(np.diff(ends) > SMALL):
+            at = np.arange(ends[n], ends[n + 1])
+            near = square[at][:, None] + square[at][None, :] - 2 * (x[at] @ x[at].T) <= limit
+            near &= meets(at[:, None], at[None, :])
+            out[at] = near.any(axis=1)
+        return out
 
+    def run(batches):
+        for t, ends in _whole_groups(batches):
+            node, own, side, sides, s1, s2 = (t.column(c).to_numpy() for c in ("node", "own", "side", "sides", "s1", "s2"))
+            x = np.stack([s1, s2], axis=1).view(np.int8).astype(np.float32)
+            yield from t.drop_columns(["s1", "s2"]).filter(pa.array(some(ends, node, own, side, sides, x))).to_batches()
 
-def _sorted_groups(batches) -> Iterator[pa.Table]:
-    """Rows of one value of the first column at a time, of input that is sorted by it."""
-    held: list[pa.RecordBatch] = []
-    key = None
-    for batch in batches:
-        k = batch.column(0).to_numpy(zero_copy_only=False)
-        cut = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)] if len(k) else [0]
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            if held and k[a] != key:
-                yield pa.Table.from_batches(held)
-                held = []
-            key = k[a]
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
+    return groups.mapInArrow(run, "g long, cell long, slot int, node long, own boolean, side int, sides boolean")
 
 
 def _joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -183,33 +238,32 @@ def linked(groups: DataFrame, cosine: float) -> DataFrame:
     """(a, b, n): b null: n links of node a found in a group; else a link that joins a and b."""
 
     def run(batches):
-        for g in _sorted_groups(batches):
-            node = g.column("node").to_numpy()
-            if len(node) < 2 or node.min() == node.max():
-                continue
-            table, cell = g.column("slot")[0].as_py(), g.column("cell")[0].as_py() >> 32
-            side, other = g.column("side").to_numpy(), g.column("sides")[0].as_py()
-            if (u := _grid(g.column("vec"))) is None:
-                continue
-            u = _unit(u)
-            own, times = g.column("own").to_numpy(zero_copy_only=False), g.column("times").to_numpy()
-            i, j = np.nonzero(u @ u.T >= cosine)
-            ok = (node[i] < node[j]) & (own[i] | own[j])
-            if other:  # two blocks: pairs within one belong to that block's own group
-                ok &= side[i] != side[j]
-            i, j = i[ok], j[ok]
-            if not len(i):
-                continue
-            c = _grid(g.column("codes")).reshape(len(node), TABLES, 1 + HALVES)
-            here = np.concatenate([np.zeros(0, bool), *(_counted(c[i[x : x + CHUNK]], c[j[x : x + CHUNK]], table, cell) for x in range(0, len(i), CHUNK))])
-            i, j = i[here], j[here]
-            if not len(i):
-                continue
-            found = np.bincount(i, times[j], len(node)) + np.bincount(j, times[i], len(node))
-            some = np.flatnonzero(found)
-            keep = _joined(i, j, len(node))
-            i, j = i[keep], j[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[some], node[i]])), pa.array(np.concatenate([np.zeros(len(some), np.int64), node[j]]), mask=np.arange(len(some) + len(i)) < len(some)), pa.array(np.concatenate([found[some].astype(np.int64), np.zeros(len(i), np.int64)]))], names=["a", "b", "n"])
+        for t, ends in _whole_groups(batches):
+            node, cell, slot, own, side, sides, times = (t.column(c).to_numpy() for c in ("node", "cell", "slot", "own", "side", "sides", "times"))
+            vec, codes = (t.column(c).combine_chunks() for c in ("vec", "codes"))
+            for first, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                if end - first < 2:
+                    continue
+                at = slice(first, end)
+                u = _unit(vec[at].flatten().to_numpy().reshape(end - first, -1))
+                i, j = np.nonzero(u @ u.T >= cosine)
+                ok = (node[at][i] < node[at][j]) & (own[at][i] | own[at][j])
+                if sides[first]:  # two blocks: pairs within one belong to that block's own group
+                    ok &= side[at][i] != side[at][j]
+                i, j = i[ok], j[ok]
+                if not len(i):
+                    continue
+                c = codes[at].flatten().to_numpy().reshape(-1, TABLES, 1 + HALVES)
+                here = np.concatenate([_counted(c[i[x : x + CHUNK]], c[j[x : x + CHUNK]], slot[first], cell[first] >> 32) for x in range(0, len(i), CHUNK)])
+                i, j = i[here], j[here]
+                if not len(i):
+                    continue
+                found = np.bincount(i, times[at][j], end - first) + np.bincount(j, times[at][i], end - first)
+                some = np.flatnonzero(found)
+                keep = _joined(i, j, end - first)
+                i, j = i[keep], j[keep]
+                a, b = np.concatenate([node[at][some], node[at][i]]), np.concatenate([np.zeros(len(some), np.int64), node[at][j]])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=np.arange(len(a)) < len(some)), pa.array(np.concatenate([found[some].astype(np.int64), np.zeros(len(i), np.int64)]))], names=["a", "b", "n"])
 
     return groups.mapInArrow(run, "a long, b long, n long")
 
@@ -224,21 +278,24 @@ def neighbours(vectors: DataFrame, cosine: float = COSINE, vector: str = "embedd
     rows = written(rows.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.hash("vec")), "vectors")
     good = rows.where("vec is not null")
     classes = written(good.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count("*").alias("times"), F.min_by("vec", "id").alias("vec")), "classes")
-    wide = written(placed(classes).withColumn("codes", F.transform("cells", lambda x: F.shiftright(x, 32).cast("int"))), "cells")
-    slot = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TABLES * (1 + HALVES) - 1)), lambda i: F.struct((i / F.lit(1 + HALVES)).cast("int").alias("slot"), (i % F.lit(1 + HALVES) == 0).alias("own"), F.element_at("cells", i + 1).alias("cell"))))
-    spots = wide.select("node", slot.alias("s")).groupBy("node", "s.slot", "s.cell").agg(F.max("s.own").alias("own"))
+    wide = written(placed(classes), "cells")
+    # a cell's number tells its table and the vectors' length, and a node's cells of one table are different
+    slot = F.posexplode("cells").alias("i", "cell")
+    spots = wide.select("node", "s1", "s2", slot).select("cell", (F.col("i") / F.lit(1 + HALVES)).cast("int").alias("slot"), "node", (F.col("i") % F.lit(1 + HALVES) == 0).alias("own"), "s1", "s2")
     # cells in which two nodes stand, one of them at home
-    busy = spots.groupBy("slot", "cell").agg(F.count("*").alias("k"), F.max("own").alias("home")).where("k > 1 and home").select("slot", "cell", "k")
-    spots = spots.join(busy, ["slot", "cell"])
+    busy = spots.groupBy("cell").agg(F.count("*").alias("k"), F.max("own").alias("home")).where("k > 1 and home").select("cell", "k")
+    spots = spots.join(written(busy, "busy"), "cell")
     # large cells: nodes are dealt to blocks by hash, and a group is made of every two blocks
     blocks = F.ceil(F.col("k") / F.lit(BLOCK)).cast("int")
     spots = spots.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node", "slot"), F.col("blocks")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least("mine", b).alias("low"), F.greatest("mine", b).alias("high"))))
-    spots = spots.select("node", "slot", "cell", "own", "mine", pair.alias("p")).select("node", "slot", "cell", "own", F.col("mine").alias("side"), (F.col("p.low") != F.col("p.high")).alias("sides"), F.xxhash64("slot", "cell", "p.low", "p.high").alias("g"))
-    # half of each cell's number is shipped with the vector, to tell in which table a pair meets first
-    groups = spots.join(wide.select("node", "times", "vec", "codes"), "node").select("g", "node", "slot", "cell", "own", "side", "sides", "times", "vec", "codes")
+    spots = spots.select("cell", "slot", "node", "own", "s1", "s2", "mine", pair.alias("p"))
+    groups = spots.select(F.xxhash64("cell", "p.low", "p.high").alias("g"), "cell", "slot", "node", "own", F.col("mine").alias("side"), (F.col("p.low") != F.col("p.high")).alias("sides"), "s1", "s2")
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = written(linked(groups.repartition(n, "g").sortWithinPartitions("g", "slot", "cell"), cosine), "links")
+    left = written(possible(groups.repartition(n, "g").sortWithinPartitions("g", "cell"), cosine), "possible")
+    # half of each cell's number goes with the vector, to tell in which table a pair meets first
+    groups = left.join(wide.select("node", "times", "vec", "codes"), "node").select(*left.columns, "times", "vec", "codes")
+    found = written(linked(groups.repartition(n, "g").sortWithinPartitions("g", "cell"), cosine), "links")
     label = components(found.where("b is not null"))
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     named = classes.join(counts, "node", "left").join(label, "node", "left").select("h1", "h2", "node", "times", "n", "component")

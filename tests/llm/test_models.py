@@ -1,5 +1,6 @@
 """Embeddings, classifiers and the pipeline."""
 
+import itertools
 import random
 import zlib
 
@@ -20,8 +21,13 @@ def test_e8():
     x = r.normal(size=(500, 8)) * 3
     p = lattice_neighbours.nearest_e8(x) / 2
     assert ((np.abs(p - np.rint(p)).max(1) < 1e-9) | (np.abs(p - np.floor(p) - 0.5).max(1) < 1e-9)).all() and (p.sum(1) % 2 == 0).all()
-    roots = lattice_neighbours.roots()
+    two = [np.eye(8)[i] * a + np.eye(8)[j] * b for i in range(8) for j in range(i) for a in (1, -1) for b in (1, -1)]
+    halves = [v for v in itertools.product((0.5, -0.5), repeat=8) if sum(x < 0 for x in v) % 2 == 0]
+    roots = np.array([*two, *halves])
     assert len(roots) == 240 and np.allclose((roots**2).sum(1), 2)
+    rest = x - p
+    way = lattice_neighbours.nearest_root(rest) / 2
+    assert (roots[:, None] == way[None]).all(2).any(0).all() and np.allclose((rest * way).sum(1), (rest @ roots.T).max(1))
     near = ((x - p) ** 2).sum(1)
     assert (near[:, None] <= ((x[:, None] - p[:, None] - roots[None]) ** 2).sum(2) + 1e-9).all()
 
@@ -51,6 +57,27 @@ def test_neighbours(spark):
     assert lattice_neighbours.neighbours(df.limit(0)).count() == 0
 
 
+def test_sketches():
+    r = np.random.default_rng(4)
+    for n in (3, 16, 24, 200):
+        u = lattice_neighbours._unit(r.normal(size=(300, n)) + r.normal(size=n) * 3)
+        s = lattice_neighbours.sketches(u).view(np.int8).astype(float)
+        far = ((s[:, None] - s[None]) ** 2).sum(2)
+        for cosine in (0.95, 0.99, 1.0):
+            assert (far <= lattice_neighbours.sketch_limit(cosine))[u @ u.T >= cosine].all()
+
+
+def test_ties(spark):
+    # cosines of 0.95 and just below, exactly representable: (1, 0) and (0.95, y) scaled alike
+    a = [1.0] + [0.0] * 399
+    b = [19.0] + [1.0] * 39 + [0.0] * 360  # norm 20
+    c = [18.9] + [1.0] * 39 + [0.0] * 360
+    df = spark.createDataFrame([(1, a), (2, b), (3, [0.0] * 40 + [1.0] + [0.0] * 359), (4, c)], "vec_id long, embedding array<double>")
+    got = {x.vec_id: x.n_links for x in lattice_neighbours.neighbours(df).collect()}
+    assert (np.array(a) @ np.array(b)) / 20.0 == 0.95 and (np.array(a) @ np.array(c)) / np.linalg.norm(c) < 0.95
+    assert got == {1: 1, 2: 2, 3: 0, 4: 1}
+
+
 def test_lengths_apart(spark):
     # families of two lengths in one place of the first table
     r = np.random.default_rng(8)
