@@ -3,7 +3,8 @@
 Within a piece, the tokens of each prefix end in exactly one token that is compatible with the last token of
 the prefix before it; so ``count[i] = count[i - len(last[i])] + 1`` holds for every byte i and one sweep answers
 all prefixes. Two tokens are compatible if encoding their joined bytes gives the two again. Pieces add up, as
-no merge crosses them. Distinct pieces are swept once per worker while remembered.
+no merge crosses them. Distinct pieces are swept once per worker while remembered; a sweep of a piece is linear in
+its length, and so are all counts of a text, however long its pieces are.
 
 Null texts count as empty (0 tokens); repeated rows are counted as they come, null ids stay null; further
 columns are ignored; an empty table gives no rows.
@@ -25,6 +26,8 @@ from .words import SAME, offsets_and_bytes, plain, slices, words
 
 #: The public pre-tokenisation pattern of byte-level BPE, and its byte alphabet (printable bytes stand for themselves).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+BLANKS = regex.compile(r"\s+")
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 REMEMBERED = 500_000
 #: A rank after all others: the token is whole.
@@ -122,29 +125,54 @@ class PrefixCounter:
             return self.unit(text)
         return len(self.cut.findall(text)) + sum(map(self.unit, self.cut.split(text)))
 
-    def prefix_counts(self, text: str) -> np.ndarray:
-        """``out[i]``: tokens of ``text[:i]`` encoded by itself, for every i from 0 to len(text).
+    def _ordinary_counts(self, text: str) -> np.ndarray:
+        """Token counts of all prefixes of a text whose special strings count as ordinary characters.
 
-        Cutting a text can change how its last pieces are split (runs of blanks, contractions), so pieces that a
-        cut can reach back to are swept anew from the last firm boundary; everything before adds up. Cuts inside
-        a special string leave ordinary text.
+        A cut leaves all pieces before it as they are, but for two cases: white space before a cut is one piece with
+        the white space before it, and a cut contraction falls apart. So each piece, and each run of white space as a
+        piece, is swept once, and a sweep answers every cut inside it.
         """
+        data = np.frombuffer(text.encode(), np.uint8)
+        at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # bytes before each character
+        out, known = np.zeros(len(text) + 1, np.int64), {}
+
+        def swept(first: int, end: int) -> np.ndarray:
+            """Counts at each character's end of a stretch taken as one piece."""
+            piece = text[first:end]
+            if (counts := known.get(piece)) is None:
+                if len(known) > REMEMBERED // 10:
+                    known.clear()
+                counts = known[piece] = np.array(self.sweep(piece.encode()), np.int64)[at[first + 1 : end + 1] - at[first]]
+            return counts
+
+        blanks = [m.span() for m in BLANKS.finditer(text)]
+        total = run = 0
+        for m in PIECES.finditer(text):
+            first, end = m.span()
+            counts = swept(first, end)
+            solid = first
+            if run < len(blanks) and blanks[run][0] <= first:
+                if first == blanks[run][0]:
+                    out[first + 1 : blanks[run][1] + 1] = total + swept(*blanks[run])
+                solid = min(end, blanks[run][1])
+                run += end >= blanks[run][1]
+            out[solid + 1 : end + 1] = total + counts[solid - first :]
+            if m[0] in CONTRACTIONS:
+                for i in range(first + 1, end):
+                    out[i] = total + self.unit(text[first:i])
+            total += int(counts[-1])
+        return out
+
+    def prefix_counts(self, text: str) -> np.ndarray:
+        """``out[i]``: tokens of ``text[:i]`` encoded by itself, for every i from 0 to len(text), in time linear in the
+        text. A cut inside a special string leaves ordinary characters."""
         out = np.zeros(len(text) + 1, np.int64)
         done = base = 0
         specials = [m.span() for m in self.cut.finditer(text)] if self.cut else []
-        for a, b in [*specials, (len(text), len(text))]:
-            # firm boundaries: before white space that follows other text
-            firm = [done, *(m.start() + 1 for m in regex.finditer(r"\S(?=\s)", text[done:b], pos=0))]
-            firm = [firm[0], *(done + x for x in firm[1:] if done + x <= a), b if a < b else a]
-            total = base
-            for x, y in zip(firm[:-1], firm[1:], strict=True):
-                segment = text[x:y]
-                for i in range(1, len(segment) + 1):
-                    out[x + i] = total + self.unit(segment[:i])
-                total = int(out[min(y, a)]) if y > a else int(out[y])
-            if a < b:
-                out[b] = total + 1
-                base = total + 1
+        for a, b in [*specials, (len(text), len(text) + 1)]:
+            out[done:b] = base + self._ordinary_counts(text[done : b - 1])
+            if b <= len(text):
+                base = out[b] = out[a] + 1
                 done = b
         return out
 
@@ -231,7 +259,9 @@ def prefix_table(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
 
     def run(batches):
         for batch in batches:
-            c = counter(tokenizer)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.prefix_counts(t) for t in plain(batch.column(1)).to_pylist()], pa.list_(pa.int64()))], names=[key, "counts"])
+            c, texts = counter(tokenizer), plain(batch.column(1))
+            for i, j in slices(texts):
+                counts = [c.prefix_counts(t) for t in texts[i:j].to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(counts, pa.list_(pa.int64()))], names=[key, "counts"])
 
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(run, f"`{key}` long, counts array<long>")

@@ -33,9 +33,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`written` that no later plan reads."""
+    """Delete tables made by :func:`written` that no later plan reads, and let Spark's cleaner remove the shuffle files
+    of finished jobs: it does so when their plans are collected as garbage, which the driver may not do for long."""
     for t in tables:
         _delete(t.sparkSession, t._shared_path)
+    if tables:
+        tables[0].sparkSession._jvm.java.lang.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -51,12 +52,21 @@ def test_words():
 def test_prefix_counts(spark):
     tok, c = Tokenizer.from_file(BYTES), prefix_tokens.counter(BYTES)
     size = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
-    for t in ODD[1:-2]:
+    r = random.Random(31)
+    hostile = ["".join(r.choice(("a", "I'll", "'re", "'", "s", " ", "  ", "\n", "\u3000", "!", "é", "e\u0301", "7", "𝔘", "<|endoftext|>", "<|endo", "\t", "\x1c")) for _ in range(r.randint(1, 25))) for _ in range(150)]
+    for t in [*ODD[1:], *hostile]:
         counts = c.prefix_counts(t)
-        assert counts.tolist() == [size(t[:i]) for i in range(len(t) + 1)]
+        few = range(len(t) + 1) if len(t) < 200 else [0, 1, 2, 3, *range(500, len(t), 499), len(t) - 1, len(t)]
+        assert len(counts) == len(t) + 1 and [counts[i] for i in few] == [size(t[:i]) for i in few]
+        if len(t) > 200 or t in hostile[10:]:
+            continue
         for budget in (0, 1, 3, 1000):
             cut = c.truncate(t, budget)
             assert size(cut) <= budget and (cut == t or size(t[: len(cut) + 1]) > budget or any(size(t[:i]) > budget for i in range(len(cut), len(t) + 1)))
+    long = "xyz" * 33_000 + "!" * 30_000 + " " * 30_000 + "é" * 20_000
+    began = time.time()
+    counts = c.prefix_counts(long)
+    assert time.time() - began < 20 and counts[-1] == size(long) and counts[120_000] == size(long[:120_000])
     rows = list(enumerate([*ODD, ODD[5]]))
     got = {r.doc_id: r for r in prefix_tokens.token_counts(frame(spark, rows), BYTES, 100).collect()}
     for i, t in rows:
