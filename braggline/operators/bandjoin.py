@@ -6,27 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def band_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str, float]]) -> DataFrame:
+def band_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str, float]], copy_left: bool = False) -> DataFrame:
     """Rows with abs(left - right) <= tolerance (inclusive) for all (left column, right column, tolerance).
 
-    The first band with a positive tolerance is cut into buckets a little wider than it; the right side stands in its
-    own bucket and both neighbours, so the join is an equi-join with the exact bands as residual, and its skew can be
-    split. NaN and null never match. With tolerances of 0 alone, equality is the join.
+    Every band with a positive tolerance is cut into buckets a little wider than it; one side stands in its own bucket
+    of each band and in the neighbouring ones (3 copies a band), so the join is an equi-join on all buckets with the
+    exact bands as residual: candidates stay within a constant factor of the results whichever band is selective, and
+    skew can be split. The right side is copied, or the left one (``copy_left``): give it the smaller. Bands of 0 join
+    by equality. NaN and null never match.
     """
-    exact = [F.abs(F.col(a) - F.col(b)) <= F.lit(float(t)) for a, b, t in on]
     known = lambda df, names: df.where(" and ".join(f"not isnan({n}) and {n} is not null" for n in names))
     left, right = known(left, [a for a, *_ in on]), known(right, [b for _, b, _ in on])
-    band = next((x for x in on if x[2] > 0), None)
-    if band is None:
-        cond = [F.col(a) == F.col(b) for a, b, _ in on]
-        return left.join(right, cond)
-    a, b, t = band
-    width = F.lit(float(t) * (1 + 1e-9))
-    bucket = lambda c: F.floor(F.col(c) / width)
-    left = left.withColumn("_bl", bucket(a))
-    right = right.withColumn("_br", F.explode(F.array(bucket(b) - 1, bucket(b), bucket(b) + 1)))
-    out = left.join(right, [F.col("_bl") == F.col("_br"), *exact])
-    return out.drop("_bl", "_br")
+    conditions, dropped = [], []
+    for i, (a, b, t) in enumerate(on):
+        if t <= 0:
+            conditions.append(F.col(a) == F.col(b))
+            continue
+        width = F.lit(float(t) * (1 + 1e-9))
+        near = lambda c, w=width: F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col(c) / w) + d))
+        own = lambda c, w=width: F.floor(F.col(c) / w)
+        left = left.withColumn(f"_bl{i}", (near if copy_left else own)(a))
+        right = right.withColumn(f"_br{i}", (own if copy_left else near)(b))
+        conditions += [F.col(f"_bl{i}") == F.col(f"_br{i}"), F.abs(F.col(a) - F.col(b)) <= F.lit(float(t))]
+        dropped += [f"_bl{i}", f"_br{i}"]
+    return left.join(right, conditions).drop(*dropped)
 
 
 def get_active_peak_indices(frames: DataFrame, peaks: DataFrame, omega_tol: float, dty_tol: float, frame_cols=("frame_omega", "frame_dty"), peak_cols=("omega", "dty")) -> DataFrame:

@@ -61,6 +61,12 @@ class Setup:
     k0: tuple[float, float, float] = (1.0, 0.0, 0.0)
     #: Standard deviations of origin, wavelength and divergence, for the covariances.
     sigma: dict[str, float] = field(default_factory=dict)
+    #: In their place, a full 6 x 6 covariance of the inputs, in the order of INPUTS.
+    covariance: tuple[tuple[float, ...], ...] | None = None
+
+    @property
+    def cov_in(self) -> list[list[float]]:
+        return [list(row) for row in self.covariance] if self.covariance else get_cov_in(self.sigma)
 
     @property
     def k(self) -> list[float]:
@@ -90,15 +96,16 @@ class Setup:
         return [[-x / self.wavelength for x in self.kb], *([((i == a) - unit[i] * unit[a]) / (self.wavelength * n) for i in range(3)] for a in (1, 2))]
 
 
-def all_pairs(grains: DataFrame, hkls: DataFrame, signs: tuple[float, ...] = (1.0, -1.0)) -> DataFrame:
+def all_pairs(grains: DataFrame, hkls: DataFrame, signs: tuple[float, ...] = (1.0, -1.0), few: bool = False) -> DataFrame:
     """Every grain with every reflection and sign. The result has that many rows by definition; grains stay
-    partitioned, and the reflections go to every task as an exploded array if there are at most 100,000 of them."""
-    spark = grains.sparkSession
-    rows = hkls.limit(100_001).collect()
-    if len(rows) <= 100_000:
-        few = spark.createDataFrame(rows, hkls.schema)
-        hkls = F.broadcast(few)
-    return grains.crossJoin(hkls).withColumn("etasign", F.explode(F.array(*map(F.lit, map(float, signs)))))
+    partitioned. Spark sends the reflections to every task where it knows them to be small, and else plans the
+    product of both sides' partitions; with ``few`` the caller vouches for a list of at most some 100,000."""
+    return grains.crossJoin(F.broadcast(hkls) if few else hkls).withColumn("etasign", F.explode(F.array(*map(F.lit, map(float, signs)))))
+
+
+def one_hkl(grains: DataFrame, h: int, k: int, l: int, etasign: float) -> DataFrame:  # noqa: E741
+    """Every grain with one reflection and one sign; no join."""
+    return grains.withColumns({n: F.lit(int(x)).cast("bigint") for n, x in zip("hkl", (h, k, l), strict=True)} | {"etasign": F.lit(float(etasign))})
 
 
 def _vector(values) -> V3:
@@ -249,24 +256,26 @@ def _covariance(df: DataFrame, setup: Setup, scan: bool) -> DataFrame:
     j = _jacobian(s, setup, scan)
     names = ("sc", "fc", "omega", "dty") if scan else ("sc", "fc", "omega")
     s.put(**{f"j_{n}_{i}": j[n][i] for n in names for i in range(6)})
-    variance = [float(setup.sigma.get(i, 0.0)) ** 2 for i in INPUTS]
-    used = [i for i, v in enumerate(variance) if v]
-    cov = {}
-    for x, a in enumerate(names):
-        for b in names[x:]:
-            cov[f"cov_{a}_{b}"] = sum((F.col(f"j_{a}_{i}") * F.col(f"j_{b}_{i}") * variance[i] for i in used), F.lit(0.0))
-    s.put(**cov)
-    return s.df.select(*df.columns, *names, "valid", *cov)
+    cov = propagate_cov([[F.col(f"j_{n}_{i}") for i in range(6)] for n in names], setup.cov_in)
+    s.put(**{f"cov_{a}_{b}": cov[x][x + y] for x, a in enumerate(names) for y, b in enumerate(names[x:])})
+    return s.df.select(*df.columns, *names, "valid", *(f"cov_{a}_{b}" for x, a in enumerate(names) for b in names[x:]))
 
 
-def get_cov_in(sigma: dict[str, float]) -> dict[str, float]:
-    """Variances of the six inputs; the input covariance is their diagonal."""
-    return {i: float(sigma.get(i, 0.0)) ** 2 for i in INPUTS}
+def get_cov_in(sigma: dict[str, float]) -> list[list[float]]:
+    """The diagonal covariance of the six inputs from their standard deviations."""
+    return [[float(sigma.get(i, 0.0)) ** 2 if i == k else 0.0 for k in INPUTS] for i in INPUTS]
 
 
-def propagate_cov(jacobian: list[list[Column]], variances: list[float]) -> list[list[Column]]:
-    """J diag(v) J^T of a Jacobian of Columns."""
-    return [[sum((a * b * v for a, b, v in zip(x, y, variances, strict=True)), F.lit(0.0)) for y in jacobian] for x in jacobian]
+def propagate_cov(jacobian: list[list[Column]], cov_in: list[list[float]]) -> list[list[Column]]:
+    """J C J^T of a Jacobian of Columns and any symmetric covariance; entries of 0 are left out."""
+    n = range(len(cov_in))
+
+    def entry(x: list[Column], y: list[Column]) -> Column:
+        own = [x[i] * y[i] * float(cov_in[i][i]) for i in n if cov_in[i][i]]
+        mixed = [(x[i] * y[k] + x[k] * y[i]) * float(cov_in[i][k]) for i in n for k in n if i < k and cov_in[i][k]]
+        return sum([*own, *mixed], F.lit(0.0))
+
+    return [[entry(x, y) for y in jacobian] for x in jacobian]
 
 
 def propagate_cov_box(df: DataFrame, setup: Setup) -> DataFrame:
@@ -279,17 +288,33 @@ def propagate_cov_scan(df: DataFrame, setup: Setup) -> DataFrame:
     return _covariance(df, setup, True)
 
 
-def get_centroid_box_all(grains: DataFrame, hkls: DataFrame, setup: Setup) -> DataFrame:
-    return get_centroid_box(all_pairs(grains, hkls), setup)
+def get_centroid_box_all(grains: DataFrame, hkls: DataFrame, setup: Setup, **pairs) -> DataFrame:
+    return get_centroid_box(all_pairs(grains, hkls, **pairs), setup)
+
+
+def get_centroid_scan_all(grains: DataFrame, hkls: DataFrame, setup: Setup, **pairs) -> DataFrame:
+    return get_centroid_scan(all_pairs(grains, hkls, **pairs), setup)
+
+
+def propagate_cov_box_all(grains: DataFrame, hkls: DataFrame, setup: Setup, **pairs) -> DataFrame:
+    return propagate_cov_box(all_pairs(grains, hkls, **pairs), setup)
+
+
+def propagate_cov_scan_all(grains: DataFrame, hkls: DataFrame, setup: Setup, **pairs) -> DataFrame:
+    return propagate_cov_scan(all_pairs(grains, hkls, **pairs), setup)
+
+
+def get_centroid_box_all_grains(grains: DataFrame, h: int, k: int, l: int, etasign: float, setup: Setup) -> DataFrame:  # noqa: E741
+    return get_centroid_box(one_hkl(grains, h, k, l, etasign), setup)
 
 
-def get_centroid_scan_all(grains: DataFrame, hkls: DataFrame, setup: Setup) -> DataFrame:
-    return get_centroid_scan(all_pairs(grains, hkls), setup)
+def get_centroid_scan_all_grains(grains: DataFrame, h: int, k: int, l: int, etasign: float, setup: Setup) -> DataFrame:  # noqa: E741
+    return get_centroid_scan(one_hkl(grains, h, k, l, etasign), setup)
 
 
-def propagate_cov_box_all(grains: DataFrame, hkls: DataFrame, setup: Setup) -> DataFrame:
-    return propagate_cov_box(all_pairs(grains, hkls), setup)
+def propagate_cov_box_all_grains(grains: DataFrame, h: int, k: int, l: int, etasign: float, setup: Setup) -> DataFrame:  # noqa: E741
+    return propagate_cov_box(one_hkl(grains, h, k, l, etasign), setup)
 
 
-def propagate_cov_scan_all(grains: DataFrame, hkls: DataFrame, setup: Setup) -> DataFrame:
-    return propagate_cov_scan(all_pairs(grains, hkls), setup)
+def propagate_cov_scan_all_grains(grains: DataFrame, h: int, k: int, l: int, etasign: float, setup: Setup) -> DataFrame:  # noqa: E741
+    return propagate_cov_scan(one_hkl(grains, h, k, l, etasign), setup)

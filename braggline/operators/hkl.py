@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,12 +16,34 @@ from ..functions.linalg import m3, mat_vec, norm
 LEAST_INTENSITY = 0.01
 #: Cromer-Mann coefficients a1 to a4, b1 to b4, c of the International Tables, by element.
 FORM_FACTORS = {
+    "Al": (6.4202, 1.9002, 1.5936, 1.9646, 3.0387, 0.7426, 31.5472, 85.0886, 1.1151),
+    "B": (2.0545, 1.3326, 1.0979, 0.7068, 23.2185, 1.021, 60.3498, 0.1403, -0.1932),
+    "C": (2.31, 1.02, 1.5886, 0.865, 20.8439, 10.2075, 0.5687, 51.6512, 0.2156),
+    "Ca": (8.6266, 7.3873, 1.5899, 1.0211, 10.4421, 0.6599, 85.7484, 178.437, 1.3751),
     "Ce": (21.1671, 19.7695, 11.8513, 3.33049, 2.81219, 0.226836, 17.6083, 127.113, 1.86264),
+    "Cl": (11.4604, 7.1964, 6.2556, 1.6455, 0.0104, 1.1662, 18.5194, 47.7784, -9.5574),
+    "Co": (12.2841, 7.3409, 4.0034, 2.3488, 4.2791, 0.2784, 13.5359, 71.1692, 1.0118),
+    "Cr": (10.6406, 7.3537, 3.324, 1.4922, 6.1038, 0.392, 20.2626, 98.7399, 1.1832),
+    "Cu": (13.338, 7.1676, 5.6158, 1.6735, 3.5828, 0.247, 11.3966, 64.8126, 1.191),
+    "F": (3.5392, 2.6412, 1.517, 1.0243, 10.2825, 4.2944, 0.2615, 26.1476, 0.2776),
     "Fe": (11.7695, 7.3573, 3.5222, 2.3045, 4.7611, 0.3072, 15.3535, 76.8805, 1.0369),
+    "H": (0.489918, 0.262003, 0.196767, 0.049879, 20.6593, 7.74039, 49.5519, 2.20159, 0.001305),
+    "Mg": (5.4204, 2.1735, 1.2269, 2.3073, 2.8275, 79.2611, 0.3808, 7.1937, 0.8584),
+    "Mn": (11.2819, 7.3573, 3.0193, 2.2441, 5.3409, 0.3432, 17.8674, 83.7543, 1.0896),
+    "N": (12.2126, 3.1322, 2.0125, 1.1663, 0.0057, 9.8933, 28.9975, 0.5826, -11.529),
+    "Na": (4.7626, 3.1736, 1.2674, 1.1128, 3.285, 8.8422, 0.3136, 129.424, 0.676),
+    "Ni": (12.8376, 7.292, 4.4438, 2.38, 3.8785, 0.2565, 12.1763, 66.3421, 1.0341),
     "O": (3.0485, 2.2868, 1.5463, 0.867, 13.2771, 5.7011, 0.3239, 32.9089, 0.2508),
+    "S": (6.9053, 5.2034, 1.4379, 1.5863, 1.4679, 22.2151, 0.2536, 56.172, 0.8669),
     "Si": (6.2915, 3.0353, 1.9891, 1.541, 2.4386, 32.3337, 0.6785, 81.6937, 1.1407),
     "Ti": (9.7595, 7.3558, 1.6991, 1.9021, 7.8508, 0.5, 35.6338, 116.105, 1.2807),
+    "Zn": (14.0743, 7.0318, 5.1652, 2.41, 3.2655, 0.2333, 10.3163, 58.7097, 1.3041),
 }
+#: The elements by atomic number.
+ELEMENTS = """H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh
+Pd Ag Cd In Sn Sb Te I Xe Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac Th Pa U""".split()
+#: Bohr radius in Angstrom times the Thomas-Fermi factor: the screening length of an atom of number 1.
+SCREENING = 0.52917721 * 0.88534
 
 
 def make_hkls(cells: DataFrame, dsmax: float, wavelength: float, key: str = "structure_id") -> DataFrame:
@@ -47,18 +72,27 @@ def remove_equivalents(hkls: DataFrame, symmetry_ops: DataFrame, key: str = "str
     return best.where(F.col("best") == same).drop("best")
 
 
-def form_factor(element: Column, s: Column) -> Column:
-    """Of an element at s = sin(theta) / wavelength; null for elements without coefficients."""
-    out = F.lit(None).cast("double")
-    for name, (*ab, c) in sorted(FORM_FACTORS.items()):
-        out = F.when(element == name, sum((F.lit(a) * F.exp(-b * s * s) for a, b in zip(ab[:4], ab[4:], strict=True)), F.lit(c))).otherwise(out)
+def _gauss_sum(coefficients: Iterable[float], s: Column) -> Column:
+    *ab, c = map(float, coefficients)
+    return sum((F.lit(a) * F.exp(-b * s * s) for a, b in zip(ab[:4], ab[4:], strict=True)), F.lit(c))
+
+
+def form_factor(element: Column, s: Column, table: dict[str, tuple[float, ...]] | None = None) -> Column:
+    """Of an element at s = sin(theta) / wavelength, by the coefficients of ``table`` or of :data:`FORM_FACTORS`.
+    Other elements are taken as screened charges (f = Z / (1 + (4 pi s r)^2), r the Thomas-Fermi screening length),
+    which serves to tell extinct reflections; what isn't an element is an error, never left out."""
+    out = F.raise_error(F.concat(F.lit("no form factor for element "), F.coalesce(element, F.lit("null")))).cast("double")
+    z = F.array_position(F.array(*map(F.lit, ELEMENTS)), element).cast("double")
+    out = F.when(z > 0, z / (1 + F.pow(4 * math.pi * SCREENING * s, F.lit(2.0)) / F.pow(z, F.lit(2 / 3)))).otherwise(out)
+    for name, row in sorted((FORM_FACTORS | (table or {})).items()):
+        out = F.when(element == name, _gauss_sum(row, s)).otherwise(out)
     return out
 
 
-def intensity(hkls: DataFrame, atoms: DataFrame, key: str = "structure_id") -> DataFrame:
+def intensity(hkls: DataFrame, atoms: DataFrame, key: str = "structure_id", table: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
     """``hkls`` with |F|^2 over all atoms of the cell (element, x, y, z, occ), as one aggregate."""
     phase = 2 * F.pi() * (F.col("h") * F.col("x") + F.col("k") * F.col("y") + F.col("l") * F.col("z"))
-    f = F.col("occ") * form_factor(F.col("element"), F.col("ds") / 2)
+    f = F.col("occ") * form_factor(F.col("element"), F.col("ds") / 2, table)
     sums = hkls.join(atoms.select(key, "element", "x", "y", "z", "occ"), key).groupBy(key, "h", "k", "l", "tth", "ds").agg(F.sum(f * F.cos(phase)).alias("re"), F.sum(f * F.sin(phase)).alias("im"))
     return sums.select(key, "h", "k", "l", "tth", "ds", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("intensity"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crystal
-from ..sources.cif import read_cif
+from ..sources.cif import parse_cif, read_cif
 from . import hkl
 
 KEY = "structure_id"
@@ -37,6 +37,11 @@ class Structure:
     def from_cif(cls, spark: SparkSession, path: str) -> Structure:
         return cls(*read_cif(spark, path))
 
+    @classmethod
+    def from_texts(cls, texts: DataFrame) -> Structure:
+        """Of CIF texts (structure_id, value)."""
+        return cls(*parse_cif(texts))
+
     def by_number(self, sgno: int) -> Structure:
         """Those of a space group, by number."""
         return self._only(F.col("sg_number") == sgno)

@@ -118,14 +118,14 @@ def powder_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detector_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """det_to_lab, then back by lab_to_det, and by raytrace_to_det from a point off the axis."""
     d = TILTED.detector
-    df = peaks(spark, sf_dir).withColumn("t", geometry.detector_transforms(d.y_center, d.y_size, d.tilt_y, d.z_center, d.z_size, d.tilt_z, d.tilt_x, d.distance, d.o11, d.o12, d.o21, d.o22))
-    t = [F.col(f"t.{n}") for n in ("trans", "shift_c", "shift_x")]
-    df = df.withColumn("lab", geometry.det_to_lab(F.col("sc"), F.col("fc"), *t)).withColumn("basis", geometry.detector_basis_vectors_lab(*t))
-    origin = la.vector(100, -50, 20)
-    ray = la.vec_struct(la.sub(la.v3(F.col("lab")), la.v3(origin)))
-    df = df.withColumn("ray", geometry.raytrace_to_det(ray, origin, *(F.col(f"basis.{n}") for n in ("sc_lab", "fc_lab", "norm_lab"))))
-    df = df.withColumn("pixel", geometry.lab_to_det(F.col("lab.x"), F.col("lab.y"), F.col("lab.z"), *t))
-    return df.select("peak_id", r(F.col("pixel.sc")).alias("sc"), r(F.col("pixel.fc")).alias("fc"), r(F.col("ray.sc")).alias("ray_sc"), r(F.col("ray.fc")).alias("ray_fc"))
+    trans = la.matrix(*(x for row in _trans(d) for x in row))
+    t = (trans, la.vector(-d.z_center, -d.y_center, 0), la.vector(d.distance, 0, 0))
+    origin, basis = (100.0, -50.0, 20.0), [la.vector(*p) for p in d.basis()]
+    s = la.Stage(peaks(spark, sf_dir))
+    lab = s.put(lab=la.v3(geometry.det_to_lab(F.col("sc"), F.col("fc"), *t)))
+    ray = s.put(ray=tuple(x - o for x, o in zip(lab, origin, strict=True)))
+    at, pixel = geometry.raytrace_to_det(la.vec_struct(ray), la.vector(*origin), *basis), geometry.lab_to_det(*lab, *t)
+    return s.df.select("peak_id", r(pixel["sc"]).alias("sc"), r(pixel["fc"]).alias("fc"), r(at["sc"]).alias("ray_sc"), r(at["fc"]).alias("ray_fc"))
 
 
 _DET = "s_suppkey, 1000 + s_suppkey AS yc, 900 - s_suppkey AS zc, s_suppkey * 0.003 AS ty, s_suppkey * -0.002 AS tz, s_suppkey * 0.001 AS tx"
@@ -142,10 +142,10 @@ def detector_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("s_suppkey", *entries, r(F.col("b.norm_lab.x")).alias("x00"), r(F.col("b.sc_lab.y")).alias("y10"), r(F.col("b.fc_lab.z")).alias("z01"))
 
 
-@query(f"SELECT peak_id, {sr('sc / 100')} AS tth, {sr('CASE WHEN sc = 0 THEN 0 ELSE fc / 6 - 170 END')} AS eta, {sr('2 * sin(radians(sc / 100) / 2) / 0.25')} AS ds FROM ({PEAKS_SQL}) WHERE sc > 0.01")
+@query(f"SELECT peak_id, {sr('sc / 100')} AS tth, {sr('CASE WHEN sc = 0 THEN 0 ELSE fc / 6 - 170 END')} AS eta, {sr('2 * sin(radians(sc / 100) / 2) / 0.25')} AS ds FROM ({PEAKS_SQL})")
 def tth_eta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Angles to an outgoing beam, to a scattering vector, and back."""
-    df = peaks(spark, sf_dir).where("sc > 0.01").withColumn("k", diffract.tth_eta_to_k_out(F.col("sc") / 100, F.col("fc") / 6 - 170, 0.25))
+    df = peaks(spark, sf_dir).withColumn("k", diffract.tth_eta_to_k_out(F.col("sc") / 100, F.col("fc") / 6 - 170, 0.25))
     k_in = diffract.scale_norm_k(la.vector(1, 0, 0), 0.25)
     df = df.withColumn("q", diffract.k_to_q_lab(k_in, F.col("k"))).withColumn("a", diffract.q_lab_to_tth_eta(F.col("q"), 0.25))
     return df.select("peak_id", r(F.col("a.tth")).alias("tth"), r(F.col("a.eta")).alias("eta"), r(diffract.q_to_ds(F.col("q"))).alias("ds"))
@@ -237,6 +237,9 @@ def _hkl(n: int, m: int) -> str:
     return f"{_series(n, 'h')}, {_series(n, 'k')}, {_series(m, 'l')}"
 
 
+_HKL_RANGE = _hkl(6, 6)
+
+
 @query(f"""WITH q AS (SELECT h, k, l, sqrt(4.0 / 3 * (h*h + h*k + k*k) / ({TI[0]!r} * {TI[0]!r}) + l*l / ({TI[2]!r} * {TI[2]!r})) AS ds FROM {_hkl(6, 7)})
 SELECT h, k, l, {sr('ds')} AS ds, {sr('2 * degrees(asin(ds * 0.3 / 2))')} AS tth FROM q WHERE ds > 0 AND ds < 1.4""")
 def hexagonal_hkls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,12 +305,13 @@ def _omega_sql(source: str) -> str:
 _PART_Q = "SELECT p_partkey, CAST(p_partkey % 5 - 2 AS DOUBLE) / 4 AS qx, CAST(p_partkey % 7 - 3 AS DOUBLE) / 4 AS qy, CAST(p_size % 9 - 4 AS DOUBLE) / 4 AS qz FROM part"
 
 
-@query(f"""SELECT p_partkey, eta AS etasign, {sr('omega')} AS omega, valid FROM ({_omega_sql(f"SELECT *, qx / 0.3 AS a, -qy / 0.3 AS b, -(qx*qx + qy*qy + qz*qz) / 2 AS d FROM ({_PART_Q}), (VALUES (1.0), (-1.0)) t(eta)")}) WHERE valid""")
+@query(f"""SELECT p_partkey, eta AS etasign, CASE WHEN qx <> 0 OR qy <> 0 THEN {sr('omega')} END AS omega, valid FROM ({_omega_sql(f"SELECT *, qx / 0.3 AS a, -qy / 0.3 AS b, -(qx*qx + qy*qy + qz*qz) / 2 AS d FROM ({_PART_Q}), (VALUES (1.0), (-1.0)) t(eta)")})""")
 def omega_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     df = table(spark, sf_dir, "part").select("p_partkey", la.vector((k % 5 - 2).cast("double") / 4, (k % 7 - 3).cast("double") / 4, (F.col("p_size") % 9 - 4).cast("double") / 4).alias("q"))
     df = df.withColumn("etasign", F.explode(F.array(F.lit(1.0), F.lit(-1.0)))).withColumn("s", diffract.omega_solns(F.col("q"), F.col("etasign"), la.vector(1 / 0.3, 0, 0)))
-    return df.where("s.valid").select("p_partkey", "etasign", r(F.col("s.omega")).alias("omega"), F.col("s.valid").alias("valid"))
+    # along the axis the angle hangs on the sign of a zero
+    return df.select("p_partkey", "etasign", F.when((F.col("q.x") != 0) | (F.col("q.y") != 0), r(F.col("s.omega"))).alias("omega"), F.col("s.valid").alias("valid"))
 
 
 _GRAINS = "SELECT s_suppkey, CAST(s_suppkey * 7 AS DOUBLE) AS gz, CAST(s_suppkey * 3 AS DOUBLE) AS gx, CAST(s_suppkey % 21 - 10 AS DOUBLE) * 10 AS ox, CAST(s_suppkey % 17 - 8 AS DOUBLE) * 10 AS oy, CAST(s_suppkey % 13 - 6 AS DOUBLE) * 5 AS oz FROM supplier"
@@ -380,42 +384,38 @@ _STEPS = {"ox": 1.0, "oy": 1.0, "oz": 1.0, "lam": 1e-6, "ky": 1e-6, "kz": 1e-6}
 COV_DIGITS = 3
 
 
-def _cov_sql(s: Setup, scan_mode: bool) -> str:
-    """Central differences of the forward model by each input, summed with the inputs' variances."""
+def _cov_sql(s: Setup, scan_mode: bool, full: tuple[tuple[float, ...], ...] | None = None) -> str:
+    """Differences of the forward model by each input (five points), put together with the inputs' covariance."""
     names = ["sc", "fc", "omega"] + ["dty"] * scan_mode
-    values = ", ".join(f"({i}, {sign}.0)" for i in range(6) for sign in (1, -1))
+    values = ", ".join(f"({i}, {sign}.0)" for i in range(6) for sign in (1, -1, 2, -2))
     moved = ", ".join(f"{c} + CASE WHEN i = {i} THEN sgn * {h!r} ELSE 0 END AS {c}" for i, (c, h) in enumerate(_STEPS.items()))
     rows = f"SELECT s_suppkey, gz, gx, h, k, l, eta, i, sgn, {moved} FROM ({forward_rows(s)}), (VALUES {values}) st(i, sgn)"
-    variance = [s.sigma[n] ** 2 for n in forward.INPUTS]
-    slopes = ", ".join(f"sum(sgn * {n}) / 2 AS j_{n}" for n in names)
-    weight = " ".join(f"WHEN {i} THEN {v / h / h!r}" for i, (v, h) in enumerate(zip(variance, _STEPS.values(), strict=True)))
-    sums = ", ".join(f"{sr(f'sum(j_{a} * j_{b} * (CASE i {weight} END))', COV_DIGITS)} AS cov_{a}_{b}" for x, a in enumerate(names) for b in names[x:])
-    steep = "min(abs(d / rr)) AS lo, max(abs(d / rr)) AS hi, bool_and(valid) AS ok"
-    return f"""WITH f AS ({forward_sql(s, rows, scan_mode)}), j AS (SELECT s_suppkey, h, k, l, eta, i, {slopes}, {steep} FROM f GROUP BY s_suppkey, h, k, l, eta, i)
-SELECT {_KEYS}, {sums} FROM j GROUP BY s_suppkey, h, k, l, eta HAVING bool_and(ok) AND max(hi) < 0.7"""
-
-
-def _flat(df: DataFrame, names: list[str]) -> DataFrame:
-    """Rows away from tangency, where central differences serve."""
-    return df.select("s_suppkey", "h", "k", "l", "etasign", *(r(F.col(n), COV_DIGITS).alias(n) for n in names))
+    cov = full or forward.get_cov_in(s.sigma)
+    step = list(_STEPS.values())
+    slopes = ", ".join(f"sum({n} * CASE sgn WHEN 1 THEN 8 WHEN -1 THEN -8 WHEN 2 THEN -1 ELSE 1 END) / 12 AS j_{n}" for n in names)
+    weights = ", ".join(f"({i}, {k}, {cov[i][k] / step[i] / step[k]!r})" for i in range(6) for k in range(6) if cov[i][k])
+    sums = ", ".join(f"{sr(f'sum(x.j_{a} * y.j_{b} * w)', COV_DIGITS)} AS cov_{a}_{b}" for i, a in enumerate(names) for b in names[i:])
+    keys = "x.s_suppkey AS s_suppkey, CAST(x.h AS BIGINT) AS h, CAST(x.k AS BIGINT) AS k, CAST(x.l AS BIGINT) AS l, CAST(x.eta AS DOUBLE) AS etasign"
+    same = " AND ".join(f"x.{c} = y.{c}" for c in ("s_suppkey", "h", "k", "l", "eta"))
+    return f"""WITH f AS ({forward_sql(s, rows, scan_mode)}), j AS (SELECT s_suppkey, h, k, l, eta, i, {slopes}, bool_and(valid) AS ok FROM f GROUP BY s_suppkey, h, k, l, eta, i), c(i, m, w) AS (VALUES {weights})
+SELECT {keys}, {sums} FROM j x JOIN c ON x.i = c.i JOIN j y ON y.i = c.m AND {same} GROUP BY x.s_suppkey, x.h, x.k, x.l, x.eta HAVING bool_and(x.ok)"""
 
 
-def _steep(df: DataFrame, setup: Setup) -> DataFrame:
-    s = forward.hkl_to_k_omega(df, setup).df
-    return s.where("valid and abs(quot) < 0.7").select(*df.columns)
+def _covariances(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.where("valid").select("s_suppkey", "h", "k", "l", "etasign", *(r(F.col(n), COV_DIGITS).alias(n) for n in names))
 
 
 @query(_cov_sql(GENERAL, False))
 def cov_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _steep(forward.all_pairs(grains(spark, sf_dir), few_hkls(spark)), GENERAL)
-    return _flat(forward.propagate_cov_box(df, GENERAL), [f"cov_{a}" for a in ("sc_sc", "sc_fc", "sc_omega", "fc_fc", "fc_omega", "omega_omega")])
+    df = forward.propagate_cov_box_all(grains(spark, sf_dir), few_hkls(spark), GENERAL)
+    return _covariances(df, [f"cov_{a}" for a in ("sc_sc", "sc_fc", "sc_omega", "fc_fc", "fc_omega", "omega_omega")])
 
 
 @query(_cov_sql(GENERAL, True))
 def cov_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _steep(forward.all_pairs(grains(spark, sf_dir), few_hkls(spark)), GENERAL)
+    df = forward.propagate_cov_scan_all(grains(spark, sf_dir), few_hkls(spark), GENERAL)
     names = ("sc", "fc", "omega", "dty")
-    return _flat(forward.propagate_cov_scan(df, GENERAL), [f"cov_{a}_{b}" for i, a in enumerate(names) for b in names[i:]])
+    return _covariances(df, [f"cov_{a}_{b}" for i, a in enumerate(names) for b in names[i:]])
 
 
 # frames, grids, pixels

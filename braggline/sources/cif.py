@@ -2,7 +2,7 @@
 
 Files are read by Spark as whole texts, one row a file, and parsed on the executors. The parser knows data items and
 loops, quoted values, uncertainties in brackets, and the two usual tags of symmetry operations; operations are read
-by a strict affine grammar, never evaluated. A file without the needed items raises an error that names it.
+by a strict affine grammar, never evaluated. A file without the needed items raises an error that names its structure.
 """
 
 from __future__ import annotations
@@ -123,25 +123,44 @@ def structure(text: str) -> dict:
 _SCHEMA = "structure_id string, a double, b double, c double, alpha double, beta double, gamma double, sg_name string, sg_number int, ops array<struct<rot:struct<" + ",".join(f"m{i}{j}:double" for i in range(3) for j in range(3)) + ">,trans:struct<x:double,y:double,z:double>>>, atoms array<struct<element:string,label:string,x:double,y:double,z:double,occ:double>>"
 
 
+def _root(path: str) -> str:
+    """The folder that structures are named relative to: up to the first wildcard, or the folder itself."""
+    plain = re.split(r"[*?\[{]", path, maxsplit=1)[0]
+    if plain != path or path.endswith(".cif"):
+        plain = plain.rsplit("/", 1)[0] if "/" in plain else ""
+    return re.sub(r"^[a-z0-9]+:/*(?=/)", "", plain).rstrip("/")
+
+
 def read_cif(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(unit_cells, symmetry_ops, atom_sites) of all CIF files at a path; structure_id is the file's name."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    """(unit_cells, symmetry_ops, atom_sites) of all CIF files at a path. structure_id is the file's path below the
+    given one, without its ending, so that files of one name in several folders stay apart."""
+    at = F.concat(F.lit(_root(path)), F.lit("/"))
+    name = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+    place = F.instr(name, at) if _root(path) else F.lit(0)
+    name = F.when(place > 0, F.substring(name, place + F.length(at), F.length(name))).otherwise(F.substring_index(name, "/", -1))
+    return parse_cif(spark.read.text(path, wholetext=True).select(F.regexp_replace(name, r"\.cif$", "").alias("structure_id"), "value", F.input_file_name().alias("origin")))
+
+
+def parse_cif(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(unit_cells, symmetry_ops, atom_sites) of CIF texts (structure_id, value), each parsed once. Errors name the
+    ``origin``, where there is such a column."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for path, text in zip(batch["path"], batch["value"], strict=True):
-                name = path.rsplit("/", 1)[-1].removesuffix(".cif")
+            for name, text, origin in zip(batch["structure_id"], batch["value"], batch["origin"], strict=True):
                 try:
                     s = structure(text)
                 except (KeyError, StopIteration, ValueError, TypeError) as e:
-                    raise ValueError(f"{path} can't be read as a CIF: {e!r}") from e
+                    raise ValueError(f"{origin} can't be read as a CIF: {e!r}") from e
                 ops = [{"rot": {f"m{i}{j}": float(r[i][j]) for i in range(3) for j in range(3)}, "trans": dict(zip("xyz", t, strict=True))} for r, t in s["ops"]]
                 atoms = [dict(zip(("element", "label", "x", "y", "z", "occ"), x, strict=True)) for x in s["atoms"]]
                 out.append((name, *s["cell"], s["name"], int(s["number"]) if s["number"] else None, ops, atoms))
             yield pd.DataFrame(out, columns=["structure_id", "a", "b", "c", "alpha", "beta", "gamma", "sg_name", "sg_number", "ops", "atoms"]).astype({"sg_number": "Int32"})
 
-    parsed = files.mapInPandas(run, _SCHEMA)
+    # the three tables read the parsed files; a lost executor parses its own anew
+    origin = F.col("origin" if "origin" in texts.columns else "structure_id").alias("origin")
+    parsed = texts.select("structure_id", "value", origin).mapInPandas(run, _SCHEMA).persist()
     cells = parsed.select("structure_id", "a", "b", "c", "alpha", "beta", "gamma", "sg_name", "sg_number")
     ops = parsed.select("structure_id", F.posexplode("ops").alias("op_id", "o")).select("structure_id", "op_id", "o.rot", "o.trans")
     atoms = parsed.select("structure_id", F.explode("atoms").alias("s")).select("structure_id", "s.*")

@@ -1,6 +1,7 @@
 """Hand values, goldens and edge cases of the diffraction operators."""
 
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from braggline.functions.special import erf
 from braggline.operators import bandjoin, forward, hkl, scan, splat
 from braggline.operators.forward import Detector, Setup
 from braggline.operators.peaks import peaks_to_q
-from braggline.queries import GENERAL, TILTED
+from braggline.queries import GENERAL, QUERIES, TILTED
 
 
 def one(spark, **columns):
@@ -173,3 +174,33 @@ def test_omega_edges(spark):
     assert not w.valid and not math.isnan(w.omega)
     w = one(spark, a=diffract.omega_solns(v(float("nan"), 0, 1), 1.0, v(5, 0, 0)))
     assert not w.valid and math.isnan(w.omega)
+
+
+def test_plans(spark):
+    """Bands join by equality on every band; a filter on ``valid`` doesn't repeat the forward model; one detector's
+    constants are literals."""
+    f = spark.createDataFrame([(1, 0.0, 0.0)], "i int, frame_omega double, frame_dty double")
+    p = spark.createDataFrame([(1, 0.25, 0.5)], "j int, omega double, dty double")
+    plan = bandjoin.get_active_peak_indices(f, p, 0.25, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bl0" in plan and "_bl1" in plan and "Cartesian" not in plan
+    a = 2.8630355
+    df = rows(spark, (a, 0, 0, 0, a, 0, 0, 0, a), (0, 0, 0), [(0, 1, 1)])
+    plan = forward.get_centroid_box(df, setup_fe()).where("valid")._jdf.queryExecution().executedPlan().toString()
+    assert plan.lower().count("atan2") < 12
+    plan = QUERIES["detector_roundtrip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString() if os.path.isdir("/root/testdata/sf0.001") else ""
+    assert "COS(" not in plan.upper()
+
+
+def test_full_covariance(spark):
+    c = [F.lit(2.0), F.lit(3.0)]
+    got = spark.range(1).select(*(x.alias(f"c{i}{k}") for i, row in enumerate(forward.propagate_cov([c, [F.lit(1.0), F.lit(-1.0)]], [[4.0, 1.0], [1.0, 9.0]])) for k, x in enumerate(row))).first()
+    assert tuple(got) == (4 * 4 + 2 * 6 + 81, 8 + (-2 + 3) - 27, 8 + (-2 + 3) - 27, 4 - 2 + 9)
+
+
+def test_copied_side(spark):
+    f = spark.range(300).select("id", (F.col("id") * 0.31 % 7).alias("a"), (F.col("id") * 0.77 % 5).alias("b"))
+    p = spark.range(300).select(F.col("id").alias("j"), (F.col("id") * 0.43 % 7).alias("c"), (F.col("id") * 0.59 % 5).alias("d"))
+    bands = [("a", "c", 0.2), ("b", "d", 0.3)]
+    both = [{(r.id, r.j) for r in bandjoin.band_join(f, p, bands, copy_left=x).collect()} for x in (False, True)]
+    want = {(r.id, r.j) for r in f.crossJoin(p).where("abs(a - c) <= 0.2 and abs(b - d) <= 0.3").collect()}
+    assert both[0] == both[1] == want and bandjoin.band_join(f, p, bands).count() == len(want)

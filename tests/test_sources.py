@@ -49,6 +49,22 @@ def test_cif(spark, tmp_path):
     assert len(rings[0].hkls) == 12 and list(rings[0].hkls[0]) == [-1, -1, 0]
 
 
+def test_names_and_elements(spark, tmp_path):
+    # one file name in two folders; an element by the general rule; what isn't an element is an error
+    for folder, element in (("a", "Fe"), ("b", "W")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x y.cif").write_text(CIF.replace("Fe0+", element))
+    cells, ops, atoms = cif.read_cif(spark, str(tmp_path / "*" / "*.cif"))
+    assert {r.structure_id for r in cells.collect()} == {"a/x y", "b/x y"} and atoms.count() == 4
+    rings = hkl.rings(hkl.rings_table(hkl.make_hkls(cells, 0.75, 0.18), atoms)).collect()
+    assert sorted((r.structure_id, r.mult) for r in rings) == [("a/x y", 6), ("a/x y", 12), ("b/x y", 6), ("b/x y", 12)]
+    one = hkl.intensity(spark.createDataFrame([("s", 0, 0, 1, 1.0, 0.5)], "structure_id string, h int, k int, l int, tth double, ds double"), spark.createDataFrame([("s", "W", 0.0, 0.0, 0.0, 1.0)], "structure_id string, element string, x double, y double, z double, occ double")).first()
+    assert 50**2 < one.intensity < 74**2
+    assert all(abs(sum(v[:4]) + v[8] - hkl.ELEMENTS.index(e) - 1) < 0.05 for e, v in hkl.FORM_FACTORS.items())
+    with pytest.raises(Exception, match="no form factor for element Xx"):
+        hkl.intensity(hkl.make_hkls(cells, 0.75, 0.18), atoms.withColumn("element", F.lit("Xx"))).collect()
+
+
 def test_operations():
     assert cif.operation("x-y, x, z+1/2") == ([[1, -1, 0], [1, 0, 0], [0, 0, 1]], [0.0, 0.0, 0.5])
     for bad in ("x, y", "x*2, y, z", "__import__('os'), y, z", "xy, y, z", "x; y; z"):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from braggline.functions import dual
+from braggline.operators import spacegroup
 from braggline.operators.structure import Structure
 from test_sources import CIF
 
@@ -50,3 +51,20 @@ def test_dual(spark):
     for a in range(4):
         for b in range(a, 4):
             assert row[f"cov_{names[a]}_{names[b]}"] == pytest.approx(sum(j[i][a] * j[i][b] * var[i] for i in range(3)), abs=1e-8)
+
+
+def test_space_groups(spark):
+    for number, _, hall in spacegroup.GROUPS:
+        ops = spacegroup.operations(hall)
+        known = set(ops)
+        assert ops[0] == (((1, 0, 0), (0, 1, 0), (0, 0, 1)), (0, 0, 0)) and all(spacegroup._times(a, b) in known for a in ops[:6] for b in ops), number
+    # another origin of the same group, and a symbol beyond the named ones
+    assert len(spacegroup.operations("F 4d 2 3 -1d")) == 192 and len(spacegroup.operations("P 4nw 2abw")) == 8
+    moved = spacegroup.operations("-P 2 (3 0 0)")
+    assert (((-1, 0, 0), (0, -1, 0), (0, 0, -1)), (0.5, 0, 0)) in moved
+    assert spacegroup.from_name(spark, "P21/c").count() == 4 and spacegroup.from_number(spark, 2).count() == 2
+    for bad in ("Q 2", "P", "P 5", "P 2k"):
+        with pytest.raises(ValueError):
+            spacegroup.operations(bad)
+    with pytest.raises(KeyError):
+        spacegroup.from_number(spark, 100)
