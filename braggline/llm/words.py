@@ -155,3 +155,14 @@ def shingle_set(h: np.ndarray, k: int = 5) -> np.ndarray:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         return mix(np.array([np.sum(h * _MULTIPLIERS[: len(h)]) + np.uint64(len(h))], np.uint64))
+
+
+def shingle_sequence(h: np.ndarray, k: int) -> np.ndarray:
+    """For k words at each place: the hash that a document of these words alone has, where a set needs more words."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.full(n, k, np.uint64)
+    for i in range(k):
+        out += h[i : i + n] * _MULTIPLIERS[i]
+    return mix(out)

@@ -234,6 +234,45 @@ def test_decontaminate(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEMS_A_PASS", 4)
     got = {(x.doc_id, x.item_id) for x in decontaminate.matches(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == set(want)
+    kept = [x.doc_id for x in decontaminate.clean(frame(spark, [*docs, (None, None)]).withColumn("a", F.lit(1)), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert len(kept) == len(set(kept)) and set(kept) == {d for d, _ in docs} - {d for d, _ in want} | {None}
+
+
+def test_decontaminate_long(monkeypatch):
+    """Regions of a long text, and short items at full speed."""
+    r = random.Random(19)
+    items = [(i, gibberish(r, n)) for i, n in enumerate((12, 30, 3, 4))]
+    put = [(i, t, gibberish(r, 20)) for _ in range(12) for i, t in items]
+    r.shuffle(put)
+    text = " ".join(f"{t} {rest}" for _, t, rest in put)
+    index = decontaminate.Index(items)
+    want = {item: value for _, _, item, value in index.find(pa.array([text]))}
+    assert want == {0: 1.0, 1: 1.0, 2: 1.0, 3: 1.0}
+    for region in (16, 40, 100):
+        monkeypatch.setattr(decontaminate, "_REGION", region)
+        assert {item: value for _, _, item, value in index.find(pa.array([text, None, ""]))} == want
+    long = gibberish(r, 200_000)
+    began = time.time()
+    assert [x for x in index.find(pa.array([long + " " + items[1][1]])) if x[2] == 1][0][1] == 200_000
+    assert time.time() - began < 20
+
+
+def test_decontaminate_recall():
+    # edits that leave the similarity at 0.75 or more
+    r = random.Random(23)
+    items = [(i, gibberish(r, r.randint(14, 60))) for i in range(150)]
+    index, texts, want = decontaminate.Index(items), [], []
+    for i, t in items * 4:
+        w = t.split()
+        for _ in range(r.randint(1, max(1, len(w) // 20))):
+            w[r.choice((0, 1, len(w) - 1, len(w) - 2, r.randrange(len(w))))] = gibberish(r, 1)
+        a, b = (Counter(tuple(x[j : j + 5]) for j in range(len(x) - 4)) for x in (w, t.split()))
+        if (a & b).total() >= 0.75 * (a | b).total():
+            texts.append(" ".join([gibberish(r, 30), *w, gibberish(r, 30)]))
+            want.append(i)
+    got = {(row, item) for row, _, item, _ in index.find(pa.array(texts))}
+    found = sum((row, i) in got for row, i in enumerate(want))
+    assert len(want) > 400 and found >= 0.99 * len(want)
 
 
 def test_licenses(spark):
