@@ -5,12 +5,16 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders written by this driver, removed when it ends; callers drop them earlier where they can.
 _WRITTEN: list[tuple[SparkSession, str]] = []
+#: Spark's own setting that removes a query's shuffle files when it ends, and not when its plan is collected as garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,23 +26,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends at that table, so a
-    lost executor costs a reread of files and not a recomputation."""
+    lost executor costs a reread of files and not a recomputation. The job's shuffle files go with its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _WRITTEN.append((spark, path))
+    with setting(spark, SHUFFLE_CLEANUP, "true"):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`written` that no later plan reads, and let Spark's cleaner remove the shuffle files
-    of finished jobs: it does so when their plans are collected as garbage, which the driver may not do for long."""
+    """Delete tables made by :func:`written` that no later plan reads."""
     for t in tables:
         _delete(t.sparkSession, t._shared_path)
-    if tables:
-        tables[0].sparkSession._jvm.java.lang.System.gc()
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for as long as the block runs."""
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
