@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, written
+from .shared import components, drop, written
 from .words import mix
 
 #: Pairs at a cosine of 0.95 meet in a table with a probability of 0.55 (64 dimensions), so that 20 tables miss one in 10 million;
@@ -284,7 +284,8 @@ def neighbours(vectors: DataFrame, cosine: float = COSINE, vector: str = "embedd
     spots = wide.select("node", "s1", "s2", slot).select("cell", (F.col("i") / F.lit(1 + HALVES)).cast("int").alias("slot"), "node", (F.col("i") % F.lit(1 + HALVES) == 0).alias("own"), "s1", "s2")
     # cells in which two nodes stand, one of them at home
     busy = spots.groupBy("cell").agg(F.count("*").alias("k"), F.max("own").alias("home")).where("k > 1 and home").select("cell", "k")
-    spots = spots.join(written(busy, "busy"), "cell")
+    busy = written(busy, "busy")
+    spots = spots.join(busy, "cell")
     # large cells: nodes are dealt to blocks by hash, and a group is made of every two blocks
     blocks = F.ceil(F.col("k") / F.lit(BLOCK)).cast("int")
     spots = spots.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node", "slot"), F.col("blocks")).cast("int"))
@@ -302,4 +303,6 @@ def neighbours(vectors: DataFrame, cosine: float = COSINE, vector: str = "embedd
     out = rows.join(named.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "node", "times", "n", "component"), F.col("vec").isNotNull() & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
     links = F.when(F.col("node").isNull(), F.lit(0)).otherwise(F.coalesce("n", F.lit(0)) + F.col("times") - 1).cast("long")
     component = F.coalesce("component", "node", "id")
-    return out.select(F.col("id").alias(key), links.alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    out = written(out.select(F.col("id").alias(key), links.alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")), "neighbours")
+    drop(rows, classes, wide, busy, left, found, label)
+    return out

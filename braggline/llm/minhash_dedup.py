@@ -17,8 +17,9 @@ lies within one component already, so components are those of all links. Both st
 Spark can split.
 
 Null and empty texts have no shingles and link with nothing. Rows without a key value are returned with a null
-component. Repeated rows are copies of each other: all are returned, under one component. An empty table gives
-no rows; further columns are ignored.
+component. Repeated rows are copies of each other: all are returned, under one component. Of several texts under one
+key, the one of least hash is compared, and its component holds for all. Very long texts are handled in memory that
+follows the text. An empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ def keys_of(least: np.ndarray, s: Setting) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, s: Setting, text: str, key: str) -> DataFrame:
-    """(key, n_shingles, f1, f2, s1, s2, keys, parity) per row; all but the first two are null without shingles."""
+    """(key, th, n_shingles, f1, f2, s1, s2, keys, parity) per row; all but the first three are null without shingles."""
 
     def run(batches):
         cache("minhash_dedup")
@@ -110,10 +111,10 @@ def profiles(docs: DataFrame, s: Setting, text: str, key: str) -> DataFrame:
                 take = pa.array(place, mask=place < 0)
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel())).take(take) for x in (keys, parity)]
                 columns = [pa.array(np.ascontiguousarray(x)).take(take) for x in (prints[:, 0], prints[:, 1], sketch[:, 0], sketch[:, 1])]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(n)], pa.array(n), *columns, *lists], names=[key, "n_shingles", "f1", "f2", "s1", "s2", "keys", "parity"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(n)], batch.column(2)[at : at + len(n)], pa.array(n), *columns, *lists], names=[key, "th", "n_shingles", "f1", "f2", "s1", "s2", "keys", "parity"])
                 at += len(n)
 
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(run, f"`{key}` long, n_shingles long, f1 long, f2 long, s1 long, s2 long, keys array<long>, parity array<long>")
+    return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text), F.xxhash64(F.col(text).cast("string")).alias("th")).mapInArrow(run, f"`{key}` long, th long, n_shingles long, f1 long, f2 long, s1 long, s2 long, keys array<long>, parity array<long>")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, s: Setting) -> DataFrame:
@@ -176,10 +177,13 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting(), text: str = "
     s = setting
     rows = written(profiles(docs, s, text, key).withColumnRenamed(key, "id"), "profiles")
     with_set = rows.where("n_shingles > 0 and id is not null")
-    classes = with_set.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
-    member = written(with_set.select("id", "f1", "f2").distinct().join(classes, ["f1", "f2"]).select("id", "rep", "f1", "f2"), "members")
-    reps = with_set.join(member.where("id = rep").select("id", "f1", "f2"), ["id", "f1", "f2"], "left_semi").dropDuplicates(["id"])
-    reps = written(reps.select(F.col("id").alias("rep"), F.col("n_shingles").alias("n"), "s1", "s2", "parity", "keys"), "nodes")
+    chosen = with_set.groupBy("id").agg(F.min(F.struct("th", "f1", "f2")).alias("f")).select("id", "f.*")
+    chosen = written(chosen, "chosen")
+    classes = chosen.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
+    member = written(chosen.join(classes, ["f1", "f2"]).select("id", "rep", "th"), "members")
+    drop(chosen)
+    reps = with_set.join(member.where("id = rep").select("id", "th"), ["id", "th"], "left_semi").dropDuplicates(["id"])
+    reps = written(reps.select(F.col("id").alias("rep"), "th", F.col("n_shingles").alias("n"), "s1", "s2", "parity", "keys"), "nodes")
 
     keyed = reps.select("rep", F.explode("keys").alias("key"))
     ends = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
@@ -187,8 +191,9 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting(), text: str = "
     shared = written(keyed.join(ends, "key").select("key", "rep"), "keys")
     # texts of the nodes that share a key, read once
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    needed = shared.select(F.col("rep").alias("id")).distinct()
-    texts = written(source.join(needed, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    needed = written(reps.select("rep", "th").join(shared.select("rep").distinct(), "rep").withColumnRenamed("rep", "id"), "needed")
+    texts = written(source.withColumn("th", F.xxhash64("text")).join(needed, ["id", "th"], "left_semi").dropDuplicates(["id"]), "texts")
+    needed_table, needed = needed, needed.select("id")
     bits = F.struct("s1", "s2", *(F.col("parity")[i].alias(f"p{i}") for i in range(PARITY_LONGS))).alias("bits")
     nodes = _sole(texts, s).join(reps.select(F.col("rep").alias("id"), "n", bits), "id", "right").select(F.col("id").alias("rep"), "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("m"), "bits")
     nodes = nodes.join(needed.withColumnRenamed("id", "rep"), "rep", "left_semi")
@@ -202,7 +207,7 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting(), text: str = "
     first = shared2.join(hub, "key").where("rep <> hub").where(_possible(s)).select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
     first = written(first, "pairs")
     links = written(_confirmed(first, texts, s), "links")
-    label = written(components(links), "labels")
+    label = components(links)
 
     # second: what lies outside the component of its key's hub, with the other components of the key
     named = shared2.join(hub.select("key", "hub"), "key").join(label.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
@@ -213,11 +218,11 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting(), text: str = "
     second = left.join(outside, "key").where(F.col("c") != F.col("d")).where(_possible(s))
     second = second.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = written(_confirmed(second, texts, s), "links")
-    final = label if more.isEmpty() else written(components(links.unionByName(more)), "labels")
-    drop(ends, hub, mixed, shared, shared2, left, texts)
+    final = label if more.isEmpty() else components(links.unionByName(more))
 
     named = member.join(final, member["rep"] == final["node"], "left").select("id", F.coalesce("component", "rep").alias("component_id"))
-    named = named.groupBy("id").agg(F.min("component_id").alias("component_id"))
     out = rows.select("id", "n_shingles").join(named, "id", "left")
     component = F.coalesce(F.col("component_id"), F.col("id"))
-    return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    out = written(out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")), "near_duplicates")
+    drop(rows, member, reps, ends, shared, needed_table, texts, nodes, shared2, hub, first, links, mixed, left, more, *{id(t): t for t in (label, final)}.values())
+    return out

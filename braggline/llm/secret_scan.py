@@ -69,7 +69,7 @@ def _spans(kind: int, pairs: Column, sizes: Column) -> Column:
 
 
 def candidates(docs: DataFrame, text: str, key: str, owner: Column, repository: Column) -> DataFrame:
-    """(key, th, owner, repository, base, added) per row; spans as (start, kind, end, value)."""
+    """(key, th, owner, repository, base, added) per row; spans as (start, kind, end, hash), the value's hash in its place."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("id"), t.alias("t"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repository.cast("string"), F.lit("")).alias("repository"))
     none = F.array().cast("array<string>")
@@ -86,7 +86,8 @@ def candidates(docs: DataFrame, text: str, key: str, owner: Column, repository:
     rows = rows.select("id", "th", "owner", "repository", F.filter(spans[0], lambda s: F.length(s["value"]) >= ASSIGN_LENGTH).alias("a"), spans[1].alias("b"), spans[2].alias("c"), F.filter(spans[3], lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]")).alias("d"))
     rows = rows.select("id", "th", "owner", "repository", F.array_sort(F.concat("a", "b", "c")).alias("base"), "d")
     added = F.filter("d", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return rows.select("id", "th", "owner", "repository", "base", added.alias("added"))
+    hashed = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash")))
+    return rows.select("id", "th", "owner", "repository", hashed(F.col("base")).alias("base"), hashed(added).alias("added"))
 
 
 def _joined(spans: Column) -> Column:
@@ -97,7 +98,7 @@ def _joined(spans: Column) -> Column:
 def ownership(found: DataFrame) -> DataFrame:
     """(value_hash, n_rows, n_owners, n_repositories) of each candidate value, aggregated map-side first."""
     spans = found.select("owner", "repository", F.explode(F.concat("base", "added")).alias("s"))
-    each = spans.groupBy(F.sha2(F.col("s.value"), 256).alias("value_hash"), "owner", "repository").agg(F.count("*").alias("n"))
+    each = spans.groupBy(F.col("s.hash").alias("value_hash"), "owner", "repository").agg(F.count("*").alias("n"))
     owners = each.groupBy("value_hash", "owner").agg(F.sum("n").alias("n")).groupBy("value_hash").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_owners"))
     repositories = each.groupBy("value_hash", "repository").agg(F.lit(1).alias("one")).groupBy("value_hash").agg(F.count("*").alias("n_repositories"))
     return owners.join(repositories, "value_hash")
@@ -106,9 +107,9 @@ def ownership(found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, owner: Column, repository: Column, most_owners: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: key, th (hash of the text), base, all_spans (start, kind, end, n_owners, n_repositories), joined digests and counts."""
     found = written(candidates(docs, text, key, owner, repository), "candidates")
-    freq = ownership(found)
+    freq = written(ownership(found), "ownership")  # a table, so that both sides of the join are plain exchanges, whose skew can be split
     once = found.where("size(base) + size(added) > 0").dropDuplicates(["id", "th"]).select("id", "th", F.explode(F.concat("base", "added")).alias("s"))
-    once = once.select("id", "th", "s.start", "s.kind", "s.end", F.sha2("s.value", 256).alias("value_hash"))
+    once = once.select("id", "th", "s.start", "s.kind", "s.end", F.col("s.hash").alias("value_hash"))
     known = once.join(freq, "value_hash").where((F.col("kind") < 3) | (F.col("n_owners") <= most_owners))
     per_text = known.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "n_owners", "n_repositories"))).alias("all_spans"))
     per_text = per_text.select(F.col("id").alias("i2"), F.col("th").alias("h2"), "all_spans")
@@ -126,10 +127,14 @@ def scan(docs: DataFrame, owner: Column, repository: Column, most_owners: int =
 def redact(docs: DataFrame, owner: Column, repository: Column, most_owners: int = 1, text: str = "text", key: str = "doc_id", was: str | None = None) -> DataFrame:
     """``docs`` with every span replaced: live-looking values by [SECRET], copied examples by [EXAMPLE]. Touching
     or overlapping spans become one mark, a live one if any part is. Texts without spans stay as they are; ``was`` names a column
-    that tells whether a row was changed."""
-    spans = scan(docs, owner, repository, most_owners, text, key).where("size(all_spans) > 0").select(F.col(key).alias("_key_of_spans"), F.col("th").alias("_hash_of_spans"), F.col("all_spans").alias("_spans_of_text")).dropDuplicates(["_key_of_spans", "_hash_of_spans"])
+    that tells whether a row was changed. Helper columns take names that the table hasn't."""
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    of_key, of_text, found, hashed = (mark + n for n in ("key", "text", "spans", "hash"))
+    spans = scan(docs, owner, repository, most_owners, text, key).where("size(all_spans) > 0").select(F.col(key).alias(of_key), F.col("th").alias(of_text), F.col("all_spans").alias(found)).dropDuplicates([of_key, of_text])
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    both = docs.withColumn("_hash_of_text", F.xxhash64(t)).join(spans, F.col(key).cast("long").eqNullSafe(F.col("_key_of_spans")) & (F.col("_hash_of_text") == F.col("_hash_of_spans")), "left")
+    both = docs.withColumn(hashed, F.xxhash64(t)).join(spans, F.col(key).cast("long").eqNullSafe(F.col(of_key)) & (F.col(hashed) == F.col(of_text)), "left")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     runs_zero = F.array().cast("array<struct<start:int,end:int,live:boolean>>")
 
@@ -142,11 +147,11 @@ def redact(docs: DataFrame, owner: Column, repository: Column, most_owners: int
     def put(acc: Column, r: Column) -> Column:
         return F.struct(r["end"].alias("at"), F.concat(acc["out"], F.substring(t, acc["at"] + 1, r["start"] - acc["at"]), F.when(r["live"], "[SECRET]").otherwise("[EXAMPLE]")).alias("out"))
 
-    runs = F.aggregate("_spans_of_text", runs_zero, merge)
+    runs = F.aggregate(found, runs_zero, merge)
     clean = F.aggregate(runs, zero, put, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
     if was:
-        both = both.withColumn(was, F.col("_spans_of_text").isNotNull())
-    return both.withColumn(text, F.when(F.col("_spans_of_text").isNotNull(), clean).otherwise(F.col(text))).drop("_hash_of_text", "_key_of_spans", "_hash_of_spans", "_spans_of_text")
+        both = both.withColumn(was, F.col(found).isNotNull())
+    return both.withColumn(text, F.when(F.col(found).isNotNull(), clean).otherwise(F.col(text))).drop(hashed, of_key, of_text, found)
 
 
 def oracle(most_owners: int = 1) -> str:

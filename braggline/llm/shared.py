@@ -18,10 +18,13 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """A folder of this application under ``spark.checkpoint.dir``. Where that is unset, a folder of our own serves
+    local runs (tests) alone: on a cluster, executors don't share the driver's disk, and that is an error."""
     if not (base := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/braggline-shared"
-    return base.rstrip("/")
+    return f"{base.rstrip('/')}/braggline-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -69,11 +72,11 @@ def _clean() -> None:
 
 
 def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable, for every node that has an edge.
+    """(node, component), a written table: the smallest node reachable, for every node that has an edge.
 
-    Alternating large-star and small-star steps on the edge list, each an aggregate and a join that skew
-    handling can split; edges are never gathered in one task or on the driver. Nulls and loops are ignored;
-    no edges give no rows.
+    Alternating large-star and small-star steps on the edge list, each an aggregate and a join of written tables, whose
+    plain exchanges skew handling can split; edges are never gathered in one task or on the driver. Nulls and loops
+    are ignored; no edges give no rows.
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u > v").distinct()
     e = written(e, "edges")
@@ -85,13 +88,16 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
         mark = (n, s)
         # large star: every larger neighbour of a node links to the least of the node and its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        least = written(least, "least")  # a table, so that the join's two sides are plain exchanges whose skew can be split
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m")), "least")
         large = both.join(least, both["u"] == least["c"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = written(large, "large")
+        drop(e, least)
         # small star: a node and its smaller neighbours link to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c"), "least")
         small = large.join(least, large["u"] == least["c"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u > v").distinct()
-        new = written(small, "edges")
-        drop(e)
-        e = new
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        e = written(small, "edges")
+        drop(large, least)
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = written(out, "components")
+    drop(e)
+    return out

@@ -190,3 +190,31 @@ def test_pipeline(spark, tmp_path):
     assert "[SECRET]" in kept[1002].text and "0123456789abcdef" not in kept[1002].text and kept[1002].n_chars == len(kept[1002].text)
     pieces = corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).collect()
     assert {x.doc_id for x in pieces} == kept.keys() and all(x.n == x.d for x in pieces)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Two texts under one id, very long texts, repeated rows, columns of clashing names, and empty tables."""
+    r = random.Random(13)
+    one, other, long = gibberish(r, 80), gibberish(r, 90), gibberish(r, 60_000)
+    rows = [(1, one), (1, other), (1, other), (2, one + " "), (3, long), (4, long + " more"), (5, None), (5, ""), (None, one)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "own") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _row string")
+    docs = docs.select("*", *(F.lit("own").alias(c) for c in ("id", "th", "_th", "_least", "_was", "h", "a")))
+
+    def tables(folder, docs, labels, items):
+        docs.write.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{folder}/labels.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/{folder}/benchmark.parquet")
+        return f"{tmp_path}/{folder}"
+
+    path = tables("odd", docs, [(1, 1, 0)], [(1, gibberish(r, 20))])
+    was = dict(spark.conf.getAll)
+    step = spark.read.parquet(f"{path}/documents.parquet")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, step, path).write.parquet(f"{path}/{i}")
+        step = spark.read.parquet(f"{path}/{i}")
+        assert step.columns == docs.columns and {x.th for x in step.collect()} == {"own"}
+    assert sorted((x.doc_id or 0, x.text or "") for x in step.collect()) == sorted([(0, one), (1, one), (1, other), (3, long), (5, "")])
+    pieces = corpus_pipeline.run(spark, path)
+    assert pieces.select("doc_id").distinct().count() == 4 and dict(spark.conf.getAll) == was
+    empty = tables("empty", docs.limit(0), [], [])
+    assert corpus_pipeline.run(spark, empty).count() == 0

@@ -140,6 +140,11 @@ def test_secrets(spark):
     clean = {r.doc_id: r.text for r in secret_scan.redact(df, F.col("source"), F.col("lang")).collect()}
     assert clean[1] == 'é𝔘 [SECRET]" then password:short' and clean[11] == ODD[3] and clean[8] is None
     assert clean[7] == "[SECRET]' token=" + "b" * 11
+    clashing = df.select("*", *(F.lit("own").alias(n) for n in ("_spans", "__hash", "_key", "_spans_of_text", "_hash_of_text", "th")))
+    kept = secret_scan.redact(clashing, F.col("source"), F.col("lang"))
+    assert kept.columns == clashing.columns and {r.doc_id: r.text for r in kept.collect()} == clean and {r["__hash"] for r in kept.collect()} == {"own"}
+    # plain values aren't kept anywhere
+    assert owned not in str(secret_scan.candidates(df, "text", "doc_id", F.col("source"), F.col("lang")).collect())
     assert secret_scan.scan(df.limit(0), F.col("source"), F.col("lang")).count() == 0
 
 
