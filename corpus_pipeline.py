@@ -16,50 +16,47 @@ from braggline.llm.queries import repository, table, toxicity_model
 from braggline.llm.shared import written
 
 
-#: Rows of a batch between Spark and its Python workers: documents are long, and stages share the workers' memory.
-ROWS_A_BATCH = 1000
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that the table hasn't."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    return name
 
 
-def lean(stage):
-    """The stage with smaller Arrow batches, unless the session has another size than Spark's own."""
-
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        if spark.conf.get(key) == "10000":
-            spark.conf.set(key, str(ROWS_A_BATCH))
-        return stage(spark, docs, sf_dir)
-
-    run.__name__, run.__doc__ = stage.__name__, stage.__doc__
-    return run
-
-
-@lean
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The classifier learns from the labelled rows among the stage's own documents."""
     return toxicity.accepted(docs, toxicity_model(docs, spark, sf_dir))
 
 
-@lean
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group stays, once. Documents without an id link with nothing and stay."""
-    kept = minhash_dedup.near_duplicates(docs.where("doc_id is not null").select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    once = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """The document of least id of each group stays, once. Documents without an id link with nothing and stay. Of
+    several texts under one id, all but one take a number beyond all ids, so that each is a document of its own."""
+    known, row, th, least = docs.where("doc_id is not null"), fresh(docs, "_row"), fresh(docs, "_th"), fresh(docs, "_least")
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = known.groupBy("doc_id").agg(F.min(hashed).alias(least), F.max(hashed).alias(th)).where(F.col(least) < F.col(th))
+    several = written(several.select("doc_id", least), "several")
+    if several.isEmpty():
+        known = known.withColumn(row, F.col("doc_id"))
+    else:
+        known = known.join(several, "doc_id", "left").withColumn(th, hashed)
+        beyond = F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", th), F.lit(1 << 62))
+        known = known.withColumn(row, F.when(F.col(th) > F.col(least), beyond).otherwise(F.col("doc_id"))).drop(th, least)
+    kept = minhash_dedup.near_duplicates(known.select(row, "text"), key=row).where("kept").select(row).distinct()
+    once = known.join(kept, row, "left_semi").dropDuplicates([row])
+    return once.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
-@lean
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-@lean
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars follows the new text where a secret was masked."""
-    out = secret_scan.redact(docs, F.col("source"), repository(), was="_was")
-    return out.withColumn("n_chars", F.when(F.col("_was"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    was = fresh(docs, "_was")
+    out = secret_scan.redact(docs, F.col("source"), repository(), was=was)
+    return out.withColumn("n_chars", F.when(F.col(was), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
-@lean
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
