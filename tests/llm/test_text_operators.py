@@ -376,6 +376,62 @@ def test_passages_of_known_fragments(spark):
     assert min(x.n_words for x in got) >= 40
 
 
+def equal_runs(a, b, least):
+    """Maximal stretches (start in a, end in a) of ``least`` words or more that b holds as well."""
+    grams = {}
+    for j in range(len(b) - least + 1):
+        grams.setdefault(tuple(b[j : j + least]), []).append(j)
+    out = set()
+    for i in range(len(a) - least + 1):
+        for j in grams.get(tuple(a[i : i + least]), ()):
+            if not (i and j and a[i - 1] == b[j - 1]):
+                n = least
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                out.add((i, i + n))
+    return out
+
+
+def test_passages_by_brute_force(spark):
+    """Random families of overlapping, cut and edited passages: every stretch of over 50 words that an earlier text
+    holds is reported, and whatever is reported is as equal as it says."""
+    r = random.Random(15)
+    families = [gibberish(r, r.randint(60, 140)).split() for _ in range(14)]
+
+    def passage():
+        w = list(r.choice(families))
+        if r.random() < 0.5:
+            a = r.randrange(len(w) - 24)
+            w = w[a : a + r.randint(24, len(w))]
+        for _ in range(r.choice((0, 0, 0, 1, 3))):
+            at = r.randrange(len(w))
+            w[at : at + 1] = r.choice(([], [gibberish(r, 1)], [w[at], gibberish(r, 1)]))
+        return " ".join(w)
+
+    texts = {i: " ".join(x for _ in range(r.randint(1, 3)) for x in (gibberish(r, r.randint(0, 60)), passage())) for i in range(120)}
+    # two texts under one id, and a very long one
+    rows = [*texts.items(), (500, gibberish(r, 50_000) + " " + " ".join(families[0])), (501, "a"), (501, gibberish(r, 80)), (501, "a")]
+    got = passages.repeats(frame(spark, rows)).collect()
+    split = {i: lower(t).split() for i, t in rows}
+    assert any(x.doc_id == 500 and x.n_words >= len(families[0]) for x in got)
+    wanted = found = 0
+    for i in texts:
+        of = [x for x in got if x.doc_id == i]
+        for a, b in {run for j in range(i) for run in equal_runs(split[i], split[j], 51)}:
+            wanted += 1
+            found += any(x.first_word <= a + 2 and x.first_word + x.n_words >= b - 2 for x in of) or sum(max(0, min(b, x.first_word + x.n_words) - max(a, x.first_word)) for x in of) >= 0.9 * (b - a)
+    assert wanted > 150 and found >= 0.97 * wanted
+    for x in got:
+        a, b = split[x.doc_id][x.first_word :][: x.n_words], split[x.other_doc_id][x.other_first_word :][: x.other_n_words]
+        row = [0] * (len(b) + 1)
+        for u in a:
+            last = row
+            row = [0]
+            for k, v in enumerate(b):
+                row.append(last[k] + 1 if u == v else max(last[k + 1], row[k]))
+        assert min(len(a), len(b)) >= 40 and x.n_equal <= row[-1] and x.identity == pytest.approx(x.n_equal / max(len(a), len(b))) and x.identity >= 0.8
+
+
 def test_passages_of_many_changes(spark):
     # 40 words of which one in 9 is changed
     r = random.Random(6)
