@@ -7,7 +7,8 @@ the second pass cuts at multiples of the sequence length and writes one boundary
 
 Only the end of the whole row can need padding; it is cut into power-of-two sequences, which need none.
 
-Null texts count as empty: a document without text still has its end id. Repeated rows are packed as often as
+Very long texts are encoded in memory that follows the text and cut into as many pieces as they need. Null texts count
+as empty: a document without text still has its end id. Repeated rows are packed as often as
 they occur, null ids stay null, an empty table gives no pieces, and further columns are ignored.
 """
 
@@ -156,20 +157,23 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     table = written(tokenised(docs, tokenizer, text, key, end_id), "tokens")
     totals = table.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    # one row per partition of the input, whatever its rows
+    # one row per partition of the input, whatever its rows; 8 bytes for each go to the executors
     sums = totals.select("part", "n", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset")).toPandas()
-    offset_of = dict(zip(sums["part"].tolist(), sums["offset"].tolist(), strict=True))
+    offsets = np.zeros(int(sums["part"].max()) + 1 if len(sums) else 0, np.int64)
+    offsets[sums["part"].to_numpy(np.int64)] = sums["offset"].to_numpy(np.int64)
+    shipped = docs.sparkSession.sparkContext.broadcast(offsets)
     total = int(sums["n"].sum()) if len(sums) else 0
     full, last = total // length, bounds_of(total, length)
     wide = word_tokens(tokenizer).dtype is np.uint32
 
     def cut(batches):
+        offset_of = shipped.value
         for batch in batches:
             keys, parts, before, n_tokens, blobs = (batch.column(i) for i in range(5))
             out: list[list] = [[] for _ in range(7)]
             for k, p, b, n, blob in zip(keys.to_pylist(), parts.to_pylist(), before.to_pylist(), n_tokens.to_pylist(), blobs, strict=True):
                 ids = np.frombuffer(blob.as_buffer(), np.uint32 if wide else np.uint16).astype("<u4")
-                place, start = offset_of[p] + b, 0
+                place, start = int(offset_of[p]) + b, 0
                 while start < n:
                     if (sequence := place // length) < full:
                         first, end = sequence * length, (sequence + 1) * length

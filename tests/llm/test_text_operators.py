@@ -79,7 +79,7 @@ def test_prefix_counts(spark):
 
 def test_packing(spark):
     tok = Tokenizer.from_file(WORDS)
-    texts = [*ODD, ODD[3], ODD[3], gibberish(random.Random(2), 900)]
+    texts = [*ODD, ODD[3], ODD[3], gibberish(random.Random(2), 900), gibberish(random.Random(2), 40_000)]
     ids = [[*tok.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
     got = packing.pack(frame(spark, list(enumerate(texts))).repartition(3, "doc_id"), WORDS, length=64).collect()
     by_doc, by_sequence = {}, {}
