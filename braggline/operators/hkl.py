@@ -99,10 +99,20 @@ def intensity(hkls: DataFrame, atoms: DataFrame, key: str = "structure_id", tabl
 
 def groupby_isclose(df: DataFrame, value: str, atol: float, rtol: float = 0.0, key: str | None = "structure_id", out: str = "ring_id") -> DataFrame:
     """Single-linkage groups of sorted values: a new one begins where the gap to the value before exceeds
-    atol + rtol * value (strictly). Numbers start at 0 in each partition of ``key``."""
-    part = Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))
-    order = part.orderBy(value, *[c for c in ("h", "k", "l") if c in df.columns])
-    gap = F.coalesce(F.col(value) - F.lag(value).over(order), F.lit(0.0)) > F.lit(float(atol)) + F.lit(float(rtol)) * F.col(value)
+    atol + rtol * value (strictly). Numbers start at 0 in each partition of ``key``. Without a key the whole table is one
+    partition: it is cut into ranges of values, which are numbered apart and joined by what one row a range tells."""
+    far = lambda x, before: F.coalesce(x - before, F.lit(0.0)) > F.lit(float(atol)) + F.lit(float(rtol)) * x
+    if key is None:
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        bounds = sorted(set(df.where(~F.isnan(F.col(value).cast("double"))).approxQuantile(value, [i / n for i in range(1, n)], 0.01)))
+        ranges = df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col(value))) if bounds else F.lit(0))
+        ranges = groupby_isclose(ranges, value, atol, rtol, "_range", "_own")
+        each, order = ranges.groupBy("_range").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.max("_own").alias("_last")), Window.orderBy("_range")
+        steps = far(F.col("_lo"), F.lag("_hi").over(order)).cast("bigint") + F.coalesce(F.lag("_last").over(order), F.lit(0))
+        each = each.select("_range", steps.alias("_step")).select("_range", F.sum("_step").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_before"))
+        return ranges.join(F.broadcast(each), "_range").withColumn(out, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
+    order = Window.partitionBy(key).orderBy(value, *[c for c in ("h", "k", "l") if c in df.columns])
+    gap = far(F.col(value), F.lag(value).over(order))
     return df.withColumn("_new", gap.cast("bigint")).withColumn(out, F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 

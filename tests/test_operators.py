@@ -123,6 +123,10 @@ def test_forward_general(spark):
 def test_rings(spark):
     df = spark.createDataFrame([(x,) for x in (0.1, 0.1005, 0.1012, 0.2, 0.2009, 0.2019001)], "ds double")
     assert [r.ring_id for r in hkl.groupby_isclose(df, "ds", 0.001, key=None).orderBy("ds").collect()] == [0, 0, 0, 1, 1, 2]
+    many = spark.range(3000).select((F.pmod(F.xxhash64("id"), F.lit(100000)) / 7.0).alias("ds")).withColumn("one", F.lit(1))
+    apart, together = ({(r.ds, r.ring_id) for r in hkl.groupby_isclose(many, "ds", 4.0, 1e-4, key=k).collect()} for k in (None, "one"))
+    assert apart == together and max(r for _, r in apart) > 300
+    assert hkl.groupby_isclose(many.limit(0), "ds", 4.0, key=None).count() == 0
     # exactly at the tolerance nothing splits
     df = spark.createDataFrame([(0.0,), (0.5,), (1.0,)], "ds double")
     assert {r.ring_id for r in hkl.groupby_isclose(df, "ds", 0.5, key=None).collect()} == {0}
