@@ -67,7 +67,10 @@ class PrefixCounter:
         self.longest: dict[bytes, int] = {}
         for t in self.right:
             self.longest[t[-2:]] = max(self.longest.get(t[-2:], 1), len(t))
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
+        self.tokens = list(self.right)
+        self.number = {t: i for i, t in enumerate(self.tokens)}
+        #: By the numbers of two tokens, in one: whether they are compatible.
+        self.fits: dict[int, bool] = {}
         self.swept: dict[str, int] = {}
         self.pieces: dict[str, int] = {}
 
@@ -87,25 +90,26 @@ class PrefixCounter:
 
     def sweep(self, piece: bytes) -> list[int]:
         """Token counts of the prefixes of 0, 1, ... len(piece) bytes of one piece."""
-        counts, last = [0], [b""]
-        tokens, fits, longest = self.right, self.fits, self.longest
+        counts, last = [0], [-1]
+        number, fits, longest = self.number.get, self.fits, self.longest.get
         if len(fits) > 1_000_000:
             fits.clear()
         for i in range(1, len(piece) + 1):
-            for j in range(max(0, i - longest.get(piece[max(0, i - 2) : i], 1)), i):
-                t = piece[j:i]
-                if t in tokens:
-                    if j:
-                        pair = (last[j], t)
-                        if (ok := fits.get(pair)) is None:
-                            ok = fits[pair] = self.compatible(*pair)
-                        if not ok:
-                            continue
-                    counts.append(counts[j] + 1)
-                    last.append(t)
-                    break
+            j = max(0, i - longest(piece[max(0, i - 2) : i], 1))
+            while j < i:  # the longest token first
+                if (t := number(piece[j:i])) is not None:
+                    if not j:
+                        break
+                    pair = last[j] << 32 | t
+                    if (ok := fits.get(pair)) is None:
+                        ok = fits[pair] = self.compatible(self.tokens[last[j]], self.tokens[t])
+                    if ok:
+                        break
+                j += 1
             else:
                 raise ValueError("a byte of the text has no token")
+            counts.append(counts[j] + 1)
+            last.append(t)
         return counts
 
     def unit(self, text: str) -> int:
