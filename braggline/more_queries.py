@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from .operators import forward, hkl, spacegroup
 from .operators.forward import Setup
 from .operators.structure import Structure
 from .queries import _CELL_SQL, _HKL_RANGE, _KEYS, COV_DIGITS, FE, GENERAL, TI, TILTED, _cov_sql, forward_rows, forward_sql, grains, query, r, rounded, sr, table
-from .streaming.peaks import stream_peaks_to_q
+from .streaming.peaks import finished, stream_peaks_to_q
 
 NACL, PEROVSKITE = 5.64, 3.905
 #: structure: (space group, cell, sites); strontium has no coefficients and is taken by the general rule.
@@ -99,17 +100,12 @@ _OPS = {1: 1, 2: 2, 4: 2, 14: 4, 15: 8, 19: 4, 33: 4, 61: 8, 62: 8, 63: 16, 71:
 @query(f"SELECT n AS number, CAST(m AS BIGINT) AS n_ops, true AS by_name FROM (VALUES {', '.join(map(str, _OPS.items()))}) t(n, m)")
 def space_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of general positions of the named groups, by number and by name; no CIF."""
-    out = None
-    for number, name, _ in spacegroup.GROUPS:
-        a, b = spacegroup.from_number(spark, number), spacegroup.from_name(spark, name)
-        one = a.join(b, ["rot", "trans"]).agg(F.lit(number).alias("number"), F.count("*").alias("n_ops"))
-        one = one.withColumn("by_name", F.lit(len(spacegroup.operations(name_hall(number)))) == F.col("n_ops"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def name_hall(number: int) -> str:
-    return next(h for n, _, h in spacegroup.GROUPS if n == number)
+    numbered = [spacegroup.from_number(spark, n, str(n)) for n, *_ in spacegroup.GROUPS]
+    named = [spacegroup.from_name(spark, name, str(n)) for n, name, _ in spacegroup.GROUPS]
+    both = (reduce(DataFrame.unionByName, x) for x in (numbered, named))
+    counts = [x.groupBy("structure_id").agg(F.count("*").alias(c)) for x, c in zip(both, ("n_ops", "m_ops"), strict=True)]
+    out = counts[0].join(counts[1], "structure_id")
+    return out.select(F.col("structure_id").cast("int").alias("number"), "n_ops", (F.col("n_ops") == F.col("m_ops")).alias("by_name"))
 
 
 _ANGLE = "SELECT p_partkey, radians(CAST(p_partkey % 360 - 180 AS DOUBLE) + 0.25) AS t FROM part"
@@ -244,13 +240,10 @@ def cov_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT event_id, {sr('ds', 5)} AS ds, {sr('tth', 5)} AS tth FROM (SELECT event_id, 2 * sin(radians(tth) / 2) / {TILTED.wavelength!r} AS ds, tth FROM (SELECT event_id, degrees(acos(x / sqrt(x*x + y*y + z*z))) AS tth FROM (SELECT event_id, {', '.join(f'({row[1]!r}) * y + ({row[2]!r}) * z' + (f' + {_D.distance!r}' if i == 0 else '') + f' AS {c}' for i, (c, row) in enumerate(zip('xyz', _DR, strict=True)))} FROM (SELECT event_id, {_D.y_size!r} * (CAST(event_id % 2048 AS DOUBLE) - {_D.y_center!r}) AS y, {_D.z_size!r} * (CAST(event_id * 7 % 2048 AS DOUBLE) - {_D.z_center!r}) AS z FROM events))))")
 def streamed_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The inverse path on a stream of the events' file, run once over all of it into memory."""
+    """The inverse path on a stream of the events' file, run once over all of it into a table of files."""
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     k = F.col("event_id")
     peaks = events.select("event_id", (k * 7 % 2048).cast("double").alias("sc"), (k % 2048).cast("double").alias("fc"), F.lit(0.0).alias("omega"))
     found = stream_peaks_to_q(peaks, TILTED).select("event_id", "ds", "tth")
-    name = "braggline_streamed_peaks"
-    run = found.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return rounded(spark.table(name), ("ds", "tth"), 5)
+    return rounded(finished(spark, found, "streamed-peaks"), ("ds", "tth"), 5)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.forward import Setup
@@ -18,3 +21,16 @@ def stream_powder_histogram(peaks: DataFrame, setup: Setup, time: str, window: s
     """(window, bin, n): peaks by time window and 2 theta bin; rows later than ``late`` are left out."""
     q = peaks_to_q(peaks.withWatermark(time, late), setup)
     return q.groupBy(F.window(time, window).alias("window"), F.floor(F.col("tth") / width).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def finished(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """A stream of what is there now, run to its end into files and read back. They and the stream's checkpoint stand in
+    the folder of ``spark.checkpoint.dir``; one of our own serves local runs alone."""
+    if not (base := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/braggline-streams"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    run = stream.writeStream.format("parquet").option("path", f"{path}/table").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/table")
