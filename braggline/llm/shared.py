@@ -11,7 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders written by this driver, removed when it ends; callers drop them earlier where they can.
+#: Tables written by this driver, removed with their folder when it ends; callers drop them earlier where they can.
 _WRITTEN: list[tuple[SparkSession, str]] = []
 #: Spark's own setting that removes a query's shuffle files when it ends, and not when its plan is collected as garbage.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -64,7 +64,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _WRITTEN:
+    folders = {path.rsplit("/", 1)[0]: spark for spark, path in _WRITTEN}
+    for path, spark in folders.items():
         try:
             _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session may be gone already
