@@ -92,10 +92,28 @@ class Index:
         for k in range(1, K + 1):
             of = [x for x in hs if len(x) == k or k == K and len(x) > k]
             if of:
-                known = np.unique(np.concatenate([shingles(x, K) if k == K else shingle_set(x, K) for x in of]))
+                own = [shingles(x, K) if k == K else shingle_set(x, K) for x in of]
+                # the lengths of the items that hold a shingle stand in rows first[i] to first[i + 1] of sizes
+                pairs = np.unique(np.stack([np.concatenate(own), np.repeat(np.array([len(x) for x in of], np.uint64), [len(x) for x in own])], axis=1), axis=0)
+                known, first = np.unique(pairs[:, 0], return_index=True)
                 table = np.zeros(_BITS, bool)
                 table[(known >> np.uint64(44)).astype(np.int64)] = True
-                self.gate[k] = (known, table)
+                self.gate[k] = (known, table, np.append(first, len(pairs)), pairs[:, 1].astype(np.int64))
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_listed"}
+
+    @staticmethod
+    def _spots(keys: np.ndarray) -> np.ndarray:
+        """Places of keys in the table of listed ones; keys of one size and block differ by exclusive or."""
+        return ((mix((keys >> _WIDTH).astype(np.uint64)) >> np.uint64(40)).astype(np.int64)) ^ (keys & ((1 << _WIDTH) - 1))
+
+    def listed(self) -> np.ndarray:
+        """A table that tells most keys that aren't in the index, made where it is used."""
+        if not hasattr(self, "_listed"):
+            self._listed = np.zeros(1 << 24, bool)
+            self._listed[self._spots(self.key)] = True
+        return self._listed
 
     @staticmethod
     def keys(prints: np.ndarray, size: np.ndarray | int, block: int) -> np.ndarray:
@@ -106,11 +124,14 @@ class Index:
         """(window, item) pairs within the radius, items having ``size`` words."""
         found, asked = [], masks(RADIUS // BLOCKS - LISTED)
         for b in range(BLOCKS):
-            k = (self.keys(prints, size, b)[:, None] ^ asked[None, :]).ravel()
+            k = self.keys(prints, size, b)
+            spot = int(self._spots(self.keys(np.zeros(1, np.uint64), size, b))[0])
+            window, change = np.nonzero(self.listed()[(k & ((1 << _WIDTH) - 1) ^ spot)[:, None] ^ asked[None, :]])
+            k = k[window] ^ asked[change]
             lo, hi = np.searchsorted(self.key, k, "left"), np.searchsorted(self.key, k, "right")
             n = hi - lo
             if n.any():
-                window = np.repeat(np.arange(len(k)) // len(asked), n)
+                window = np.repeat(window, n)
                 at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
                 item = self.item[at]
                 near = np.bitwise_count(prints[window] ^ self.print[item]) <= RADIUS
@@ -123,21 +144,32 @@ class Index:
     def hits(self, h: np.ndarray, end_of: np.ndarray) -> np.ndarray:
         """Words at which some item's shingle begins; ``end_of``: end of the document of each word."""
         out = np.zeros(len(h), bool)
-        for k, (known, table) in self.gate.items():
+        for k, (known, table, *_) in self.gate.items():
             x = shingles(h, k) if k == K else shingle_sequence(h, k)  # whole short items are hashed as sequences
             at = np.flatnonzero(table[(x >> np.uint64(44)).astype(np.int64)])
             at = at[known[np.minimum(np.searchsorted(known, x[at]), len(known) - 1)] == x[at]]
             out[at[at + k <= end_of[at]]] = True
         return out
 
+    def lengths(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Lengths of the items that have a shingle at these places: no other item can be found around them."""
+        out = [np.zeros(0, np.int64)]
+        for k, (known, _, first, sizes) in self.gate.items():
+            x = np.unique((shingles(h, k) if k == K else shingle_sequence(h, k))[at[at <= len(h) - k]])
+            i = np.minimum(np.searchsorted(known, x), len(known) - 1)
+            out += [sizes[first[j] : first[j + 1]] for j in i[known[i] == x].tolist()]
+        return np.unique(np.concatenate(out))
+
     def search(self, h: np.ndarray, hit: np.ndarray) -> list[tuple[int, int, float]]:
         """(first word, item number, similarity): the best window of each item in one document."""
         best: dict[int, tuple[float, int]] = {}
-        longest = int(self.sizes[-1])
         seen = np.concatenate([[0], np.cumsum(hit)])
-        for a, b in regions(np.flatnonzero(hit), longest, len(h)):
+        for a, b in regions(np.flatnonzero(hit), int(self.sizes[-1]), len(h)):
+            lengths = self.lengths(h[a:b], np.flatnonzero(hit[a:b])).tolist()
+            if not lengths:
+                continue
             sums = bit_sums(h[a:b])
-            for size in map(int, self.sizes):
+            for size in lengths:
                 if size > b - a:
                     break
                 starts = np.arange(a, b - size + 1)
