@@ -72,7 +72,10 @@ class Templates:
                 of = np.array([i for i, k in enumerate(kind) if k == c])
                 least = np.array([[(self.sets[i] * a + b).min() for i in of] for a, b in zip(self.a, self.b, strict=True)], np.uint64)
                 order = np.argsort(least, axis=1, kind="stable")
-                self.classes[c] = (np.take_along_axis(least, order, axis=1), of[order])
+                # and which first bits the least values of any band have, as most windows have none of them
+                listed = np.zeros(1 << 20, bool)
+                listed[(least >> np.uint64(44)).astype(np.int64)] = True
+                self.classes[c] = (np.take_along_axis(least, order, axis=1), of[order], listed)
         # by number of words: sorted hashes of whole short templates
         self.short = {n: dict(sorted((int(self.sets[i][0]), i) for i in range(len(self.sets)) if self.words[i] == n)) for n in set(self.words) if n < K}
 
@@ -81,20 +84,21 @@ class Templates:
         if not len(x):
             return {}
         found: dict[int, list[np.ndarray]] = {c: [] for c in self.classes}
+        none = np.array([np.iinfo(np.uint64).max], np.uint64)
         with np.errstate(over="ignore"):
             for band in range(BANDS):
                 value = x * self.a[band] + self.b[band]
                 done, block = 0, value
-                for c, (least, of) in self.classes.items():
+                for c, (least, of, listed) in self.classes.items():
                     while done < c:  # halve: least of every two blocks
-                        block = np.minimum(block[0::2], np.append(block[1::2], [np.iinfo(np.uint64).max] * (len(block) % 2)))
+                        block = np.minimum(block[0::2], np.append(block[1::2], none[: len(block) % 2]))
                         done += 1
-                    window = np.minimum(block, np.append(block[1:], np.uint64(np.iinfo(np.uint64).max)))
-                    lo, hi = np.searchsorted(least[band], window, "left"), np.searchsorted(least[band], window, "right")
-                    at = np.flatnonzero(hi > lo)
-                    for w in at:
-                        for t in of[band][lo[w] : hi[w]]:
-                            found[c].append((w, t))
+                    window = np.minimum(block, np.append(block[1:], none))
+                    at = np.flatnonzero(listed[(window >> np.uint64(44)).astype(np.int64)])
+                    lo, hi = np.searchsorted(least[band], window[at], "left"), np.searchsorted(least[band], window[at], "right")
+                    for i in np.flatnonzero(hi > lo):
+                        for t in of[band][lo[i] : hi[i]]:
+                            found[c].append((at[i], t))
         return {c: np.unique(np.array(v, np.int64), axis=0) for c, v in found.items() if v}
 
     def places(self, at: np.ndarray, x: np.ndarray, t: int) -> list[tuple[float, int, int]]:

@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting(), text: str = "
     # texts of the nodes that share a key, read once
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     needed = written(reps.select("rep", "th").join(shared.select("rep").distinct(), "rep").withColumnRenamed("rep", "id"), "needed")
-    texts = written(source.withColumn("th", F.xxhash64("text")).join(needed, ["id", "th"], "left_semi").dropDuplicates(["id"]), "texts")
+    texts = written(source.withColumn("th", F.xxhash64("text")).join(needed.hint("merge"), ["id", "th"], "left_semi").dropDuplicates(["id"]), "texts")
     needed_table, needed = needed, needed.select("id")
     bits = F.struct("s1", "s2", *(F.col("parity")[i].alias(f"p{i}") for i in range(PARITY_LONGS))).alias("bits")
     nodes = _sole(texts, s).join(reps.select(F.col("rep").alias("id"), "n", bits), "id", "right").select(F.col("id").alias("rep"), "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("m"), "bits")
