@@ -13,6 +13,7 @@ from .functions import linalg as la
 from .operators import forward, hkl, spacegroup
 from .operators.forward import Setup
 from .operators.structure import Structure
+from .plans import sql as sql_functions
 from .queries import _CELL_SQL, _HKL_RANGE, _KEYS, COV_DIGITS, FE, GENERAL, TI, TILTED, _cov_sql, forward_rows, forward_sql, grains, query, r, rounded, sr, table
 from .streaming.peaks import finished, stream_peaks_to_q
 
@@ -181,6 +182,23 @@ def relative_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hkl.groupby_isclose(v, "x", 0.5, 0.001, key="p_size", out="group_id")
 
 
+@query(f"""{_CELL_SQL} SELECT v.p_partkey, {sr('vol')} AS volume, {sr('degrees(atan2(-(v.p_partkey % 9 - 4.5), v.p_partkey % 5 + 1))')} AS eta, {sr('(v.p_partkey % 13 - 6) * 0.25')} AS x, {sr('-(v.p_partkey % 17 - 8) * 0.25')} AS y FROM v""")
+def sql_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other SQL functions, called from SQL."""
+    sql_functions.register(spark)
+    table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 10.0).alias("s")).createOrReplaceTempView("braggline_parts")
+    return spark.sql("""SELECT p_partkey, round(metric_to_volume(3 + s, 3.2D + s, 3.5D + s, 85 + p_partkey % 11, 88 + p_partkey % 5, 95 - p_partkey % 7), 6) + 0.0D AS volume,
+        round(q_lab_to_eta(p_partkey % 9 - 4.5D, p_partkey % 5 + 1), 6) + 0.0D AS eta, round(step_to_sample_x(cast(p_partkey % 13 - 6 AS INT), 0.25D), 6) + 0.0D AS x,
+        round(step_to_sample_y(cast(p_partkey % 17 - 8 AS INT), 0.25D), 6) + 0.0D AS y FROM braggline_parts""")
+
+
+@query(f"SELECT h, k, l, {sr(f'sqrt(h*h + k*k + l*l) / {FE!r}')} AS ds FROM {_HKL_RANGE} WHERE h*h + k*k + l*l > 0 AND sqrt(h*h + k*k + l*l) / {FE!r} < 1.8")
+def sql_reflections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function of reflections."""
+    sql_functions.register(spark)
+    return spark.sql(f"SELECT h, k, l, round(ds, 6) + 0.0D AS ds FROM cubic_hkls({FE!r}D, 1.8D)")
+
+
 # propagation
 _PART_VALUES = "SELECT p_partkey, 1 + CAST(p_size AS DOUBLE) / 10 AS x, 2 + CAST(p_partkey % 7 AS DOUBLE) AS y FROM part"
 

@@ -21,7 +21,8 @@ def register(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")
     spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION cubic_hkls(a DOUBLE, dsmax DOUBLE) RETURNS TABLE (h BIGINT, k BIGINT, l BIGINT, ds DOUBLE)
         RETURN SELECT h, k, l, sqrt(h * h + k * k + l * l) / a AS ds
-        FROM (SELECT explode(sequence(-cast(floor(dsmax * a) AS BIGINT), cast(floor(dsmax * a) AS BIGINT))) AS h)
-        CROSS JOIN (SELECT explode(sequence(-cast(floor(dsmax * a) AS BIGINT), cast(floor(dsmax * a) AS BIGINT))) AS k)
-        CROSS JOIN (SELECT explode(sequence(-cast(floor(dsmax * a) AS BIGINT), cast(floor(dsmax * a) AS BIGINT))) AS l)
+        FROM VALUES (1) AS one(row)
+        LATERAL VIEW explode(sequence(-cast(floor(dsmax * a) AS BIGINT), cast(floor(dsmax * a) AS BIGINT))) AS h
+        LATERAL VIEW explode(sequence(-cast(floor(dsmax * a) AS BIGINT), cast(floor(dsmax * a) AS BIGINT))) AS k
+        LATERAL VIEW explode(sequence(-cast(floor(dsmax * a) AS BIGINT), cast(floor(dsmax * a) AS BIGINT))) AS l
         WHERE h * h + k * k + l * l > 0 AND sqrt(h * h + k * k + l * l) / a < dsmax""")
