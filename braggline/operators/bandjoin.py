@@ -32,6 +32,7 @@ def band_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str, float]
     return left.join(right, conditions).drop(*dropped)
 
 
-def get_active_peak_indices(frames: DataFrame, peaks: DataFrame, omega_tol: float, dty_tol: float, frame_cols=("frame_omega", "frame_dty"), peak_cols=("omega", "dty")) -> DataFrame:
-    """Peaks active in each frame: both angles within tolerance, without wrapping at 360 degrees."""
-    return band_join(frames, peaks, [(frame_cols[0], peak_cols[0], omega_tol), (frame_cols[1], peak_cols[1], dty_tol)])
+def get_active_peak_indices(frames: DataFrame, peaks: DataFrame, omega_tol: float, dty_tol: float, frame_cols=("frame_omega", "frame_dty"), peak_cols=("omega", "dty"), copy_frames: bool = True) -> DataFrame:
+    """Peaks active in each frame: both angles within tolerance, without wrapping at 360 degrees. A scan has fewer frames
+    than peaks, so that frames stand in neighbouring buckets as well."""
+    return band_join(frames, peaks, [(frame_cols[0], peak_cols[0], omega_tol), (frame_cols[1], peak_cols[1], dty_tol)], copy_left=copy_frames)
