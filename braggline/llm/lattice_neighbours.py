@@ -16,8 +16,9 @@ written out as pairs: of the tables in which a pair meets only the first counts
 and for the components only links that join what the group hasn't joined yet.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing and are returned with no
-links, under their own id. Vectors of different lengths never meet. Repeated rows count as vectors of their own;
-null ids are returned with a null component. Empty tables give no rows; further columns are ignored.
+links, under their own id; so are, of several vectors under one id, all but that of least hash. Vectors of different
+lengths never meet. Repeated rows count as vectors of their own; null ids are returned with a null component. Empty
+tables give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -276,6 +277,12 @@ def neighbours(vectors: DataFrame, cosine: float = COSINE, vector: str = "embedd
     # -0.0 and 0.0 are one value; vectors that are null or broken are kept apart
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.when(sound, F.transform(vec, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)).cast(kept_type)).alias("vec"))
     rows = written(rows.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.hash("vec")), "vectors")
+    several = rows.where("vec is not null").groupBy("id").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least < most").select("id", "least")
+    if not several.isEmpty():
+        whole, several = rows, written(several, "several")
+        rows = whole.join(several, "id", "left").withColumn("vec", F.when(F.col("least").isNull() | (F.col("h1") == F.col("least")), F.col("vec")))
+        rows = written(rows.select(whole.columns), "vectors")
+        drop(whole, several)
     good = rows.where("vec is not null")
     classes = written(good.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count("*").alias("times"), F.min_by("vec", "id").alias("vec")), "classes")
     wide = written(placed(classes), "cells")

@@ -63,6 +63,18 @@ def test_neighbours(spark):
     assert lattice_neighbours.neighbours(df.limit(0)).count() == 0
 
 
+def test_several_vectors_of_one_id(spark):
+    r = np.random.default_rng(6)
+    a, b = r.normal(size=16), r.normal(size=16)
+    near = lambda v: (v + r.normal(size=16) * 0.01).tolist()
+    df = spark.createDataFrame([(1, a.tolist()), (1, b.tolist()), (2, near(a)), (3, near(b)), (4, near(a)), (5, near(b))], "vec_id long, embedding array<double>")
+    got = [(x.vec_id, x.n_links, x.component_id) for x in lattice_neighbours.neighbours(df).collect()]
+    # one of the two links with its family, the other with nothing
+    one = sorted([(1, 2, 1), (1, 0, 1), (2, 2, 1), (4, 2, 1), (3, 1, 3), (5, 1, 3)])
+    other = sorted([(1, 2, 1), (1, 0, 1), (3, 2, 1), (5, 2, 1), (2, 1, 2), (4, 1, 2)])
+    assert sorted(got) in (one, other)
+
+
 def test_sketches():
     r = np.random.default_rng(4)
     for n in (3, 16, 24, 200):
