@@ -39,8 +39,10 @@ from .words import mix
 TABLES, HALVES, SCALE = 20, 2, 0.30
 COSINE = 0.95
 BLOCK, CHUNK = 512, 50_000
-#: Values of a sketch, the step that they are rounded to, and how many rows on a row is compared pair by pair.
+#: Values of a sketch, the step that they are rounded to, and the rows of a group up to which pairs are compared one by one.
 SKETCH, STEP, SMALL = 16, 0.5 / 127, 64
+#: Rows of small groups that are compared at once.
+LOT = 2048
 
 
 def nearest_e8(x: np.ndarray) -> np.ndarray:
@@ -226,13 +228,45 @@ def _joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return keep
 
 
-def _counted(ci: np.ndarray, cj: np.ndarray, table: int, cell: int) -> np.ndarray:
-    """Whether pairs with these cells meet first in this table, and there in this cell as the least that they share."""
-    meet = (ci[:, :, 0] == cj[:, :, 0]) | (ci[:, :, :1] == cj[:, :, 1:]).any(2) | (cj[:, :, :1] == ci[:, :, 1:]).any(2)
-    first, rows, home = meet.argmax(axis=1), np.arange(len(ci)), np.arange(1 + HALVES) == 0
-    x, y = ci[rows, first], cj[rows, first]
+def _counted(codes: np.ndarray, i: np.ndarray, j: np.ndarray, table: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Those pairs of rows that meet first in this table of theirs, and there in this cell as the least that they share.
+    Most pairs meet in one of the first tables, so tables are gone through in order and few pairs are left for the later."""
+    left, due = np.arange(len(i)), [np.zeros(0, np.int64)]
+    for t in range(int(table.max(initial=-1)) + 1):
+        here = table[left] == t
+        due.append(left[here])
+        left = left[~here]
+        x, y = codes[i[left], t], codes[j[left], t]
+        left = left[~((x[:, 0] == y[:, 0]) | (x[:, :1] == y[:, 1:]).any(1) | (y[:, :1] == x[:, 1:]).any(1))]
+    due, home = np.sort(np.concatenate(due)), np.arange(1 + HALVES) == 0
+    x, y = codes[i[due], table[due]], codes[j[due], table[due]]
     both = (x[:, :, None] == y[:, None, :]) & (home[:, None] | home[None, :])
-    return (first == table) & (np.where(both.any(2), x, np.iinfo(np.int32).max).min(1) == cell)
+    return due[np.where(both.any(2), x, np.iinfo(np.int32).max).min(1) == cell[due]]
+
+
+def _lots(ends: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of groups that are compared at once: a large group alone, else groups of vectors of one length."""
+    large = np.diff(ends) > SMALL
+    lot, length = ends[:-1] // LOT, length[ends[:-1]]
+    cut = (lot[1:] != lot[:-1]) | (length[1:] != length[:-1]) | large[1:] | large[:-1]
+    bounds = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(large)]]).tolist()
+    return list(zip(bounds[:-1], bounds[1:], strict=True))
+
+
+def _alike(u: np.ndarray, ends: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group, each once, with the cosine."""
+    if len(ends) == 2:
+        return np.nonzero(np.triu(u @ u.T >= cosine, 1))
+    of, i, found = np.repeat(np.arange(len(ends) - 1), np.diff(ends)), np.arange(len(u)), []
+    for d in range(1, len(u)):
+        i = i[i + d < len(of)]
+        i = i[of[i] == of[i + d]]
+        if not len(i):
+            break
+        found.append((i[np.einsum("ij,ij->i", u[i], u[i + d]) >= cosine], d))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([a for a, _ in found]), np.concatenate([a + d for a, d in found])
 
 
 def linked(groups: DataFrame, cosine: float) -> DataFrame:
@@ -240,30 +274,30 @@ def linked(groups: DataFrame, cosine: float) -> DataFrame:
 
     def run(batches):
         for t, ends in _whole_groups(batches):
-            node, cell, slot, own, side, sides, times = (t.column(c).to_numpy() for c in ("node", "cell", "slot", "own", "side", "sides", "times"))
+            columns = [t.column(c).to_numpy() for c in ("node", "cell", "slot", "own", "side", "sides", "times")]
             vec, codes = (t.column(c).combine_chunks() for c in ("vec", "codes"))
-            for first, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                if end - first < 2:
-                    continue
-                at = slice(first, end)
-                u = _unit(vec[at].flatten().to_numpy().reshape(end - first, -1))
-                i, j = np.nonzero(u @ u.T >= cosine)
-                ok = (node[at][i] < node[at][j]) & (own[at][i] | own[at][j])
-                if sides[first]:  # two blocks: pairs within one belong to that block's own group
-                    ok &= side[at][i] != side[at][j]
+            length = vec.value_lengths().to_numpy()
+            for first, end in _lots(ends, length):
+                at = slice(ends[first], ends[end])
+                node, cell, slot, own, side, sides, times = (c[at] for c in columns)
+                u = _unit(vec[at].flatten().to_numpy().reshape(len(node), -1))
+                i, j = _alike(u, ends[first : end + 1] - ends[first], cosine)
+                # of two blocks: pairs within one belong to that block's own group
+                ok = (node[i] != node[j]) & (own[i] | own[j]) & (~sides[i] | (side[i] != side[j]))
                 i, j = i[ok], j[ok]
-                if not len(i):
-                    continue
+                i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
                 c = codes[at].flatten().to_numpy().reshape(-1, TABLES, 1 + HALVES)
-                here = np.concatenate([_counted(c[i[x : x + CHUNK]], c[j[x : x + CHUNK]], slot[first], cell[first] >> 32) for x in range(0, len(i), CHUNK)])
-                i, j = i[here], j[here]
-                if not len(i):
+                parts = [slice(x, x + CHUNK) for x in range(0, len(i), CHUNK)]
+                here = [p.start + _counted(c, i[p], j[p], slot[i[p]], cell[i[p]] >> 32) for p in parts]
+                if not sum(map(len, here)):
                     continue
-                found = np.bincount(i, times[at][j], end - first) + np.bincount(j, times[at][i], end - first)
+                here = np.concatenate(here)
+                i, j = i[here], j[here]
+                found = np.bincount(i, times[j], len(node)) + np.bincount(j, times[i], len(node))
                 some = np.flatnonzero(found)
-                keep = _joined(i, j, end - first)
+                keep = _joined(i, j, len(node))
                 i, j = i[keep], j[keep]
-                a, b = np.concatenate([node[at][some], node[at][i]]), np.concatenate([np.zeros(len(some), np.int64), node[at][j]])
+                a, b = np.concatenate([node[some], node[i]]), np.concatenate([np.zeros(len(some), np.int64), node[j]])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=np.arange(len(a)) < len(some)), pa.array(np.concatenate([found[some].astype(np.int64), np.zeros(len(i), np.int64)]))], names=["a", "b", "n"])
 
     return groups.mapInArrow(run, "a long, b long, n long")
