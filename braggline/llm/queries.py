@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lattice_neighbours, license_scan, minhash_dedup, packing, passages, prefix_tokens, quality, secret_scan, toxicity
+from . import collocations, decontaminate, lattice_neighbours, license_scan, minhash_dedup, packing, passages, prefix_tokens, quality, repeated_windows, secret_scan, spelling_variants, toxicity
 from .sample import fold
 
 
@@ -71,7 +71,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_passages, op3_license_scan, op4_lattice_neighbours, op5_minhash_dedup, op6_quality, op7_token_counts, op8_toxicity, op9_packing, op10_decontaminate)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_windows.digest(repeated_windows.without_repeats(table(spark, sf_dir, "documents")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_passages, op3_license_scan, op4_lattice_neighbours, op5_minhash_dedup, op6_quality, op7_token_counts, op8_toxicity, op9_packing, op10_decontaminate, op11_spelling_variants, op12_repeated_windows, op13_collocations)}
 _COMPONENTS = """e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(x, y) AS (SELECT {key}, {key} FROM {table} UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
 c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)"""
