@@ -1,24 +1,24 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, window by window.
 
-Each dictionary holds the same stretch of ordinary text, cut from random places of whole training texts, and then
-segments of its own class, as many bytes in either. Segments are chosen as zstandard's dictionary builder does it:
-a segment is worth what its short byte strings are, each counted once, and the best come last, where matches cost
-least. Only the worth differs: a string counts for how much oftener texts of the class hold it than those of the
-other, as strings that both classes hold would be chosen into both. Where one class has fewer such segments, random
-ones of its texts fill the room. A window's gain is its length under the ordinary dictionary less that under the
-toxic one. A document's score is a logistic function, calibrated on training texts that didn't shape the
-dictionaries, of how many of its windows gain how much. Whole texts are scored, at two window sizes.
+The ordinary dictionary is cut from random places of ordinary training texts. The toxic one holds the same text, which
+both classes share, and before it whole windows of toxic training texts: those that shorten most toxic texts that they
+weren't taken from, beyond what ordinary text does, and few ordinary ones. Nothing but compression lengths chooses
+them: the toxic texts are parted into two folds; of one fold's windows, those are candidates that the other fold's text
+shortens most beyond the dictionary so far; each candidate is tried as an addition to it on windows of the other fold and of ordinary
+texts; and they are taken one by one, by the share of toxic texts that they shorten where those before them don't, less
+``CAUTION`` times the share of ordinary texts, down to a share of ``LEAST``; then a further round looks for what is left. A window's gain is its length under the ordinary dictionary
+less that under the toxic one. A document's score is a logistic function, calibrated on training texts that didn't
+shape the dictionaries, of how many of its windows gain how much. Whole texts are scored, at two window sizes.
 
 The model is fitted on the driver from a bounded sample (``SAMPLE`` texts of each label, of at most ``LONGEST``
-characters); only it is shipped. Null texts are empty; an empty text has no gain and gets the calibrated score
-of that. Very long texts are scored window by window, in memory that follows the text. Without any toxic or
-ordinary sample every score is 0. Repeated rows get equal scores; null ids are not held out; an empty table gives
-no rows; further columns are ignored.
+characters, ``ROUNDS`` rounds of ``CANDIDATES`` windows of a fold, ``TRIED`` ordinary texts); only it is shipped. Equal candidates are taken in the order of
+texts. Null texts are empty; an empty text has no gain and gets the calibrated score of that. Very long texts are
+scored window by window, in memory that follows the text. Without any toxic or ordinary sample every score is 0. Repeated
+rows get equal scores; null ids are not held out; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -30,17 +30,21 @@ from pyspark.sql import functions as F
 
 from .sample import class_weights, labelled, logistic
 from .worker import cache
-from .words import P, mix, plain
+from .words import plain
 
 SAMPLE, LONGEST = 1500, 20_000
 THRESHOLD = 0.3
 #: Bytes of a window, and how far it may run on to end at a blank.
 SIZES, SLACK = (48, 96), 40
-GAINS = (2, 3, 4, 5)
-#: Bytes of the shared stretch, of its pieces, of a dictionary's own part, and of a segment.
-SHARED_BYTES, PIECE, OWN_BYTES, SEGMENT = 16_384, 256, 1024, 16
-#: Lengths of the strings that segments are valued by (words and short phrases), the texts that must hold one, and the least log odds.
-STRINGS, LEAST_TEXTS, LEAST_ODDS = (5, 7, 12), 6, 2.0
+GAINS = (2, 3, 4, 5, 6)
+#: Bytes of ordinary text in both dictionaries, and of its pieces.
+ORDINARY_BYTES, PIECE = 32_768, 256
+#: Bytes of the windows to choose from, how many of a fold are tried in a round, rounds, the ordinary texts that they are tried on, and the bytes of a gain.
+CHOICE, CANDIDATES, ROUNDS, TRIED, SAVED = 24, 100, 4, 500, 2
+#: Bytes of the other fold that candidates are found by, which with ordinary text are still in the compressor's reach.
+REACH = 65_536
+#: Weight of ordinary texts that a window shortens, and the least share of toxic texts beyond them.
+CAUTION, LEAST = 4.0, 0.025
 
 
 @dataclass(frozen=True)
@@ -83,89 +87,72 @@ def compressor(content: bytes):
 
 
 def features(model: Model, texts: Iterable[str]) -> np.ndarray:
-    """Constant, number of windows, and for each window size the sum, the maximum and the counts of gains."""
+    """Constant, number of windows, and for each window size the sum, the maximum, the mean and the counts of gains."""
     a, b = compressor(model.ordinary).compress, compressor(model.toxic).compress
     rows = []
     for t in texts:
         row = [1.0, math.log1p(len(t))]
         for size in SIZES:
             gain = np.array([len(a(w)) - len(b(w)) for w in windows(t, size)] or [0])
-            row += [math.log1p(np.maximum(gain - 1, 0).sum()), float(gain.max()), *(math.log1p(np.count_nonzero(gain >= g)) for g in GAINS)]
+            row += [math.log1p(np.maximum(gain - 1, 0).sum()), float(gain.max()), float(gain.mean()), *(math.log1p(np.count_nonzero(gain >= g)) for g in GAINS)]
         rows.append(row)
-    return np.array(rows, float).reshape(-1, 2 + len(SIZES) * (2 + len(GAINS)))
-
-
-def _codes(text: bytes, n: int) -> np.ndarray:
-    """A number for the string of ``n`` bytes at each place of a text."""
-    b = np.frombuffer(text, np.uint8).astype(np.uint64)
-    out = np.full(max(0, len(b) - n + 1), n, np.uint64)
-    for i in range(n):
-        out = out * P + b[i : i + len(out)]
-    return mix(out)
-
-
-def worth(own: list[bytes], other: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted strings, what they are worth) of those that texts of ``own`` hold far oftener than texts of ``other``."""
-
-    def counted(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted strings and the number of texts that hold each; 16 bytes for every byte of the sample at most."""
-        x = np.zeros(sum(max(0, len(t) - n + 1) for t in texts), np.uint64)
-        size = 0
-        for t in texts:
-            own = np.unique(_codes(t, n))
-            x[size : size + len(own)] = own
-            size += len(own)
-        x = x[:size]
-        x.sort()
-        first = np.flatnonzero(np.append(size > 0, x[1:] != x[:-1]))[: size or 0]
-        return x[first], np.diff(np.append(first, size))
-
-    found, value = [np.zeros(0, np.uint64)], [np.zeros(0)]
-    for n in STRINGS:
-        x, times = counted(own, n)
-        x, times = x[times >= LEAST_TEXTS], times[times >= LEAST_TEXTS]
-        y, elsewhere = counted(other, n)
-        at = np.minimum(np.searchsorted(y, x), max(0, len(y) - 1))
-        there = np.where(y[at] == x, elsewhere[at], 0) if len(y) else np.zeros(len(x))
-        odds = np.log((times + 0.5) / (len(own) + 1)) - np.log((there + 0.5) / (len(other) + 1))
-        keep = odds >= LEAST_ODDS
-        found.append(x[keep])
-        value.append((odds * np.sqrt(times))[keep])
-    found, value = np.concatenate(found), np.concatenate(value)
-    order = np.argsort(found)
-    return found[order], value[order]
-
-
-def segments(own: list[bytes], other: list[bytes], most: int = OWN_BYTES) -> list[bytes]:
-    """Up to ``most`` bytes of segments of ``own``, least worth first; a string counts in the first segment that has it."""
-    known, value = worth(own, other)
-    if not len(known):
-        return []
-    heap: list[tuple[float, int, int]] = []
-    for i, t in enumerate(own):
-        at_place = np.zeros(len(t))
-        for n in STRINGS:
-            x = _codes(t, n)
-            at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-            at_place[: len(x)] += np.where(known[at] == x, value[at], 0)
-        sums = np.concatenate([[0], np.cumsum(at_place)])
-        starts = np.unique(np.maximum(np.flatnonzero(at_place) - SEGMENT // 4, 0))
-        total = sums[np.minimum(starts + SEGMENT - min(STRINGS) + 1, len(t))] - sums[starts]
-        heap += zip((-total).tolist(), [i] * len(starts), starts.tolist(), strict=True)
-    heapq.heapify(heap)
-    table, used, out, size = dict(zip(known.tolist(), value.tolist(), strict=True)), set(), [], 0
-    while heap and size < most:
-        bound, i, start = heapq.heappop(heap)
-        segment = own[i][start : start + SEGMENT]
-        new = {x for n in STRINGS for x in _codes(segment, n).tolist() if x in table} - used
-        left = -sum(table[x] for x in new)
-        if left < 0 and left > bound + 1e-9 and heap and left > heap[0][0]:
-            heapq.heappush(heap, (left, i, start))
-        elif left < 0:
-            out.append(segment)
-            size += len(segment)
-            used |= new
-    return out[::-1]
+    return np.array(rows, float).reshape(-1, 2 + len(SIZES) * (3 + len(GAINS)))
+
+
+def _lengths(content: bytes, texts: list[bytes]) -> np.ndarray:
+    """Of each text, compressed with this dictionary."""
+    run = _compressor(content).compress
+    return np.array([len(run(t)) for t in texts], np.int64)
+
+
+def _shortened(texts: list[str], ordinary: bytes, trial: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(windows, each one's text, lengths under ``ordinary``) of the windows that ``trial`` shortens: no part of it shortens others."""
+    own = [(k, w) for k, t in enumerate(texts) for w in dict.fromkeys(windows(t, CHOICE))]
+    found = [w for _, w in own]
+    before = _lengths(ordinary, found)
+    keep = np.flatnonzero(before - _lengths(trial, found) >= SAVED)
+    return [found[k] for k in keep], np.array([own[k][0] for k in keep], np.int64), before[keep]
+
+
+def _chosen(own: list[str], held: list[str], others: list[str], ordinary: bytes, r: np.random.Generator) -> list[bytes]:
+    """Windows of the texts ``own`` that shorten texts of ``held``, chosen in rounds."""
+    pool = list(dict.fromkeys(w for t in own for w in windows(t, CHOICE)))
+    known = [w for t in held for w in windows(t, CHOICE)]
+    known = b" ".join(known[k] for k in r.permutation(len(known))[: REACH // CHOICE].tolist())[:REACH]
+    out: list[bytes] = []
+    for _ in range(ROUNDS):
+        base = b" ".join([*out, ordinary])
+        gain = _lengths(base, pool) - _lengths(known + b" " + base, pool)
+        found = _round([pool[k] for k in np.argsort(-gain, kind="stable")[:CANDIDATES]], held, others, base)
+        if not found:
+            break
+        out += found
+    return out
+
+
+def _round(candidates: list[bytes], held: list[str], others: list[str], base: bytes) -> list[bytes]:
+    """Those of the candidates that help beyond the dictionary so far, most useful first."""
+    all_ = b" ".join([*candidates, base])
+    (toxic, of, before), (clean, of_clean, before_clean) = _shortened(held, base, all_), _shortened(others, base, all_)
+    saves, harm = [], []
+    for c in candidates:
+        trial = c + b" " + base
+        saves.append(np.flatnonzero(before - _lengths(trial, toxic) >= SAVED))
+        harm.append(len(set(of_clean[before_clean - _lengths(trial, clean) >= SAVED].tolist())) / max(1, len(others)))
+    times, out, left = np.zeros(len(toxic)), [], list(range(len(candidates)))
+    while left:
+        worth = []
+        for k in left:
+            best = np.zeros(len(held))
+            np.maximum.at(best, of[saves[k]], 1 / (1 + times[saves[k]]) ** 2)
+            worth.append(best.sum() / len(held) - CAUTION * harm[k])
+        k = int(np.argmax(worth))
+        if worth[k] <= LEAST:
+            break
+        out.append(candidates[left[k]])
+        times[saves[left[k]]] += 1
+        left.pop(k)
+    return out
 
 
 def _random_pieces(texts: list[bytes], size: int, piece: int, r: np.random.Generator) -> bytes:
@@ -183,16 +170,13 @@ def _random_pieces(texts: list[bytes], size: int, piece: int, r: np.random.Gener
 
 
 def dictionaries(toxic: list[str], ordinary: list[str], seed: int = 3) -> tuple[bytes, bytes]:
-    """(ordinary, toxic) dictionaries of the training texts, of equal length."""
+    """(ordinary, toxic) dictionaries of the training texts. What is chosen stands first, where matches cost most: ordinary text is then
+    matched in the part that both have."""
     r = np.random.default_rng(seed)
-    own = [[t.lower().encode() for t in texts] for texts in (ordinary, toxic)]
-    shared = _random_pieces(own[0], SHARED_BYTES, PIECE, r) + b" "
-    parts = [b" ".join(segments(*pair)) for pair in (own, own[::-1])]
-    size = max(map(len, parts))
-    parts = [_random_pieces(texts, size - len(p), SEGMENT, r) + b" " + p for texts, p in zip(own, parts, strict=True)]
-    size = min(map(len, parts))
-    parts = [p[len(p) - size :] for p in parts]
-    return shared + parts[0], shared + parts[1]
+    shared = _random_pieces([t.lower().encode() for t in ordinary], ORDINARY_BYTES, PIECE, r)
+    folds, others = (toxic[::2], toxic[1::2]), ordinary[:TRIED]
+    own = [w for a, b in (folds, folds[::-1]) for w in _chosen(a, b, others, shared, r)]
+    return shared, b" ".join([*own, shared])
 
 
 def train(toxic: list[str], ordinary: list[str], share: float) -> Model | None:

@@ -177,9 +177,12 @@ def test_dictionaries():
     texts = [(i % 3 == 0, text(i % 3 == 0)) for i in range(900)]
     toxic, ordinary = ([t for y, t in texts[:700] if y == z] for z in (True, False))
     model = toxicity.train(toxic, ordinary, 0.3)
-    assert len(model.ordinary) == len(model.toxic)
-    own = [t.encode() for t in toxic], [t.encode() for t in ordinary]
-    assert all(any(s in t for t in own[0]) for s in toxicity.segments(*own)) and all(any(s in t for t in own[1]) for s in toxicity.segments(*own[::-1]))
+    own = model.toxic.removesuffix(model.ordinary)
+    pool = {w for t in toxic[:len(toxic) * 2 // 3] for w in toxicity.windows(t, toxicity.CHOICE)}
+    assert own and len(model.ordinary) <= toxicity.ORDINARY_BYTES
+    while own:  # whole windows of toxic texts, a blank after each
+        w = next(w for w in sorted(pool, key=len, reverse=True) if own.startswith(w + b" "))
+        own = own[len(w) + 1 :]
     long = " ".join(t for _, t in texts[:700]) * 20
     score = toxicity.score(model, pa.array([*(t for _, t in texts[700:]), long, None, ""]))
     assert auc(score[:-3], [int(y) for y, _ in texts[700:]]) > 0.75
@@ -286,7 +289,7 @@ def test_scores_by_brute_force():
             cut = toxicity.windows(t, width)
             assert b"".join(cut) == t.lower().encode()
             gain = [size(w, model.ordinary) - size(w, model.toxic) for w in cut] or [0]
-            assert got[2 + 6 * k : 8 + 6 * k] == pytest.approx([np.log1p(sum(max(g - 1, 0) for g in gain)), max(gain), *(np.log1p(sum(g >= n for g in gain)) for n in toxicity.GAINS)])
+            assert got[2 + 8 * k : 10 + 8 * k] == pytest.approx([np.log1p(sum(max(g - 1, 0) for g in gain)), max(gain), np.mean(gain), *(np.log1p(sum(g >= n for g in gain)) for n in toxicity.GAINS)])
     model = quality.train([x[1] for x in rows if x[5]], [x[1] for x in rows if not x[5]], 0.8)
     texts = [rows[0][1], rows[1][1], "", "Ab1! Ab1! zz", "word " * 5000]
     scores = model.score(pa.array(texts))
