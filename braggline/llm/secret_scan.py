@@ -12,7 +12,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -124,6 +124,37 @@ def scan(docs: DataFrame, owner: Column, repository: Column, most_owners: int =
     )
 
 
+def _runs(spans: DataFrame) -> DataFrame:
+    """Touching or overlapping spans (id, th, start, end, live) of a text as runs: (id, th, runs), in their order."""
+    text = Window.partitionBy("id", "th").orderBy("start", "end")
+    before = F.max("end").over(text.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)
+    each = spans.withColumn("first", first).withColumn("run", F.sum("first").over(text.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = each.groupBy("id", "th", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("live").alias("live"))
+    return runs.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end", "live"))).alias("runs"))
+
+
+def _masked(t: Column, runs: Column) -> Column:
+    """``t`` with a mark for each run. The text is cut into as many blocks as the root of the number of runs, and pieces are cut from blocks:
+    a cut reads its string from the first character on, so that n runs take n ** 0.5 times the text's length, not n times."""
+    width = F.ceil(F.sqrt(F.size(runs))).cast("int")
+
+    def block(b: Column) -> Column:
+        own = F.slice(runs, b * width + 1, width)
+        begin = F.when(b == 0, 0).otherwise(F.element_at(runs, F.greatest(b * width, F.lit(1)))["end"])
+        return F.struct(own.alias("own"), begin.alias("begin"), F.substring(t, begin + 1, F.element_at(own, F.lit(-1))["end"] - begin).alias("text"))
+
+    def put(x: Column) -> Column:
+        def piece(run: Column, i: Column) -> Column:
+            at = F.when(i == 0, x["begin"]).otherwise(F.element_at(x["own"], F.greatest(i, F.lit(1)))["end"])
+            return F.concat(F.substring(x["text"], at - x["begin"] + 1, run["start"] - at), F.when(run["live"], "[SECRET]").otherwise("[EXAMPLE]"))
+
+        return F.array_join(F.transform(x["own"], piece), "")
+
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(runs) / width).cast("int") - 1), block)
+    return F.concat(F.array_join(F.transform(blocks, put), ""), F.substring(t, F.element_at(runs, F.lit(-1))["end"] + 1, F.length(t)))
+
+
 def redact(docs: DataFrame, owner: Column, repository: Column, most_owners: int = 1, text: str = "text", key: str = "doc_id", was: str | None = None) -> DataFrame:
     """``docs`` with every span replaced: live-looking values by [SECRET], copied examples by [EXAMPLE]. Touching
     or overlapping spans become one mark, a live one if any part is. Texts without spans stay as they are; ``was`` names a column
@@ -131,27 +162,15 @@ def redact(docs: DataFrame, owner: Column, repository: Column, most_owners: int
     mark = "_"
     while any(c.lower().startswith(mark) for c in docs.columns):
         mark += "_"
-    of_key, of_text, found, hashed = (mark + n for n in ("key", "text", "spans", "hash"))
-    spans = scan(docs, owner, repository, most_owners, text, key).where("size(all_spans) > 0").select(F.col(key).alias(of_key), F.col("th").alias(of_text), F.col("all_spans").alias(found)).dropDuplicates([of_key, of_text])
+    of_key, of_text, found, hashed = (mark + n for n in ("key", "text", "runs", "hash"))
+    spans = scan(docs, owner, repository, most_owners, text, key).where("size(all_spans) > 0").select(F.col(key).alias("id"), "th", "all_spans").dropDuplicates(["id", "th"])
+    each = spans.select("id", "th", F.explode("all_spans").alias("s")).select("id", "th", "s.start", "s.end", (F.col("s.n_owners") <= most_owners).alias("live"))
+    runs = _runs(each).select(F.col("id").alias(of_key), F.col("th").alias(of_text), F.col("runs").alias(found))
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    both = docs.withColumn(hashed, F.xxhash64(t)).join(spans, F.col(key).cast("long").eqNullSafe(F.col(of_key)) & (F.col(hashed) == F.col(of_text)), "left")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    runs_zero = F.array().cast("array<struct<start:int,end:int,live:boolean>>")
-
-    def merge(acc: Column, s: Column) -> Column:
-        last, live = F.try_element_at(acc, F.lit(-1)), s["n_owners"] <= most_owners
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), (last["live"] | live).alias("live"))
-        alone = F.struct(s["start"].alias("start"), s["end"].alias("end"), live.alias("live"))
-        return F.when((F.size(acc) > 0) & (s["start"] <= last["end"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(alone)))
-
-    def put(acc: Column, r: Column) -> Column:
-        return F.struct(r["end"].alias("at"), F.concat(acc["out"], F.substring(t, acc["at"] + 1, r["start"] - acc["at"]), F.when(r["live"], "[SECRET]").otherwise("[EXAMPLE]")).alias("out"))
-
-    runs = F.aggregate(found, runs_zero, merge)
-    clean = F.aggregate(runs, zero, put, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
+    both = docs.withColumn(hashed, F.xxhash64(t)).join(runs, F.col(key).cast("long").eqNullSafe(F.col(of_key)) & (F.col(hashed) == F.col(of_text)), "left")
     if was:
         both = both.withColumn(was, F.col(found).isNotNull())
-    return both.withColumn(text, F.when(F.col(found).isNotNull(), clean).otherwise(F.col(text))).drop(hashed, of_key, of_text, found)
+    return both.withColumn(text, F.when(F.col(found).isNotNull(), _masked(t, F.col(found))).otherwise(F.col(text))).drop(hashed, of_key, of_text, found)
 
 
 def oracle(most_owners: int = 1) -> str:
