@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .shared import drop, written
 from .words import P, hashes, mix, offsets_and_bytes, plain, slices, words
+from .worker import trim
 
 #: Words of a phrase, its least count, and the share (in hundredths) of a phrase's count that drops it if a longer one has it.
 LONGEST, LEAST, ABSORBED, TOP = 3, 10, 50, 2000
@@ -36,7 +37,7 @@ BREAKS, BLANKS = (*b".,;:!?", *range(0x0A, 0x0E)), (0x09, 0x20)
 #: A word is frequent if it is at least one in so many of all words.
 HOT = 1000
 #: Bytes of text whose suffixes are counted together.
-SLICE = 12 << 20
+SLICE = 6 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[list(BREAKS)] = True
@@ -87,6 +88,7 @@ def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
             if len(word):
                 code, n = np.unique(tongue * len(names) + word, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(tongues, pa.string()).take(pa.array(code // len(names))), names.take(pa.array(code % len(names))).cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
+        trim()
 
     return _rows(docs, text, lang).mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -115,11 +117,11 @@ def suffixes(docs: DataFrame, frequent: set[tuple[str, str]], longest: int, text
                 columns.append(np.where(more, word[np.minimum(begin + k, len(word) - 1)] + 1, 0))
             rows, n = _distinct(columns, [len(tongues)] + [len(names) + 1] * longest)
             hot = np.zeros((len(tongues), len(names) + 1), bool)
-            index = {w: k for k, w in enumerate(names.to_pylist())}
             for t, name in enumerate(tongues):
-                for w in (w for spoken, w in frequent if spoken == name and w in index):
-                    hot[t, index[w] + 1] = True
+                hot[t, 1:] = pc.is_in(names, pa.array([w for spoken, w in frequent if spoken == name], names.type)).to_numpy(zero_copy_only=False)
+            del word, tongue, piece, inside, begin, columns, more
             yield from _lots(rows, n, hot, names, tongues, longest)
+        trim()
 
     def _lots(rows, n, hot, names, tongues, longest):
         seeds = np.array([_language_seed(t) for t in tongues], np.uint64)

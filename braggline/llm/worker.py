@@ -5,6 +5,19 @@ from __future__ import annotations
 import ctypes
 import gc
 
+import pyarrow as pa
+
+
+def trim() -> None:
+    """Return freed memory to the system, as workers are kept between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 _held: dict = {"name": None, "values": {}}
 
 
@@ -14,9 +27,5 @@ def cache(name: str) -> dict:
         _held["name"] = name
         if _held["values"]:
             _held["values"] = {}
-            gc.collect()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # not glibc
-                pass
+            trim()
     return _held["values"]
