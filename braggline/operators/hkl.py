@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.crystal import LPARS, lpars_to_B
 from ..functions.diffract import ds_to_tth
-from ..functions.linalg import m3, mat_vec, norm
+from ..functions.linalg import norm
 
 #: Reflections of less intensity are extinct.
 LEAST_INTENSITY = 0.01
@@ -46,19 +45,33 @@ Pd Ag Cd In Sn Sb Te I Xe Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf
 SCREENING = 0.52917721 * 0.88534
 
 
+def _whole(center: Column, radius: Column) -> Column:
+    """One row for each whole number within ``radius`` of ``center``, none where there is none. The slack is for rounding."""
+    lo, hi = F.ceil(center - radius - 1e-6), F.floor(center + radius + 1e-6)
+    return F.explode(F.when(lo <= hi, F.sequence(lo, hi)))
+
+
 def make_hkls(cells: DataFrame, dsmax: float, wavelength: float, key: str = "structure_id") -> DataFrame:
     """(key, h, k, l, tth, ds) of every reflection with 0 < tth < the angle of ``dsmax``, both strict.
 
-    ``cells`` has the key and a, b, c, alpha, beta, gamma. |h| <= dsmax * a bounds the indices of any cell. No rows
-    where dsmax lies beyond the limiting sphere.
+    ``cells`` has the key and a, b, c, alpha, beta, gamma. B is triangular, so that d*^2 is a sum of three squares, of l, of k
+    and l, and of all: l is bounded alone, k for each l, and h for each k and l, and hardly a row is made that isn't
+    kept, whatever the cell's angles. Rows of one cell and l are dealt to tasks before k and h are made, so that a large
+    cell isn't one task. Null, NaN and flat cells have no reflections, nor has a dsmax beyond the limiting sphere.
     """
-    limit = lambda n: F.floor(F.lit(float(dsmax)) * F.col(n)).cast("bigint")
-    each = lambda n: F.explode(F.sequence(-limit(n), limit(n)))
-    df = cells.select(key, *LPARS, lpars_to_B(F.struct(*LPARS)).alias("bmat"))
-    df = df.withColumn("h", each("a")).withColumn("k", each("b")).withColumn("l", each("c")).select(key, "bmat", "h", "k", "l")
-    df = df.withColumn("ds", norm(mat_vec(m3(F.col("bmat")), (F.col("h"), F.col("k"), F.col("l"))))).where(F.col("ds") <= dsmax * (1 + 1e-9))
-    most = ds_to_tth(F.lit(float(dsmax)), wavelength)
-    df = df.withColumn("tth", ds_to_tth(F.col("ds"), wavelength)).withColumn("most", most)
+    most, spheres = float(dsmax) * (1 + 1e-9), {f"b{i}{j}": F.col(f"bmat.m{i}{j}") for i in range(3) for j in range(i, 3)}
+    df = cells.select(key, lpars_to_B(F.struct(*(F.col(x).cast("double").alias(x) for x in LPARS))).alias("bmat")).select(key, *(c.alias(n) for n, c in spheres.items()))
+    df = df.where(" and ".join(f"{n} is not null and not isnan({n}) and abs({n}) < 1e9" for n in spheres) + " and b00 > 1e-9 and b11 > 1e-9 and b22 > 1e-9")
+    df = df.withColumn("l", _whole(F.lit(0.0), most / F.col("b22")))
+    df = df.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "l")
+    df = df.withColumn("left", F.lit(most * most) - F.pow(F.col("b22") * F.col("l"), 2)).where("left >= 0")
+    df = df.withColumn("k", _whole(-F.col("b12") * F.col("l") / F.col("b11"), F.sqrt("left") / F.col("b11")))
+    df = df.withColumn("y", F.col("b11") * F.col("k") + F.col("b12") * F.col("l")).withColumn("left", F.greatest(F.col("left") - F.col("y") * F.col("y"), F.lit(0.0)))
+    df = df.withColumn("x", F.col("b01") * F.col("k") + F.col("b02") * F.col("l"))
+    df = df.withColumn("h", _whole(-F.col("x") / F.col("b00"), F.sqrt("left") / F.col("b00")))
+    q = (F.col("b00") * F.col("h") + F.col("x"), F.col("y"), F.col("b22") * F.col("l"))
+    df = df.withColumn("ds", norm(q)).where(F.col("ds") <= most)
+    df = df.withColumn("tth", ds_to_tth(F.col("ds"), wavelength)).withColumn("most", ds_to_tth(F.lit(float(dsmax)), wavelength))
     return df.where((F.col("tth") < F.col("most")) & (F.col("tth") > 0) & ~F.isnan("most") & ~F.isnan("tth")).select(key, "h", "k", "l", "tth", "ds")
 
 
@@ -72,29 +85,50 @@ def remove_equivalents(hkls: DataFrame, symmetry_ops: DataFrame, key: str = "str
     return best.where(F.col("best") == same).drop("best")
 
 
-def _gauss_sum(coefficients: Iterable[float], s: Column) -> Column:
-    *ab, c = map(float, coefficients)
-    return sum((F.lit(a) * F.exp(-b * s * s) for a, b in zip(ab[:4], ab[4:], strict=True)), F.lit(c))
+_TERMS = ("a1", "a2", "a3", "a4", "b1", "b2", "b3", "b4", "c")
 
 
-def form_factor(element: Column, s: Column, table: dict[str, tuple[float, ...]] | None = None) -> Column:
-    """Of an element at s = sin(theta) / wavelength, by the coefficients of ``table`` or of :data:`FORM_FACTORS`.
-    Other elements are taken as screened charges (f = Z / (1 + (4 pi s r)^2), r the Thomas-Fermi screening length),
-    which serves to tell extinct reflections; what isn't an element is an error, never left out."""
-    out = F.raise_error(F.concat(F.lit("no form factor for element "), F.coalesce(element, F.lit("null")))).cast("double")
+def form_terms(element: Column, table: dict[str, tuple[float, ...]] | None = None) -> Column:
+    """What :func:`form_factor` needs to know of an element, by the coefficients of ``table`` or of :data:`FORM_FACTORS`: a1 to a4, b1 to
+    b4, c, and for other elements their number z and squared screening length. What isn't an element is an error, never left out."""
+    terms = lambda row, z, r2: F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(_TERMS, row, strict=True)), z.alias("z"), r2.alias("r2"))
+    none, zero = (0.0,) * len(_TERMS), F.lit(0.0)
     z = F.array_position(F.array(*map(F.lit, ELEMENTS)), element).cast("double")
-    out = F.when(z > 0, z / (1 + F.pow(4 * math.pi * SCREENING * s, F.lit(2.0)) / F.pow(z, F.lit(2 / 3)))).otherwise(out)
+    wrong = F.raise_error(F.concat(F.lit("no form factor for element "), F.coalesce(element, F.lit("null")))).cast("double")
+    out = F.when(z > 0, terms(none, z, F.pow(F.lit(4 * math.pi * SCREENING), F.lit(2.0)) / F.pow(z, F.lit(2 / 3)))).otherwise(terms(none, wrong, zero))
     for name, row in sorted((FORM_FACTORS | (table or {})).items()):
-        out = F.when(element == name, _gauss_sum(row, s)).otherwise(out)
+        out = F.when(element == name, terms(row, zero, zero)).otherwise(out)
     return out
 
 
+def _factor(t: Column, s2: Column) -> Column:
+    return sum((t[f"a{i}"] * F.exp(-t[f"b{i}"] * s2) for i in range(1, 5)), t["c"]) + t["z"] / (1 + t["r2"] * s2)
+
+
+def form_factor(element: Column, s: Column, table: dict[str, tuple[float, ...]] | None = None) -> Column:
+    """Of an element at s = sin(theta) / wavelength. Elements without coefficients are taken as screened charges
+    (f = Z / (1 + (4 pi s r)^2), r the Thomas-Fermi screening length), which serves to tell extinct reflections."""
+    return _factor(form_terms(element, table), s * s)
+
+
+def packed_atoms(atoms: DataFrame, key: str = "structure_id", table: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
+    """(key, kinds): one row a structure, with the terms of each of its elements and the sites that it holds. A cell's atoms are few."""
+    site = F.struct(*(F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "occ")))
+    kinds = atoms.groupBy(key, "element").agg(F.collect_list(site).alias("sites")).select(key, F.struct(form_terms(F.col("element"), table).alias("terms"), "sites").alias("kind"))
+    return kinds.groupBy(key).agg(F.collect_list("kind").alias("kinds"))
+
+
 def intensity(hkls: DataFrame, atoms: DataFrame, key: str = "structure_id", table: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
-    """``hkls`` with |F|^2 over all atoms of the cell (element, x, y, z, occ), as one aggregate."""
-    phase = 2 * F.pi() * (F.col("h") * F.col("x") + F.col("k") * F.col("y") + F.col("l") * F.col("z"))
-    f = F.col("occ") * form_factor(F.col("element"), F.col("ds") / 2, table)
-    sums = hkls.join(atoms.select(key, "element", "x", "y", "z", "occ"), key).groupBy(key, "h", "k", "l", "tth", "ds").agg(F.sum(f * F.cos(phase)).alias("re"), F.sum(f * F.sin(phase)).alias("im"))
-    return sums.select(key, "h", "k", "l", "tth", "ds", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("intensity"))
+    """``hkls`` with |F|^2 over all atoms of the cell (element, x, y, z, occ), summed within the row: structures come as one row of packed
+    atoms, so no row is made for each reflection and atom, and reflections aren't shuffled for a sum."""
+    packed = packed_atoms(atoms, key, table).withColumnRenamed(key, "_of")
+    both = hkls.select(key, "h", "k", "l", "tth", "ds").join(packed, F.col(key) == F.col("_of")).drop("_of")
+    phase = lambda p: 2 * math.pi * (F.col("h") * p["x"] + F.col("k") * p["y"] + F.col("l") * p["z"])
+    over = lambda sites, wave: F.aggregate(sites, F.lit(0.0), lambda acc, p: acc + F.coalesce(p["occ"] * wave(phase(p)), F.lit(0.0)))
+    waves = F.transform("kinds", lambda k: F.struct(_factor(k["terms"], F.col("ds") * F.col("ds") / 4).alias("f"), over(k["sites"], F.cos).alias("re"), over(k["sites"], F.sin).alias("im")))
+    total = lambda part: F.aggregate("waves", F.lit(0.0), lambda acc, w: acc + w["f"] * w[part])
+    both = both.withColumn("waves", waves).withColumn("re", total("re")).withColumn("im", total("im"))
+    return both.select(key, "h", "k", "l", "tth", "ds", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("intensity"))
 
 
 def groupby_isclose(df: DataFrame, value: str, atol: float, rtol: float = 0.0, key: str | None = "structure_id", out: str = "ring_id") -> DataFrame:

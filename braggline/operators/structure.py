@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,11 +98,24 @@ class Structure:
 
     @property
     def rings_table(self) -> DataFrame:
-        """Reflections that aren't extinct, with intensity and ring_id."""
+        """Reflections that aren't extinct, with intensity and ring_id. Computed once, when first needed, and kept in the executors' memory
+        or on their disks for all that is asked of it, until :meth:`release`; what a lost executor held is computed anew."""
         if self._rings is None:
-            self._rings = hkl.rings_table(self._table(), self.atoms, self.tol, KEY)
+            self._rings = hkl.rings_table(self._table(), self.atoms, self.tol, KEY).persist(StorageLevel.MEMORY_AND_DISK)
         return self._rings
 
+    def release(self) -> None:
+        """Let go of the ring table; what is asked afterwards computes it again."""
+        if self._rings is not None:
+            self._rings.unpersist()
+            self._rings = None
+
+    def __enter__(self) -> Structure:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
     @property
     def rings(self) -> DataFrame:
         """One row a ring: ring_id from 0 by d*, first ds and tth, mult, hkls."""
@@ -115,8 +129,8 @@ class Structure:
 
     @property
     def ringhkls_arr(self) -> DataFrame:
-        """All rings' reflections, ring by ring."""
-        return self.rings_table.select(KEY, "ring_id", "ds", "h", "k", "l").orderBy(KEY, "ring_id", "ds", "h", "k", "l").select(KEY, "h", "k", "l")
+        """All rings' reflections, each with its ring: a table has no order of its own, so sort by (ring_id, ds, h, k, l) where one is wanted."""
+        return self.rings_table.select(KEY, "ring_id", "ds", "h", "k", "l")
 
     @property
     def ringtth(self) -> DataFrame:
