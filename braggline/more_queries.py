@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import crystal, diffract, dual, geometry
@@ -14,7 +14,7 @@ from .operators import forward, hkl, spacegroup
 from .operators.forward import Setup
 from .operators.structure import Structure
 from .plans import sql as sql_functions
-from .queries import _CELL_SQL, _HKL_RANGE, _KEYS, COV_DIGITS, FE, GENERAL, TI, TILTED, _cov_sql, forward_rows, forward_sql, grains, query, r, rounded, sr, table
+from .queries import _CELL_SQL, _HKL_RANGE, _KEYS, COV_DIGITS, FE, GENERAL, TI, TILTED, _cov_sql, cells_of, forward_rows, forward_sql, grains, query, r, rounded, sr, table
 from .streaming.peaks import finished, stream_peaks_to_q
 
 NACL, PEROVSKITE = 5.64, 3.905
@@ -27,86 +27,109 @@ STRUCTURES = {
 }
 
 
-def cif_text(number: int, cell: tuple[float, ...], sites: list[tuple]) -> str:
-    """A CIF of a structure, its operations written out."""
+def cif_text(number: int, lengths: list[Column], angles: tuple[float, ...], sites: list[tuple]) -> Column:
+    """A CIF of a structure for each row, its operations written out."""
     name, hall = next((n, h) for k, n, h in spacegroup.GROUPS if k == number)
 
     def xyz(rot, shift) -> str:
         term = lambda row: "".join(f"{'-' if x < 0 else '+'}{c}" for x, c in zip(row, "xyz", strict=True) if x)
         return ", ".join(term(row) + (f"+{t}" if t else "") for row, t in zip(rot, shift, strict=True))
 
-    tags = ("length_a", "length_b", "length_c", "angle_alpha", "angle_beta", "angle_gamma")
-    lines = ["data_written", f"_space_group_name_H-M_alt '{name}'", f"_space_group_IT_number {number}", *(f"_cell_{t} {v!r}" for t, v in zip(tags, cell, strict=True))]
-    lines += ["loop_", "_space_group_symop_operation_xyz", *(f"'{xyz(*o)}'" for o in spacegroup.operations(hall))]
-    lines += ["loop_", "_atom_site_type_symbol", *(f"_atom_site_fract_{c}" for c in "xyz"), *(" ".join(map(str, s)) for s in sites)]
-    return "\n".join(lines) + "\n"
+    head = ["data_written", f"_space_group_name_H-M_alt '{name}'", f"_space_group_IT_number {number}", *(f"_cell_angle_{t} {v!r}" for t, v in zip(("alpha", "beta", "gamma"), angles, strict=True))]
+    tail = ["loop_", "_space_group_symop_operation_xyz", *(f"'{xyz(*o)}'" for o in spacegroup.operations(hall))]
+    tail += ["loop_", "_atom_site_type_symbol", *(f"_atom_site_fract_{c}" for c in "xyz"), *(" ".join(map(str, s)) for s in sites)]
+    return F.concat(F.lit("\n".join(head)), *(x for t, v in zip("abc", lengths, strict=True) for x in (F.lit(f"\n_cell_length_{t} "), v.cast("string"))), F.lit("\n" + "\n".join(tail) + "\n"))
 
 
-def structures(spark: SparkSession) -> Structure:
-    return Structure.from_texts(spark.createDataFrame([(k, cif_text(*v)) for k, v in STRUCTURES.items()], "structure_id string, value string"))
+def structures(spark: SparkSession, sf_dir: str) -> Structure:
+    """One strained structure for each supplier, from the text of a CIF."""
+    key = F.col("s_suppkey")
+    strain, text = 1 + (key % 10) / 100, F.lit(None).cast("string")
+    for i, (number, (a, b, c, *angles), sites) in enumerate(STRUCTURES.values()):
+        text = F.when(key % 4 == i, cif_text(number, [F.lit(x) * strain for x in (a, b, c)], tuple(angles), sites)).otherwise(text)
+    return Structure.from_texts(table(spark, sf_dir, "supplier").select(key.cast("string").alias("structure_id"), text.alias("value")))
 
 
 _TI_VOLUME = f"{TI[0]!r} * {TI[0]!r} * {TI[2]!r} * sqrt(3) / 2"
+#: A supplier's kind of structure and its strain.
+_KIND = "SELECT CAST(s_suppkey AS VARCHAR) AS structure_id, s_suppkey % 4 AS kind, 1 + (s_suppkey % 10) / 100 AS f FROM supplier"
 
 
-@query(f"""SELECT s AS structure_id, n AS sg_number, name AS sg_name, CAST(ops AS BIGINT) AS n_ops, CAST(atoms AS BIGINT) AS n_atoms, {sr('v')} AS volume, {sr('b')} AS b00 FROM (VALUES
-('iron', 229, 'I m -3 m', 96, 2, {FE!r} * {FE!r} * {FE!r}, 1 / {FE!r}), ('salt', 225, 'F m -3 m', 192, 8, {NACL!r} * {NACL!r} * {NACL!r}, 1 / {NACL!r}),
-('titanium', 194, 'P 63/m m c', 24, 2, {_TI_VOLUME}, 2 / sqrt(3) / {TI[0]!r}), ('titanate', 221, 'P m -3 m', 48, 5, {PEROVSKITE!r} * {PEROVSKITE!r} * {PEROVSKITE!r}, 1 / {PEROVSKITE!r})) t(s, n, name, ops, atoms, v, b)""")
+@query(f"""SELECT structure_id, n AS sg_number, name AS sg_name, CAST(ops AS BIGINT) AS n_ops, CAST(atoms AS BIGINT) AS n_atoms, {sr('v * f * f * f')} AS volume, {sr('b / f')} AS b00 FROM ({_KIND}) JOIN (VALUES
+(0, 229, 'I m -3 m', 96, 2, {FE!r} * {FE!r} * {FE!r}, 1 / {FE!r}), (1, 225, 'F m -3 m', 192, 8, {NACL!r} * {NACL!r} * {NACL!r}, 1 / {NACL!r}),
+(2, 194, 'P 63/m m c', 24, 2, {_TI_VOLUME}, 2 / sqrt(3) / {TI[0]!r}), (3, 221, 'P m -3 m', 48, 5, {PEROVSKITE!r} * {PEROVSKITE!r} * {PEROVSKITE!r}, 1 / {PEROVSKITE!r})) t(i, n, name, ops, atoms, v, b) ON i = kind""")
 def structure_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structures from CIF texts: group, operations, atoms of the cell, and the cell's volume and B."""
-    s = structures(spark)
+    s = structures(spark, sf_dir)
     each = s.sgno.join(s.sgname, "structure_id").join(s.sym_ops.groupBy("structure_id").agg(F.count("*").alias("n_ops")), "structure_id")
     each = each.join(s.atoms.groupBy("structure_id").agg(F.count("*").alias("n_atoms")), "structure_id")
     return each.join(s.unit_cell.select("structure_id", r(F.col("volume")).alias("volume"), r(F.col("bmat.m00")).alias("b00")), "structure_id")
 
 
-#: Reflections of the four structures that aren't extinct, by the rules of their lattices.
-_SEEN = f"""q AS (SELECT 'iron' AS structure_id, h, k, l, sqrt(h*h + k*k + l*l) / {FE!r} AS ds FROM {_HKL_RANGE} WHERE (h + k + l) % 2 = 0
-UNION ALL SELECT 'salt', h, k, l, sqrt(h*h + k*k + l*l) / {NACL!r} FROM {_HKL_RANGE} WHERE abs(h % 2) = abs(k % 2) AND abs(k % 2) = abs(l % 2)
-UNION ALL SELECT 'titanium', h, k, l, sqrt(4.0 / 3 * (h*h + h*k + k*k) / ({TI[0]!r} * {TI[0]!r}) + l*l / ({TI[2]!r} * {TI[2]!r})) FROM {_HKL_RANGE} WHERE l % 2 = 0 OR (h + 2 * k) % 3 <> 0
-UNION ALL SELECT 'titanate', h, k, l, sqrt(h*h + k*k + l*l) / {PEROVSKITE!r} FROM {_HKL_RANGE}),
-s AS (SELECT * FROM q WHERE ds > 0 AND ds < 1.0)"""
+#: Reflections of the suppliers' structures that aren't extinct, by the rules of their lattices.
+_SEEN = f"""q AS (SELECT structure_id, kind, h, k, l, CASE kind WHEN 0 THEN sqrt(h*h + k*k + l*l) / {FE!r} WHEN 1 THEN sqrt(h*h + k*k + l*l) / {NACL!r}
+WHEN 2 THEN sqrt(4.0 / 3 * (h*h + h*k + k*k) / ({TI[0]!r} * {TI[0]!r}) + l*l / ({TI[2]!r} * {TI[2]!r})) ELSE sqrt(h*h + k*k + l*l) / {PEROVSKITE!r} END / f AS ds FROM ({_KIND}), {_HKL_RANGE}
+WHERE CASE kind WHEN 0 THEN (h + k + l) % 2 = 0 WHEN 1 THEN abs(h % 2) = abs(k % 2) AND abs(k % 2) = abs(l % 2) WHEN 2 THEN l % 2 = 0 OR (h + 2 * k) % 3 <> 0 ELSE true END),
+s AS (SELECT * FROM q WHERE ds > 0 AND ds < 0.9)"""
 
 
-@query(f"""WITH {_SEEN}, g AS (SELECT structure_id, round(ds, 7) AS d, min(ds) AS ds, count(*) AS mult, string_agg(concat(h, ' ', k, ' ', l), ';' ORDER BY h, k, l) AS hkls FROM s GROUP BY structure_id, round(ds, 7))
-SELECT structure_id, CAST(row_number() OVER (PARTITION BY structure_id ORDER BY d) - 1 AS BIGINT) AS ring_id, {sr('ds')} AS ds, {sr('2 * degrees(asin(ds * 0.3 / 2))')} AS tth, mult, hkls FROM g""")
+@query(f"""WITH {_SEEN}, n AS (SELECT *, CASE WHEN ds - lag(ds) OVER (PARTITION BY structure_id ORDER BY ds) > 0.001 THEN 1 ELSE 0 END AS step FROM s), i AS (SELECT *, sum(step) OVER (PARTITION BY structure_id ORDER BY ds) AS ring FROM n)
+SELECT structure_id, CAST(ring AS BIGINT) AS ring_id, {sr('min(ds)')} AS ds, {sr('min(2 * degrees(asin(ds * 0.3 / 2)))')} AS tth, count(*) AS mult, string_agg(concat(h, ' ', k, ' ', l), ';' ORDER BY h, k, l) AS hkls FROM i GROUP BY structure_id, ring""")
 def cif_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rings of all structures at once, put together from the ring lists; the SQL by extinction rules."""
-    s = structures(spark).make_hkls(1.0, 0.3)
+    s = structures(spark, sf_dir).make_hkls(0.9, 0.3)
     key = ["structure_id", "ring_id"]
     lists = s.ringhkls.select(*key, F.array_join(F.transform(F.array_sort("hkls"), lambda x: F.concat_ws(" ", x["h"], x["k"], x["l"])), ";").alias("hkls"))
     return rounded(s.ringds.join(s.ringtth, key).join(s.ringmult, key).join(lists, key), ("ds", "tth"))
 
 
-@query(f"WITH {_SEEN} SELECT structure_id, h, k, l FROM s WHERE structure_id IN ('iron', 'titanium')")
+@query(f"WITH {_SEEN} SELECT structure_id, h, k, l, {sr('ds')} AS ds FROM s WHERE kind IN (0, 2)")
 def ring_reflections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rings' reflections, of the structures of two space groups, by number and by name."""
-    s = structures(spark)
-    one, other = s.by_number(229).make_hkls(1.0, 0.3), s.by_name("P63/mmc").make_hkls(1.0, 0.3)
-    return one.ringhkls_arr.unionByName(other.ringhkls_arr)
+    s = structures(spark, sf_dir)
+    one, other = s.by_number(229).make_hkls(0.9, 0.3), s.by_name("P63/mmc").make_hkls(0.9, 0.3)
+    return rounded(one.ringhkls_arr.unionByName(other.ringhkls_arr).drop("ring_id"), ("ds",))
 
 
-@query(f"""SELECT structure_id, h, k, l, {sr('ds')} AS ds, {sr('2 * degrees(asin(ds * 0.3 / 2))')} AS tth FROM (SELECT 'iron' AS structure_id, h, k, l, sqrt(h*h + k*k + l*l) / {FE!r} AS ds FROM {_HKL_RANGE}
-UNION ALL SELECT 'titanate', h, k, l, sqrt(h*h + k*k + l*l) / {PEROVSKITE!r} FROM {_HKL_RANGE}) WHERE h >= k AND k >= l AND l >= 0 AND ds > 0 AND ds < 1.2""")
+@query(f"""WITH q AS (SELECT structure_id, h, k, l, sqrt(h*h + k*k + l*l) / CASE kind WHEN 0 THEN {FE!r} ELSE {PEROVSKITE!r} END / f AS ds FROM ({_KIND}), {_HKL_RANGE} WHERE kind IN (0, 3) AND h >= k AND k >= l AND l >= 0)
+SELECT structure_id, h, k, l, {sr('ds')} AS ds, {sr('2 * degrees(asin(ds * 0.3 / 2))')} AS tth FROM q WHERE ds > 0 AND ds < 1.1""")
 def structure_hkls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One reflection of each orbit by the structures' own operations; indices, angles and d* lists side by side."""
-    s = structures(spark)
-    cubic = Structure(s.cells.where("structure_id in ('iron', 'titanate')"), s.symmetry_ops, s.atoms).make_hkls(1.2, 0.3, expand_to_p1=False)
+    """One reflection of each orbit by the structures' own operations."""
+    s = structures(spark, sf_dir)
+    cubic = Structure(s.cells.where("sg_number in (229, 221)"), s.symmetry_ops, s.atoms).make_hkls(1.1, 0.3, expand_to_p1=False)
     return rounded(cubic.scatter_table, ("ds", "tth"))
 
 
+@query(f"""WITH q AS (SELECT structure_id, h, k, l, sqrt(h*h + k*k + l*l) / {NACL!r} / f AS ds FROM ({_KIND}), {_HKL_RANGE} WHERE kind = 1), s AS (SELECT *, 2 * degrees(asin(ds * 0.3 / 2)) AS tth FROM q WHERE ds > 0 AND ds < 0.9)
+SELECT structure_id, count(*) AS n, CAST(sum(abs(h) + 2 * abs(k) + 3 * abs(l)) AS BIGINT) AS indices, {sr('sum(ds)', 5)} AS ds, {sr('max(tth)', 5)} AS tth FROM s GROUP BY structure_id""")
+def reflection_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists of all reflections, their angles and d*, which have no row in common: by what they add up to."""
+    s = structures(spark, sf_dir).by_name("F m -3 m").make_hkls(0.9, 0.3)
+    each = lambda df, *sums: df.groupBy("structure_id").agg(*sums)
+    hkls = each(s.allhkls, F.count("*").alias("n"), F.sum(F.expr("abs(h) + 2 * abs(k) + 3 * abs(l)")).alias("indices"))
+    ds, tth = each(s.allds, r(F.sum("ds"), 5).alias("ds")), each(s.alltth, r(F.max("tth"), 5).alias("tth"))
+    return hkls.join(ds, "structure_id").join(tth, "structure_id")
+
+
 _OPS = {1: 1, 2: 2, 4: 2, 14: 4, 15: 8, 19: 4, 33: 4, 61: 8, 62: 8, 63: 16, 71: 16, 123: 16, 129: 16, 136: 16, 139: 32, 141: 32, 148: 18, 152: 6, 154: 6, 164: 12, 166: 36, 167: 36, 186: 12, 191: 24, 194: 24, 198: 12, 205: 24, 216: 96, 221: 48, 223: 48, 225: 192, 227: 192, 229: 96, 230: 96}
 
 
-@query(f"SELECT n AS number, CAST(m AS BIGINT) AS n_ops, true AS by_name FROM (VALUES {', '.join(map(str, _OPS.items()))}) t(n, m)")
+@query(f"""SELECT p_partkey, CAST(n AS BIGINT) AS n_places, CAST(n AS BIGINT) AS n_places_by_name FROM (SELECT p_partkey, ({list(_OPS.values())!r})[1 + p_partkey % {len(_OPS)}] AS n FROM part)""")
 def space_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of general positions of the named groups, by number and by name; no CIF."""
-    numbered = [spacegroup.from_number(spark, n, str(n)) for n, *_ in spacegroup.GROUPS]
+    """Places of the cell that a group's operations bring a general point to: one group and point for each part, by number and by name; no CIF."""
+    k = F.col("p_partkey")
+    at = [0.0131 + (k % 7) / 1000, 0.1093 + (k % 11) / 1000, 0.2377 + (k % 13) / 1000]
+    points = table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, _OPS)), (k % len(_OPS) + 1).cast("int")).cast("string").alias("structure_id"), *(x.alias(n) for x, n in zip(at, "xyz", strict=True)))
+
+    def places(groups: list[DataFrame], name: str) -> DataFrame:
+        ops = F.broadcast(reduce(DataFrame.unionByName, groups))  # some thousand operations of the named groups, whatever the table
+        moved = [sum((F.col(f"rot.m{i}{j}") * F.col(c) for j, c in enumerate("xyz")), F.col(f"trans.{'xyz'[i]}")) for i in range(3)]
+        place = F.struct(*(F.pmod(F.round((m - F.floor(m)) * 1e6).cast("long"), F.lit(1_000_000)).alias(c) for m, c in zip(moved, "xyz", strict=True)))
+        return points.join(ops, "structure_id").groupBy("p_partkey").agg(F.countDistinct(place).alias(name))
+
+    numbered = [spacegroup.from_number(spark, n, str(n)) for n in _OPS]
     named = [spacegroup.from_name(spark, name, str(n)) for n, name, _ in spacegroup.GROUPS]
-    both = (reduce(DataFrame.unionByName, x) for x in (numbered, named))
-    counts = [x.groupBy("structure_id").agg(F.count("*").alias(c)) for x, c in zip(both, ("n_ops", "m_ops"), strict=True)]
-    out = counts[0].join(counts[1], "structure_id")
-    return out.select(F.col("structure_id").cast("int").alias("number"), "n_ops", (F.col("n_ops") == F.col("m_ops")).alias("by_name"))
+    return places(numbered, "n_places").join(places(named, "n_places_by_name"), "p_partkey")
 
 
 _ANGLE = "SELECT p_partkey, radians(CAST(p_partkey % 360 - 180 AS DOUBLE) + 0.25) AS t FROM part"
@@ -192,11 +215,14 @@ def sql_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
         round(step_to_sample_y(cast(p_partkey % 17 - 8 AS INT), 0.25D), 6) + 0.0D AS y FROM braggline_parts""")
 
 
-@query(f"SELECT h, k, l, {sr(f'sqrt(h*h + k*k + l*l) / {FE!r}')} AS ds FROM {_HKL_RANGE} WHERE h*h + k*k + l*l > 0 AND sqrt(h*h + k*k + l*l) / {FE!r} < 1.8")
+@query(f"""{_CELL_SQL}, q AS (SELECT p_partkey, h, k, l, sqrt(greatest(0, (h*b*c*sa)*(h*b*c*sa) + (k*a*c*sb)*(k*a*c*sb) + (l*a*b*sg)*(l*a*b*sg) + 2*h*k*a*b*c*c*(ca*cb - cg) + 2*k*l*a*a*b*c*(cb*cg - ca) + 2*h*l*a*b*b*c*(ca*cg - cb))) / vol AS ds FROM v, {_HKL_RANGE})
+SELECT p_partkey, h, k, l, {sr('ds')} AS ds FROM q WHERE ds > 0 AND ds < 0.5""")
 def sql_reflections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table function of reflections."""
+    """The table function of reflections, for each part's triclinic cell."""
     sql_functions.register(spark)
-    return spark.sql(f"SELECT h, k, l, round(ds, 6) + 0.0D AS ds FROM cubic_hkls({FE!r}D, 1.8D)")
+    k, s = F.col("p_partkey"), F.col("p_size") / 10.0
+    cells_of(table(spark, sf_dir, "part"), "p_partkey", 3 + s, 3.2 + s, 3.5 + s, 85.0 + k % 11, 88.0 + k % 5, 95.0 - k % 7).createOrReplaceTempView("braggline_cells")
+    return spark.sql("SELECT p.structure_id AS p_partkey, r.h, r.k, r.l, round(r.ds, 6) + 0.0D AS ds FROM braggline_cells AS p, LATERAL cell_hkls(p.a, p.b, p.c, p.alpha, p.beta, p.gamma, 0.5D) AS r")
 
 
 # propagation

@@ -16,7 +16,8 @@ FUNCTIONS = {
 
 
 def register(spark: SparkSession) -> None:
-    """Make the functions known as temporary SQL functions, and cubic reflections as a table function."""
+    """Make the functions known as temporary SQL functions, and reflections as table functions: ``cell_hkls`` of any cell, to be called
+    by LATERAL for each row of a table, ``cubic_hkls`` of a cubic one. Both are bodies that Catalyst inlines; no Python runs."""
     for name, (arguments, kind, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")
     spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION cubic_hkls(a DOUBLE, dsmax DOUBLE) RETURNS TABLE (h BIGINT, k BIGINT, l BIGINT, ds DOUBLE)
@@ -26,3 +27,18 @@ def register(spark: SparkSession) -> None:
         LATERAL VIEW explode(sequence(-cast(floor(dsmax * a) AS BIGINT), cast(floor(dsmax * a) AS BIGINT))) AS k
         LATERAL VIEW explode(sequence(-cast(floor(dsmax * a) AS BIGINT), cast(floor(dsmax * a) AS BIGINT))) AS l
         WHERE h * h + k * k + l * l > 0 AND sqrt(h * h + k * k + l * l) / a < dsmax""")
+    cos = lambda x: f"cos(radians({x}))"
+    root = f"sqrt(1 - pow({cos('alpha')}, 2) - pow({cos('beta')}, 2) - pow({cos('gamma')}, 2) + 2 * {cos('alpha')} * {cos('beta')} * {cos('gamma')})"
+    #: The upper triangle of B.
+    b = {
+        "b00": f"sin(radians(alpha)) / (a * {root})", "b01": f"({cos('alpha')} * {cos('beta')} - {cos('gamma')}) / (b * {root} * sin(radians(alpha)))",
+        "b02": f"({cos('alpha')} * {cos('gamma')} - {cos('beta')}) / (c * {root} * sin(radians(alpha)))", "b11": "1 / (b * sin(radians(alpha)))", "b12": "-cos(radians(alpha)) / (c * sin(radians(alpha)))", "b22": "1 / c",
+    }
+    upper = ", ".join(f"{body} AS {name}" for name, body in b.items())
+    # as in operators.hkl: l by itself, k for each l, h for each k and l
+    each = lambda center, radius: f"explode(CASE WHEN ceil(({center}) - ({radius}) - 1e-6D) <= floor(({center}) + ({radius}) + 1e-6D) THEN sequence(ceil(({center}) - ({radius}) - 1e-6D), floor(({center}) + ({radius}) + 1e-6D)) END)"
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION cell_hkls(a DOUBLE, b DOUBLE, c DOUBLE, alpha DOUBLE, beta DOUBLE, gamma DOUBLE, dsmax DOUBLE) RETURNS TABLE (h BIGINT, k BIGINT, l BIGINT, ds DOUBLE)
+        RETURN SELECT h, k, l, ds FROM (SELECT h, k, l, most, sqrt(pow(b00 * h + b01 * k + b02 * l, 2) + pow(b11 * k + b12 * l, 2) + pow(b22 * l, 2)) AS ds FROM
+        (SELECT *, {each("-(b01 * k + b02 * l) / b00", "sqrt(greatest(0D, most * most - pow(b22 * l, 2) - pow(b11 * k + b12 * l, 2))) / b00")} AS h FROM
+        (SELECT *, {each("-b12 * l / b11", "sqrt(greatest(0D, most * most - pow(b22 * l, 2))) / b11")} AS k FROM
+        (SELECT *, {each("0D", "most / b22")} AS l FROM (SELECT {upper}, dsmax AS most))))) WHERE ds > 0 AND ds < most""")

@@ -225,8 +225,24 @@ def cell(spark: SparkSession, name: str, *p: float) -> DataFrame:
     return spark.createDataFrame([(name, *map(float, p))], "structure_id string, a double, b double, c double, alpha double, beta double, gamma double")
 
 
-def atoms(spark: SparkSession, name: str, *sites: tuple[str, float, float, float]) -> DataFrame:
-    return spark.createDataFrame([(name, e, *map(float, at), 1.0) for e, *at in sites], "structure_id string, element string, x double, y double, z double, occ double")
+def cells_of(df: DataFrame, key: str, a, b, c, alpha=90, beta=90, gamma=90) -> DataFrame:
+    """A cell for each row, by columns or numbers."""
+    column = lambda v: (v if isinstance(v, Column) else F.lit(float(v))).cast("double")
+    return df.select(F.col(key).alias("structure_id"), *(column(v).alias(n) for n, v in zip(crystal.LPARS, (a, b, c, alpha, beta, gamma), strict=True)))
+
+
+def sites_of(df: DataFrame, key: str, *sites: tuple[str, float, float, float]) -> DataFrame:
+    """The same atoms for each row."""
+    site = lambda e, *at: F.struct(F.lit(e).alias("element"), *(F.lit(float(v)).alias(n) for n, v in zip("xyz", at, strict=True)), F.lit(1.0).alias("occ"))
+    return df.select(F.col(key).alias("structure_id"), F.explode(F.array(*(site(*x) for x in sites))).alias("s")).select("structure_id", "s.*")
+
+
+#: A cubic edge for each supplier: from 1 to 1.5 times the given one.
+_EDGE = "{0!r}::DOUBLE * (1 + (s_suppkey % 50) / 100)"
+
+
+def edge(a: float) -> Column:
+    return F.lit(a) * (1 + (F.col("s_suppkey") % 50) / 100)
 
 
 def _series(n: int, name: str) -> str:
@@ -240,18 +256,32 @@ def _hkl(n: int, m: int) -> str:
 _HKL_RANGE = _hkl(6, 6)
 
 
-@query(f"""WITH q AS (SELECT h, k, l, sqrt(4.0 / 3 * (h*h + h*k + k*k) / ({TI[0]!r} * {TI[0]!r}) + l*l / ({TI[2]!r} * {TI[2]!r})) AS ds FROM {_hkl(6, 7)})
-SELECT h, k, l, {sr('ds')} AS ds, {sr('2 * degrees(asin(ds * 0.3 / 2))')} AS tth FROM q WHERE ds > 0 AND ds < 1.4""")
+@query(f"""WITH p AS (SELECT p_partkey, 2.5::DOUBLE + p_size / 50 AS a, 4 + (p_partkey % 7) / 5 AS c FROM part), q AS (SELECT p_partkey, h, k, l, sqrt(4.0 / 3 * (h*h + h*k + k*k) / (a * a) + l*l / (c * c)) AS ds FROM p, {_hkl(4, 5)})
+SELECT p_partkey, h, k, l, {sr('ds')} AS ds, {sr('2 * degrees(asin(ds * 0.3 / 2))')} AS tth FROM q WHERE ds > 0 AND ds < 0.8""")
 def hexagonal_hkls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(hkl.make_hkls(cell(spark, "Ti", *TI), 1.4, 0.3).drop("structure_id"), ("ds", "tth"))
+    """Reflections of a hexagonal cell for each part."""
+    a, c = 2.5 + F.col("p_size") / 50, 4 + (F.col("p_partkey") % 7) / 5
+    found = hkl.make_hkls(cells_of(table(spark, sf_dir, "part"), "p_partkey", a, a, c, 90, 90, 120), 0.8, 0.3)
+    return rounded(found.withColumnRenamed("structure_id", "p_partkey"), ("ds", "tth"))
+
+
+@query(f"""{_CELL_SQL}, q AS (SELECT p_partkey, h, k, l, sqrt(greatest(0, (h*b*c*sa)*(h*b*c*sa) + (k*a*c*sb)*(k*a*c*sb) + (l*a*b*sg)*(l*a*b*sg) + 2*h*k*a*b*c*c*(ca*cb - cg) + 2*k*l*a*a*b*c*(cb*cg - ca) + 2*h*l*a*b*b*c*(ca*cg - cb))) / vol AS ds FROM v, {_hkl(6, 6)})
+SELECT p_partkey, h, k, l, {sr('ds')} AS ds, {sr('2 * degrees(asin(ds * 0.2 / 2))')} AS tth FROM q WHERE ds > 0 AND ds < 0.6""")
+def triclinic_hkls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reflections of a triclinic cell for each part; d* by the triclinic formula over a whole box in the SQL."""
+    k, s = F.col("p_partkey"), F.col("p_size") / 10.0
+    cells = cells_of(table(spark, sf_dir, "part"), "p_partkey", 3 + s, 3.2 + s, 3.5 + s, 85.0 + k % 11, 88.0 + k % 5, 95.0 - k % 7)
+    return rounded(hkl.make_hkls(cells, 0.6, 0.2).withColumnRenamed("structure_id", "p_partkey"), ("ds", "tth"))
 
 
-@query(f"""WITH q AS (SELECT h, k, l, h*h + k*k + l*l AS s FROM {_hkl(5, 5)} WHERE (h + k + l) % 2 = 0), u AS (SELECT *, sqrt(s) / {FE!r} AS ds FROM q WHERE s > 0 AND sqrt(s) / {FE!r} < 2.0)
-SELECT CAST(dense_rank() OVER (ORDER BY s) - 1 AS BIGINT) AS ring_id, {sr('min(ds)')} AS ds, {sr('min(2 * degrees(asin(ds * 0.3 / 2)))')} AS tth, count(*) AS mult FROM u GROUP BY s""")
+@query(f"""WITH p AS (SELECT s_suppkey, {_EDGE.format(FE)} AS a FROM supplier), q AS (SELECT s_suppkey, a, h, k, l, h*h + k*k + l*l AS s FROM p, {_hkl(8, 8)} WHERE (h + k + l) % 2 = 0), u AS (SELECT *, sqrt(s) / a AS ds FROM q WHERE s > 0 AND sqrt(s) / a < 1.8)
+SELECT s_suppkey, CAST(dense_rank() OVER (PARTITION BY s_suppkey ORDER BY s) - 1 AS BIGINT) AS ring_id, {sr('min(ds)')} AS ds, {sr('min(2 * degrees(asin(ds * 0.3 / 2)))')} AS tth, count(*) AS mult FROM u GROUP BY s_suppkey, s""")
 def rings_iron(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rings of iron by structure factors and single linkage; the SQL by the rule of body-centred lattices."""
-    table_ = hkl.rings_table(hkl.make_hkls(cell(spark, "Fe", FE, FE, FE, 90, 90, 90), 2.0, 0.3), atoms(spark, "Fe", ("Fe", 0, 0, 0), ("Fe", 0.5, 0.5, 0.5)))
-    return rounded(hkl.rings(table_).select("ring_id", "ds", "tth", "mult"), ("ds", "tth"))
+    """Rings of strained iron for each supplier, by structure factors and single linkage; the SQL by the rule of body-centred lattices."""
+    s = table(spark, sf_dir, "supplier")
+    sites = sites_of(s, "s_suppkey", ("Fe", 0, 0, 0), ("Fe", 0.5, 0.5, 0.5))
+    found = hkl.rings_table(hkl.make_hkls(cells_of(s, "s_suppkey", edge(FE), edge(FE), edge(FE)), 1.8, 0.3), sites)
+    return rounded(hkl.rings(found).select(F.col("structure_id").alias("s_suppkey"), "ring_id", "ds", "tth", "mult"), ("ds", "tth"))
 
 
 CERIA = [("Ce", x, y, z) for x, y, z in ((0, 0, 0), (0, 0.5, 0.5), (0.5, 0, 0.5), (0.5, 0.5, 0))] + [("O", x, y, z) for x in (0.25, 0.75) for y in (0.25, 0.75) for z in (0.25, 0.75)]
@@ -262,27 +292,29 @@ def _form(e: str) -> str:
     return " + ".join(f"{a!r} * exp(-({b!r}) * ds * ds / 4)" for a, b in zip(ab[:4], ab[4:], strict=True)) + f" + {c!r}"
 
 
-@query(f"""WITH q AS (SELECT h, k, l, sqrt(h*h + k*k + l*l) / {CEO2!r} AS ds FROM {_hkl(5, 5)} WHERE abs(h % 2) = abs(k % 2) AND abs(k % 2) = abs(l % 2)),
-f AS (SELECT *, {_form('Ce')} AS ce, {_form('O')} AS o FROM q WHERE ds > 0 AND ds < 1.0)
-SELECT h, k, l, {sr('CASE WHEN abs(h % 2) = 1 THEN 16 * ce * ce WHEN (h + k + l) % 4 = 0 THEN (4 * ce + 8 * o) * (4 * ce + 8 * o) ELSE (4 * ce - 8 * o) * (4 * ce - 8 * o) END', 4)} AS intensity FROM f""")
+@query(f"""WITH p AS (SELECT s_suppkey, {_EDGE.format(CEO2)} AS a FROM supplier), q AS (SELECT s_suppkey, h, k, l, sqrt(h*h + k*k + l*l) / a AS ds FROM p, {_hkl(8, 8)} WHERE abs(h % 2) = abs(k % 2) AND abs(k % 2) = abs(l % 2)),
+f AS (SELECT *, {_form('Ce')} AS ce, {_form('O')} AS o FROM q WHERE ds > 0 AND ds < 0.9)
+SELECT s_suppkey, h, k, l, {sr('CASE WHEN abs(h % 2) = 1 THEN 16 * ce * ce WHEN (h + k + l) % 4 = 0 THEN (4 * ce + 8 * o) * (4 * ce + 8 * o) ELSE (4 * ce - 8 * o) * (4 * ce - 8 * o) END', 4)} AS intensity FROM f""")
 def ceria_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structure factors of CeO2; the SQL by the rules of the fluorite structure."""
-    got = hkl.intensity(hkl.make_hkls(cell(spark, "CeO2", CEO2, CEO2, CEO2, 90, 90, 90), 1.0, 0.3), atoms(spark, "CeO2", *CERIA))
-    return got.where(F.col("intensity") > hkl.LEAST_INTENSITY).select("h", "k", "l", r(F.col("intensity"), 4).alias("intensity"))
+    """Structure factors of strained CeO2 for each supplier; the SQL by the rules of the fluorite structure."""
+    s = table(spark, sf_dir, "supplier")
+    got = hkl.intensity(hkl.make_hkls(cells_of(s, "s_suppkey", edge(CEO2), edge(CEO2), edge(CEO2)), 0.9, 0.3), sites_of(s, "s_suppkey", *CERIA))
+    return got.where(F.col("intensity") > hkl.LEAST_INTENSITY).select(F.col("structure_id").alias("s_suppkey"), "h", "k", "l", r(F.col("intensity"), 4).alias("intensity"))
 
 
-def cubic_ops(spark: SparkSession, name: str) -> DataFrame:
-    rows = []
-    for p in permutations(range(3)):
-        for s in product((1.0, -1.0), repeat=3):
-            rows.append((name, tuple(s[i] * (p[i] == j) for i in range(3) for j in range(3))))
-    return spark.createDataFrame(rows, "structure_id string, rot struct<" + ",".join(f"{n}:double" for n in la.NAMES) + ">")
+def cubic_ops(df: DataFrame, key: str) -> DataFrame:
+    """The 48 rotations of a cube for each row."""
+    rots = [tuple(s[i] * (p[i] == j) for i in range(3) for j in range(3)) for p in permutations(range(3)) for s in product((1.0, -1.0), repeat=3)]
+    return df.select(F.col(key).alias("structure_id"), F.explode(F.array(*(la.matrix(*x) for x in rots))).alias("rot"))
 
 
-@query(f"SELECT h, k, l, {sr(f'sqrt(h*h + k*k + l*l) / {FE!r}')} AS ds FROM {_hkl(4, 4)} WHERE h >= k AND k >= l AND l >= 0 AND h > 0 AND sqrt(h*h + k*k + l*l) / {FE!r} < 1.5")
+@query(f"""WITH p AS (SELECT s_suppkey, {_EDGE.format(FE)} AS a FROM supplier)
+SELECT s_suppkey, h, k, l, {sr('sqrt(h*h + k*k + l*l) / a')} AS ds FROM p, {_hkl(6, 6)} WHERE h >= k AND k >= l AND l >= 0 AND h > 0 AND sqrt(h*h + k*k + l*l) / a < 1.3""")
 def unique_hkls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One reflection of each orbit of the cubic group."""
-    return hkl.remove_equivalents(hkl.make_hkls(cell(spark, "Fe", FE, FE, FE, 90, 90, 90), 1.5, 0.3), cubic_ops(spark, "Fe")).select("h", "k", "l", r(F.col("ds")).alias("ds"))
+    """One reflection of each orbit of the cubic group, for each supplier's cell."""
+    s = table(spark, sf_dir, "supplier")
+    kept = hkl.remove_equivalents(hkl.make_hkls(cells_of(s, "s_suppkey", edge(FE), edge(FE), edge(FE)), 1.3, 0.3), cubic_ops(s, "s_suppkey"))
+    return kept.select(F.col("structure_id").alias("s_suppkey"), "h", "k", "l", r(F.col("ds")).alias("ds"))
 
 
 @query("""WITH v AS (SELECT DISTINCT p_size, CAST(p_retailprice AS DOUBLE) AS x FROM part), g AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY p_size ORDER BY x) > 2.5 THEN 1 ELSE 0 END AS n FROM v)
