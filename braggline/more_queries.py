@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,14 +120,14 @@ def space_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = [0.0131 + (k % 7) / 1000, 0.1093 + (k % 11) / 1000, 0.2377 + (k % 13) / 1000]
     points = table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, _OPS)), (k % len(_OPS) + 1).cast("int")).cast("string").alias("structure_id"), *(x.alias(n) for x, n in zip(at, "xyz", strict=True)))
 
-    def places(groups: list[DataFrame], name: str) -> DataFrame:
-        ops = F.broadcast(reduce(DataFrame.unionByName, groups))  # some thousand operations of the named groups, whatever the table
+    def places(halls: dict[str, str], name: str) -> DataFrame:
+        ops = F.broadcast(spacegroup.from_halls(spark, halls))  # some thousand operations of the named groups, whatever the table
         moved = [sum((F.col(f"rot.m{i}{j}") * F.col(c) for j, c in enumerate("xyz")), F.col(f"trans.{'xyz'[i]}")) for i in range(3)]
         place = F.struct(*(F.pmod(F.round((m - F.floor(m)) * 1e6).cast("long"), F.lit(1_000_000)).alias(c) for m, c in zip(moved, "xyz", strict=True)))
         return points.join(ops, "structure_id").groupBy("p_partkey").agg(F.countDistinct(place).alias(name))
 
-    numbered = [spacegroup.from_number(spark, n, str(n)) for n in _OPS]
-    named = [spacegroup.from_name(spark, name, str(n)) for n, name, _ in spacegroup.GROUPS]
+    numbered = {str(n): spacegroup.hall_of(n) for n in _OPS}
+    named = {str(n): spacegroup.hall_of(name=name) for n, name, _ in spacegroup.GROUPS}
     return places(numbered, "n_places").join(places(named, "n_places_by_name"), "p_partkey")
 
 
