@@ -1,10 +1,13 @@
-"""Gaussian peaks onto pixel grids, in long form: one row per pixel of a peak's window."""
+"""Gaussian peaks onto pixel grids: in long form, one row per pixel of a peak's window, or summed in dense tiles."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,13 +62,8 @@ def _masses(a: Axis) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(a.window - 1)), lambda i: F.struct((first + i).alias("i"), (0.5 * (F.get(edges, i + 1) - F.get(edges, i))).alias("p")))
 
 
-def peaks_to_pixels(peaks: DataFrame, axes: list[Axis], amplitude: str | None = None) -> DataFrame:
-    """``peaks`` (mean and variance of axis ``sc`` in columns ``sc`` and ``var_sc``, and so on) to one row per pixel of
-    the window: the key columns left over, i_<axis>, intensity.
-
-    Masses are worked out for each axis alone, and only then the product is taken: the error function is called for
-    the sum of the windows' lengths, not for their product.
-    """
+def _marginals(peaks: DataFrame, axes: list[Axis], amplitude: str | None) -> tuple[DataFrame, list[str]]:
+    """The key columns left over, ``_amp``, and for each axis ``_m_<axis>``, its window's bins with their masses."""
     used = [c for a in axes for c in (a.name, f"var_{a.name}")] + ([amplitude] if amplitude else [])
     rest = [c for c in peaks.columns if c not in used]
     df = peaks
@@ -76,7 +74,17 @@ def peaks_to_pixels(peaks: DataFrame, axes: list[Axis], amplitude: str | None =
         df = df.withColumn(f"_e_{a.name}", _edges(a))
     for a in axes:
         df = df.withColumn(f"_m_{a.name}", _masses(a))
-    df = df.select(*rest, *([F.col(amplitude).alias("_amp")] if amplitude else [F.lit(1.0).alias("_amp")]), *(f"_m_{a.name}" for a in axes))
+    return df.select(*rest, *([F.col(amplitude).cast("double").alias("_amp")] if amplitude else [F.lit(1.0).alias("_amp")]), *(f"_m_{a.name}" for a in axes)), rest
+
+
+def peaks_to_pixels(peaks: DataFrame, axes: list[Axis], amplitude: str | None = None) -> DataFrame:
+    """``peaks`` (mean and variance of axis ``sc`` in columns ``sc`` and ``var_sc``, and so on) to one row per pixel of
+    the window: the key columns left over, i_<axis>, intensity.
+
+    Masses are worked out for each axis alone, and only then the product is taken: the error function is called for
+    the sum of the windows' lengths, not for their product.
+    """
+    df, rest = _marginals(peaks, axes, amplitude)
     for a in axes:
         df = df.withColumn(f"_p_{a.name}", F.explode(f"_m_{a.name}")).drop(f"_m_{a.name}")
     product = sample_gaussian_bins([F.col("_amp"), *(F.col(f"_p_{a.name}.p") for a in axes)])
@@ -89,3 +97,82 @@ peak_to_pixels = peaks_to_pixels
 def image(pixels: DataFrame, axes: list[Axis]) -> DataFrame:
     """Sum of all peaks at each pixel, combined map-side first."""
     return pixels.groupBy(*(f"i_{a.name}" for a in axes)).agg(F.sum("intensity").alias("intensity"))
+
+
+#: Bins of a tile along the first two axes and along further ones, and tiles that a task holds at once.
+TILE, FURTHER, HELD = 16, 8, 2048
+
+
+def _added(tiles: dict[int, np.ndarray], at: np.ndarray, offset: np.ndarray, values: np.ndarray, size: int) -> None:
+    """Add to dense tiles; what no value was added to stays NaN."""
+    known, place = np.unique(at, return_inverse=True)
+    flat = place * size + offset
+    sums = np.bincount(flat, values, len(known) * size).reshape(len(known), size)
+    touched = np.bincount(flat, minlength=len(known) * size).reshape(len(known), size) > 0
+    for k, t in enumerate(known.tolist()):
+        held = tiles.setdefault(t, np.full(size, np.nan))
+        held[touched[k]] = np.nan_to_num(held[touched[k]]) + sums[k][touched[k]]
+
+
+def image_of_peaks(peaks: DataFrame, axes: list[Axis], amplitude: str | None = None, tile: int = TILE, further: int = FURTHER) -> DataFrame:
+    """i_<axis>, intensity: the sum of all peaks at each pixel that a window covers, as :func:`image` of :func:`peaks_to_pixels`, for any
+    number of axes (slow, fast, omega, and dty of a scan).
+
+    Peaks are added to dense tiles within tasks, so what is shuffled is a row for each tile that a task has seen, however many peaks it
+    holds: tiles of equal number are added up, and only the sum is taken apart into pixels. A crowded tile costs a row a task. Tasks
+    hold ``HELD`` tiles at once and pass on what they have beyond that. Peaks with a null or NaN mean or variance have no window.
+    """
+    known = " and ".join(f"{c} is not null and not isnan({c})" for a in axes for c in (a.name, f"var_{a.name}"))
+    df, _ = _marginals(peaks.where(known), axes, amplitude)
+    shape = [min(a.n, tile if k < 2 else further) for k, a in enumerate(axes)]
+    grid, size = [-(-a.n // t) for a, t in zip(axes, shape, strict=True)], math.prod(shape)
+    columns = [F.col("_amp")] + [F.col(f"_m_{a.name}.i").getItem(0).alias(f"f_{a.name}") for a in axes] + [F.col(f"_m_{a.name}.p").alias(f"p_{a.name}") for a in axes]
+    schema = "tile long, pixels array<double>"
+
+    def batch(tiles: dict[int, np.ndarray]) -> pa.RecordBatch:
+        n = np.arange(len(tiles) + 1, dtype=np.int32) * size
+        values = np.concatenate([np.zeros(0), *tiles.values()])
+        out = pa.RecordBatch.from_arrays([pa.array(list(tiles), pa.int64()), pa.ListArray.from_arrays(pa.array(n), pa.array(values))], names=["tile", "pixels"])
+        tiles.clear()
+        return out
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tiles: dict[int, np.ndarray] = {}
+        for b in batches:
+            for s in range(0, b.num_rows, 512):
+                part = b.slice(s, 512)
+                n, k = part.num_rows, len(axes)
+                at, offset, value = np.zeros((n, 1), np.int64), np.zeros((n, 1), np.int64), part.column(0).to_numpy()[:, None]
+                for i, a in enumerate(axes):
+                    bins = part.column(1 + i).to_numpy()[:, None].astype(np.int64) + np.arange(a.window)
+                    mass = part.column(1 + k + i).flatten().to_numpy().reshape(n, a.window)
+                    at = (at[:, :, None] * grid[i] + (bins // shape[i])[:, None, :]).reshape(n, -1)
+                    offset = (offset[:, :, None] * shape[i] + (bins % shape[i])[:, None, :]).reshape(n, -1)
+                    value = (value[:, :, None] * mass[:, None, :]).reshape(n, -1)
+                if n:
+                    _added(tiles, at.ravel(), offset.ravel(), value.ravel(), size)
+                if len(tiles) > HELD:
+                    yield batch(tiles)
+        yield batch(tiles)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            pixels = b.column(1).flatten().to_numpy().reshape(-1, size)
+            for t, own in zip(b.column(0).to_pylist(), pixels, strict=True):
+                if t not in held:
+                    if held:  # rows are in the order of tiles: the one before is complete
+                        yield batch(held)
+                    held[t] = own.copy()
+                else:
+                    held[t] = np.where(np.isnan(held[t]), own, held[t] + np.nan_to_num(own))
+        yield batch(held)
+
+    partial = df.select(*columns).mapInArrow(spread, schema)
+    tiles = partial.repartition(F.col("tile")).sortWithinPartitions("tile").mapInArrow(summed, schema)
+    pixels = tiles.select("tile", F.posexplode("pixels").alias("offset", "intensity")).where(~F.isnan("intensity"))
+    index, rest, within = {}, F.col("tile"), F.col("offset").cast("long")
+    for a, t, g in reversed(list(zip(axes, shape, grid, strict=True))):
+        index[f"i_{a.name}"] = ((rest % g) * t + within % t).cast("int")
+        rest, within = F.floor(rest / g), F.floor(within / t)
+    return pixels.select(*(index[f"i_{a.name}"].alias(f"i_{a.name}") for a in axes), "intensity")

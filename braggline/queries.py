@@ -478,14 +478,46 @@ def _axis_sql(a: splat.Axis) -> str:
 {a.name}_m AS (SELECT id, f + w AS i_{a.name}, sum((CASE WHEN j = 0 OR j = 200 THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END) * exp(-{x} * {x} / (2 * s_{a.name} * s_{a.name}))) * {a.step / 600!r} / (s_{a.name} * sqrt(2 * pi())) AS m_{a.name} FROM {a.name}_f, (SELECT unnest(generate_series(0, {a.window - 1})) AS w), (SELECT unnest(generate_series(0, 200)) AS j) GROUP BY id, f + w, s_{a.name})"""
 
 
-@query(f"""WITH p AS (SELECT s_suppkey AS id, CAST(s_suppkey * 37 % 600 AS DOUBLE) / 10.3 AS sc, CAST(s_suppkey * 53 % 500 AS DOUBLE) / 10.7 AS fc, CAST(s_suppkey * 11 % 200 AS DOUBLE) / 103 - 0.97 AS omega, 0.8 AS s_sc, 0.6 AS s_fc, 0.03 AS s_omega FROM supplier),
-{", ".join(map(_axis_sql, AXES))}
-SELECT CAST(i_sc AS INT) AS i_sc, CAST(i_fc AS INT) AS i_fc, CAST(i_omega AS INT) AS i_omega, {sr('sum(m_sc * m_fc * m_omega)', 7)} AS intensity FROM sc_m JOIN fc_m USING (id) JOIN omega_m USING (id) GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY i_sc, i_fc, i_omega"))
-def splat_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaussian peaks summed on a pixel grid; the SQL integrates by Simpson's rule."""
+#: A scan's four axes.
+SCAN_AXES = [splat.Axis("sc", 0, 1, 60, 5), splat.Axis("fc", 0, 1, 50, 5), splat.Axis("omega", -1, 0.05, 41, 3), splat.Axis("dty", -5, 0.5, 21, 4)]
+_SPOTS = "SELECT s_suppkey AS id, CAST(s_suppkey * 37 % 600 AS DOUBLE) / 10.3 AS sc, CAST(s_suppkey * 53 % 500 AS DOUBLE) / 10.7 AS fc, CAST(s_suppkey * 11 % 200 AS DOUBLE) / 103 - 0.97 AS omega, CAST(s_suppkey * 7 % 90 AS DOUBLE) / 8.7 - 5 AS dty, 1 + s_suppkey % 3 AS amp, 0.8 AS s_sc, 0.6 AS s_fc, 0.03 AS s_omega, 0.4 AS s_dty FROM supplier"
+
+
+def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A peak for each supplier."""
     k = F.col("s_suppkey")
-    p = table(spark, sf_dir, "supplier").select(k.alias("id"), ((k * 37 % 600).cast("double") / 10.3).alias("sc"), ((k * 53 % 500).cast("double") / 10.7).alias("fc"), ((k * 11 % 200).cast("double") / 103 - 0.97).alias("omega"), F.lit(0.8**2).alias("var_sc"), F.lit(0.6**2).alias("var_fc"), F.lit(0.03**2).alias("var_omega"))
-    return rounded(splat.image(splat.peaks_to_pixels(p, AXES), AXES), ("intensity",), 7)
+    places = {"sc": (k * 37 % 600).cast("double") / 10.3, "fc": (k * 53 % 500).cast("double") / 10.7, "omega": (k * 11 % 200).cast("double") / 103 - 0.97, "dty": (k * 7 % 90).cast("double") / 8.7 - 5, "amp": 1 + k % 3}
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), *(c.alias(n) for n, c in places.items()), *(F.lit(x**2).alias(f"var_{n}") for n, x in (("sc", 0.8), ("fc", 0.6), ("omega", 0.03), ("dty", 0.4))))
+
+
+def _pixels_sql(axes: list[splat.Axis], amplitude: str = "1") -> str:
+    names = [a.name for a in axes]
+    mass = " * ".join(f"m_{n}" for n in names)
+    return f"""p AS ({_SPOTS}), {", ".join(map(_axis_sql, axes))},
+x AS (SELECT id, {", ".join(f"CAST(i_{n} AS INT) AS i_{n}" for n in names)}, {mass} * {amplitude} AS m FROM {names[0]}_m {" ".join(f"JOIN {n}_m USING (id)" for n in names[1:])} JOIN (SELECT id, amp FROM p) USING (id))"""
+
+
+def _image_sql(axes: list[splat.Axis], amplitude: str = "1") -> str:
+    keys = ", ".join(f"i_{a.name}" for a in axes)
+    return f"WITH {_pixels_sql(axes, amplitude)} SELECT {keys}, {sr('sum(m)', 7)} AS intensity FROM x GROUP BY {keys}"
+
+
+@query(f"WITH {_pixels_sql(AXES)} SELECT id, i_sc, i_fc, i_omega, {sr('m', 7)} AS intensity FROM x")
+def splat_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaussian peaks as rows of pixels; the SQL integrates by Simpson's rule."""
+    return rounded(splat.peaks_to_pixels(spots(spark, sf_dir).drop("dty", "var_dty", "amp"), AXES), ("intensity",), 7)
+
+
+@query(_image_sql(AXES))
+def splat_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaussian peaks summed on a pixel grid, tile by tile."""
+    return rounded(splat.image_of_peaks(spots(spark, sf_dir).drop("dty", "var_dty", "amp"), AXES), ("intensity",), 7)
+
+
+@query(_image_sql(SCAN_AXES, "amp"))
+def splat_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a scan, with the translation as fourth axis and amplitudes."""
+    return rounded(splat.image_of_peaks(spots(spark, sf_dir), SCAN_AXES, "amp"), ("intensity",), 7)
 
 
 @query(f"SELECT p_partkey, {sr('sqrt(s*s + 25)')} AS ds, {sr('2 * degrees(asin(s / 1000))')} AS tth, {sr('s / 500')} AS back FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS s FROM part)")

@@ -201,6 +201,23 @@ def test_full_covariance(spark):
     assert tuple(got) == (4 * 4 + 2 * 6 + 81, 8 + (-2 + 3) - 27, 8 + (-2 + 3) - 27, 4 - 2 + 9)
 
 
+def test_tiles(spark):
+    """Images by tiles as by rows of pixels: any axes, windows over tiles' borders, amplitudes; tiles are what is shuffled."""
+    axes = [splat.Axis("sc", 0, 1, 40, 7), splat.Axis("fc", 0, 1, 33, 6), splat.Axis("omega", -1, 0.05, 41, 5), splat.Axis("dty", -3, 0.5, 13, 3)]
+    k = F.col("id")
+    p = spark.range(0, 900, 1, 3).select(*(((k * n % 211) / 211 * a.n * a.step * 1.1 + a.start - a.step).alias(a.name) for a, n in zip(axes, (37, 53, 11, 7), strict=True)), *((F.lit(a.step) ** 2 * (0.5 + k % 3)).alias(f"var_{a.name}") for a in axes), (k % 5 - 1.5).alias("amp"))
+    for few, tile in ((axes, 16), (axes[:3], 5), (axes[:1], 16)):
+        key = [f"i_{a.name}" for a in few]
+        names = [c for a in few for c in (a.name, f"var_{a.name}")] + ["amp"]
+        want = {tuple(r[x] for x in key): r.intensity for r in splat.image(splat.peaks_to_pixels(p.select(names), few, "amp"), few).collect()}
+        got = {tuple(r[x] for x in key): r.intensity for r in splat.image_of_peaks(p.select(names), few, "amp", tile, 4).collect()}
+        assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x], abs=1e-12) for x in want)
+    none = p.select("sc", "var_sc").where("sc > 1e9")
+    assert splat.image_of_peaks(none, axes[:1]).count() == 0
+    odd = spark.createDataFrame([(None, 1.0), (float("nan"), 1.0), (3.0, None)], "sc double, var_sc double")
+    assert splat.image_of_peaks(odd, axes[:1]).count() == 0
+
+
 def test_copied_side(spark):
     f = spark.range(300).select("id", (F.col("id") * 0.31 % 7).alias("a"), (F.col("id") * 0.77 % 5).alias("b"))
     p = spark.range(300).select(F.col("id").alias("j"), (F.col("id") * 0.43 % 7).alias("c"), (F.col("id") * 0.59 % 5).alias("d"))
