@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from .functions import crystal, diffract, dual, geometry
 from .functions import linalg as la
-from .operators import forward, hkl, spacegroup
+from .operators import forward, hkl, spacegroup, splat
 from .operators.forward import Setup
 from .operators.structure import Structure
 from .plans import sql as sql_functions
-from .queries import _CELL_SQL, _HKL_RANGE, _KEYS, COV_DIGITS, FE, GENERAL, TI, TILTED, _cov_sql, cells_of, forward_rows, forward_sql, grains, query, r, rounded, sr, table
-from .streaming.peaks import finished, stream_peaks_to_q
+from .queries import ORACLE, _axis_sql, _CELL_SQL, _HKL_RANGE, _KEYS, COV_DIGITS, FE, GENERAL, TI, TILTED, _cov_sql, cells_of, forward_rows, forward_sql, grains, query, r, rounded, sr, table
+from .streaming.images import STORE, stream_image
+from .streaming.peaks import finished, stream_peaks_to_q, stream_powder_histogram
 
 NACL, PEROVSKITE = 5.64, 3.905
 #: structure: (space group, cell, sites); strontium has no coefficients and is taken by the general rule.
@@ -284,9 +285,38 @@ def cov_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT event_id, {sr('ds', 5)} AS ds, {sr('tth', 5)} AS tth FROM (SELECT event_id, 2 * sin(radians(tth) / 2) / {TILTED.wavelength!r} AS ds, tth FROM (SELECT event_id, degrees(acos(x / sqrt(x*x + y*y + z*z))) AS tth FROM (SELECT event_id, {', '.join(f'({row[1]!r}) * y + ({row[2]!r}) * z' + (f' + {_D.distance!r}' if i == 0 else '') + f' AS {c}' for i, (c, row) in enumerate(zip('xyz', _DR, strict=True)))} FROM (SELECT event_id, {_D.y_size!r} * (CAST(event_id % 2048 AS DOUBLE) - {_D.y_center!r}) AS y, {_D.z_size!r} * (CAST(event_id * 7 % 2048 AS DOUBLE) - {_D.z_center!r}) AS z FROM events))))")
 def streamed_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inverse path on a stream of the events' file, run once over all of it into a table of files."""
+    found = stream_peaks_to_q(event_peaks(spark, sf_dir), TILTED).select("event_id", "ds", "tth")
+    return rounded(finished(spark, found, "streamed-peaks"), ("ds", "tth"), 5)
+
+
+def event_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of peaks, one an event; ``t`` is its time, taken as UTC whatever the session's zone."""
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     k = F.col("event_id")
-    peaks = events.select("event_id", (k * 7 % 2048).cast("double").alias("sc"), (k % 2048).cast("double").alias("fc"), F.lit(0.0).alias("omega"))
-    found = stream_peaks_to_q(peaks, TILTED).select("event_id", "ds", "tth")
-    return rounded(finished(spark, found, "streamed-peaks"), ("ds", "tth"), 5)
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast(ts AS TIMESTAMP_NTZ))")
+    return events.select("event_id", F.timestamp_micros(micros).alias("t"), (k * 7 % 2048).cast("double").alias("sc"), (k % 2048).cast("double").alias("fc"), F.lit(0.0).alias("omega"))
+
+
+@query(f"""WITH q AS (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, tth FROM {ORACLE["streamed_peaks"].split(" FROM ", 1)[1]} JOIN events USING (event_id))
+SELECT day, CAST(floor(tth / 0.1) AS BIGINT) AS bin, count(*) AS n FROM q WHERE (day + 1) * 86400 <= (SELECT max(epoch(ts)) FROM events) - 43200 GROUP BY 1, 2""")
+def streamed_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Powder histograms of the days that are over, from a stream with a watermark of half a day."""
+    found = stream_powder_histogram(event_peaks(spark, sf_dir), TILTED, "t", "1 day", "12 hours")
+    return finished(spark, found, "streamed-histogram").select(F.floor(F.unix_seconds("window.start") / 86400).alias("day"), "bin", "n")
+
+
+#: Axes of the streamed image; a peak's place comes from its event's number.
+STREAM_AXES = [splat.Axis("sc", 0, 1, 60, 5), splat.Axis("fc", 0, 1, 50, 3)]
+
+
+@query(f"""WITH p AS (SELECT event_id AS id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, CAST(event_id * 37 % 600 AS DOUBLE) / 10.3 AS sc, CAST(event_id * 53 % 500 AS DOUBLE) / 10.7 AS fc, 0.8 AS s_sc, 0.6 AS s_fc FROM events),
+{", ".join(map(_axis_sql, STREAM_AXES))}, x AS (SELECT day, i_sc, i_fc, sum(m_sc * m_fc) AS m FROM sc_m JOIN fc_m USING (id) JOIN p USING (id) WHERE day < (SELECT max(day) FROM p) GROUP BY day, i_sc, i_fc)
+SELECT day, count(*) AS n_pixels, {sr('sum(m)', 4)} AS intensity, {sr('sum(m * i_sc)', 3)} AS along_sc, {sr('sum(m * i_fc * i_fc)', 2)} AS along_fc FROM x GROUP BY day""")
+def streamed_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of the days that are over, their tiles kept as state until then, by number of pixels and moments."""
+    k = F.col("event_id")
+    peaks = event_peaks(spark, sf_dir).select("t", (k * 37 % 600 / 10.3).alias("sc"), (k * 53 % 500 / 10.7).alias("fc"), F.lit(0.8**2).alias("var_sc"), F.lit(0.6**2).alias("var_fc"))
+    found = finished(spark, stream_image(peaks, STREAM_AXES, "t", 86400, "12 hours"), "streamed-image", dict([STORE]))
+    x, sc, fc = F.col("intensity"), F.col("i_sc"), F.col("i_fc")
+    return found.groupBy(F.col("window").alias("day")).agg(F.count("*").alias("n_pixels"), r(F.sum(x), 4).alias("intensity"), r(F.sum(x * sc), 3).alias("along_sc"), r(F.sum(x * fc * fc), 2).alias("along_fc"))

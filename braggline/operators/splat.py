@@ -114,27 +114,21 @@ def _added(tiles: dict[int, np.ndarray], at: np.ndarray, offset: np.ndarray, val
         held[touched[k]] = np.nan_to_num(held[touched[k]]) + sums[k][touched[k]]
 
 
-def image_of_peaks(peaks: DataFrame, axes: list[Axis], amplitude: str | None = None, tile: int = TILE, further: int = FURTHER) -> DataFrame:
-    """i_<axis>, intensity: the sum of all peaks at each pixel that a window covers, as :func:`image` of :func:`peaks_to_pixels`, for any
-    number of axes (slow, fast, omega, and dty of a scan).
+def _layout(axes: list[Axis], tile: int, further: int) -> tuple[list[int], list[int]]:
+    """Bins of a tile and tiles of the grid, along each axis."""
+    shape = [min(a.n, tile if k < 2 else further) for k, a in enumerate(axes)]
+    return shape, [-(-a.n // t) for a, t in zip(axes, shape, strict=True)]
 
-    Peaks are added to dense tiles within tasks, so what is shuffled is a row for each tile that a task has seen, however many peaks it
-    holds: tiles of equal number are added up, and only the sum is taken apart into pixels. A crowded tile costs a row a task. Tasks
-    hold ``HELD`` tiles at once and pass on what they have beyond that. Peaks with a null or NaN mean or variance have no window.
-    """
+
+def partial_tiles(peaks: DataFrame, axes: list[Axis], amplitude: str | None = None, frame: str | None = None, tile: int = TILE, further: int = FURTHER) -> DataFrame:
+    """(tile, pixels): dense tiles of what each task has seen, NaN where no window was. Tiles are numbered row by row, and on from one
+    ``frame`` (a whole number, such as that of a time window) to the next. Peaks with a null or NaN mean or variance have no window."""
     known = " and ".join(f"{c} is not null and not isnan({c})" for a in axes for c in (a.name, f"var_{a.name}"))
     df, _ = _marginals(peaks.where(known), axes, amplitude)
-    shape = [min(a.n, tile if k < 2 else further) for k, a in enumerate(axes)]
-    grid, size = [-(-a.n // t) for a, t in zip(axes, shape, strict=True)], math.prod(shape)
-    columns = [F.col("_amp")] + [F.col(f"_m_{a.name}.i").getItem(0).alias(f"f_{a.name}") for a in axes] + [F.col(f"_m_{a.name}.p").alias(f"p_{a.name}") for a in axes]
-    schema = "tile long, pixels array<double>"
-
-    def batch(tiles: dict[int, np.ndarray]) -> pa.RecordBatch:
-        n = np.arange(len(tiles) + 1, dtype=np.int32) * size
-        values = np.concatenate([np.zeros(0), *tiles.values()])
-        out = pa.RecordBatch.from_arrays([pa.array(list(tiles), pa.int64()), pa.ListArray.from_arrays(pa.array(n), pa.array(values))], names=["tile", "pixels"])
-        tiles.clear()
-        return out
+    shape, grid = _layout(axes, tile, further)
+    size = math.prod(shape)
+    number = F.col(frame).cast("long") if frame else F.lit(0).cast("long")
+    columns = [F.col("_amp"), number.alias("frame")] + [F.col(f"_m_{a.name}.i").getItem(0).alias(f"f_{a.name}") for a in axes] + [F.col(f"_m_{a.name}.p").alias(f"p_{a.name}") for a in axes]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiles: dict[int, np.ndarray] = {}
@@ -142,37 +136,65 @@ def image_of_peaks(peaks: DataFrame, axes: list[Axis], amplitude: str | None = N
             for s in range(0, b.num_rows, 512):
                 part = b.slice(s, 512)
                 n, k = part.num_rows, len(axes)
-                at, offset, value = np.zeros((n, 1), np.int64), np.zeros((n, 1), np.int64), part.column(0).to_numpy()[:, None]
+                at, offset, value = part.column(1).to_numpy()[:, None], np.zeros((n, 1), np.int64), part.column(0).to_numpy()[:, None]
                 for i, a in enumerate(axes):
-                    bins = part.column(1 + i).to_numpy()[:, None].astype(np.int64) + np.arange(a.window)
-                    mass = part.column(1 + k + i).flatten().to_numpy().reshape(n, a.window)
+                    bins = part.column(2 + i).to_numpy()[:, None].astype(np.int64) + np.arange(a.window)
+                    mass = part.column(2 + k + i).flatten().to_numpy().reshape(n, a.window)
                     at = (at[:, :, None] * grid[i] + (bins // shape[i])[:, None, :]).reshape(n, -1)
                     offset = (offset[:, :, None] * shape[i] + (bins % shape[i])[:, None, :]).reshape(n, -1)
                     value = (value[:, :, None] * mass[:, None, :]).reshape(n, -1)
-                if n:
-                    _added(tiles, at.ravel(), offset.ravel(), value.ravel(), size)
+                _added(tiles, at.ravel(), offset.ravel(), value.ravel(), size)
                 if len(tiles) > HELD:
-                    yield batch(tiles)
-        yield batch(tiles)
+                    yield _batch(tiles, size)
+        yield _batch(tiles, size)
+
+    return df.select(*columns).mapInArrow(spread, "tile long, pixels array<double>")
+
+
+def _batch(tiles: dict[int, np.ndarray], size: int) -> pa.RecordBatch:
+    """All tiles as rows; they are let go of."""
+    n, values = np.arange(len(tiles) + 1, dtype=np.int32) * size, np.concatenate([np.zeros(0), *tiles.values()])
+    out = pa.RecordBatch.from_arrays([pa.array(list(tiles), pa.int64()), pa.ListArray.from_arrays(pa.array(n), pa.array(values))], names=["tile", "pixels"])
+    tiles.clear()
+    return out
+
+
+def added_tiles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum of two tiles; NaN where neither had a window."""
+    return np.where(np.isnan(a), b, a + np.nan_to_num(b))
+
+
+def tile_pixels(tiles: DataFrame, axes: list[Axis], tile: int = TILE, further: int = FURTHER, frame: str | None = None) -> DataFrame:
+    """Whole tiles as rows of pixels: i_<axis>, intensity, and the frame's number where one is named."""
+    shape, grid = _layout(axes, tile, further)
+    pixels = tiles.select("tile", F.posexplode("pixels").alias("offset", "intensity")).where("intensity is not null and not isnan(intensity)")
+    index, rest, within = {}, F.col("tile"), F.col("offset").cast("long")
+    for a, t, g in reversed(list(zip(axes, shape, grid, strict=True))):
+        index[f"i_{a.name}"] = (F.pmod(rest, F.lit(g)) * t + within % t).cast("int")
+        rest, within = F.floor(rest / g), F.floor(within / t)
+    return pixels.select(*([rest.alias(frame)] if frame else []), *(index[f"i_{a.name}"].alias(f"i_{a.name}") for a in axes), "intensity")
+
+
+def image_of_peaks(peaks: DataFrame, axes: list[Axis], amplitude: str | None = None, tile: int = TILE, further: int = FURTHER) -> DataFrame:
+    """i_<axis>, intensity: the sum of all peaks at each pixel that a window covers, as :func:`image` of :func:`peaks_to_pixels`, for any
+    number of axes (slow, fast, omega, and dty of a scan).
+
+    Peaks are added to dense tiles within tasks, so what is shuffled is a row for each tile that a task has seen, however many peaks it
+    holds: tiles of equal number are added up, and only the sum is taken apart into pixels. A crowded tile costs a row a task. Tasks
+    hold ``HELD`` tiles at once and pass on what they have beyond that.
+    """
+    size = math.prod(_layout(axes, tile, further)[0])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
             pixels = b.column(1).flatten().to_numpy().reshape(-1, size)
             for t, own in zip(b.column(0).to_pylist(), pixels, strict=True):
-                if t not in held:
-                    if held:  # rows are in the order of tiles: the one before is complete
-                        yield batch(held)
-                    held[t] = own.copy()
-                else:
-                    held[t] = np.where(np.isnan(held[t]), own, held[t] + np.nan_to_num(own))
-        yield batch(held)
-
-    partial = df.select(*columns).mapInArrow(spread, schema)
-    tiles = partial.repartition(F.col("tile")).sortWithinPartitions("tile").mapInArrow(summed, schema)
-    pixels = tiles.select("tile", F.posexplode("pixels").alias("offset", "intensity")).where(~F.isnan("intensity"))
-    index, rest, within = {}, F.col("tile"), F.col("offset").cast("long")
-    for a, t, g in reversed(list(zip(axes, shape, grid, strict=True))):
-        index[f"i_{a.name}"] = ((rest % g) * t + within % t).cast("int")
-        rest, within = F.floor(rest / g), F.floor(within / t)
-    return pixels.select(*(index[f"i_{a.name}"].alias(f"i_{a.name}") for a in axes), "intensity")
+                if t not in held and held:  # rows are in the order of tiles: the one before is complete
+                    yield _batch(held, size)
+                held[t] = added_tiles(held[t], own) if t in held else own.copy()
+        yield _batch(held, size)
+
+    partial = partial_tiles(peaks, axes, amplitude, None, tile, further)
+    tiles = partial.repartition(F.col("tile")).sortWithinPartitions("tile").mapInArrow(summed, "tile long, pixels array<double>")
+    return tile_pixels(tiles, axes, tile, further)
