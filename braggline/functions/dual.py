@@ -7,7 +7,7 @@ centroids the closed forms of ``operators.forward`` make smaller plans.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -91,16 +91,52 @@ def atan2(y, x) -> Dual:
     return y._with(F.atan2(y.value, x.value), ieee_div(x.value, r2), x, -ieee_div(y.value, r2))
 
 
-def make_propagator(function: Callable[..., dict[str, Dual]], inputs: list[str]) -> Callable[[DataFrame, dict[str, float]], DataFrame]:
+#: Parts of an input that is a vector (a struct column).
+AXES = ("x", "y", "z")
+#: A covariance: variances by input, a symmetric matrix of numbers, or the name of a column that holds one (array of rows).
+Covariance = dict[str, float] | Sequence[Sequence[float]] | str
+
+
+def make_propagator(function: Callable, inputs: list[str], vectors: tuple[str, ...] = (), has_aux: bool = False, staged: bool = False) -> Callable[[DataFrame, Covariance], DataFrame]:
     """From a function of Duals, named like the input columns, to one that adds its outputs and the upper triangle of
-    their covariance, cov_<a>_<b>, for given variances of the inputs."""
-
-    def propagate(df: DataFrame, variances: dict[str, float]) -> DataFrame:
-        out = function(**{n: variable(n, F.col(n)) for n in inputs})
-        names = list(out)
-        zero = F.lit(0.0)
-        df = df.withColumns({n: x.value for n, x in out.items()} | {f"_j_{n}_{i}": x.d.get(i, zero) for n, x in out.items() for i in inputs})
-        cov = {f"cov_{a}_{b}": sum((F.col(f"_j_{a}_{i}") * F.col(f"_j_{b}_{i}") * float(variances.get(i, 0.0)) for i in inputs), zero) for k, a in enumerate(names) for b in names[k:]}
-        return df.withColumns(cov).drop(*(f"_j_{n}_{i}" for n in names for i in inputs))
+    their covariance J C J^T, cov_<a>_<b>.
+
+    An input named in ``vectors`` is a struct column of x, y and z; the function gets it as three Duals, and it has three
+    rows in the covariance (and three names, <input>.x and so on, among variances). Rows of a matrix follow the inputs in their
+    order. With ``has_aux`` the function returns a second dict of plain Columns, such as ``valid``, which are added as they
+    are, without derivatives. With ``staged`` it gets a function ``keep`` first, which stores named Duals as columns and
+    returns them anew: what is used often should pass through it, as Catalyst would repeat its expression at every use.
+    """
+    flat = [f"{n}.{c}" if n in vectors else n for n in inputs for c in (AXES if n in vectors else ("",))]
+
+    def propagate(df: DataFrame, covariance: Covariance) -> DataFrame:
+        before, held = df.columns, {"df": df}
+
+        def keep(**values: Dual):
+            columns = {}
+            for n, x in values.items():
+                columns |= {f"_k_{n}": x.value} | {f"_k_{n}_{flat.index(i)}": d for i, d in x.d.items()}
+            held["df"] = held["df"].withColumns(columns)
+            out = [Dual(F.col(f"_k_{n}"), {i: F.col(f"_k_{n}_{flat.index(i)}") for i in x.d}) for n, x in values.items()]
+            return out[0] if len(out) == 1 else out
+
+        given = {n: tuple(variable(f"{n}.{c}", F.col(n)[c]) for c in AXES) if n in vectors else variable(n, F.col(n)) for n in inputs}
+        out = function(*((keep,) if staged else ()), **given)
+        out, aux = out if has_aux else (out, {})
+        names, zero = list(out), F.lit(0.0)
+        df = held["df"].withColumns({n: x.value for n, x in out.items()} | aux | {f"_j_{n}_{k}": x.d[i] for n, x in out.items() for k, i in enumerate(flat) if i in x.d})
+
+        def entry(i: int, k: int):
+            """Of the input covariance: a number, 0 for none, or a Column."""
+            if isinstance(covariance, str):
+                return F.get(F.get(F.col(covariance), i), k)
+            return (float(covariance.get(flat[i], 0.0)) if i == k else 0.0) if isinstance(covariance, dict) else float(covariance[i][k])
+
+        def between(a: str, b: str) -> Column:
+            terms = [F.col(f"_j_{a}_{i}") * c * F.col(f"_j_{b}_{k}") for i in range(len(flat)) for k in range(len(flat)) if flat[i] in out[a].d and flat[k] in out[b].d and not (isinstance(c := entry(i, k), float) and c == 0)]
+            return sum(terms[1:], terms[0]) if terms else zero
+
+        cov = {f"cov_{a}_{b}": between(a, b) for k, a in enumerate(names) for b in names[k:]}
+        return df.withColumns(cov).select(*before, *names, *aux, *cov)
 
     return propagate

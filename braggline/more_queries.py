@@ -282,6 +282,49 @@ def cov_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("s_suppkey", "h", "k", "l", "etasign", *(r(F.col(n), COV_DIGITS).alias(n) for n in names))
 
 
+def box_centroid(setup: Setup, q: tuple, etasign: Column):
+    """A box centroid as a function of its uncertain inputs, without a derivative of its own."""
+    steps, along, corner, normal = forward._plane(setup)
+    row = lambda coefficients, v: sum((c * x for c, x in zip(coefficients, v, strict=True) if c), dual.dual(0.0))
+    cross_of = lambda a, v: (a[1] * v[2] - a[2] * v[1], a[2] * v[0] - a[0] * v[2], a[0] * v[1] - a[1] * v[0])
+
+    def centroid(keep, origin, wavelength, ky, kz):
+        n = keep(n=dual.sqrt(1 + ky * ky + kz * kz))
+        kb = keep(kb0=1 / (n * wavelength), kb1=ky / (n * wavelength), kb2=kz / (n * wavelength))
+        ks = keep(**{f"ks{i}": row([setup.tilt[j][i] for j in range(3)], kb) for i in range(3)})
+        alpha, beta, delta = keep(alpha=ks[0] * q[0] + ks[1] * q[1], beta=ks[1] * q[0] - ks[0] * q[1], delta=-(ks[2] * q[2]) - la.dot(q, q) / 2)
+        r_ = keep(r=dual.sqrt(alpha * alpha + beta * beta))
+        quot = keep(quot=delta / r_)
+        w = keep(w=dual.asin(quot) * etasign - dual.atan2(alpha / r_, beta / r_) - (1 - etasign) * (math.pi / 2))
+        w = keep(turn=dual.Dual(F.atan2(F.sin(w.value), F.cos(w.value)), w.d))
+        c, s = keep(c=dual.cos(w), s=dual.sin(w))
+        turned = lambda v: (c * v[0] - s * v[1], s * v[0] + c * v[1], dual.dual(v[2]))
+        to_lab = lambda v: [row(line, turned(v)) for line in setup.tilt]
+        out = keep(**{f"out{i}": x + k for i, (x, k) in enumerate(zip(to_lab(q), kb, strict=True))})
+        off = keep(**{f"off{i}": z - x for i, (z, x) in enumerate(zip(corner, to_lab(origin), strict=True))})
+        down = keep(down=row(normal, out))
+        sc = sum((a * b for a, b in zip(cross_of(along, off), out, strict=True)), dual.dual(0.0)) / down
+        fc = -sum((a * b for a, b in zip(cross_of(steps, off), out, strict=True)), dual.dual(0.0)) / down
+        return {"sc": sc, "fc": fc, "omega": w * (180 / math.pi)}, {"valid": (F.abs(quot.value) <= 1) & (F.spark_partition_id() >= 0)}
+
+    return centroid
+
+
+@query(ORACLE["cov_full"])
+def cov_dual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same covariances through make_propagator: a vector input, correlated inputs, and ``valid`` without derivatives."""
+    from .queries import few_hkls
+
+    df = forward.all_pairs(grains(spark, sf_dir), few_hkls(spark))
+    a, b, c = la.m3(F.col("ubi"))
+    adjugate = la.transpose((la.cross(b, c), la.cross(c, a), la.cross(a, b)))
+    q = la.scale(la.mat_vec(adjugate, tuple(F.col(x).cast("double") for x in "hkl")), la.ieee_div(1.0, la.det3((a, b, c))))
+    df = df.withColumns({f"_q{i}": x for i, x in enumerate(q)} | {"wavelength": F.lit(GENERAL.wavelength), "ky": F.lit(GENERAL.ky), "kz": F.lit(GENERAL.kz)})
+    run = dual.make_propagator(box_centroid(GENERAL, tuple(F.col(f"_q{i}") for i in range(3)), F.col("etasign")), ["origin", "wavelength", "ky", "kz"], ("origin",), has_aux=True, staged=True)
+    names = [f"cov_{a}" for a in ("sc_sc", "sc_fc", "sc_omega", "fc_fc", "fc_omega", "omega_omega")]
+    return run(df, FULL).where("valid").select("s_suppkey", "h", "k", "l", "etasign", *(r(F.col(n), COV_DIGITS).alias(n) for n in names))
+
+
 @query(f"SELECT event_id, {sr('ds', 5)} AS ds, {sr('tth', 5)} AS tth FROM (SELECT event_id, 2 * sin(radians(tth) / 2) / {TILTED.wavelength!r} AS ds, tth FROM (SELECT event_id, degrees(acos(x / sqrt(x*x + y*y + z*z))) AS tth FROM (SELECT event_id, {', '.join(f'({row[1]!r}) * y + ({row[2]!r}) * z' + (f' + {_D.distance!r}' if i == 0 else '') + f' AS {c}' for i, (c, row) in enumerate(zip('xyz', _DR, strict=True)))} FROM (SELECT event_id, {_D.y_size!r} * (CAST(event_id % 2048 AS DOUBLE) - {_D.y_center!r}) AS y, {_D.z_size!r} * (CAST(event_id * 7 % 2048 AS DOUBLE) - {_D.z_center!r}) AS z FROM events))))")
 def streamed_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inverse path on a stream of the events' file, run once over all of it into a table of files."""

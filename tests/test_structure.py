@@ -68,3 +68,23 @@ def test_space_groups(spark):
             spacegroup.operations(bad)
     with pytest.raises(KeyError):
         spacegroup.from_number(spark, 100)
+
+
+def test_propagator_in_full(spark):
+    """A vector input, staged columns, a second result without derivatives; covariances by number and by column."""
+
+    def f(keep, v, w):
+        n = keep(n=dual.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2]))
+        return {"a": n * w, "b": v[1] / w}, {"long": n.value > 3}
+
+    matrix = [[0.04, 0.01, 0.0, 0.002], [0.01, 0.09, -0.01, 0.0], [0.0, -0.01, 0.16, 0.003], [0.002, 0.0, 0.003, 0.01]]
+    df = spark.createDataFrame([((1.0, 2.0, 2.0), 2.0, matrix)], "v struct<x:double,y:double,z:double>, w double, c array<array<double>>")
+    run = dual.make_propagator(f, ["v", "w"], ("v",), has_aux=True, staged=True)
+    j = [[2 / 3, 4 / 3, 4 / 3, 3.0], [0.0, 0.5, 0.0, -0.5]]
+    want = [[sum(j[a][i] * matrix[i][k] * j[b][k] for i in range(4) for k in range(4)) for b in range(2)] for a in range(2)]
+    for covariance in (matrix, "c"):
+        row = run(df, covariance).first()
+        assert (row.a, row.b, row.long) == (6.0, 1.0, False)
+        assert (row.cov_a_a, row.cov_a_b, row.cov_b_b) == pytest.approx((want[0][0], want[0][1], want[1][1]))
+    row = run(df, {"v.y": 0.09, "w": 0.01}).first()
+    assert row.cov_a_b == pytest.approx(4 / 3 * 0.5 * 0.09 - 3 * 0.5 * 0.01) and set(row.asDict()) == {"v", "w", "c", "a", "b", "long", "cov_a_a", "cov_a_b", "cov_b_b"}
