@@ -15,7 +15,7 @@ from .operators.structure import Structure
 from .plans import sql as sql_functions
 from .queries import ORACLE, _axis_sql, _CELL_SQL, _HKL_RANGE, _KEYS, COV_DIGITS, FE, GENERAL, TI, TILTED, _cov_sql, cells_of, forward_rows, forward_sql, grains, query, r, rounded, sr, table
 from .streaming.images import STORE, stream_image
-from .streaming.peaks import finished, stream_peaks_to_q, stream_powder_histogram
+from .streaming.peaks import finished, shared_path, stream_peaks_to_q, stream_powder_histogram
 
 NACL, PEROVSKITE = 5.64, 3.905
 #: structure: (space group, cell, sites); strontium has no coefficients and is taken by the general rule.
@@ -41,13 +41,17 @@ def cif_text(number: int, lengths: list[Column], angles: tuple[float, ...], site
     return F.concat(F.lit("\n".join(head)), *(x for t, v in zip("abc", lengths, strict=True) for x in (F.lit(f"\n_cell_length_{t} "), v.cast("string"))), F.lit("\n" + "\n".join(tail) + "\n"))
 
 
-def structures(spark: SparkSession, sf_dir: str) -> Structure:
-    """One strained structure for each supplier, from the text of a CIF."""
+def cif_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of a CIF of one strained structure for each supplier."""
     key = F.col("s_suppkey")
     strain, text = 1 + (key % 10) / 100, F.lit(None).cast("string")
     for i, (number, (a, b, c, *angles), sites) in enumerate(STRUCTURES.values()):
         text = F.when(key % 4 == i, cif_text(number, [F.lit(x) * strain for x in (a, b, c)], tuple(angles), sites)).otherwise(text)
-    return Structure.from_texts(table(spark, sf_dir, "supplier").select(key.cast("string").alias("structure_id"), text.alias("value")))
+    return table(spark, sf_dir, "supplier").select(key.cast("string").alias("structure_id"), text.alias("value"))
+
+
+def structures(spark: SparkSession, sf_dir: str) -> Structure:
+    return Structure.from_texts(cif_rows(spark, sf_dir))
 
 
 _TI_VOLUME = f"{TI[0]!r} * {TI[0]!r} * {TI[2]!r} * sqrt(3) / 2"
@@ -66,6 +70,18 @@ def structure_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.join(s.unit_cell.select("structure_id", r(F.col("volume")).alias("volume"), r(F.col("bmat.m00")).alias("b00")), "structure_id")
 
 
+@query(f"""SELECT structure_id, n AS sg_number, CAST(ops AS BIGINT) AS n_ops, {sr('a * f')} AS a, {sr('c * f')} AS c FROM ({_KIND}) JOIN (VALUES
+(0, 229, 96, {FE!r}, {FE!r}), (1, 225, 192, {NACL!r}, {NACL!r}), (2, 194, 24, {TI[0]!r}, {TI[2]!r}), (3, 221, 48, {PEROVSKITE!r}, {PEROVSKITE!r})) t(i, n, ops, a, c) ON i = kind""")
+def cif_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers' CIFs written as files, one in a folder each, and read back by their path."""
+    path = shared_path(spark, "cif-files")
+    cif_rows(spark, sf_dir).repartition(8, "structure_id").write.partitionBy("structure_id").text(path)
+    s = Structure.from_cif(spark, f"{path}/*/part-*")
+    ops = s.sym_ops.groupBy("structure_id").agg(F.count("*").alias("n_ops"))
+    own = s.cells.join(ops, "structure_id").withColumn("structure_id", F.regexp_extract("structure_id", r"structure_id=(\d+)/", 1))
+    return rounded(own.select("structure_id", "sg_number", "n_ops", "a", "c"), ("a", "c"))
+
+
 #: Reflections of the suppliers' structures that aren't extinct, by the rules of their lattices.
 _SEEN = f"""q AS (SELECT structure_id, kind, h, k, l, CASE kind WHEN 0 THEN sqrt(h*h + k*k + l*l) / {FE!r} WHEN 1 THEN sqrt(h*h + k*k + l*l) / {NACL!r}
 WHEN 2 THEN sqrt(4.0 / 3 * (h*h + h*k + k*k) / ({TI[0]!r} * {TI[0]!r}) + l*l / ({TI[2]!r} * {TI[2]!r})) ELSE sqrt(h*h + k*k + l*l) / {PEROVSKITE!r} END / f AS ds FROM ({_KIND}), {_HKL_RANGE}

@@ -96,11 +96,16 @@ class Setup:
         return [[-x / self.wavelength for x in self.kb], *([((i == a) - unit[i] * unit[a]) / (self.wavelength * n) for i in range(3)] for a in (1, 2))]
 
 
+#: Reflections that are sent to every task: 32 bytes each, so a few MB.
+MOST_SENT = 100_000
+
+
 def all_pairs(grains: DataFrame, hkls: DataFrame, signs: tuple[float, ...] = (1.0, -1.0), few: bool = False) -> DataFrame:
-    """Every grain with every reflection and sign. The result has that many rows by definition; grains stay
-    partitioned. Spark sends the reflections to every task where it knows them to be small, and else plans the
-    product of both sides' partitions; with ``few`` the caller vouches for a list of at most some 100,000."""
-    return grains.crossJoin(F.broadcast(hkls) if few else hkls).withColumn("etasign", F.explode(F.array(*map(F.lit, map(float, signs)))))
+    """Every grain with every reflection and sign. The result has that many rows by definition; grains stay partitioned. Spark sends the
+    reflections to every task where it knows them to be small, and else plans the product of both sides' partitions. With ``few`` they
+    are counted first, and sent if there are at most ``MOST_SENT``: for lists that Spark has no statistics of."""
+    sent = few and hkls.limit(MOST_SENT + 1).count() <= MOST_SENT
+    return grains.crossJoin(F.broadcast(hkls) if sent else hkls).withColumn("etasign", F.explode(F.array(*map(F.lit, map(float, signs)))))
 
 
 def one_hkl(grains: DataFrame, h: int, k: int, l: int, etasign: float) -> DataFrame:  # noqa: E741

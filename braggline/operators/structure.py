@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crystal
-from ..sources.cif import parse_cif, read_cif
+from ..sources.cif import cif_tables, cif_texts, parsed_cif
 from . import hkl
 
 KEY = "structure_id"
@@ -33,15 +33,17 @@ class Structure:
     scatter_table: DataFrame | None = None
     tol: float = 0.001
     _rings: DataFrame | None = field(default=None, repr=False)
+    _parsed: DataFrame | None = field(default=None, repr=False)
 
     @classmethod
     def from_cif(cls, spark: SparkSession, path: str) -> Structure:
-        return cls(*read_cif(spark, path))
+        return cls.from_texts(cif_texts(spark, path))
 
     @classmethod
     def from_texts(cls, texts: DataFrame) -> Structure:
         """Of CIF texts (structure_id, value)."""
-        return cls(*parse_cif(texts))
+        parsed = parsed_cif(texts)
+        return cls(*cif_tables(parsed), _parsed=parsed)
 
     def by_number(self, sgno: int) -> Structure:
         """Those of a space group, by number."""
@@ -105,7 +107,10 @@ class Structure:
         return self._rings
 
     def release(self) -> None:
-        """Let go of the ring table; what is asked afterwards computes it again."""
+        """Let go of the ring table, and of the parsed texts where this object was made from them; what is asked afterwards, of structures
+        derived from it too, computes them again."""
+        if self._parsed is not None:
+            self._parsed.unpersist()
         if self._rings is not None:
             self._rings.unpersist()
             self._rings = None

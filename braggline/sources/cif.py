@@ -131,19 +131,24 @@ def _root(path: str) -> str:
     return re.sub(r"^[a-z0-9]+:/*(?=/)", "", plain).rstrip("/")
 
 
-def read_cif(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(unit_cells, symmetry_ops, atom_sites) of all CIF files at a path. structure_id is the file's path below the
+def cif_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(structure_id, value, origin) of all CIF files at a path, read by Spark from whatever store it reaches. structure_id is the file's path below the
     given one, without its ending, so that files of one name in several folders stay apart."""
     at = F.concat(F.lit(_root(path)), F.lit("/"))
     name = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
     place = F.instr(name, at) if _root(path) else F.lit(0)
     name = F.when(place > 0, F.substring(name, place + F.length(at), F.length(name))).otherwise(F.substring_index(name, "/", -1))
-    return parse_cif(spark.read.text(path, wholetext=True).select(F.regexp_replace(name, r"\.cif$", "").alias("structure_id"), "value", F.input_file_name().alias("origin")))
+    return spark.read.text(path, wholetext=True).select(F.regexp_replace(name, r"\.cif$", "").alias("structure_id"), "value", F.input_file_name().alias("origin"))
 
 
-def parse_cif(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(unit_cells, symmetry_ops, atom_sites) of CIF texts (structure_id, value), each parsed once. Errors name the
-    ``origin``, where there is such a column."""
+def read_cif(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(unit_cells, symmetry_ops, atom_sites) of all CIF files at a path, by :func:`cif_texts` and :func:`parse_cif`."""
+    return parse_cif(cif_texts(spark, path))
+
+
+def parsed_cif(texts: DataFrame) -> DataFrame:
+    """CIF texts (structure_id, value), each parsed once: cells with arrays of operations and atoms. Errors name the ``origin``, where there is
+    such a column. The three tables that :func:`cif_tables` makes of it read it once each, so it is kept; ``unpersist`` it when done."""
 
     def run(batches):
         for batch in batches:
@@ -158,10 +163,19 @@ def parse_cif(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                 out.append((name, *s["cell"], s["name"], int(s["number"]) if s["number"] else None, ops, atoms))
             yield pd.DataFrame(out, columns=["structure_id", "a", "b", "c", "alpha", "beta", "gamma", "sg_name", "sg_number", "ops", "atoms"]).astype({"sg_number": "Int32"})
 
-    # the three tables read the parsed files; a lost executor parses its own anew
+    # a lost executor parses its own anew
     origin = F.col("origin" if "origin" in texts.columns else "structure_id").alias("origin")
-    parsed = texts.select("structure_id", "value", origin).mapInPandas(run, _SCHEMA).persist()
+    return texts.select("structure_id", "value", origin).mapInPandas(run, _SCHEMA).persist()
+
+
+def cif_tables(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(unit_cells, symmetry_ops, atom_sites)."""
     cells = parsed.select("structure_id", "a", "b", "c", "alpha", "beta", "gamma", "sg_name", "sg_number")
     ops = parsed.select("structure_id", F.posexplode("ops").alias("op_id", "o")).select("structure_id", "op_id", "o.rot", "o.trans")
     atoms = parsed.select("structure_id", F.explode("atoms").alias("s")).select("structure_id", "s.*")
     return cells, ops, atoms
+
+
+def parse_cif(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(unit_cells, symmetry_ops, atom_sites) of CIF texts (structure_id, value), which stay parsed as long as the session lasts."""
+    return cif_tables(parsed_cif(texts))

@@ -24,14 +24,21 @@ def stream_powder_histogram(peaks: DataFrame, setup: Setup, time: str, window: s
     return q.groupBy(F.window(time, window).alias("window"), F.floor(F.col("tth") / width).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def finished(spark: SparkSession, stream: DataFrame, name: str, settings: dict[str, str] | None = None) -> DataFrame:
-    """A stream of what is there now, run to its end into files and read back. They and the stream's checkpoint stand in
-    the folder of ``spark.checkpoint.dir``; one of our own serves local runs alone. ``settings`` hold in the session while it starts."""
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the folder of ``spark.checkpoint.dir``, removed when the driver ends; a folder of our own serves local runs alone."""
     if not (base := spark.conf.get("spark.checkpoint.dir", None)):
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/braggline-streams"
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def finished(spark: SparkSession, stream: DataFrame, name: str, settings: dict[str, str] | None = None) -> DataFrame:
+    """A stream of what is there now, run to its end into files and read back; they and the stream's checkpoint stand in one shared
+    folder. ``settings`` hold in the session while it starts."""
+    path = shared_path(spark, name)
     was = {k: spark.conf.get(k, None) for k in settings or {}}
     for k, v in (settings or {}).items():
         spark.conf.set(k, v)
@@ -41,7 +48,6 @@ def finished(spark: SparkSession, stream: DataFrame, name: str, settings: dict[s
         for k, v in was.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     run.awaitTermination()
-    atexit.register(_remove, spark, path)
     return spark.read.schema(stream.schema).parquet(f"{path}/table")
 
 
