@@ -36,7 +36,9 @@ _LOWER, _UPPER, _DIGIT = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"[A-
 
 
 def shape(word: str) -> str:
-    """Runs of small letters, capitals and digits become a, A and 0; other characters stay, three at most in a row."""
+    """Runs of small letters, capitals and digits become a, A and 0; other characters stay, three at most in a row. A shape is a
+    class of words, told by the first 12 characters of that pattern, so that long strings of odd characters (addresses, code)
+    share classes instead of having one each; the word itself is a token of its own, whole."""
     s = _DIGIT.sub("0", _LOWER.sub("a", _UPPER.sub(lambda m: "A" if len(m[0]) == 1 else "AA", word)))
     return re.sub(r"(.)\1{2,}", r"\1\1\1", s)[:12]
 
