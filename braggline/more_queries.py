@@ -148,6 +148,29 @@ def space_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places(numbered, "n_places").join(places(named, "n_places_by_name"), "p_partkey")
 
 
+#: Operations of a group: of its class, by the last number of the class, times the centring vectors of its lattice.
+_CLASSES = [(1, 1), (2, 2), (9, 2), (15, 4), (46, 4), (74, 8), (82, 4), (122, 8), (142, 16), (146, 3), (161, 6), (167, 12), (174, 6), (190, 12), (194, 24), (199, 12), (220, 24), (230, 48)]
+_CENTRINGS = {"P": 1, "A": 2, "C": 2, "I": 2, "F": 4, "R": 3}
+
+
+def _orders() -> list[int]:
+    order = lambda n: 8 if 83 <= n <= 88 else 6 if n in (147, 148) else 12 if n in (175, 176) else next(o for last, o in _CLASSES if n <= last)
+    return [order(n) * _CENTRINGS[spacegroup.hall_symbol(n).lstrip("-")[0]] for n in range(1, 231)]
+
+
+@query(f"SELECT p_partkey, 1 + p_partkey % 230 AS number, CAST(({_orders()!r})[1 + p_partkey % 230] AS BIGINT) AS n_places FROM part")
+def all_space_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of a general point under each of the 230 groups, one group and point for each part."""
+    k = F.col("p_partkey")
+    at = [0.0131 + (k % 7) / 1000, 0.1093 + (k % 11) / 1000, 0.2377 + (k % 13) / 1000]
+    points = table(spark, sf_dir, "part").select("p_partkey", (k % 230 + 1).alias("number"), *(x.alias(n) for x, n in zip(at, "xyz", strict=True)))
+    ops = F.broadcast(spacegroup.from_halls(spark, {str(n): spacegroup.hall_of(n) for n in range(1, 231)}))  # 4,425 operations, whatever the table
+    moved = [sum((F.col(f"rot.m{i}{j}") * F.col(c) for j, c in enumerate("xyz")), F.col(f"trans.{'xyz'[i]}")) for i in range(3)]
+    place = F.struct(*(F.pmod(F.round((m - F.floor(m)) * 1e6).cast("long"), F.lit(1_000_000)).alias(c) for m, c in zip(moved, "xyz", strict=True)))
+    found = points.join(ops, F.col("number").cast("string") == F.col("structure_id"))
+    return found.groupBy("p_partkey", "number").agg(F.countDistinct(place).alias("n_places"))
+
+
 _ANGLE = "SELECT p_partkey, radians(CAST(p_partkey % 360 - 180 AS DOUBLE) + 0.25) AS t FROM part"
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from braggline.functions import dual
+from braggline.more_queries import _orders
 from braggline.operators import spacegroup
 from braggline.operators.structure import Structure
 from test_sources import CIF
@@ -67,7 +68,19 @@ def test_space_groups(spark):
         with pytest.raises(ValueError):
             spacegroup.operations(bad)
     with pytest.raises(KeyError):
-        spacegroup.from_number(spark, 100)
+        spacegroup.from_number(spark, 231)
+
+
+def test_all_groups():
+    """230 different groups, of the orders of their classes and lattices; named ones in the same setting by number."""
+    found = [spacegroup.operations(spacegroup.hall_of(n)) for n in range(1, 231)]
+    assert [len(x) for x in found] == _orders() and sum(map(len, found)) == 4425
+    assert len({frozenset(x) for x in found}) == 230
+    # an inversion, where the class has one: 2, 10-15, 47-74, 83-88, 123-142, 147-148, 162-167, 175-176, 191-194, 200-206, 221-230
+    minus = tuple(tuple(-int(i == j) for j in range(3)) for i in range(3))
+    ranges = ((2, 2), (10, 15), (47, 74), (83, 88), (123, 142), (147, 148), (162, 167), (175, 176), (191, 194), (200, 206), (221, 230))
+    assert [n for n, x in enumerate(found, 1) if any(r == minus for r, _ in x)] == [n for a, b in ranges for n in range(a, b + 1)]
+    assert all(spacegroup.hall_of(n) == hall == spacegroup.hall_symbol(n) for n, _, hall in spacegroup.GROUPS)
 
 
 def test_propagator_in_full(spark):
