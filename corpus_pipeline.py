@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from braggline.llm import decontaminate, minhash_dedup, packing, secret_scan, toxicity
 from braggline.llm.queries import repository, table, toxicity_model
-from braggline.llm.shared import written
+from braggline.llm.shared import drop, written
 
 
 def fresh(docs: DataFrame, name: str) -> str:
@@ -74,9 +74,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one by one. A stage's table goes when the next one is written; the last is read by the result, and goes with the driver."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(docs, f"stage{i}")
+            if before is not None:
+                drop(before)
+            before = docs
     return docs
