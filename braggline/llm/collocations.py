@@ -116,9 +116,11 @@ def suffixes(docs: DataFrame, frequent: set[tuple[str, str]], longest: int, text
                 more &= (begin + k < len(word)) & inside[np.minimum(begin + k - 1, len(word) - 1)]
                 columns.append(np.where(more, word[np.minimum(begin + k, len(word) - 1)] + 1, 0))
             rows, n = _distinct(columns, [len(tongues)] + [len(names) + 1] * longest)
-            hot = np.zeros((len(tongues), len(names) + 1), bool)
-            for t, name in enumerate(tongues):
-                hot[t, 1:] = pc.is_in(names, pa.array([w for spoken, w in frequent if spoken == name], names.type)).to_numpy(zero_copy_only=False)
+            # frequent words by language and number, a thousand at most, however many languages there are
+            here = {name: t for t, name in enumerate(tongues)}
+            known = [(here[spoken], w) for spoken, w in frequent if spoken in here]
+            number = pc.index_in(pa.array([w for _, w in known], names.type), names).fill_null(-1).to_numpy().astype(np.int64)
+            hot = np.array([t for t, _ in known], np.int64)[number >= 0] * (len(names) + 1) + number[number >= 0] + 1
             del word, tongue, piece, inside, begin, columns, more
             yield from _lots(rows, n, hot, names, tongues, longest)
         trim()
@@ -130,11 +132,12 @@ def suffixes(docs: DataFrame, frequent: set[tuple[str, str]], longest: int, text
         for s in range(0, len(n), 1 << 18):
             r, m = [c[s : s + (1 << 18)] for c in rows], n[s : s + (1 << 18)]
             deal = mix(seeds[r[0]] * P + of_word[r[1]])
-            depth, go = np.ones(len(m), np.int8), hot[r[0], r[1]]
+            is_hot = lambda k, r=r: np.isin(r[0] * (len(names) + 1) + r[k], hot)
+            depth, go = np.ones(len(m), np.int8), is_hot(1)
             for k in range(2, longest + 1):
                 deal = np.where(go, mix(deal * P + of_word[r[k]]), deal)
                 depth += go
-                go = go & hot[r[0], r[k]]
+                go = go & is_hot(k)
             suffix = pc.binary_join_element_wise(*(texts.take(pa.array(c)) for c in r[1:]), pa.scalar("\t", pa.large_string()))
             yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(depth), pa.array(tongues, pa.string()).take(pa.array(r[0])), suffix.cast(pa.string()), pa.array(m.astype(np.int32))], names=["deal", "depth", "lang", "suffix", "n"])
 

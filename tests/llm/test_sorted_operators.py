@@ -215,6 +215,14 @@ def test_collocations_edges(spark):
     assert got == [("und", 1, "é z", 20_000, 20_000, 20_000, 120_000, 1_000_000), ("und", 2, "b a", 20_000, 40_000, 20_000, 120_000, 500_000), ("und", 3, "b c", 20_000, 40_000, 20_000, 120_000, 500_000)]
 
 
+def test_many_languages(spark):
+    """A language for each text: memory follows the words, not languages times words."""
+    rows = [(f"l{k}", f"alpha beta{k} " * 12 + f"own{k}") for k in range(3000)]
+    got = collocations.collocations(spark.createDataFrame(rows, "lang string, text string")).select("lang", "phrase", "a", "n").collect()
+    # alpha beta 12 times, beta alpha 11; both are inside longer phrases at least half as often
+    assert len({r.lang for r in got}) == 3000 and {(r.a, r.n) for r in got} <= {(12, 25), (11, 25), (10, 25)}
+
+
 def test_distinct_rows():
     """By one number a row where it fits, else by sorting columns."""
     r = np.random.default_rng(2)
