@@ -10,7 +10,7 @@ def _buckets(x: Column, tolerance: float, width: float) -> Column:
     """The one or two buckets that values within the tolerance of ``x`` lie in; the slack is for rounding of large values."""
     slack = F.lit(tolerance * (1 + 1e-9)) + F.abs(x) * 4e-16
     lo, hi = F.floor((x - slack) / width), F.floor((x + slack) / width)
-    return F.when(lo == hi, F.array(lo)).when(lo + 1 == hi, F.array(lo, hi)).otherwise(F.sequence(lo, hi))
+    return F.array_distinct(F.array(lo, F.least(lo + 1, hi), hi))
 
 
 def band_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str, float]], copy_left: bool = False) -> DataFrame:
