@@ -37,8 +37,13 @@ def register(spark: SparkSession) -> None:
     upper = ", ".join(f"{body} AS {name}" for name, body in b.items())
     # as in operators.hkl: l by itself, k for each l, h for each k and l
     each = lambda center, radius: f"explode(CASE WHEN ceil(({center}) - ({radius}) - 1e-6D) <= floor(({center}) + ({radius}) + 1e-6D) THEN sequence(ceil(({center}) - ({radius}) - 1e-6D), floor(({center}) + ({radius}) + 1e-6D)) END)"
+    # d* by the triclinic formula, as functions.crystal.hkl_to_ds has it; the slack of the bounds is for rounding
+    metric = ", ".join(f"{f}(radians({n})) AS {f[0]}{n[0]}" for n in ("alpha", "beta", "gamma") for f in ("cos", "sin"))
+    own = [f"({x})" for x in ("h * eb * ec * sa", "k * ea * ec * sb", "l * ea * eb * sg")]
+    mixed = ["2 * h * k * ea * eb * ec * ec * (ca * cb - cg)", "2 * k * l * ea * ea * eb * ec * (cb * cg - ca)", "2 * h * l * ea * eb * eb * ec * (ca * cg - cb)"]
+    ds = f"sqrt(greatest(0D, {' + '.join([*(f'{x} * {x}' for x in own), *mixed])})) / (ea * eb * ec * sqrt(1 - ca * ca - cb * cb - cg * cg + 2 * ca * cb * cg))"
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION cell_hkls(a DOUBLE, b DOUBLE, c DOUBLE, alpha DOUBLE, beta DOUBLE, gamma DOUBLE, dsmax DOUBLE) RETURNS TABLE (h BIGINT, k BIGINT, l BIGINT, ds DOUBLE)
-        RETURN SELECT h, k, l, ds FROM (SELECT h, k, l, most, sqrt(pow(b00 * h + b01 * k + b02 * l, 2) + pow(b11 * k + b12 * l, 2) + pow(b22 * l, 2)) AS ds FROM
+        RETURN SELECT h, k, l, ds FROM (SELECT h, k, l, bound, {ds} AS ds FROM
         (SELECT *, {each("-(b01 * k + b02 * l) / b00", "sqrt(greatest(0D, most * most - pow(b22 * l, 2) - pow(b11 * k + b12 * l, 2))) / b00")} AS h FROM
         (SELECT *, {each("-b12 * l / b11", "sqrt(greatest(0D, most * most - pow(b22 * l, 2))) / b11")} AS k FROM
-        (SELECT *, {each("0D", "most / b22")} AS l FROM (SELECT {upper}, dsmax AS most))))) WHERE ds > 0 AND ds < most""")
+        (SELECT *, {each("0D", "most / b22")} AS l FROM (SELECT {upper}, {metric}, a AS ea, b AS eb, c AS ec, dsmax AS bound, dsmax * (1 + 1e-9D) AS most))))) WHERE ds > 0 AND ds < bound""")
