@@ -84,6 +84,25 @@ def test_sql_of_any_cell(spark):
         assert own.keys() == want.keys() and all(own[x] == pytest.approx(want[x], abs=1e-9) for x in want)
 
 
+def test_on_the_bound(spark):
+    """Reflections of an edge of 5 at d* of 0.6 and 0.4 lie on the bound: the triclinic formula's rounding decides, as SQL has it."""
+    rows = [(1, 4.5, 4.7, 5.0, 90.0, 90.0, 94.0), (2, 5.0, 5.2, 5.5, 90.0, 90.0, 90.0), (3, 4.8, 5.0, 5.3, 90.0, 90.0, 91.0)]
+    sql.register(spark)
+    spark.createDataFrame(rows, CELL).createOrReplaceTempView("edge_cells")
+    for dsmax in (0.6, 0.4):
+        want = set()
+        for i, a, b, c, *angles in rows:
+            (ca, sa), (cb, sb), (cg, sg) = ((math.cos(math.radians(x)), math.sin(math.radians(x))) for x in angles)
+            for h, k, l in box((i, a, b, c, *angles), dsmax * 1.01):
+                d2 = (h * b * c * sa) * (h * b * c * sa) + (k * a * c * sb) * (k * a * c * sb) + (l * a * b * sg) * (l * a * b * sg) + 2 * h * k * a * b * c * c * (ca * cb - cg) + 2 * k * l * a * a * b * c * (cb * cg - ca) + 2 * h * l * a * b * b * c * (ca * cg - cb)
+                if math.sqrt(max(0, d2)) / (a * b * c * math.sqrt(1 - ca * ca - cb * cb - cg * cg + 2 * ca * cb * cg)) < dsmax:
+                    want.add((i, h, k, l))
+        made = hkl.make_hkls(spark.createDataFrame(rows, CELL), dsmax, 0.2, metric=True).collect()
+        called = spark.sql(f"SELECT e.structure_id, r.* FROM edge_cells AS e, LATERAL cell_hkls(e.a, e.b, e.c, e.alpha, e.beta, e.gamma, {dsmax}D) AS r").collect()
+        assert {(r.structure_id, r.h, r.k, r.l) for r in made} == want == {(r.structure_id, r.h, r.k, r.l) for r in called}
+        assert (1, 0, 0, 3) in want or dsmax < 0.6
+
+
 def test_intensity_in_the_row(spark):
     """Sums over atoms as by numpy; no row for each reflection and atom, and nothing shuffled for the sum."""
     rows, r = cells(4, 9), random.Random(1)
