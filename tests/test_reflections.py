@@ -103,6 +103,30 @@ def test_on_the_bound(spark):
         assert (1, 0, 0, 3) in want or dsmax < 0.6
 
 
+def _many(spark, n=3):
+    rows = spark.range(n).select(F.col("id").cast("int").alias("structure_id"), *((F.lit(3.0) + F.col("id") / 10).alias(x) for x in "abc"), *(F.lit(90.0).alias(x) for x in ("alpha", "beta", "gamma")))
+    turns = [(x, y, z) for x in (1.0, -1.0) for y in (1.0, -1.0) for z in (1.0, -1.0)]
+    rot = F.explode(F.array(*(F.struct(*(F.lit(t[i] if i == j else 0.0).alias(f"m{i}{j}") for i in range(3) for j in range(3))) for t in turns)))
+    return rows, rows.select("structure_id", rot.alias("rot")), rows.select("structure_id", F.lit("Fe").alias("element"), *(F.lit(0.0).alias(x) for x in "xyz"), F.lit(1.0).alias("occ"))
+
+
+def test_equivalents_not_through_the_driver(spark):
+    """Rotations of as many structures as there are rows are shuffled, not broadcast, whatever Spark takes their size for."""
+    table, ops, _ = _many(spark)
+    kept = hkl.remove_equivalents(hkl.make_hkls(table, 0.9, 0.3), ops)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "ShuffledHashJoin" in plan
+    found = {}
+    for r in kept.collect():
+        found.setdefault(r.structure_id, set()).add((r.h, r.k, r.l))
+    for i in range(3):
+        edge = 3.0 + i / 10
+        want = {tuple(map(abs, x)) for x in box((i, edge, edge, edge, 90.0, 90.0, 90.0), 0.9)}
+        assert found[i] == want
+    # without the identity, and of no structure at all
+    assert hkl.remove_equivalents(hkl.make_hkls(table, 0.9, 0.3), ops.where("false")).count() == 0
+
+
 def test_intensity_in_the_row(spark):
     """Sums over atoms as by numpy; no row for each reflection and atom, and nothing shuffled for the sum."""
     rows, r = cells(4, 9), random.Random(1)
