@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from braggline.functions import dual
+from braggline import more_queries
 from braggline.more_queries import _orders
 from braggline.operators import spacegroup
 from braggline.operators.structure import Structure
@@ -101,3 +102,14 @@ def test_propagator_in_full(spark):
         assert (row.cov_a_a, row.cov_a_b, row.cov_b_b) == pytest.approx((want[0][0], want[0][1], want[1][1]))
     row = run(df, {"v.y": 0.09, "w": 0.01}).first()
     assert row.cov_a_b == pytest.approx(4 / 3 * 0.5 * 0.09 - 3 * 0.5 * 0.01) and set(row.asDict()) == {"v", "w", "c", "a", "b", "long", "cov_a_a", "cov_a_b", "cov_b_b"}
+
+
+@pytest.mark.parametrize("name", ["space_groups", "all_space_groups"])
+def test_places_in_the_task(spark, tmp_path, monkeypatch, name):
+    """Points are dealt once, to tasks that follow their number, and their places are counted there."""
+    monkeypatch.setattr(more_queries, "POINTS_A_TASK", 100)
+    spark.range(1, 2001).select(F.col("id").alias("p_partkey")).write.parquet(str(tmp_path / "part.parquet"))
+    found = getattr(more_queries, name)(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and ", 20), REPARTITION_BY_NUM" in plan
+    assert found.count() == 2000
