@@ -72,6 +72,23 @@ def test_operations():
             cif.operation(bad)
 
 
+def test_texts_in_portions(spark):
+    """Tables of a few texts at once, dealt out by the caller; the atoms of a site that operations bring to one place are one."""
+    cif._known.cache_clear()
+    texts = spark.range(1000).select(F.col("id").cast("string").alias("structure_id"), F.lit(CIF).alias("value")).coalesce(1)
+    sizes = []
+    real, cif._columns = cif._columns, lambda names, found: sizes.append(len(found)) or real(names, found)
+    try:
+        parts = [found for at in range(0, 450, cif.PORTION) for found in [[cif.structure(CIF) for _ in range(min(cif.PORTION, 450 - at))]]]
+        assert [len(cif._columns([str(i) for i in range(len(p))], p)[9]) for p in parts] == sizes == [200, 200, 50]
+    finally:
+        cif._columns = real
+    assert cif._known.cache_info().misses == 4
+    cells, ops, atoms = cif.parse_cif(texts)
+    assert (cells.count(), ops.count(), atoms.count()) == (1000, 4000, 2000)
+    assert atoms.groupBy("x", "y", "z").count().orderBy("x").collect() == [(0.0, 0.0, 0.0, 1000), (0.5, 0.5, 0.5, 1000)]
+
+
 def test_bad_cif_is_named(spark, tmp_path):
     (tmp_path / "bad.cif").write_text("data_x\n_cell_length_a 1\n")
     with pytest.raises(Exception, match="bad.cif"):
