@@ -127,6 +127,27 @@ def test_equivalents_not_through_the_driver(spark):
     assert hkl.remove_equivalents(hkl.make_hkls(table, 0.9, 0.3), ops.where("false")).count() == 0
 
 
+def test_rings_not_through_the_driver(spark):
+    """Nor are packed atoms, rings of as many structures, or the cells that a group's operations and atoms are kept for."""
+    table, ops, atoms = _many(spark)
+    with Structure(table.withColumn("sg_number", F.lit(1)), ops, atoms).make_hkls(0.9, 0.3) as s:
+        assert "Broadcast" not in s.rings_table._jdf.queryExecution().executedPlan().toString()
+        assert s.rings.count() > 0
+    kept = Structure(table.withColumn("sg_number", F.lit(1)), ops, atoms).by_number(1)
+    assert "Broadcast" not in kept.symmetry_ops._jdf.queryExecution().executedPlan().toString() and kept.sym_ops.count() == ops.count()
+
+
+def test_tasks_follow_the_reflections(spark, monkeypatch):
+    """Rows of a task don't grow with the table."""
+    monkeypatch.setattr(hkl, "ROWS_A_TASK", 2000)
+    table, ops, atoms = _many(spark, 200)
+    tasks = hkl.tasks_of(table, 0.9)
+    plan = hkl.rings_table(hkl.make_hkls(table, 0.9, 0.3, tasks=tasks), atoms, tasks=tasks)._jdf.queryExecution().executedPlan().toString()
+    found = hkl.make_hkls(table, 0.9, 0.3).count()
+    assert tasks > 8 and 0.8 < found / (tasks * 2000) < 1.2 and f", {tasks}), REPARTITION_BY_NUM" in plan
+    assert hkl.tasks_of(table.where("false"), 0.9) == 8
+
+
 def test_intensity_in_the_row(spark):
     """Sums over atoms as by numpy; no row for each reflection and atom, and nothing shuffled for the sum."""
     rows, r = cells(4, 9), random.Random(1)
