@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .worker import cache
+from .worker import cache, trimmed
 from .words import PUNCTUATION, mix, plain, shingle_sequence, shingle_set, shingles, slices, words
 
 K, RADIUS, BLOCKS = 5, 15, 4
@@ -237,7 +237,7 @@ def _searched(source: DataFrame, index: Index, key: str, item_key: str) -> DataF
             rows, first, item, value = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array([index.ids[x] for x in item], pa.int64()), pa.array(first, pa.int64()), pa.array([int(index.size[x]) for x in item], pa.int64()), pa.array(value, pa.float64())], names=[key, item_key, "first_word", "n_words", "similarity"])
 
-    return source.mapInArrow(run, f"`{key}` long, `{item_key}` long, first_word long, n_words long, similarity double")
+    return source.mapInArrow(trimmed(run), f"`{key}` long, `{item_key}` long, first_word long, n_words long, similarity double")
 
 
 def matches(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
@@ -267,7 +267,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str
                 keep[[row for row, *_ in shipped.value.find(batch.column(at).cast(pa.large_string()))]] = False
                 yield batch.filter(pa.array(keep))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(trimmed(run), docs.schema)
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     hashed = [F.xxhash64(t), F.xxhash64(t, F.lit(1))]
     source = docs.select(F.struct(*(x.alias(n) for x, n in zip(hashed, "ab", strict=True))).alias("h"), t.alias("t"))
@@ -281,7 +281,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str
                 rows = sorted({row for row, *_ in shipped.value.find(batch.column(1))})
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64()))], names=["h"])
 
-        one = written(source.mapInArrow(mark, "h struct<a:bigint,b:bigint>"), "found")
+        one = written(source.mapInArrow(trimmed(mark), "h struct<a:bigint,b:bigint>"), "found")
         found = one if found is None else found.unionByName(one)
     found = written(found.select("h.a", "h.b").distinct(), "found")
     return docs.join(found, (hashed[0] == found["a"]) & (hashed[1] == found["b"]), "left_anti")

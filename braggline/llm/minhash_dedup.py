@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, drop, written
-from .worker import cache
+from .worker import cache, trimmed
 from .words import mix, plain, shingle_set, slices, words
 
 
@@ -114,7 +114,7 @@ def profiles(docs: DataFrame, s: Setting, text: str, key: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(n)], batch.column(2)[at : at + len(n)], pa.array(n), *columns, *lists], names=[key, "th", "n_shingles", "f1", "f2", "s1", "s2", "keys", "parity"])
                 at += len(n)
 
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text), F.xxhash64(F.col(text).cast("string")).alias("th")).mapInArrow(run, f"`{key}` long, th long, n_shingles long, f1 long, f2 long, s1 long, s2 long, keys array<long>, parity array<long>")
+    return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text), F.xxhash64(F.col(text).cast("string")).alias("th")).mapInArrow(trimmed(run), f"`{key}` long, th long, n_shingles long, f1 long, f2 long, s1 long, s2 long, keys array<long>, parity array<long>")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, s: Setting) -> DataFrame:
@@ -139,7 +139,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, s: Setting) -> DataFrame:
 
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _sole(texts: DataFrame, s: Setting) -> DataFrame:
@@ -155,7 +155,7 @@ def _sole(texts: DataFrame, s: Setting) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(sets)], pa.array(sets, pa.list_(pa.int64()))], names=["id", "hashes"])
                 at += len(sets)
 
-    each = texts.select("id", "text").mapInArrow(run, "id long, hashes array<long>").select("id", F.explode("hashes").alias("h"))
+    each = texts.select("id", "text").mapInArrow(trimmed(run), "id long, hashes array<long>").select("id", F.explode("hashes").alias("h"))
     sole = each.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last"))
     return sole.where("id = last").groupBy("id").agg(F.count("*").alias("u"))
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
-from .worker import cache
+from .worker import cache, trimmed
 from .words import KINDS, SAME, hashes, offsets_and_bytes, plain, slices, words
 
 LENGTH, END_ID = 4096, 2
@@ -139,7 +139,7 @@ def tokenised(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "d
                 yield pa.RecordBatch.from_arrays([keys[at : at + len(rows)], pa.array(np.full(len(rows), part, np.int32)), pa.array(ends - size), pa.array(size), pa.array([x.tobytes() for x in rows], pa.binary())], names=[key, "part", "before", "n_tokens", "ids"])
                 at, before = at + len(rows), int(ends[-1])
 
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(run, f"`{key}` long, part int, before long, n_tokens long, ids binary")
+    return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(trimmed(run), f"`{key}` long, part int, before long, n_tokens long, ids binary")
 
 
 def bounds_of(total: int, length: int) -> np.ndarray:
@@ -186,4 +186,4 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
                     start, place = start + size, place + size
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return table.mapInArrow(cut, f"`{key}` long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return table.mapInArrow(trimmed(cut), f"`{key}` long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sample import class_weights, labelled, logistic
-from .worker import cache
+from .worker import cache, trimmed
 from .words import plain
 
 SAMPLE, LONGEST = 1500, 20_000
@@ -213,7 +213,7 @@ def scored(docs: DataFrame, model: Model | None, held_out: Column, threshold: fl
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[key, "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(key).cast("long").alias(key), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).cast("string").alias(text))
-    return rows.mapInArrow(run, f"`{key}` long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(trimmed(run), f"`{key}` long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
@@ -224,4 +224,4 @@ def accepted(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD,
         for batch in batches:
             yield batch.filter(pa.array(score(model, batch.column(at).cast(pa.large_string())) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

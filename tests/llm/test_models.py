@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from braggline.llm import lattice_neighbours, quality, toxicity
+from braggline.llm import lattice_neighbours, quality, toxicity, worker
 from braggline.llm.queries import QUERIES, toxicity_model
 from braggline.llm.sample import fold
 
@@ -364,3 +364,17 @@ def test_pipeline_edges(spark, tmp_path):
     assert pieces.select("doc_id").distinct().count() == 4 and dict(spark.conf.getAll) == was
     empty = tables("empty", docs.limit(0), [], [])
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_memory_after_tasks(monkeypatch):
+    # what a task has freed is returned at its end, also where its rows aren't asked for to the end, or it fails
+    done = []
+    monkeypatch.setattr(worker, "trim", lambda: done.append(1))
+    assert list(worker.trimmed(lambda batches: (x + 1 for x in batches))([1, 2])) == [2, 3] and len(done) == 1
+    begun = worker.trimmed(iter)([1, 2])
+    next(begun)
+    begun.close()
+    assert len(done) == 2
+    with pytest.raises(ZeroDivisionError):
+        list(worker.trimmed(lambda batches: (1 // x for x in batches))([1, 0]))
+    assert len(done) == 3
