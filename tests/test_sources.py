@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from braggline import more_queries
 from braggline.operators import hkl
 from braggline.plans import sql
 from braggline.queries import TILTED
@@ -111,3 +112,13 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT ds_to_tth(0.5, 0.18)").first()[0] == pytest.approx(5.158360, abs=1e-5)
     assert spark.sql("SELECT count(*) FROM cubic_hkls(3.0, 0.5)").first()[0] == 18
     assert spark.sql("SELECT metric_to_volume(2, 3, 4, 90, 90, 90)").first()[0] == pytest.approx(24)
+
+
+def test_files_in_one_folder(spark, tmp_path, monkeypatch):
+    # a file each, but no folder each, which would be made, listed and moved one by one; whose they are is told by their data blocks
+    monkeypatch.setattr(more_queries, "shared_path", lambda *_: str(tmp_path / "cifs"))
+    rows = more_queries.cif_files(spark, "/root/testdata/sf0.001").collect()
+    suppliers = {str(r.s_suppkey) for r in spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").collect()}
+    assert {r.structure_id for r in rows} == suppliers and len(rows) == len(suppliers)
+    own = list((tmp_path / "cifs").iterdir())
+    assert not [p for p in own if p.is_dir()] and len([p for p in own if p.name.startswith("part-") and p.stat().st_size]) == len(suppliers)
