@@ -4,9 +4,10 @@ The ordinary dictionary is cut from random places of ordinary training texts. Th
 both classes share, and before it whole windows of toxic training texts: those that shorten most toxic texts that they
 weren't taken from, beyond what ordinary text does, and few ordinary ones. Nothing but compression lengths chooses
 them: the toxic texts are parted into two folds; of one fold's windows, those are candidates that the other fold's text
-shortens most beyond the dictionary so far; each candidate is tried as an addition to it on windows of the other fold and of ordinary
+shortens most beyond as much ordinary text, the dictionary so far beside either; each candidate is tried as an addition to it on windows of the other fold and of ordinary
 texts; and they are taken one by one, by the share of toxic texts that they shorten where those before them don't, less
-``CAUTION`` times the share of ordinary texts, down to a share of ``LEAST``; then a further round looks for what is left. A window's gain is its length under the ordinary dictionary
+``CAUTION`` times the share of ordinary texts, down to a share of ``LEAST``. A further round goes on with
+the texts of both folds that the dictionary so far shortens nowhere, so that rarer kinds of toxic text aren't crowded out by frequent ones. A window's gain is its length under the ordinary dictionary
 less that under the toxic one. A document's score is a logistic function, calibrated on training texts that didn't
 shape the dictionaries, of how many of its windows gain how much. Whole texts are scored, at two window sizes.
 
@@ -114,19 +115,31 @@ def _shortened(texts: list[str], ordinary: bytes, trial: bytes) -> tuple[list[by
     return [found[k] for k in keep], np.array([own[k][0] for k in keep], np.int64), before[keep]
 
 
+def _sampled(texts: list[str], r: np.random.Generator) -> bytes:
+    """``REACH`` bytes of the texts' windows, in a random order."""
+    known = [w for t in texts for w in windows(t, CHOICE)]
+    return b" ".join(known[k] for k in r.permutation(len(known))[: REACH // CHOICE].tolist())[:REACH]
+
+
+def _left(texts: list[str], ordinary: bytes, base: bytes) -> list[str]:
+    """Those of the texts that ``base`` doesn't shorten anywhere."""
+    of = set(_shortened(texts, ordinary, base)[1].tolist())
+    return [t for k, t in enumerate(texts) if k not in of]
+
+
 def _chosen(own: list[str], held: list[str], others: list[str], ordinary: bytes, r: np.random.Generator) -> list[bytes]:
-    """Windows of the texts ``own`` that shorten texts of ``held``, chosen in rounds."""
-    pool = list(dict.fromkeys(w for t in own for w in windows(t, CHOICE)))
-    known = [w for t in held for w in windows(t, CHOICE)]
-    known = b" ".join(known[k] for k in r.permutation(len(known))[: REACH // CHOICE].tolist())[:REACH]
+    """Windows of the texts ``own`` that shorten texts of ``held``, chosen in rounds, each from the texts that those before leave as they are."""
+    usual = _sampled(others, r)
     out: list[bytes] = []
     for _ in range(ROUNDS):
         base = b" ".join([*out, ordinary])
-        gain = _lengths(base, pool) - _lengths(known + b" " + base, pool)
-        found = _round([pool[k] for k in np.argsort(-gain, kind="stable")[:CANDIDATES]], held, others, base)
-        if not found:
+        if out:
+            own, held = _left(own, ordinary, base), _left(held, ordinary, base)
+        if not own or not held:
             break
-        out += found
+        pool = list(dict.fromkeys(w for t in own for w in windows(t, CHOICE)))
+        gain = _lengths(usual + b" " + base, pool) - _lengths(_sampled(held, r) + b" " + base, pool)
+        out += _round([pool[k] for k in np.argsort(-gain, kind="stable")[:CANDIDATES]], held, others, base)
     return out
 
 

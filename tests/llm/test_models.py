@@ -190,6 +190,29 @@ def test_dictionaries():
     assert (toxicity.score(None, pa.array(["a"])) == 0).all() and toxicity.train(["a"], ["b"], 0.5) is None
 
 
+def test_dictionaries_of_rarer_texts():
+    """Toxic texts of a kind of their own, one in ten, with telling words of a stem of their own: chosen from what the others' windows leave."""
+    r = random.Random(5)
+    frequent, rare = gibberish(r, 300).split(), [x + "ée" for x in gibberish(r, 300).split()]
+
+    def text(toxic, kind):
+        w = [r.choice(rare if kind else frequent) for _ in range(r.randint(60, 250))]
+        for _ in range(toxic * r.randint(4, 9)):
+            w[r.randrange(len(w))] = "vequ" + r.choice(rare[:100]) if kind else r.choice(("pathetic", "disgusting", "worthless", "scumbagger", "blockhead"))
+        return " ".join(w)
+
+    kinds = [(r.random() < 1 / 3, r.random() < 1 / 10) for _ in range(2400)]
+    texts = [(*k, text(*k)) for k in kinds]
+    toxic, ordinary = ([t for y, _, t in texts[:1900] if y == z] for z in (True, False))
+    model = toxicity.train(toxic, ordinary, 0.3)
+    assert model.toxic.removesuffix(model.ordinary).count(b"vequ") >= 12
+    score = toxicity.score(model, pa.array([t for *_, t in texts[1900:]]))
+    for kind in (False, True):
+        found = [s >= 0.3 for s, (y, k, _) in zip(score, texts[1900:]) if y and k == kind]
+        assert sum(found) >= 0.7 * len(found) > 10
+    assert sum(s >= 0.3 for s, (y, *_) in zip(score, texts[1900:]) if not y) < 0.1 * len(score)
+
+
 def similar(texts):
     """Least row of each row's component, by all pairs."""
     sets = []
