@@ -448,6 +448,25 @@ def test_passages_of_many_changes(spark):
     assert got == {(2 * t + 1, 2 * t) for t in range(40)}
 
 
+def test_passages_of_all_holders(spark):
+    # 48 words of which one in 6 is changed, and passages of several holders: every pair of different texts
+    r = random.Random(7)
+    put = lambda p: " ".join([gibberish(r, 50), *p, gibberish(r, 50)])
+    rows, wanted = [], set()
+    for t in range(0, 180, 3):
+        p = gibberish(r, 48).split()
+        rows += [(t, put(p)), (t + 1, put([f"other{i}" if i % 6 == 3 else w for i, w in enumerate(p)]))]
+        wanted.add((t + 1, t))
+    for t in range(200, 240, 4):
+        p = gibberish(r, 60).split()
+        rows += [(t + i, put(p)) for i in range(4)]
+        wanted |= {(t + i, t + j) for i in range(4) for j in range(i)}
+    rows += [(300 + i, "a " * 20_000 + gibberish(r, 50)) for i in range(3)]
+    pairs = lambda whole: {(x.doc_id, x.other_doc_id) for x in passages.repeats(frame(spark, rows), whole=whole).collect()}
+    first = pairs(False)
+    assert first < wanted and pairs(True) == wanted
+
+
 def test_chains():
     # two collinear runs far apart and a crossing match
     a = np.array([0, 5, 10, 12, 500, 505, 510])
