@@ -38,6 +38,8 @@ _CUT = np.zeros(256, bool)
 _CUT[[9, 10, 13, 32]] = True
 #: Words that a worker remembers; beyond, it starts afresh.
 REMEMBERED = 1_500_000
+#: Words encoded at once: what the library returns of each takes many times its ids.
+AT_ONCE = 1 << 13
 
 
 class WordTokens:
@@ -64,9 +66,13 @@ class WordTokens:
 
     def _learn(self, h: np.ndarray, new: list[str]) -> None:
         gc.disable()  # many short-lived objects, none of them in cycles
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        sizes, flats = [], []
+        for i in range(0, len(new), AT_ONCE):
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(new[i : i + AT_ONCE], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int32, len(ids)))
+            flats.append(np.fromiter(chain.from_iterable(ids), self.dtype, int(sizes[-1].sum())))
         gc.enable()
-        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        size = np.concatenate(sizes)
         n, more = len(self.known), int(size.sum())
         while self.used + more > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -74,7 +80,7 @@ class WordTokens:
             self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
         self.begin[n : n + len(new)] = self.used + np.cumsum(size) - size
         self.length[n : n + len(new)] = size
-        self.flat[self.used : self.used + more] = np.fromiter(chain.from_iterable(ids), self.dtype, more)
+        self.flat[self.used : self.used + more] = np.concatenate(flats)
         self.used += more
         order = np.argsort(h)
         at = np.searchsorted(self.known, h[order])

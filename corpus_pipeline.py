@@ -7,6 +7,9 @@ texts; packing returns the pieces of the packed sequences. All but the last retu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,21 @@ from braggline.llm import decontaminate, minhash_dedup, packing, secret_scan, to
 from braggline.llm.queries import repository, table, toxicity_model
 from braggline.llm.shared import drop, written
 
+#: Bytes that are handed to a Python worker at once. By Spark's default, 64 MB, a batch of 10,000 whole texts stands in
+#: buffers beside the JVM's heap and again in the worker, with what it returns.
+BATCH = 4 << 20
+
+
+def in_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with batches of ``BATCH`` bytes. Its result is made when it is written, so the session keeps the setting."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 def fresh(docs: DataFrame, name: str) -> str:
     """A column name that the table hasn't."""
@@ -23,11 +41,13 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+@in_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The classifier learns from the labelled rows among the stage's own documents."""
     return toxicity.accepted(docs, toxicity_model(docs, spark, sf_dir))
 
 
+@in_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group stays, once. Documents without an id link with nothing and stay. Of
     several texts under one id, all but one take a number beyond all ids, so that each is a document of its own."""
@@ -46,10 +66,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return once.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
+@in_batches
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@in_batches
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars follows the new text where a secret was masked."""
     was = fresh(docs, "_was")
@@ -57,6 +79,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return out.withColumn("n_chars", F.when(F.col(was), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
+@in_batches
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 

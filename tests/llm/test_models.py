@@ -401,3 +401,16 @@ def test_memory_after_tasks(monkeypatch):
     with pytest.raises(ZeroDivisionError):
         list(worker.trimmed(lambda batches: (1 // x for x in batches))([1, 0]))
     assert len(done) == 3
+
+
+def test_pipeline_hands_small_batches_to_workers(spark, tmp_path):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    rows = [(i, gibberish(random.Random(i), 20) * 40, "en", "web", 0) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    for _, stage in corpus_pipeline.STAGES[3:4]:
+        got = stage(spark, docs, str(tmp_path)).coalesce(1).mapInArrow(sizes, "n long").collect()
+        assert sum(r.n for r in got) > 3 * corpus_pipeline.BATCH and max(r.n for r in got) < 1.1 * corpus_pipeline.BATCH

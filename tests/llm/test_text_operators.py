@@ -473,3 +473,17 @@ def test_chains():
     b = np.array([100, 105, 110, 3, 900, 905, 910])
     got = sorted(passages.chains(a, b))
     assert [0, 1, 2] in got and [4, 5, 6] in got and [3] in got
+
+
+def test_packing_encodes_few_words_at_once():
+    model, held = packing.WordTokens(WORDS), []
+
+    class Counting:
+        def encode_batch_fast(self, words, **more):
+            held.append(len(words))
+            return tok.encode_batch_fast(words, **more)
+
+    tok, model.tokenizer = model.tokenizer, Counting()
+    text = " ".join(f"w{i}" for i in range(20_000))
+    assert [x.tolist() for x in next(model.encode(pa.array([text])))] == [tok.encode(text, add_special_tokens=False).ids]
+    assert max(held) <= packing.AT_ONCE < sum(held)
