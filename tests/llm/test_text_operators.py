@@ -487,3 +487,23 @@ def test_packing_encodes_few_words_at_once():
     text = " ".join(f"w{i}" for i in range(20_000))
     assert [x.tolist() for x in next(model.encode(pa.array([text])))] == [tok.encode(text, add_special_tokens=False).ids]
     assert max(held) <= packing.AT_ONCE < sum(held)
+
+
+def test_passages_meet_once_for_a_shared_stretch(spark, monkeypatch):
+    """Runs that always stand together are one match of each pair of holders, and holders of a frequent one only meet where they go on alike."""
+    r = random.Random(8)
+    line, tail = gibberish(r, 24), gibberish(r, 30)
+    rows = [(i, f"{gibberish(r, 30)} {line} {tail if i % 3 == 0 else gibberish(r, 30)}") for i in range(12)]
+    known = [(hash(tuple(w[p : p + 4])) >> 8, i, p) for i, t in rows for w in [t.split()] for p in range(len(w) - 3)]
+    shared = Counter(s for s, _, _ in known)
+    known = spark.createDataFrame([x for x in known if shared[x[0]] > 1], "seed long, id long, place int")
+    texts = frame(spark, rows).select(F.col("doc_id").alias("id"), "text")
+    got = {}
+    for most in (1000, 4):
+        monkeypatch.setattr(passages, "FREQUENT", most)
+        matches, spent = passages._to_all_holders(texts, passages.written(known, "known"), 40, 4)
+        got[most] = [tuple(x) for x in matches.collect()]
+    alike = {(i, j) for i in range(0, 12, 3) for j in range(0, i, 3)}
+    assert len(got[1000]) == 66 + len(alike) and {x[:2] for x in got[1000]} == {(i, j) for i in range(12) for j in range(i)}
+    assert {x[:2] for x in got[4]} == alike
+    assert {x[:2] for x in [tuple(x) for x in passages.repeats(texts.withColumnRenamed("id", "doc_id"), whole=True).select("doc_id", "other_doc_id").collect()]} == alike
