@@ -195,3 +195,16 @@ def test_copies_of_a_band(spark):
     right = spark.createDataFrame([(1, 1e12 + 0.25), (2, 0.75), (3, -1.0), (5, 0.25)], "j int, y double")
     got = {(r.i, r.j) for r in bandjoin.band_join(left, right, [("x", "y", 0.25)]).collect()}
     assert got == {(1, 1), (2, 2), (2, 5), (3, 3)}
+
+
+def test_filters_of_cells_stay_small(spark):
+    """Catalyst keeps what a filter says for every choice of the names that its terms have: one over all of a cell's columns fills the driver's memory."""
+    k = F.col("structure_id")
+    shapes = (3 + k / 10.0, 3.2 + k / 10.0, 3.5 + k / 10.0, 85.0 + k % 11, 88.0 + k % 5, 95.0 - k % 7)
+    rows = spark.range(3).select(F.col("id").alias("structure_id")).select("structure_id", *(c.cast("double").alias(n) for c, n in zip(shapes, hkl.LPARS, strict=True)))
+    node, said = hkl.make_hkls(rows, 0.6, 0.2, metric=True, tasks=8)._jdf.queryExecution().optimizedPlan(), []
+    while node.children().size():
+        if node.nodeName() == "Filter":
+            said.append(len(node.condition().toString()))
+        node = node.children().apply(0)
+    assert max(said) < 5000, said
