@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from braggline.llm import decontaminate, license_scan, minhash_dedup, packing, passages, prefix_tokens, secret_scan
+from braggline.llm import decontaminate, license_scan, meetings, minhash_dedup, packing, passages, prefix_tokens, secret_scan
 from braggline.llm.shared import components
 from braggline.llm.words import plain, shingle_set, words
 
@@ -507,3 +507,45 @@ def test_passages_meet_once_for_a_shared_stretch(spark, monkeypatch):
     assert len(got[1000]) == 66 + len(alike) and {x[:2] for x in got[1000]} == {(i, j) for i in range(12) for j in range(i)}
     assert {x[:2] for x in got[4]} == alike
     assert {x[:2] for x in [tuple(x) for x in passages.repeats(texts.withColumnRenamed("id", "doc_id"), whole=True).select("doc_id", "other_doc_id").collect()]} == alike
+
+
+def test_passages_of_frequent_grams(spark, monkeypatch):
+    """Texts don't meet by what many hold, but those that share a passage are found, also one of such lines alone, wherever the line is drawn."""
+    r = random.Random(9)
+    lines, tail = [gibberish(r, 12) for _ in range(6)], gibberish(r, 30)
+    put = lambda *p: " ".join([gibberish(r, 40), *p, gibberish(r, 40)])
+    rows = [(i, put(lines[i % 6])) for i in range(60)] + [(100 + i, put(*lines[:4])) for i in range(3)] + [(200 + i, put(lines[5], lines[4], tail)) for i in range(2)]
+    wanted = {(101, 100), (102, 100), (102, 101), (201, 200)}
+    texts = frame(spark, rows).select(F.col("doc_id").alias("id"), "text")
+    for most in (2, 5, 1000):
+        met = {tuple(x) for x in meetings.matches(texts, 10_000, most, 40, 0.8, 27).select("id", "other").distinct().collect()}
+        assert wanted <= met and len(met) < 60, len(met)  # of 345 that share a line
+        monkeypatch.setattr(meetings, "MOST", most)
+        got = passages.repeats(frame(spark, rows), whole=True).collect()
+        assert {(x.doc_id, x.other_doc_id) for x in got} == wanted and min(x.n_equal for x in got) >= 48
+
+
+def test_passage_within_a_weaker_alignment():
+    """Of an alignment that as a whole is too weak, its stretches that aren't."""
+    weak = lambda at, n: [(at + 4 * i, at + 4 * i, 3) for i in range(n)]
+    runs = np.array([*weak(0, 50), (200, 200, 60), *weak(261, 50), (461, 461, 41)], np.int64)
+    same = int(runs[:, 2].sum())
+    assert same / 502 < 0.8
+    found = passages.within(same, 0, 502, 0, 502, runs, 40, 0.8)
+    assert all(x[0] / (x[2] - x[1]) >= 0.8 and x[2] - x[1] >= 40 for x in found)
+    # by brute force: no stretch of more equal words is as strong
+    taken = np.concatenate([[0], np.cumsum(runs[:, 2])])
+    most = max(taken[j + 1] - taken[i] for i in range(len(runs)) for j in range(i, len(runs)) if taken[j + 1] - taken[i] >= 0.8 * (runs[j, 0] + runs[j, 2] - runs[i, 0]) and runs[j, 0] + runs[j, 2] - runs[i, 0] >= 40)
+    assert max(x[0] for x in found) == most
+
+
+def test_dense_stretches_by_brute_force():
+    r = random.Random(3)
+    for _ in range(300):
+        cuts = sorted(r.sample(range(200), 2 * r.randint(1, 12)))
+        start, end = np.array(cuts[::2]), np.array(cuts[1::2])
+        inside = np.zeros(201, bool)
+        for a, b in zip(start, end, strict=True):
+            inside[a:b] = True
+        want = [any(e - s >= 40 and inside[s:e].sum() >= 0.8 * (e - s) for s in start[: i + 1] for e in end[i:]) for i in range(len(start))]
+        assert meetings.dense(start, end, 40, 0.8).tolist() == want
